@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     """Slices of a batch with about max_bytes of text each; a longer text comes alone."""
     sizes = batch.column(column)
-    lengths = [x or 0 for x in pa.compute.binary_length(sizes).to_pylist()]
+    lengths = [x or 0 for x in pc.binary_length(sizes).to_pylist()]
     start = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > max_bytes:
