@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, simhash, substring, urls
+from . import bpe, langid, shards, simhash, substring, toxicity, urls
 from .cluster import table
 
 URL_RULES = [("allow", "org", ""), ("block", "example.org", "es/"), ("block", "example.org", "en/1"), ("allow", "com", "fr/"), ("block", "com", "de/")]
@@ -24,6 +24,21 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.id_remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.id_remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
     coded = bpe.decode(bpe.encode(docs, path), path)
@@ -50,15 +65,15 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_simhash, op5_url_filter, op7_bpe, op10_shards)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_simhash, op5_url_filter, op6_language_id, op7_bpe, op8_toxicity, op10_shards)}
 
 ORACLE_SQL = {
     "op3_substring_dedup": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-s AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
-h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(words[i : i + 34], ' ')) AS c FROM s),
-r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM h WHERE c > 1),
 e AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+s AS (SELECT doc_id, p, string_agg(word, ' ') OVER f AS body, count(*) OVER f AS n FROM e WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+h AS (SELECT doc_id, p, count(*) OVER (PARTITION BY body) AS c FROM s WHERE n = 35),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM h WHERE c > 1),
 k AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.p) AS kept FROM e ANTI JOIN r ON e.doc_id = r.doc_id AND e.p = r.p GROUP BY e.doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id

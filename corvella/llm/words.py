@@ -89,8 +89,14 @@ class Words:
             return np.zeros(0, U)
         sums = np.zeros(len(self.data) + 1, U)
         np.cumsum(_BYTES[self.data] * powers(_BYTE_BASE, len(self.data)), out=sums[1:])
-        back = powers(inverse(_BYTE_BASE), len(self.data))
-        return mix((sums[self.end] - sums[self.start]) * back[self.start])
+        self._sums, self._back = sums, powers(inverse(_BYTE_BASE), len(self.data))
+        return mix((sums[self.end] - sums[self.start]) * self._back[self.start])
+
+    def prefix_hash(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of more than size bytes, and the hash of their first size bytes."""
+        at = np.flatnonzero(self.end - self.start > size)
+        start = self.start[at]
+        return at, mix((self._sums[start + size] - self._sums[start]) * self._back[start], size) if len(at) else np.zeros(0, U)
 
     def doc(self) -> np.ndarray:
         """The document's index, for each word."""
