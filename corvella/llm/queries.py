@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, shards, simhash, substring, toxicity, urls
+from . import bpe, chat, fingerprints, langid, shards, simhash, substring, toxicity, urls
 from .cluster import table
 
 URL_RULES = [("allow", "org", ""), ("block", "example.org", "es/"), ("block", "example.org", "en/1"), ("allow", "com", "fr/"), ("block", "com", "de/")]
 
 
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.cut_repeats(table(spark, sf_dir, "documents"), substring.digests, "n_words long, n_removed long, kept_sha256 string")
 
@@ -60,12 +64,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_simhash, op5_url_filter, op6_language_id, op7_bpe, op8_toxicity, op10_shards)}
+QUERIES = {f.__name__: f for f in (op2_spot_signatures, op3_substring_dedup, op4_simhash, op5_url_filter, op6_language_id, op7_bpe, op8_toxicity, op9_chat_format, op10_shards)}
 
 ORACLE_SQL = {
     "op3_substring_dedup": r"""
@@ -85,5 +96,16 @@ r(h, f, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), (
 m AS (SELECT page_id, host, path, h || f AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(f) DESC, length(h) DESC) AS k
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f))
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
+""",
+    "op9_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:'))
+    + length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
 """,
 }
