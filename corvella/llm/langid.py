@@ -31,6 +31,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 DIMENSIONS = 4096
 ROWS_A_LANGUAGE = 500
 UNKNOWN = "und"
+LEAST_SCORE = 0.25  # two even choices, of family and of language
 _GAP = separators(bytes(b for b in range(128) if not chr(b).isalpha()))
 _LETTER = regex.compile(r"\p{L}")
 
@@ -182,7 +183,20 @@ def predict(docs: DataFrame, model: Model, carry: list[str] = ["doc_id"]) -> Dat
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language the model can tell, columns unchanged. Rejected: null texts and texts without a letter."""
-    judged = predict(docs, model, docs.columns)
-    return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns) if not {"lang_pred", "score"} & set(docs.columns) else judged.toDF(*docs.columns, "_p", "_s").where(F.col("_p") != UNKNOWN).select(*docs.columns)
+def keep_known(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language the model can tell, columns unchanged.
+
+    Rejected: null texts, texts without a letter, and texts whose score is
+    below least_score.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch, "text"):
+                for at in range(0, chunk.num_rows, 256):
+                    part = chunk.slice(at, 256)
+                    _, scores = model.predict(histograms(part.column("text")))
+                    has = [bool(t) and _LETTER.search(t) is not None for t in part.column("text").to_pylist()]
+                    yield part.filter(pa.array(np.array(has, bool) & (scores >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

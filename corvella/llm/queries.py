@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, shards, simhash, substring, toxicity, urls
+from . import bpe, chat, decontaminate, fingerprints, langid, shards, simhash, substring, toxicity, urls
 from .cluster import table
 
 URL_RULES = [("allow", "org", ""), ("block", "example.org", "es/"), ("block", "example.org", "en/1"), ("allow", "com", "fr/"), ("block", "com", "de/")]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
-QUERIES = {f.__name__: f for f in (op2_spot_signatures, op3_substring_dedup, op4_simhash, op5_url_filter, op6_language_id, op7_bpe, op8_toxicity, op9_chat_format, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_spot_signatures, op3_substring_dedup, op4_simhash, op5_url_filter, op6_language_id, op7_bpe, op8_toxicity, op9_chat_format, op10_shards)}
 
 ORACLE_SQL = {
     "op3_substring_dedup": r"""
