@@ -10,12 +10,12 @@ PRICE_IN, PRICE_OUT, PRICE_READ, PRICE_WRITE = 5.0, 25.0, 0.5, 6.25
 Z95 = 1.96
 
 
-def usage_cost(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column) -> Column:
+def usage_cost(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column, digits: int = 5) -> Column:
     parts = ((tokens_in, PRICE_IN), (tokens_out, PRICE_OUT), (cache_read, PRICE_READ), (cache_write, PRICE_WRITE))
     total = F.lit(0.0)
     for tokens, price in parts:
         total = total + F.coalesce(tokens, F.lit(0)) * F.lit(price)
-    return F.round(total / F.lit(1e6), 5)
+    return F.round(total / F.lit(1e6), digits)
 
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -30,9 +30,9 @@ def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     )
 
 
-def daily_pay(salary: Column, least: float, most: float) -> Column:
+def daily_pay(salary: Column, least: float, most: float, digits: int = 2) -> Column:
     """Three months' salary over 90 days within bounds; null for none."""
-    return F.when(salary > 0, F.round(F.least(F.greatest(salary * F.lit(3.0) / F.lit(90.0), F.lit(least)), F.lit(most)), 2))
+    return F.when(salary > 0, F.round(F.least(F.greatest(salary * F.lit(3.0) / F.lit(90.0), F.lit(least)), F.lit(most)), digits))
 
 
 def estimate(rate: Column, months: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def registered() -> dict[str, tuple]:
     """name -> (query, SQL or None)."""
-    from . import retrieval
+    from . import checks, retrieval, usage
 
-    modules = (retrieval,)
+    modules = (retrieval, usage, checks)
     return {name: (query, m.ORACLE_SQL.get(name)) for m in modules for name, query in m.QUERIES.items()}
