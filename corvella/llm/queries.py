@@ -43,8 +43,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.id_remainder(F.col("doc_id"), 5) == 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    sample, prior = toxicity.sample_labels(docs, labels)
+    return toxicity.score(docs, toxicity.fit(sample, prior=prior)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import text_chunks
+from .cluster import shared, text_chunks
 from .words import NOT_ALNUM, U, Words, mix
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -125,10 +125,27 @@ def train(x: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], pr
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, rows_a_label: int = ROWS_A_LABEL, most_features: int = MOST_FEATURES) -> Model:
+def sample_labels(docs: DataFrame, labels: DataFrame, rows_a_label: int = ROWS_A_LABEL) -> tuple[DataFrame, float]:
+    """The texts and labels of rows_a_label ids of each label at most, drawn by a hash of the id, and the share of label 1.
+
+    The drawn ids are at most twice rows_a_label rows, so they are broadcast
+    and no text is shuffled.
+    """
+    rows = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = None
+    for label in (0, 1):
+        some = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label)
+        drawn = some if drawn is None else drawn.union(some)
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    return shared(found), sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+
+def fit(labelled: DataFrame, rows_a_label: int = ROWS_A_LABEL, most_features: int = MOST_FEATURES, prior: float | None = None) -> Model:
     """A model from labelled (text, toxic: 0 or 1); other labels and null texts don't count.
 
     rows_a_label rows of each label at most are used, drawn by text hash.
+    prior: the share of label 1 where labelled is a sample with another share.
     """
     rows = labelled.where("toxic IN (0, 1) AND text IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -171,7 +188,7 @@ def fit(labelled: DataFrame, rows_a_label: int = ROWS_A_LABEL, most_features: in
     y = np.array([r.toxic for r in got], float)
     both = [(_dense(r.own, len(chosen)), _dense(r.other, len(chosen))) for r in got if r.other is not None]
     pairs = tuple(np.stack(v) for v in zip(*both)) if both else (np.zeros((0, len(chosen)), np.float32),) * 2
-    weights, bias = train(x, y, pairs, sizes[1] / (sizes[0] + sizes[1]))
+    weights, bias = train(x, y, pairs, sizes[1] / (sizes[0] + sizes[1]) if prior is None else prior)
     return Model(chosen, weights, bias)
 
 
