@@ -97,6 +97,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], pr
     label 1 among all labelled rows; classes are weighted to it, as the sample
     takes as many rows of either.
     """
+    x, single = x.astype(np.float32), np.float32
     n, k = x.shape
     share = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y == 0).sum()))
     a, b = pairs
@@ -111,7 +112,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], pr
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     for _ in range(steps):
-        g = x1.T @ (share * (sigmoid(x1 @ ahead) - y)) + penalty * ahead
+        g = x1.T @ (share * (sigmoid(x1 @ ahead.astype(single)) - y)).astype(single) + penalty * ahead
         if len(a):
             fa, fb = sigmoid(a @ ahead[:-1] + ahead[-1]), sigmoid(b @ ahead[:-1] + ahead[-1])
             d = 2 * (fa - fb) / len(a)
