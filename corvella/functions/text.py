@@ -28,8 +28,8 @@ class Rules:
 
 
 NO_RULES = Rules()
-# Hebrew one-letter prefixes, final forms and common suffixes.
-HEBREW = Rules("משהוכלב", ("םןץףך", "מנצפכ"), ("ה", "י", "ו", "ת"), ("ות", "ים", "יה"))
+# Hebrew one-letter prefixes, final forms and their base letters, suffixes.
+HEBREW = Rules("הובלמכש", ("םןץףך", "מנצפכ"), ("ה", "ת"), ("ים", "ות"))
 
 
 def words(text: Column, unicode: bool = False) -> Column:
@@ -66,10 +66,10 @@ def term_variants(word: Column, rules: Rules = NO_RULES) -> Column:
         run = F.length(F.regexp_extract(base, f"^[{rules.prefixes}]*", 0))
         cuts = F.least(run, F.length(base) - 3)
         forms = F.concat(forms, F.when(cuts > 0, F.transform(F.sequence(F.lit(1), cuts), lambda i: F.substring(base, i + 1, 1_000_000))).otherwise(F.array().cast("array<string>")))
+    whole = forms
     for suffixes, least, size in ((rules.suffixes1, 4, 1), (rules.suffixes2, 5, 2)):
         if suffixes:
-            cut = F.transform(F.filter(forms, _ends_with(suffixes, least, size)), _without(size))
-            forms = F.concat(forms, cut)
+            forms = F.concat(forms, F.transform(F.filter(whole, _ends_with(suffixes, least, size)), _without(size)))
     return F.when(F.length(base) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(forms))
 
 
@@ -124,12 +124,80 @@ def clause_key(section: Column, clause: Column) -> Column:
     return F.when(F.startswith(section, F.lit("chunk")), F.concat(F.lit("w"), F.element_at(F.split(clause, "–"), 1))).otherwise(F.concat_ws(":", section, clause))
 
 
-def verdict_class(answer: Column) -> Column:
-    """yes, no, cond or none: the sense of an answer's first clause."""
-    first = F.trim(F.lower(F.element_at(F.split(answer, ";"), 1)))
+# Suffixes that curation stems lose.
+CURATION_SUFFIXES = ("ים", "ות", "יים", "ה", "י", "ן", "ך", "ו")
+
+
+def curation_stems(text: Column, rules: Rules = HEBREW, letters: str = "א-ת", suffixes: tuple[str, ...] = CURATION_SUFFIXES) -> Column:
+    """Distinct forms of the words of three letters or more: as folded, without one prefix letter, and each without each suffix that leaves over two letters."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"[{letters}]{{3,}}"), F.lit(0)), lambda w: F.translate(w, *rules.finals))
+    bare_forms = F.transform(F.filter(found, lambda w: (F.length(w) > 3) & w.rlike(f"^[{rules.prefixes}]")), lambda w: F.substring(w, 2, 1_000_000))
+    forms = F.concat(found, bare_forms)
+    cut = [F.transform(F.filter(forms, _long_with(x)), _without(len(x))) for x in suffixes]
+    return F.array_sort(F.array_distinct(F.concat(forms, *cut)))
+
+
+def _long_with(suffix: str):
+    return lambda form: (F.length(form) > len(suffix) + 2) & F.endswith(form, F.lit(suffix))
+
+
+def json_debris(text: Column) -> Column:
+    """Whether a text ends or continues in left-over JSON punctuation."""
+    return text.rlike(r"""[\]}]\s*[\]},]|"\s*[\]}]|[\]}]\s*"$""")
+
+
+def new_topic(candidate: Column, source: Column, families: list[list[str]]) -> Column:
+    """Whether some family of terms turns up in the candidate and none of it in the source."""
+    out = F.lit(False)
+    for terms in families:
+        listed = F.array(*map(F.lit, terms))
+        out = out | (contains_any(candidate, listed) & ~contains_any(source, listed))
+    return out
+
+
+@dataclass(frozen=True)
+class Verdicts:
+    """How rulings are worded: patterns for negations, terms, terms against which a negated one turns, and conditions."""
+
+    missing: str
+    negations: str
+    terms: str
+    forbidding: str
+    permitting: str
+    partial: tuple[str, ...]
+    conditions: str
+
+
+# The wording of Hebrew rulings.
+HEBREW_VERDICTS = Verdicts(
+    missing="לא נמצא",
+    negations="לא|אינני|אינכם|אינכן|אינך|אינו|אינה|אינם|אינן|איני",
+    terms=r"מותר|אסור|מוסמך|רשאי|זכאי|פטור|חייב|ניתן|אפשר|מגיע(?:\s+ל[ךי])?",
+    forbidding="אסור",
+    permitting="מותר|רשאי|זכאי|מוסמך|פטור|מגיע",
+    partial=("בתנאים", "חלקית"),
+    conditions=r"אך ורק|ובלבד|בכפוף|בתנאי|למעט|בחריגים|באישור|אלא אם|(?:^|\s)רק\s",
+)
+
+
+def verdict_class(clause: Column, v: Verdicts) -> Column:
+    """yes, no, cond, none or accent (nothing recognised, or a negated prohibition) for one clause of a ruling.
+
+    A clause opens with a term, perhaps negated. What follows makes it
+    conditional if it says so, or names a term of the other sense.
+    """
+    clause = F.trim(clause)
+    pattern = rf"^((?:{v.negations})\s+)?({v.terms})(.*)$"
+    negated, term = F.regexp_extract(clause, pattern, 1) != "", F.regexp_extract(clause, pattern, 2)
+    tail = F.trim(F.regexp_extract(clause, pattern, 3))
+    refuses = negated | (term == v.forbidding)
+    partly = F.lit(False)
+    for word in v.partial:
+        partly = partly | F.startswith(tail, F.lit(word))
+    turned = F.when(refuses, tail.rlike(v.permitting)).otherwise(F.contains(tail, F.lit(v.forbidding)) | tail.rlike(v.conditions))
     return (
-        F.when(first.rlike(r"\b(unless|if|when|only|except)\b"), "cond")
-        .when(first.rlike(r"\b(no|not|never|cannot)\b"), "no")
-        .when(first.rlike(r"\b(yes|is|are|may|can)\b"), "yes")
-        .otherwise("none")
+        F.when(F.startswith(clause, F.lit(v.missing)), "none")
+        .when((term == "") | (negated & (term == v.forbidding)), "accent")
+        .when(partly | turned, "cond")
+        .otherwise(F.when(refuses, "no").otherwise("yes"))
     )

@@ -41,13 +41,18 @@ def population(days: DataFrame, cap: int) -> DataFrame:
     )
 
 
+# Fixed value: how a question begins that asks for a letter.
+LETTER_PREFIX = "[מכתב]"
+
+
 def popular(log: DataFrame, curated: DataFrame, k: int = 4) -> DataFrame:
     """role, question, n, place: the k most asked texts of each role, then curated ones (role, question, ord) up to k.
 
-    Texts are compared with white space normalised; personal ones are left out.
+    Texts are compared with white space normalised; personal ones and requests
+    for letters are left out.
     Equal counts: the one asked last comes first.
     """
-    rows = log.select("role", T.normal_space(F.col("question")).alias("question"), "ts").where(~T.private(F.col("question")) & (F.col("question") != ""))
+    rows = log.select("role", T.normal_space(F.col("question")).alias("question"), "ts").where(~T.private(F.col("question")) & (F.col("question") != "") & ~F.startswith("question", F.lit(LETTER_PREFIX)))
     counts = rows.groupBy("role", "question").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     asked = counts.withColumn("ord", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("n"), F.desc("last"), "question"))).where(F.col("ord") <= k)
     extra = curated.join(asked.select("role", "question"), ["role", "question"], "left_anti").select("role", "question", F.lit(0).cast("long").alias("n"), (F.col("ord") + 1_000_000).alias("ord"))

@@ -17,6 +17,7 @@ DOCUMENT = (
 )
 QUESTION_LOG = "tab string, ts string, session string, role string, question string, search_query string, doc_ids string, input_tokens long, cache_read long, cache_write long, output_tokens long, cost_usd double, latency_s double, answer_preview string, device string, refused boolean"
 FEEDBACK_LOG = "tab string, ts string, session string, role string, verdict string, question string, comment string, answer_preview string, doc_ids string, device string, refused boolean"
+# The roles that documents may be meant for.
 ROLES = ("soldier", "commander", "reserve")
 
 

@@ -209,6 +209,18 @@ def test_text_gates(spark):
     assert values(spark, dims.tier_of(F.col("v"), [(0.0, "a"), (10.0, "b")]), [(-1.0,), (0.0,), (10.0,)], "v double") == [None, "a", "b"]
 
 
+def test_verdict_classes(spark):
+    cases = {"מותר": "yes", "אינך זכאי להחזר": "no", "אסור": "no", "לא אסור": "accent", "מותר בתנאים": "cond", "מותר אך ורק באישור": "cond", "אסור, אך מותר בבית": "cond", "לא נמצא במאגר": "none", "בנוגע למסדר": "accent", "מותר עד 7 ימים": "yes"}
+    assert values(spark, T.verdict_class(F.col("t"), T.HEBREW_VERDICTS), [(c,) for c in cases], "t string") == list(cases.values())
+
+
+def test_curation_gates(spark):
+    assert set(values(spark, T.curation_stems(F.col("t")), [("המועברת אב",)], "t string")[0]) == {"המועברת", "מועברת"}
+    assert "מועבר" in values(spark, T.curation_stems(F.col("t")), [("מועברה",)], "t string")[0]
+    assert values(spark, T.json_debris(F.col("t")), [('clause text }]}}, 8]}], "',), ("a plain [note] here",), ('ends "}',)], "t string") == [True, False, True]
+    assert values(spark, T.new_topic(F.col("a"), F.col("b"), [["risk", "danger"], ["leave"]]), [("a risk", "no"), ("a risk", "danger"), ("leave", "leave")], "a string, b string") == [True, False, False]
+
+
 def test_diffs(spark):
     before = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, h string")
     after = spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "id long, h string")
