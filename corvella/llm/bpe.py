@@ -16,21 +16,25 @@ size is fixed.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .cluster import text_chunks
 
 MOST_CACHED_WORDS = 250_000  # in each of two generations, in each worker
-LAST = 0x10000  # added to the code of a word's last byte symbol
+LONG_WORD = 48  # bytes from which on a word is merged alone
 NO_MERGE = 1 << 40
 _NO_SPACE = regex.compile(r"\S+")
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -43,55 +47,105 @@ def byte_symbols() -> dict[int, str]:
     return table
 
 
+class HashTable:
+    """Values of 64-bit keys (not negative), looked up many at a time; -1 for unknown keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.full(size + 64, -1, np.int64), np.full(size + 64, -1, np.int64)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[slot[todo]] < 0
+            self.keys[slot[todo[free]]] = keys[todo[free]]  # of several the last one stays
+            done = self.keys[slot[todo]] == keys[todo]
+            self.values[slot[todo[done]]] = values[todo[done]]
+            todo = todo[~done]
+            slot[todo] += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        found = held == keys
+        out = np.where(found, self.values[slot], -1)
+        todo = np.flatnonzero(~found & (held >= 0))
+        slot = slot[todo]
+        while len(todo):
+            slot += 1
+            held = self.keys[slot]
+            found = held == keys[todo]
+            out[todo[found]] = self.values[slot[found]]
+            go = ~found & (held >= 0)
+            todo, slot = todo[go], slot[go]
+        return out
+
+
 class Bpe:
-    """Tables of one vocabulary."""
+    """Tables of one vocabulary. Words are arrays of byte symbols 0 .. 255, a word's last byte plus 256."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
+        suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.token_texts = pa.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 1)], pa.string())
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.whole_letters = r"|[\p{L}]+|" in split["pattern"]["Regex"]  # then letters alone are one piece
-        self.symbols = {b: ord(c) for b, c in byte_symbols().items()}
-        n = max(vocab.values()) + 1
-        self.n = n
+        self.n = n = max(vocab.values()) + 1
         self.rank, self.left, self.right = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        keys = np.empty(len(model["merges"]), np.int64)
+        keys, self.merged = np.empty(len(model["merges"]), np.int64), np.empty(len(model["merges"]), np.int64)
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             i, j, k = vocab[a], vocab[b], vocab[a + b]
-            keys[r] = i * n + j
+            keys[r], self.merged[r] = i * n + j, k
             if self.rank[k] < 0:
                 self.rank[k], self.left[k], self.right[k] = r, i, j
-        order = np.argsort(keys)
-        self.keys, self.key_rank = keys[order], order
-        self.merge_rank = dict(zip(keys.tolist(), range(len(keys))))
-        self.merged = [vocab["".join(p if isinstance(p, list) else p.split(" "))] for p in model["merges"]]
-        sound = self._sound()
-        self.base = {self._marked(t): i for t, i in vocab.items() if self.rank[i] < 0}
-        self.greedy = {self._marked(t): i for t, i in vocab.items() if sound[i]}
-        self.longest: dict[str, int] = {}
-        for t in self.greedy:
-            for size in (1, 2, 3):
-                self.longest[t[:size]] = max(self.longest.get(t[:size], 1), len(t))
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def _marked(self, token: str) -> str:
-        n = len(self.suffix)
-        if n and token.endswith(self.suffix) and len(token) > n:
-            return token[: -n - 1] + chr(ord(token[-n - 1]) + LAST)
-        return token
+        self.merges = HashTable(keys, np.arange(len(keys)))
+        self.base = np.array([vocab[c + end] for end in ("", suffix) for c in (byte_symbols()[b] for b in range(256))], np.int64)
+        self._grow_trie()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _grow_trie(self) -> None:
+        """A trie of the tokens that BPE gives for their own symbols."""
+        made = np.flatnonzero(self.rank >= 0)
+        sound = np.ones(self.n, bool)
+        sound[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
+        spelled = {t: (b,) for b, t in enumerate(self.base.tolist())}
+        edges: dict[int, int] = {}
+        ends = [-1]
+
+        def add(token: int) -> None:
+            node = 0
+            for symbol in spelled[token]:
+                key = node * 512 + symbol
+                if key not in edges:
+                    edges[key] = len(ends)
+                    ends.append(-1)
+                node = edges[key]
+            ends[node] = token
+
+        for token in self.base.tolist():
+            add(token)
+        for i in made[np.argsort(self.rank[made])].tolist():
+            a, b = int(self.left[i]), int(self.right[i])
+            spelled[i] = spelled[a] + spelled[b]
+            sound[i] &= sound[a] & sound[b]
+            if sound[i]:
+                add(i)
+        self.trie = HashTable(np.array(list(edges), np.int64), np.array(list(edges.values()), np.int64))
+        self.ends = np.array(ends, np.int64)
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.n + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_rank[at], NO_MERGE)
+        found = self.merges.get(a * self.n + b)
+        return np.where(found < 0, NO_MERGE, found)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether BPE of the joined pair gives the pair back. limit: merges from that rank on don't count."""
@@ -109,123 +163,179 @@ class Bpe:
             a, b = np.where(late, self.right[a], a), np.where(late, b, self.left[b])
         return good
 
-    def _sound(self) -> np.ndarray:
-        """Which tokens BPE gives for their own text."""
-        made = np.flatnonzero(self.rank >= 0)
-        good = np.ones(self.n, bool)
-        good[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
-        for i in made[np.argsort(self.rank[made])].tolist():
-            good[i] &= good[self.left[i]] & good[self.right[i]]
-        return good
-
-    def propose(self, word: str) -> list[int]:
-        out, at, n = [], 0, len(word)
-        token_of, longest = self.greedy.get, self.longest
-        while at < n:
-            size = longest.get(word[at : at + 3]) or longest.get(word[at : at + 2]) or 1
-            while (token := token_of(word[at : at + size])) is None:
-                size -= 1
-            out.append(token)
-            at += min(size, n - at)
-        return out
-
-    def merge(self, word: str) -> list[int]:
-        """Exact merging: the leftmost pair of lowest rank, until none is left."""
-        ids = [self.base[c] for c in word]
-        rank, n = self.merge_rank.get, self.n
-        ranks = [rank(a * n + b, NO_MERGE) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) != NO_MERGE:
-            at = ranks.index(best)
-            ids[at : at + 2] = [self.merged[best]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank(ids[at - 1] * n + ids[at], NO_MERGE)
-            if at < len(ranks):
-                ranks[at] = rank(ids[at] * n + ids[at + 1], NO_MERGE)
-        return ids
-
-    def word_ids(self, words: list[str]) -> list[list[int]]:
-        """Token ids of marked words."""
-        proposed = [self.propose(w) for w in words]
-        counts = np.array([len(p) for p in proposed], np.int64)
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(words)), counts)
-        inside = np.flatnonzero(owner[1:] == owner[:-1])
-        failing = ~self.compatible(flat[inside], flat[inside + 1])
-        for i in np.unique(owner[inside[failing]]).tolist():
-            proposed[i] = self.merge(words[i]) if len(words[i]) < 1000 else self.merge_long(words[i])
-        return proposed
-
-    def merge_long(self, word: str) -> list[int]:
-        """Exact merging of a very long word with a heap instead of scans."""
-        import heapq
-
-        ids = [self.base[c] for c in word]
+    def propose(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, token) in order: greedy longest matches of the words symbols[at[i] : at[i + 1]]."""
+        n = len(symbols)
+        end = np.repeat(at[1:], np.diff(at))
+        token, size = np.full(n, -1), np.ones(n, np.int64)
+        live, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+        while len(live):
+            node = self.trie.get(node * 512 + symbols[live + depth])
+            depth += 1
+            go = node >= 0
+            live, node = live[go], node[go]
+            full = self.ends[node] >= 0
+            token[live[full]], size[live[full]] = self.ends[node[full]], depth
+            go = live + depth < end[live]
+            live, node = live[go], node[go]
+        words, tokens = [], []
+        word, place = np.flatnonzero(np.diff(at) > 0), at[:-1][np.diff(at) > 0]
+        while len(word):
+            words.append(word)
+            tokens.append(token[place])
+            place = place + size[place]
+            go = place < at[word + 1]
+            word, place = word[go], place[go]
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word = np.concatenate(words)
+        order = np.argsort(word, kind="stable")
+        return word[order], np.concatenate(tokens)[order]
+
+    def merge(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: in each the leftmost pair of lowest rank, until none is left.
+
+        ids: a word's base tokens a row, padded. Gives (row, token) in order.
+        """
+        rows, width = ids.shape
+        ids = np.hstack([ids, np.zeros((rows, 1), np.int64)])
+        column = np.arange(width + 1)
+        ids[column >= lengths[:, None]] = -1
+        after = np.tile(np.minimum(column + 1, width), (rows, 1))
+        before = np.tile(column - 1, (rows, 1))
+        rank = np.full((rows, width), NO_MERGE)
+        r, c = np.nonzero(column[None, :-1] + 1 < lengths[:, None])
+        rank[r, c] = self.pair_rank(ids[r, c], ids[r, c + 1])
+        live = np.arange(rows)
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            best = rank[live, at]
+            go = best < NO_MERGE
+            live, at, best = live[go], at[go], best[go]
+            gone = after[live, at]
+            follows = after[live, gone]
+            ids[live, at], ids[live, gone], rank[live, gone % width] = self.merged[best], -1, NO_MERGE
+            after[live, at], before[live, follows] = follows, at
+            right = ids[live, follows]
+            new = np.full(len(live), NO_MERGE)
+            some = (follows < width) & (right >= 0)
+            new[some] = self.pair_rank(ids[live[some], at[some]], right[some])
+            rank[live, at] = new
+            left = before[live, at]
+            some = left >= 0
+            rank[live[some], left[some]] = self.pair_rank(ids[live[some], left[some]], ids[live[some], at[some]])
+        row, c = np.nonzero(ids >= 0)
+        return row, ids[row, c]
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Token ids of non-empty words, 4 bytes each."""
+        data = [w.encode() for w in words]
+        at = np.cumsum([0, *map(len, data)])
+        symbols = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        symbols[at[1:] - 1] += 256
+        word, token = self.propose(symbols, at)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        failing = np.zeros(len(words), bool)
+        failing[word[inside[~self.compatible(token[inside], token[inside + 1])]]] = True
+        parts = [(word[~failing[word]], token[~failing[word]])]
+        bad = np.flatnonzero(failing)
+        lengths = np.diff(at)[bad]
+        order = np.argsort(lengths, kind="stable")
+        bad, lengths = bad[order], lengths[order]
+        short = int(np.searchsorted(lengths, LONG_WORD, "right"))
+        for i in range(0, short, 4096):
+            some, n = bad[i : min(i + 4096, short)], lengths[i : min(i + 4096, short)]
+            place = np.minimum(at[some][:, None] + np.arange(n.max()), len(symbols) - 1)
+            row, ids = self.merge(self.base[symbols[place]], n)
+            parts.append((some[row], ids))
+        for w in bad[short:].tolist():
+            ids = self.merge_long(self.base[symbols[at[w] : at[w + 1]]].tolist())
+            parts.append((np.full(len(ids), w), np.array(ids, np.int64)))
+        word, token = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        flat = token[order].astype(np.int32).tobytes()
+        cuts = (4 * np.searchsorted(word[order], np.arange(len(words) + 1))).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """Exact merging of a very long word with a heap."""
         size = len(ids)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        rank, n = self.merge_rank, self.n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(size - 1) if (r := rank.get(ids[i] * n + ids[i + 1])) is not None]
+        first = self.pair_rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r < NO_MERGE]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= size or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = self.merged[r], -1, after[j]
+            ids[i], ids[j], after[i] = int(self.merged[r]), -1, after[j]
             if after[i] < size:
                 before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < size and (q := rank.get(ids[x] * n + ids[y])) is not None:
+            near = [(x, y) for x, y in ((before[i], i), (i, after[i])) if x >= 0 and y < size]
+            for (x, y), q in zip(near, self.pair_rank(np.array([ids[x] for x, _ in near]), np.array([ids[y] for _, y in near])).tolist() if near else []):
+                if q < NO_MERGE:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
     def chunks(self, text: str) -> list[str]:
         """Stretches without white space, in order; special tokens stand for themselves."""
-        parts = self.special_pattern.split(text) if self.special_pattern else [text]
+        parts = self.special_pattern.split(text) if self.special_pattern and "<|" in text else [text]
         if len(parts) == 1:
-            return _NO_SPACE.findall(self._normal(text))
+            return self._stretches(text)
         out: list[str] = []
         for p in parts:
             if p in self.special:
                 out.append(p)
             elif p:
-                out += _NO_SPACE.findall(self._normal(p))
+                out += self._stretches(p)
         return out
 
     @staticmethod
-    def _normal(text: str) -> str:
+    def _stretches(text: str) -> list[str]:
         # Lower case goes by single characters, without the rule for a final sigma.
-        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        # str.split would also cut at four control characters that are no white space.
+        return _NO_SPACE.findall(text) if _CONTROL.search(text) else text.split()
 
     def _learn(self, chunks: list[str]) -> None:
         """Adds the ids of new chunks. A chunk is one or more pieces of the split pattern."""
-        pieces = [[c] if self.whole_letters and c.isalpha() else self.pattern.findall(c) for c in chunks]
+        pieces = [(c,) if self.whole_letters and c.isalpha() else self.pattern.findall(c) for c in chunks]
         words = list({p for found in pieces for p in found})
-        marked = [w.encode().decode("latin-1").translate(self.symbols) for w in words]
-        if self.suffix:
-            marked = [m[:-1] + chr(ord(m[-1]) + LAST) for m in marked]
-        ids = dict(zip(words, self.word_ids(marked)))
-        self.young.update((c, tuple(i for p in found for i in ids[p])) for c, found in zip(chunks, pieces))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not words:
+            self.young.update((c, b"") for c in chunks)
+            return
+        ids = dict(zip(words, self.word_ids(words)))
+        self.young.update((c, ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found])) for c, found in zip(chunks, pieces))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in a row, and where each text's begin."""
         found = [self.chunks(t) for t in texts]
         if len(self.young) > MOST_CACHED_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        young.update({t: (i,) for t, i in self.special.items()})
+        young.update({t: np.int32(i).tobytes() for t, i in self.special.items()})
         new = []
-        for c in {c for chunks in found for c in chunks}:
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
+        for c in set().union(*found).difference(young):
+            if (ids := old.get(c)) is None:
+                new.append(c)
+            else:
+                young[c] = ids
         self._learn(new)
-        return [[i for c in chunks for i in young[c]] for chunks in found]
+        coded = [b"".join([young[c] for c in chunks]) for chunks in found]
+        return np.frombuffer(b"".join(coded), np.int32), np.cumsum([0, *map(len, coded)]) // 4
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, at = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """As the library does without a decoder: tokens joined by spaces. Null lists give empty texts."""
+        texts = pa.ListArray.from_arrays(ids.offsets, self.token_texts.take(ids.values))
+        return pc.fill_null(pc.binary_join(texts, " "), "")
 
     def decode(self, ids: list[int]) -> str:
-        """As the library does without a decoder: tokens joined by spaces."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 _loaded: dict[str, Bpe] = {}
@@ -255,10 +365,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(sent.value)
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
-                ids = bpe.encode([t or "" for t in chunk.column("text").to_pylist()])
-                at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter((i for row in ids for i in row), np.int32, int(at[-1]))
-                yield pa.record_batch({"doc_id": chunk.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
+                flat, at = bpe.encode_flat([t or "" for t in chunk.column("text").to_pylist()])
+                yield pa.record_batch({"doc_id": chunk.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))})
 
     return docs.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -272,7 +380,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                texts = [bpe.decode(ids or []) for ids in rows.column("ids").to_pylist()]
-                yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "decoded": pa.array(texts, pa.string())})
+                whole = pa.concat_arrays([rows.column("ids")])  # offsets from 0
+                yield pa.record_batch({"doc_id": rows.column("doc_id"), "ids": whole, "decoded": bpe.decode_lists(whole)})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
