@@ -30,15 +30,18 @@ def population(days: DataFrame, cap: int) -> DataFrame:
     per_day = days.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     devices = days.groupBy("device").agg(F.count(F.lit(1)).alias("n_days"))
     counts = days.groupBy("n_questions").agg(F.count(F.lit(1)).alias("times"))  # few distinct values
-    run = Window.orderBy("n_questions")
-    ranked = counts.withColumn("upto", F.sum("times").over(run)).crossJoin(counts.agg(F.sum("times").alias("total")))  # one row
+    ranked = counts.withColumns({"upto": F.sum("times").over(Window.orderBy("n_questions")), "total": F.sum("times").over(Window.partitionBy(F.lit(1)))})
     median = ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("n_questions").alias("upper_median"))
-    return (
-        devices.agg(F.count(F.lit(1)).alias("n_devices"), F.count_if(F.col("n_days") > 1).alias("returning"))
-        .crossJoin(per_day.agg(F.max("n").alias("peak_devices")))
-        .crossJoin(days.agg(F.count_if(F.col("n_questions") >= cap).alias("days_at_cap"), F.count_if(F.col("n_questions") > cap).alias("days_over_cap")))
-        .crossJoin(median)
-    )
+    parts = [
+        devices.agg(F.count(F.lit(1)).alias("n_devices"), F.count_if(F.col("n_days") > 1).alias("returning")),
+        per_day.agg(F.max("n").alias("peak_devices")),
+        days.agg(F.count_if(F.col("n_questions") >= cap).alias("days_at_cap"), F.count_if(F.col("n_questions") > cap).alias("days_over_cap")),
+        median,
+    ]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for p in parts[1:]:  # a row each
+        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
 
 
 # Fixed value: how a question begins that asks for a letter.
