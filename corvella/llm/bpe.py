@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from .cluster import text_chunks
 
-MOST_CACHED_WORDS = 250_000  # in each of two generations, in each worker
+MOST_CACHED_WORDS = 150_000  # in each of two generations, in each worker
 LONG_WORD = 48  # bytes from which on a word is merged alone
 NO_MERGE = 1 << 40
 _NO_SPACE = regex.compile(r"\S+")
@@ -371,6 +371,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and decoded of every row: encode, then decode of its ids, in one pass over the texts."""
+    sent = _vocabulary(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(sent.value)
+        for batch in batches:
+            for chunk in text_chunks(batch, "text"):
+                flat, at = bpe.encode_flat([t or "" for t in chunk.column("text").to_pylist()])
+                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+                yield pa.record_batch({"doc_id": chunk.column("doc_id"), "ids": ids, "decoded": bpe.decode_lists(ids)})
+
+    return docs.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded of every row of ids; null ids give an empty text."""
     sent = _vocabulary(encoded, path)

@@ -23,7 +23,16 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that go to Python at a time; texts are long, so fewer than Spark's default.
+ROWS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,7 +49,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
+def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20):
     """Slices of a batch with about max_bytes of text each; a longer text comes alone."""
     sizes = batch.column(column)
     lengths = [x or 0 for x in pc.binary_length(sizes).to_pylist()]

@@ -33,7 +33,7 @@ from .words import U, Words, mix, rolling
 WINDOW, ANCHOR = 35, 16
 SEGMENT_BITS = 20
 MOST_SKETCH_BITS = 29  # cells of a sketch row: 2 rows of 64 MB
-FLUSH_WINDOWS = 2_000_000
+FLUSH_WINDOWS = 500_000  # that a task holds at once
 SPAN = 1 << 20
 
 
