@@ -85,6 +85,7 @@ def test_bpe_matches_library(library, spark, sf_dir, docs_of, messy):
         ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
         want[r.doc_id, tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == want
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode_and_decode(docs, path).collect()) == want
     assert bpe.encode(docs.limit(0), path).count() == 0
 
 
@@ -227,6 +228,15 @@ def test_toxicity_held_out(spark, sf_dir):
     assert r[0] / r[1] >= 0.95 and r[0] / r[2] >= 0.8
 
 
+def test_label_sample_is_bounded(spark, docs_of):
+    docs = docs_of([(i, f"text {i}") for i in range(200)] + [(None, "no id"), (3, "second text of an id")])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(150)] + [(None, 1, 1), (0, 1, 1), (7, None, None), (900, 1, 1)], "doc_id long, quality int, toxic int")
+    sample, share = toxicity.sample_labels(docs, labels, rows_a_label=20)
+    counts = Counter(r.toxic for r in sample.collect())
+    assert counts[0] in (20, 21) and 19 <= counts[1] <= 20
+    assert 0.25 < share < 0.27
+
+
 def test_counterfactual_penalty_shrinks_identity_weight():
     rng = np.random.default_rng(0)
     n = 600
