@@ -117,7 +117,7 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
                     yield pa.record_batch({"block": pa.array(where), "late": pa.array(np.full(len(where), late)), "rank": part.column("rank"), "tie": part.column("tie"), "doc_id": part.column("doc_id"), "text": part.column("text")})
 
     dealt = rows.select("rank", "tie", "doc_id", "text").mapInArrow(deal, "block int, late boolean, rank long, tie long, doc_id long, text string")
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block", "late", "rank", "tie").select("block", "late", "doc_id", "text")
+    return dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "late", "rank", "tie").select("block", "late", "doc_id", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
