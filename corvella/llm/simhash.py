@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import partitions, runs_of, shared
+from .cluster import partitions, row_key, runs_of, shared
 from .components import components
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
@@ -50,14 +50,15 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and key (the row's content key) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(t.as_py(), size) for t in b.column("text")), U, b.num_rows)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64)), "key": b.column("key")})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", row_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, fp long, key long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     are never the smallest; repeated rows come back repeated; an empty table
     gives no rows; other columns of docs are ignored.
     """
-    prints = shared(fingerprints(docs, size))
+    prints = shared(fingerprints(docs, size).select("doc_id", "fp"))
     owners = shared(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
     links = bucket_links(owners.select("fp"), distance)
     member = components(links).withColumnRenamed("node", "fp")
@@ -226,6 +227,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs without those near-duplicates of a document with a smaller id; columns unchanged."""
-    gone = near_duplicates(docs, distance).where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates; columns unchanged.
+
+    It is the one with the smallest id, where null ids come last and rows of
+    one id are ordered by their content key. Of rows alike in id and text one
+    is left.
+    """
+    prints = fingerprints(docs).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    prints = shared(prints)
+    member = components(bucket_links(prints.select("fp"), distance)).withColumnRenamed("node", "fp")
+    owned = prints.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kept = owned.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_kept"))
+    # Repeated rows become one in each task first, so that any number of them meets as a row a task.
+    rows = docs.withColumn("_key", row_key(F.col("doc_id").cast("long"), F.col("text"))).dropDuplicates(["_key"])
+    return rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").drop("_key")

@@ -37,3 +37,15 @@ def test_empty_documents(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_repeated_rows_and_null_ids_keep_one_copy(spark, docs_of):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(7, text["a"])] * 3 + [(5, text["b"]), (None, text["b"])] + [(None, text["c"])] * 2 + [(4, text["d"]), (4, "other words under the same id"), (2, text["d"])]
+    docs = docs_of(rows).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").cache()
+    want = {(7, text["a"]), (5, text["b"]), (None, text["c"]), (4, "other words under the same id"), (2, text["d"])}
+    assert kept.columns == docs.columns
+    assert kept.count() == len(want) and {(r.doc_id, r.text) for r in kept.collect()} == want
+    cut = corpus_pipeline.substring_dedup(spark, kept, "")
+    assert cut.count() == len(want) and {(r.doc_id, r.text) for r in cut.collect()} == want
