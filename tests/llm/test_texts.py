@@ -197,6 +197,24 @@ def test_leaks_against_brute_force(spark, docs_of, messy):
     assert decontaminate.find_leaks(docs_of(rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 15, 30, 59, 100, 200])
+@pytest.mark.parametrize("kinds", ["s", "i", "d", "sid"])
+def test_recall_does_not_fall_with_length(n, kinds):
+    rng = random.Random(n)
+
+    def leaked(item):
+        at, out = set(rng.sample(range(n), n // 5)), []
+        for i, w in enumerate(item):
+            kind = rng.choice(kinds) if i in at else ""
+            out += {"": [w], "s": [f"z{rng.random():.9f}"[3:]], "i": [f"z{rng.random():.9f}"[3:], w], "d": []}[kind]
+        return out
+
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(200)]
+    texts = [" ".join([*(f"x{rng.randrange(10**6)}" for _ in range(30)), *leaked(i), *(f"x{rng.randrange(10**6)}" for _ in range(30))]) for i in items]
+    found = decontaminate.Items(list(range(200)), [" ".join(i) for i in items]).leaks(pa.array(texts))
+    assert len({x.row for x in found if x.row == x.item}) >= 0.98 * 200
+
+
 # classifiers
 
 
