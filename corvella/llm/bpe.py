@@ -279,14 +279,14 @@ class Bpe:
         return [t for t in ids if t >= 0]
 
     def chunks(self, text: str) -> list[str]:
-        """Stretches without white space, in order; special tokens stand for themselves."""
+        """Stretches without white space, in order; special tokens after a blank, so that no stretch (lower case) equals one."""
         parts = self.special_pattern.split(text) if self.special_pattern and "<|" in text else [text]
         if len(parts) == 1:
             return self._stretches(text)
         out: list[str] = []
         for p in parts:
             if p in self.special:
-                out.append(p)
+                out.append(" " + p)
             elif p:
                 out += self._stretches(p)
         return out
@@ -314,7 +314,7 @@ class Bpe:
         if len(self.young) > MOST_CACHED_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        young.update({t: np.int32(i).tobytes() for t, i in self.special.items()})
+        young.update({" " + t: np.int32(i).tobytes() for t, i in self.special.items()})
         new = []
         for c in set().union(*found).difference(young):
             if (ids := old.get(c)) is None:

@@ -111,6 +111,13 @@ def test_bpe_long_words(library):
     assert mine.encode(words) == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_bpe_case_variants_of_special_tokens(library):
+    path, tokenizer = library
+    mine = bpe.load(open(path).read())
+    texts = ["a <|EndOfText|> b", "<|ENDOFTEXT|>", "<|endoftext|> <|Endoftext|>", "<|StartOfText|>x <|startoftext|>"]
+    assert mine.encode(texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # chat
 
 
