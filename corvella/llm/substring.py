@@ -13,7 +13,8 @@ its anchor, so an anchor's count is never below its windows' counts.
    shuffled by anchor as runs of window hashes and grouped exactly there (128
    bits: the anchor's hash and the window's). Windows that repeat within a task
    are sent once, so a passage in a third of all documents gives each task's
-   group one row.
+   group one row. A sample taken with the sketch names the anchors whose windows
+   would fill much of a segment; their windows are dealt one by one.
 3. The repeated spans go back to their documents, which are cut.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import byte_length, partitions, row_key, runs_of, text_chunks
@@ -35,6 +36,7 @@ SEGMENT_BITS = 20
 MOST_SKETCH_BITS = 29  # cells of a sketch row: 2 rows of 64 MB
 FLUSH_WINDOWS = 500_000  # that a task holds at once
 SPAN = 1 << 20
+SAMPLED = 32  # expected samples of an anchor that is just hot
 
 
 class Anchored:
@@ -78,17 +80,31 @@ def _sketch_rows(anchors: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
             yield (row << (bits - low)) + int(s), part.tobytes()
 
 
-def sketch(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS) -> tuple[np.ndarray, int, int]:
-    """The merged sketch as packed bits (cell has two or more), its cell bits, and the text's bytes."""
+def sketch(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """The merged sketch as packed bits (cell has two or more), its cell bits, the text's bytes, and the sorted hot anchors.
+
+    An anchor is hot if its windows are about a quarter of a segment or more. A
+    segment has its samples counted apart (numbers below 0); hot anchors are at
+    most as many as such quarters fit into the corpus.
+    """
     total = docs.agg(F.sum(byte_length(F.col("text")))).first()[0] or 0
     bits = min(most_bits, max(10, int(total // 33).bit_length()))  # about two cells an anchor
     low = min(bits, SEGMENT_BITS)
+    segments = segments_of(docs.sparkSession, total)
+    rate = min(1.0, SAMPLED / max(1, total // 6 // segments // (4 * (size - anchor + 1))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(_sketch_rows(np.concatenate(held), bits))
+            anchors = np.concatenate(held)
+            rows = list(_sketch_rows(anchors, bits))
+            some = anchors[rng.random(len(anchors)) < rate]
+            where = (mix(some, 23) % U(segments)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            names, starts = np.unique(where[order], return_index=True)
+            rows += [(-1 - k, part.tobytes()) for k, part in zip(names.tolist(), np.split(some[order], starts[1:]))]
             yield pa.record_batch({"segment": pa.array([r[0] for r in rows], pa.int32()), "cells": pa.array([r[1] for r in rows], pa.binary())})
 
+        rng = np.random.default_rng(5)
         held, n = [], 0
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
@@ -103,8 +119,12 @@ def sketch(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen, twice = None, np.zeros(1 << low, bool), np.zeros(1 << low, bool)
+        samples: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
+            if at < 0:
+                anchors, counts = np.unique(np.concatenate(samples), return_counts=True)
+                return pa.record_batch({"segment": pa.array([at], pa.int32()), "bits": pa.array([anchors[counts >= SAMPLED // 2].tobytes()], pa.binary())})
             return pa.record_batch({"segment": pa.array([at], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
         for batch in batches:
@@ -112,7 +132,10 @@ def sketch(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits:
                 if s != at:
                     if at is not None:
                         yield out()
-                    at, seen, twice = s, np.zeros(1 << low, bool), np.zeros(1 << low, bool)
+                    at, seen, twice, samples = s, np.zeros(1 << low, bool), np.zeros(1 << low, bool), []
+                if s < 0:
+                    samples.append(np.frombuffer(cells.as_buffer(), U))
+                    continue
                 coded = np.frombuffer(cells.as_buffer(), np.uint32)
                 cell = coded >> 1
                 twice[cell] |= seen[cell] | (coded & 1).astype(bool)
@@ -124,9 +147,17 @@ def sketch(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits:
     parts = parts.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment")
     whole = np.zeros(2 << max(0, bits - 3), np.uint8)
     step = 1 << (low - 3)
+    hot = [np.zeros(0, U)]
     for r in parts.mapInArrow(merge, "segment int, bits binary").toLocalIterator():
+        if r.segment < 0:
+            hot.append(np.frombuffer(r.bits, U))
+            continue
         whole[r.segment * step : (r.segment + 1) * step] = np.frombuffer(r.bits, np.uint8)
-    return whole, bits, total
+    return whole, bits, total, np.sort(np.concatenate(hot))
+
+
+def segments_of(spark: SparkSession, total: int) -> int:
+    return max(partitions(spark), int(total // 6 // 500_000))
 
 
 def _estimated_twice(anchors: np.ndarray, whole: np.ndarray, bits: int) -> np.ndarray:
@@ -156,7 +187,7 @@ def _breaks(ref: np.ndarray, pos: np.ndarray) -> np.ndarray:
 PACKED = "segment int, anchor binary, run_ref binary, run_pos binary, run_len binary, hash binary, twice binary, done_ref binary, done_code binary"
 
 
-def _pack(anchor: np.ndarray, hashes: np.ndarray, ref: np.ndarray, pos: np.ndarray, segments: int) -> Iterator[dict]:
+def _pack(anchor: np.ndarray, hashes: np.ndarray, ref: np.ndarray, pos: np.ndarray, segments: int, hot: np.ndarray) -> Iterator[dict]:
     """Blobs of one flush: windows to compare, and the places of windows already known to repeat."""
     order = np.lexsort((hashes, anchor))
     new = np.ones(len(order), bool)
@@ -172,8 +203,14 @@ def _pack(anchor: np.ndarray, hashes: np.ndarray, ref: np.ndarray, pos: np.ndarr
     anchor, hashes, ref, pos, twice = (x[first] for x in (anchor, hashes, ref, pos, twice))
     breaks = _breaks(ref, pos)
     breaks[1:] |= anchor[1:] != anchor[:-1]
+    if len(hot):
+        alone = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        breaks |= alone
     starts, lengths = _runs(breaks)
-    segment = (mix(anchor[starts], 21) % U(segments)).astype(np.int64)
+    dealt = anchor[starts]
+    if len(hot):
+        dealt = np.where(alone[starts], mix(dealt, 24) ^ hashes[starts], dealt)
+    segment = (mix(dealt, 21) % U(segments)).astype(np.int64)
     done_segment = (mix(done_ref.view(U), 22) % U(segments)).astype(np.int64)
     for s in np.union1d(segment, done_segment).tolist():
         r = np.flatnonzero(segment == s) if segments > 1 else np.arange(len(starts))
@@ -217,11 +254,25 @@ def _group(t: pa.Table) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS, flush: int = FLUSH_WINDOWS) -> DataFrame:
     """ref (the row's content key) and spans: array of first window * SPAN + windows, for rows with repeated windows."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs_of(batches, "segment"):
+            yield _group(t)
+
+    packed = packed_windows(docs, size, anchor, most_bits, flush)
+    packed = packed.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment")
+    spans = packed.mapInArrow(group, "ref long, code long")
+    return spans.groupBy("ref").agg(F.collect_set("code").alias("spans"))
+
+
+def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS, flush: int = FLUSH_WINDOWS) -> DataFrame:
+    """The windows that may repeat, packed and dealt to segments."""
     spark = docs.sparkSession
     anchor = min(anchor, size)
-    whole, bits, total = sketch(docs, size, anchor, most_bits)
+    whole, bits, total, hot = sketch(docs, size, anchor, most_bits)
     sent = spark.sparkContext.broadcast(whole.tobytes())  # 2 << (most_bits - 3) bytes at most
-    segments = max(partitions(spark), int(total // 6 // 500_000))
+    sent_hot = spark.sparkContext.broadcast(hot.tobytes())
+    segments = segments_of(spark, total)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(sent.value, np.uint8)
@@ -229,7 +280,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, mo
         n = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(_pack(*(np.concatenate(x) for x in zip(*held)), segments))
+            rows = list(_pack(*(np.concatenate(x) for x in zip(*held)), segments, np.frombuffer(sent_hot.value, U)))
             yield pa.record_batch({k: pa.array([r[k] for r in rows], pa.int32() if k == "segment" else pa.binary()) for k in rows[0]})
 
         for batch in batches:
@@ -251,14 +302,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, mo
         if n:
             yield from out()
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in runs_of(batches, "segment"):
-            yield _group(t)
-
-    packed = docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("ref")).mapInArrow(emit, PACKED)
-    packed = packed.repartition(partitions(spark), "segment").sortWithinPartitions("segment")
-    spans = packed.mapInArrow(group, "ref long, code long")
-    return spans.groupBy("ref").agg(F.collect_set("code").alias("spans"))
+    return docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("ref")).mapInArrow(emit, PACKED)
 
 
 def removed_words(n: int, spans: np.ndarray, size: int) -> np.ndarray:

@@ -144,3 +144,16 @@ def test_remove_repeats_keeps_untouched_texts(docs_of):
     assert {k: r.text for k, r in got.items()} == {1: "before it", 2: "after it", 3: "left\nas it is", 4: None}
     assert got[1].n_chars == len("before it")
     assert substring.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_windows_of_a_hot_anchor_are_dealt_out(spark, docs_of):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(16)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(40)] + passage + [f"w{rng.randrange(10**6)}" for _ in range(40)])) for i in range(1500)]
+    rows += [(5000, rows[0][1]), (5001, rows[7][1] + " more")]
+    sizes = Counter()
+    for r in substring.packed_windows(docs_of(rows)).select("segment", F.octet_length("hash").alias("n")).collect():
+        sizes[r.segment] += r.n // 8
+    assert sum(sizes.values()) > 5_000 and max(sizes.values()) < 0.4 * sum(sizes.values())
+    got = substring.cut_repeats(docs_of(rows), substring.digests, "n_words long, n_removed long, kept_sha256 string")
+    assert Counter(tuple(r) for r in got.collect()) == brute_cut(rows)
