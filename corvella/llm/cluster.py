@@ -13,26 +13,30 @@ from pyspark.sql import functions as F
 def shared(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is chosen.
+    The folder is the session's ``spark.checkpoint.dir``. Only on one machine a
+    temporary folder is chosen where that is unset; a cluster must name one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-#: Rows that go to Python at a time; texts are long, so fewer than Spark's default.
-ROWS_A_BATCH = 1000
+#: Rows and bytes that go to Python at a time. Texts are long, so both are below Spark's defaults.
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Session settings of the registered queries and of the pipeline; operators work with any."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_A_BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,9 +48,9 @@ def byte_length(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit("")))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Key of a row's content; rows that share it are repeated rows."""
-    return F.xxhash64(doc_id, text)
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two 64-bit keys of a row's content; rows that share both are repeated rows."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), text, doc_id)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20):

@@ -5,16 +5,17 @@ anchor: its leftmost smallest-hashed run of ANCHOR words. Equal windows have
 equal anchors at equal offsets, and two places of a window give two places of
 its anchor, so an anchor's count is never below its windows' counts.
 
-1. Every task sketches the anchors of its texts; partition sketches are merged
-   segment by segment into a count-min sketch of two rows, of which one bit a
-   cell ("two or more") is kept. Its size follows the corpus up to a set number
-   of bytes. Beyond that it only prunes less.
-2. Windows whose anchor is estimated once are unique and go. The others are
-   shuffled by anchor as runs of window hashes and grouped exactly there (128
-   bits: the anchor's hash and the window's). Windows that repeat within a task
-   are sent once, so a passage in a third of all documents gives each task's
-   group one row. A sample taken with the sketch names the anchors whose windows
-   would fill much of a segment; their windows are dealt one by one.
+1. Every task sends, to the segment of each of its anchors, the anchor with its
+   count in the task, and asks for those that it saw once. A segment merges
+   these partition sketches into a count-min sketch of two rows of cells and
+   then answers: which anchors are estimated to occur twice. The sketch is never
+   gathered; segments grow in number with the text, a segment's memory does not.
+   Anchors seen twice in a task need no answer.
+2. Windows with such anchors are shuffled by anchor as runs of window hashes and
+   grouped exactly (96 bits). Windows that repeat within a task are sent once, so
+   a passage in a third of all documents gives each task's group one row. The
+   windows of anchors that would fill a quarter of a segment, which the sketch
+   tells, are dealt by window hash.
 3. The repeated spans go back to their documents, which are cut.
 """
 
@@ -27,20 +28,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from .cluster import byte_length, partitions, row_key, runs_of, text_chunks
+from .cluster import byte_length, partitions, row_keys, runs_of, shared, text_chunks
 from .words import U, Words, mix, rolling
 
 WINDOW, ANCHOR = 35, 16
-SEGMENT_BITS = 20
-MOST_SKETCH_BITS = 29  # cells of a sketch row: 2 rows of 64 MB
+SEGMENT_BYTES = 512 << 20  # of text a sketch segment: at most 2 x 32 million cells
+GROUP_BYTES = 3 << 20  # of text a group segment
 FLUSH_WINDOWS = 500_000  # that a task holds at once
+FLUSH_ANCHORS = 500_000
 SPAN = 1 << 20
-SAMPLED = 32  # expected samples of an anchor that is just hot
+KEY = np.dtype([("ref", "<i8"), ("ref2", "<i8")])
 
 
 class Anchored:
-    """Windows of the texts and the anchors that they hold."""
+    """Windows of the texts, and the runs of consecutive windows that share an anchor's place."""
 
     def __init__(self, texts: pa.Array, size: int, anchor: int):
         self.words = words = Words(texts)
@@ -54,116 +58,134 @@ class Anchored:
             place = np.where(later, place[step:], place[:-step])
             grams = np.where(later, grams[step:], grams[:-step])
             width += step
-        self.anchor, self.place = grams[self.window], place[self.window]
+        anchors, place = grams[self.window], place[self.window]
         new = np.ones(len(self.window), bool)
-        new[1:] = (self.place[1:] != self.place[:-1])
-        self.new = new
+        new[1:] = place[1:] != place[:-1]
+        self.starts = np.flatnonzero(new)
+        self.lengths = np.diff(np.append(self.starts, len(new)))
+        self.anchor = anchors[self.starts]
+        first = self.window[self.starts]
+        self.doc = np.searchsorted(words.at, first, "right") - 1
+        self.pos = first - words.at[self.doc]
 
-    def hashes(self, size: int) -> np.ndarray:
-        return rolling(self.words.hash, size)[self.window]
+    def hashes(self, size: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of each window: 64 and 32."""
+        if not len(windows):
+            return np.zeros(0, U), np.zeros(0, np.uint32)
+        return rolling(self.words.hash, size)[windows], (rolling(self.words.hash, size, 77)[windows] >> U(32)).astype(np.uint32)
 
 
-def cells_of(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = U(64 - bits)
-    return mix(anchors, 11) >> shift, mix(anchors, 12) >> shift
+def _by_segment(segment: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(segment, kind="stable")
+    names, starts = np.unique(segment[order], return_index=True)
+    return zip(names.tolist(), np.split(order, starts[1:]))
 
 
-def _sketch_rows(anchors: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """(segment, cells): cell numbers within the segment, times two, plus one if it has two anchors or more."""
-    low = min(bits, SEGMENT_BITS)
-    for row, cells in enumerate(cells_of(anchors, bits)):
-        cells, counts = np.unique(cells, return_counts=True)
-        segment = (cells >> U(low)).astype(np.int64)
-        coded = (((cells & U((1 << low) - 1)) << U(1)) | (counts > 1).astype(U)).astype(np.uint32)
-        cuts = np.flatnonzero(np.diff(segment)) + 1
-        for s, part in zip(segment[np.concatenate([[0], cuts])] if len(segment) else [], np.split(coded, cuts)):
-            yield (row << (bits - low)) + int(s), part.tobytes()
+ASKED = "segment long, kind int, anchors binary, counts binary, refs binary, places binary"
 
 
-def sketch(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS) -> tuple[np.ndarray, int, int, np.ndarray]:
-    """The merged sketch as packed bits (cell has two or more), its cell bits, the text's bytes, and the sorted hot anchors.
+def _ask(anchor: np.ndarray, ref: np.ndarray, pos: np.ndarray, segments: int) -> Iterator[tuple]:
+    """Rows of ASKED: 0 counts of anchors, 1 questions for those seen once, 2 places of the others, which need no answer."""
+    kinds, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
+    where = (mix(kinds, 21) % U(segments)).astype(np.int64)
+    for s, i in _by_segment(where):
+        yield s, 0, kinds[i].tobytes(), counts[i].astype(np.uint32).tobytes(), None, None
+    once = counts[inverse] == 1
+    a, r, p = anchor[once], ref[once], pos[once].astype(np.uint32)
+    for s, i in _by_segment(where[inverse[once]]):
+        yield s, 1, a[i].tobytes(), None, r[i].tobytes(), p[i].tobytes()
+    r, p = ref[~once], pos[~once].astype(np.uint32)
+    if len(r):
+        order = np.lexsort((p, r))
+        r, p = r[order], p[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+        yield int(mix(r[:1].view(U), 22)[0] % U(segments)), 2, None, None, r[new].tobytes(), p[new].tobytes()
 
-    An anchor is hot if its windows are about a quarter of a segment or more. A
-    segment has its samples counted apart (numbers below 0); hot anchors are at
-    most as many as such quarters fit into the corpus.
+
+class Segment:
+    """Two rows of counts, and the anchors whose estimate reaches hot_from."""
+
+    def __init__(self, bits: int, hot_from: int):
+        self.bits, self.hot_from, self.hot = bits, hot_from, np.zeros(0, U)
+        self.counts = [np.zeros(1 << bits, np.uint32) for _ in range(2)]
+
+    def estimate(self, anchors: np.ndarray) -> np.ndarray:
+        return np.minimum(*(c[mix(anchors, 11 + i) >> U(64 - self.bits)] for i, c in enumerate(self.counts)))
+
+    def add(self, anchors: np.ndarray, counts: np.ndarray) -> None:
+        for i, c in enumerate(self.counts):
+            np.add.at(c, mix(anchors, 11 + i) >> U(64 - self.bits), counts)
+        high = anchors[self.estimate(anchors) >= self.hot_from]
+        if len(high):
+            self.hot = np.union1d(self.hot, high)
+
+
+def segments_of(spark: SparkSession, total: int, size: int) -> int:
+    return max(partitions(spark), int(total // size))
+
+
+def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_ANCHORS) -> DataFrame:
+    """ref and places (first windows of runs) of anchors estimated to occur twice; rows without ref name a hot anchor in places.
+
+    docs: ref, text. An estimate may be too high, never too low. A ref is 64
+    bits here, as rows that happen to share one only give further estimates.
     """
-    total = docs.agg(F.sum(byte_length(F.col("text")))).first()[0] or 0
-    bits = min(most_bits, max(10, int(total // 33).bit_length()))  # about two cells an anchor
-    low = min(bits, SEGMENT_BITS)
-    segments = segments_of(docs.sparkSession, total)
-    rate = min(1.0, SAMPLED / max(1, total // 6 // segments // (4 * (size - anchor + 1))))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[pa.RecordBatch]:
-            anchors = np.concatenate(held)
-            rows = list(_sketch_rows(anchors, bits))
-            some = anchors[rng.random(len(anchors)) < rate]
-            where = (mix(some, 23) % U(segments)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            names, starts = np.unique(where[order], return_index=True)
-            rows += [(-1 - k, part.tobytes()) for k, part in zip(names.tolist(), np.split(some[order], starts[1:]))]
-            yield pa.record_batch({"segment": pa.array([r[0] for r in rows], pa.int32()), "cells": pa.array([r[1] for r in rows], pa.binary())})
-
-        rng = np.random.default_rng(5)
+    spark = docs.sparkSession
+    segments = segments_of(spark, total, SEGMENT_BYTES)
+    bits = bits or min(25, max(10, int(total // segments // 33).bit_length()))  # about two cells an anchor
+    hot_from = max(1000, GROUP_BYTES // 6 // (4 * (size - anchor + 1)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in ASKED.split(", ")]
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+
+        def out() -> pa.RecordBatch:
+            rows = list(_ask(*(np.concatenate(x) for x in zip(*held)), segments))
+            return pa.record_batch({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
+
         held, n = [], 0
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 found = Anchored(chunk.column("text"), size, anchor)
-                held.append(found.anchor[found.new])
-                n += len(held[-1])
-                if n > FLUSH_WINDOWS:
-                    yield from out()
+                held.append((found.anchor, chunk.column("ref").to_numpy()[found.doc], found.pos))
+                n += len(found.anchor)
+                if n > flush:
+                    yield out()
                     held, n = [], 0
         if n:
-            yield from out()
+            yield out()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen, twice = None, np.zeros(1 << low, bool), np.zeros(1 << low, bool)
-        samples: list[np.ndarray] = []
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(ref: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((pos, ref))
+            ref, pos = ref[order], pos[order]
+            starts = np.flatnonzero(np.append(True, ref[1:] != ref[:-1])) if len(ref) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ref)), pa.int32()), pa.array(pos.astype(np.int64)))
+            return pa.record_batch({"ref": pa.array(ref[starts]), "places": lists})
 
-        def out() -> pa.RecordBatch:
-            if at < 0:
-                anchors, counts = np.unique(np.concatenate(samples), return_counts=True)
-                return pa.record_batch({"segment": pa.array([at], pa.int32()), "bits": pa.array([anchors[counts >= SAMPLED // 2].tobytes()], pa.binary())})
-            return pa.record_batch({"segment": pa.array([at], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+        def hot_ones() -> Iterator[pa.RecordBatch]:
+            if segment is not None and len(segment.hot):
+                yield pa.record_batch({"ref": pa.array([None], pa.int64()), "places": pa.array([segment.hot.view(np.int64).tolist()], pa.list_(pa.int64()))})
 
+        at, segment = None, None
         for batch in batches:
-            for s, cells in zip(batch.column("segment").to_pylist(), batch.column("cells")):
+            for s, kind, *parts in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if s != at:
-                    if at is not None:
-                        yield out()
-                    at, seen, twice, samples = s, np.zeros(1 << low, bool), np.zeros(1 << low, bool), []
-                if s < 0:
-                    samples.append(np.frombuffer(cells.as_buffer(), U))
-                    continue
-                coded = np.frombuffer(cells.as_buffer(), np.uint32)
-                cell = coded >> 1
-                twice[cell] |= seen[cell] | (coded & 1).astype(bool)
-                seen[cell] = True
-        if at is not None:
-            yield out()
-
-    parts = docs.select("text").mapInArrow(gather, "segment int, cells binary")
-    parts = parts.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment")
-    whole = np.zeros(2 << max(0, bits - 3), np.uint8)
-    step = 1 << (low - 3)
-    hot = [np.zeros(0, U)]
-    for r in parts.mapInArrow(merge, "segment int, bits binary").toLocalIterator():
-        if r.segment < 0:
-            hot.append(np.frombuffer(r.bits, U))
-            continue
-        whole[r.segment * step : (r.segment + 1) * step] = np.frombuffer(r.bits, np.uint8)
-    return whole, bits, total, np.sort(np.concatenate(hot))
-
-
-def segments_of(spark: SparkSession, total: int) -> int:
-    return max(partitions(spark), int(total // 6 // 500_000))
-
-
-def _estimated_twice(anchors: np.ndarray, whole: np.ndarray, bits: int) -> np.ndarray:
-    a, b = (c.astype(np.int64) for c in cells_of(anchors, bits))
-    b = b + (1 << bits)
-    return ((whole[a >> 3] >> (a & 7).astype(np.uint8)) & (whole[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+                    yield from hot_ones()
+                    at, segment = s, Segment(bits, hot_from)
+                anchors, counts, refs, places = (None if x is None else np.frombuffer(x, t) for x, t in zip(parts, (U, np.uint32, np.int64, np.uint32)))
+                if kind == 0:
+                    segment.add(anchors, counts)
+                else:
+                    yes = segment.estimate(anchors) > 1 if kind == 1 else np.ones(len(refs), bool)
+                    if yes.any():
+                        yield told(refs[yes], places[yes])
+        yield from hot_ones()
+
+    asked = docs.select("ref", "text").mapInArrow(ask, ASKED)
+    asked = asked.repartition(partitions(spark), "segment").sortWithinPartitions("segment", "kind")
+    return shared(asked.mapInArrow(answer, "ref long, places array<long>"))
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,125 +206,128 @@ def _breaks(ref: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-PACKED = "segment int, anchor binary, run_ref binary, run_pos binary, run_len binary, hash binary, twice binary, done_ref binary, done_code binary"
+PACKED = "segment long, run_key binary, run_pos binary, run_len binary, hash binary, hash2 binary, twice binary, done_key binary, done_code binary"
 
 
-def _pack(anchor: np.ndarray, hashes: np.ndarray, ref: np.ndarray, pos: np.ndarray, segments: int, hot: np.ndarray) -> Iterator[dict]:
-    """Blobs of one flush: windows to compare, and the places of windows already known to repeat."""
-    order = np.lexsort((hashes, anchor))
+def _pack(anchor: np.ndarray, hashes: np.ndarray, more: np.ndarray, doc: np.ndarray, pos: np.ndarray, keys: np.ndarray, segments: int, hot: np.ndarray) -> Iterator[tuple]:
+    """Rows of PACKED of one flush: windows to compare, and the places of windows already known to repeat."""
+    order = np.lexsort((more, hashes))
     new = np.ones(len(order), bool)
-    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1])
     counts = np.diff(np.append(np.flatnonzero(new), len(order)))
-    group = np.cumsum(new) - 1
     twice = np.empty(len(order), bool)
-    twice[order] = counts[group] > 1
+    twice[order] = (counts > 1)[np.cumsum(new) - 1]
     first = np.zeros(len(order), bool)
     first[order[new]] = True
-    done_starts, done_lengths = _runs(_breaks(ref[twice], pos[twice]))
-    done_ref, done_code = ref[twice][done_starts], pos[twice][done_starts].astype(np.int64) * SPAN + done_lengths
-    anchor, hashes, ref, pos, twice = (x[first] for x in (anchor, hashes, ref, pos, twice))
-    breaks = _breaks(ref, pos)
+    done_starts, done_lengths = _runs(_breaks(doc[twice], pos[twice]))
+    done_doc, done_code = doc[twice][done_starts], pos[twice][done_starts].astype(np.int64) * SPAN + done_lengths
+    anchor, hashes, more, doc, pos, twice = (x[first] for x in (anchor, hashes, more, doc, pos, twice))
+    breaks = _breaks(doc, pos)
     breaks[1:] |= anchor[1:] != anchor[:-1]
-    if len(hot):
-        alone = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
-        breaks |= alone
-    starts, lengths = _runs(breaks)
-    dealt = anchor[starts]
-    if len(hot):
-        dealt = np.where(alone[starts], mix(dealt, 24) ^ hashes[starts], dealt)
+    alone = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor if len(hot) else np.zeros(len(anchor), bool)
+    starts, lengths = _runs(breaks | alone)
+    dealt = np.where(alone[starts], mix(hashes[starts], 24), anchor[starts])
     segment = (mix(dealt, 21) % U(segments)).astype(np.int64)
-    done_segment = (mix(done_ref.view(U), 22) % U(segments)).astype(np.int64)
-    for s in np.union1d(segment, done_segment).tolist():
-        r = np.flatnonzero(segment == s) if segments > 1 else np.arange(len(starts))
-        d = done_segment == s
-        w = np.repeat(starts[r] - np.concatenate([[0], np.cumsum(lengths[r])[:-1]]), lengths[r]) + np.arange(lengths[r].sum()) if len(r) else np.zeros(0, np.int64)
-        yield {
-            "segment": s, "anchor": anchor[starts[r]].tobytes(), "run_ref": ref[starts[r]].tobytes(), "run_pos": pos[starts[r]].astype(np.uint32).tobytes(), "run_len": lengths[r].astype(np.uint32).tobytes(),
-            "hash": hashes[w].tobytes(), "twice": np.packbits(twice[w]).tobytes(), "done_ref": done_ref[d].tobytes(), "done_code": done_code[d].tobytes(),
-        }
+    done_segment = (mix(keys["ref"][done_doc].view(U), 22) % U(segments)).astype(np.int64)
+    runs, done = dict(_by_segment(segment)), dict(_by_segment(done_segment))
+    nothing = np.zeros(0, np.int64)
+    for s in runs.keys() | done.keys():
+        r, d = runs.get(s, nothing), done.get(s, nothing)
+        w = np.repeat(starts[r] - np.concatenate([[0], np.cumsum(lengths[r])[:-1]]), lengths[r]) + np.arange(lengths[r].sum()) if len(r) else nothing
+        yield (
+            s, keys[doc[starts[r]]].tobytes(), pos[starts[r]].astype(np.uint32).tobytes(), lengths[r].astype(np.uint32).tobytes(),
+            hashes[w].tobytes(), more[w].tobytes(), np.packbits(twice[w]).tobytes(), keys[done_doc[d]].tobytes(), done_code[d].tobytes(),
+        )
 
 
 def _group(t: pa.Table) -> pa.RecordBatch:
-    """Exact grouping of one segment: the spans of windows that repeat, as ref and pos * SPAN + length."""
+    """Exact grouping of one segment: the spans of windows that repeat, as the row's keys and pos * SPAN + length."""
 
-    def column(name: str, dtype: type) -> np.ndarray:
+    def column(name: str, dtype: np.dtype | type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in t.column(name)])
 
     lengths = column("run_len", np.uint32).astype(np.int64)
-    anchor = np.repeat(column("anchor", U), lengths)
-    ref = np.repeat(column("run_ref", np.int64), lengths)
-    ends = np.cumsum(lengths)
-    pos = np.arange(len(anchor)) - np.repeat(ends - lengths, lengths) + np.repeat(column("run_pos", np.uint32).astype(np.int64), lengths)
-    hashes = column("hash", U)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(h.as_buffer()) // 8).astype(bool) for x, h in zip(t.column("twice"), t.column("hash"))]) if len(hashes) else np.zeros(0, bool)
-    order = np.lexsort((hashes, anchor))
+    key = np.repeat(column("run_key", KEY), lengths)
+    pos = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(column("run_pos", np.uint32).astype(np.int64), lengths)
+    hashes, more = column("hash", U), column("hash2", np.uint32)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(h.as_buffer()) // 8).astype(bool) for x, h in zip(t.column("twice"), t.column("hash"))])
+    order = np.lexsort((more, hashes))
     new = np.ones(len(order), bool)
-    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1])
     starts = np.flatnonzero(new)
     again = np.diff(np.append(starts, len(order))) > 1
     if len(starts):
         again |= np.logical_or.reduceat(twice[order], starts)
     found = np.zeros(len(order), bool)
     found[order] = again[np.cumsum(new) - 1]
-    ref, pos = ref[found], pos[found]
-    by = np.lexsort((pos, ref))
-    ref, pos = ref[by], pos[by]
-    at, n = _runs(_breaks(ref, pos))
-    done_ref, done_code = column("done_ref", np.int64), column("done_code", np.int64)
-    return pa.record_batch({"ref": np.concatenate([ref[at], done_ref]), "code": np.concatenate([pos[at] * SPAN + n, done_code])})
-
-
-def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS, flush: int = FLUSH_WINDOWS) -> DataFrame:
-    """ref (the row's content key) and spans: array of first window * SPAN + windows, for rows with repeated windows."""
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in runs_of(batches, "segment"):
-            yield _group(t)
-
-    packed = packed_windows(docs, size, anchor, most_bits, flush)
-    packed = packed.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment")
-    spans = packed.mapInArrow(group, "ref long, code long")
-    return spans.groupBy("ref").agg(F.collect_set("code").alias("spans"))
+    key, pos = key[found], pos[found]
+    by = np.lexsort((pos, key["ref2"], key["ref"]))
+    key, pos = key[by], pos[by]
+    at, n = _runs(_breaks(key, pos))
+    key, code = np.concatenate([key[at], column("done_key", KEY)]), np.concatenate([pos[at] * SPAN + n, column("done_code", np.int64)])
+    return pa.record_batch({"ref": key["ref"].copy(), "ref2": key["ref2"].copy(), "code": code})
 
 
-def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, most_bits: int = MOST_SKETCH_BITS, flush: int = FLUSH_WINDOWS) -> DataFrame:
-    """The windows that may repeat, packed and dealt to segments."""
+def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_WINDOWS) -> DataFrame:
+    """The windows that may repeat, packed and dealt to segments. docs: ref, ref2, text."""
     spark = docs.sparkSession
     anchor = min(anchor, size)
-    whole, bits, total, hot = sketch(docs, size, anchor, most_bits)
-    sent = spark.sparkContext.broadcast(whole.tobytes())  # 2 << (most_bits - 3) bytes at most
-    sent_hot = spark.sparkContext.broadcast(hot.tobytes())
-    segments = segments_of(spark, total)
+    total = docs.agg(F.sum(byte_length(F.col("text")))).first()[0] or 0
+    told = estimated(docs, total, size, anchor, bits)
+    segments = segments_of(spark, total, GROUP_BYTES)
+    # Anchors that fill a quarter of a group segment or more: about four times as many as such segments at most.
+    hot = [np.array(r.places, np.int64).view(U) for r in told.where("ref IS NULL").select("places").toLocalIterator()]
+    sent = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, U), *hot])).tobytes())
+    marks = told.where("ref IS NOT NULL").groupBy(F.col("ref").alias("of")).agg(F.collect_set("places").alias("marks"))
+    marked = docs.join(marks, docs.ref == marks.of).select("ref", "ref2", "text", F.flatten("marks").alias("marks"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(sent.value, np.uint8)
+        hot = np.frombuffer(sent.value, U)
+        names = [c.split()[0] for c in PACKED.split(", ")]
         held: list[tuple] = []
-        n = 0
+        keys: list[np.ndarray] = []
+        n = docs_held = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(_pack(*(np.concatenate(x) for x in zip(*held)), segments, np.frombuffer(sent_hot.value, U)))
-            yield pa.record_batch({k: pa.array([r[k] for r in rows], pa.int32() if k == "segment" else pa.binary()) for k in rows[0]})
+        def out() -> pa.RecordBatch:
+            rows = list(_pack(*(np.concatenate(x) for x in zip(*held)), np.concatenate(keys), segments, hot))
+            return pa.record_batch({k: pa.array([r[i] for r in rows], pa.int64() if k == "segment" else pa.binary()) for i, k in enumerate(names)})
 
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 found = Anchored(chunk.column("text"), size, anchor)
-                if not len(found.window):
+                lists = pa.concat_arrays([chunk.column("marks")])
+                asked = (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) << 32) | lists.values.to_numpy()
+                maybe = np.isin((found.doc << 32) | found.pos, asked)
+                which = np.repeat(maybe, found.lengths)
+                window = found.window[which]
+                if not len(window):
                     continue
-                maybe = np.zeros(len(found.window), bool)
-                run = np.cumsum(found.new) - 1
-                maybe = _estimated_twice(found.anchor[found.new], cells, bits)[run]
-                at = found.window[maybe]
-                doc = np.searchsorted(found.words.at, at, "right") - 1
-                ref = chunk.column("ref").to_numpy(zero_copy_only=False)
-                held.append((found.anchor[maybe], found.hashes(size)[maybe], ref[doc], at - found.words.at[doc]))
-                n += len(at)
+                doc = np.repeat(found.doc[maybe], found.lengths[maybe])
+                held.append((np.repeat(found.anchor[maybe], found.lengths[maybe]), *found.hashes(size, window), doc + docs_held, window - found.words.at[doc]))
+                key = np.empty(chunk.num_rows, KEY)
+                key["ref"], key["ref2"] = chunk.column("ref").to_numpy(), chunk.column("ref2").to_numpy()
+                keys.append(key)
+                docs_held += len(key)
+                n += len(window)
                 if n > flush:
-                    yield from out()
-                    held, n = [], 0
+                    yield out()
+                    held, keys, n, docs_held = [], [], 0, 0
         if n:
-            yield from out()
+            yield out()
+
+    return marked.mapInArrow(emit, PACKED)
+
 
-    return docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("ref")).mapInArrow(emit, PACKED)
+def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_WINDOWS) -> DataFrame:
+    """ref, ref2 (the row's content keys) and spans (array of first window * SPAN + windows) of rows with repeated windows."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs_of(batches, "segment"):
+            yield _group(t)
+
+    packed = packed_windows(docs, size, anchor, bits, flush)
+    packed = packed.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment")
+    return packed.mapInArrow(group, "ref long, ref2 long, code long").groupBy("ref", "ref2").agg(F.collect_set("code").alias("spans"))
 
 
 def removed_words(n: int, spans: np.ndarray, size: int) -> np.ndarray:
@@ -314,30 +339,31 @@ def removed_words(n: int, spans: np.ndarray, size: int) -> np.ndarray:
 
 
 def cut_repeats(docs: DataFrame, finish: Callable[[list[bytes], np.ndarray | None], tuple], schema: str, carry: list[str] = ["doc_id"], size: int = WINDOW, **options) -> DataFrame:  # noqa: B006
-    """Judges the windows of docs and hands each row's words and removal mask (None: nothing repeats) to finish.
+    """row (a struct of the columns carry of docs) and made (a struct of those of schema) for each row of docs.
 
-    The result has the columns `carry` of docs and those of schema, one row for
-    each row of docs. Null texts have no words. Rows alike in id and text count
-    as two places. An empty table gives no rows.
+    Judges the windows of docs and hands each row's text, words and removal
+    mask (None: nothing repeats) to finish. Null texts have no words. Rows
+    alike in id and text count as two places. An empty table gives no rows.
+    Columns of docs may have any names.
     """
-    spans = repeated_spans(docs, size, **options)
-    keep = docs.select(*carry, F.col("text").alias("_text"), row_key(F.col("doc_id"), F.col("text")).alias("_ref"))
-    joined = keep.join(spans.select(F.col("ref").alias("_of"), F.col("spans").alias("_spans")), F.col("_ref") == F.col("_of"), "left").drop("_ref", "_of")
-    kept_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
-    target = docs.sparkSession.createDataFrame([], f"{', '.join(kept_fields)}, {schema}").schema
-    names = [f.name for f in target][len(carry) :]
+    ref, ref2 = row_keys(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text", ref.alias("ref"), ref2.alias("ref2"))
+    spans = repeated_spans(keyed.select("ref", "ref2", "text"), size, **options).withColumnsRenamed({"ref": "of", "ref2": "of2"})
+    joined = keyed.join(spans, (F.col("ref") == F.col("of")) & (F.col("ref2") == F.col("of2")), "left").select("row", "text", "spans")
+    made = docs.sparkSession.createDataFrame([], schema).schema
+    names, types = made.fieldNames(), to_arrow_schema(made).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("_text"), batch.column("_spans")):
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
                 words = (text.as_py() or "").encode().split()
                 mask = removed_words(len(words), spans.values.to_numpy(zero_copy_only=False), size) if spans.is_valid else None
                 rows.append(finish(text.as_py(), words, mask))
-            made = {n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)}
-            yield pa.record_batch({c: batch.column(c) for c in carry} | made)
+            out = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            yield pa.record_batch({"row": batch.column("row"), "made": out})
 
-    return joined.mapInArrow(run, target)
+    return joined.mapInArrow(run, StructType([StructField("row", keyed.schema["row"].dataType), StructField("made", made)]))
 
 
 def digests(text: str | None, words: list[bytes], mask: np.ndarray | None) -> tuple:
@@ -345,19 +371,24 @@ def digests(text: str | None, words: list[bytes], mask: np.ndarray | None) -> tu
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
+def repeat_digests(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
+    return cut_repeats(docs, digests, "n_words long, n_removed long, kept_sha256 string", **options).select("row.doc_id", "made.*")
+
+
 def remove_repeats(docs: DataFrame, size: int = WINDOW, **options) -> DataFrame:
     """docs with every word gone that a repeated window covers.
 
     A text in which nothing repeats stays as it is; of others the kept words
     are joined by one space. Texts of which nothing is left go. n_chars, if
-    there, follows the text. Null texts stay null.
+    there, follows the text. Null texts stay null. Repeated rows repeat each
+    other. An empty table gives no rows. Columns may have any names.
     """
 
     def finish(text: str | None, words: list[bytes], mask: np.ndarray | None) -> tuple:
         return (text if mask is None else b" ".join(w for w, gone in zip(words, mask.tolist()) if not gone).decode(), mask is not None and bool(mask.all()))
 
     carry = [c for c in docs.columns if c != "text"]
-    cut = cut_repeats(docs, finish, "kept string, emptied boolean", carry, size, **options).where("not emptied")
-    if "n_chars" in carry:
-        cut = cut.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
-    return cut.select(*[F.col("kept").alias("text") if c == "text" else c for c in docs.columns])
+    cut = cut_repeats(docs, finish, "kept string, emptied boolean", carry, size, **options).where("NOT made.emptied")
+    new = {"text": F.col("made.kept"), "n_chars": F.when(F.col("made.kept").isNull(), F.col("row.n_chars")).otherwise(F.length("made.kept").cast("long")) if "n_chars" in carry else None}
+    return cut.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

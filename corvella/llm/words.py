@@ -1,17 +1,22 @@
 """Words of many texts at once, as NumPy arrays over one byte buffer.
 
 Texts arrive as an Arrow column. Words are cut at separator bytes and hashed to
-64 bits by prefix sums, so no Python code runs per word.
+64 bits, so no Python code runs per word. All hashes scramble after each step:
+sums of powers would meet on crafted texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 _MASK = (1 << 64) - 1
-_BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_LANES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)  # the first k bytes of 8
+_ODD = U(0xA0761D6478BD642F)
+LONG_WORD = 1024  # bytes from which on a word is hashed by itself
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -22,25 +27,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTES = mix(np.arange(256, dtype=U), 7)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.full(size, base & _MASK, U)
-        have[0] = 1
-        have = _powers[base] = np.cumprod(have, dtype=U)
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def separators(characters: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(characters)] = True
@@ -85,18 +71,24 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, U)
-        sums = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_BYTES[self.data] * powers(_BYTE_BASE, len(self.data)), out=sums[1:])
-        self._sums, self._back = sums, powers(inverse(_BYTE_BASE), len(self.data))
-        return mix((sums[self.end] - sums[self.start]) * self._back[self.start])
+        """Scrambled over and over, 8 bytes at a time, from the word's length on."""
+        size = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        self._lanes = lanes = np.ndarray(len(self.data) + 1, "<u8", buffer=padded, strides=(1,))
+        out = mix(mix(size.astype(U), 7) ^ (lanes[self.start] & _LANES[np.minimum(size, 8)]), 1)
+        live, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(live):
+            out[live] = mix(out[live] ^ (lanes[self.start[live] + at] & _LANES[np.minimum(size[live] - at, 8)]), 1)
+            at += 8
+            live = live[size[live] > at]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def prefix_hash(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of more than size bytes, and the hash of their first size bytes."""
+        """Words of more than size (8 at most) bytes, and the hash of their first size bytes."""
         at = np.flatnonzero(self.end - self.start > size)
-        start = self.start[at]
-        return at, mix((self._sums[start + size] - self._sums[start]) * self._back[start], size) if len(at) else np.zeros(0, U)
+        return at, mix(self._lanes[self.start[at]] & _LANES[size], 100 + size)
 
     def doc(self) -> np.ndarray:
         """The document's index, for each word."""
@@ -107,12 +99,13 @@ class Words:
         return np.arange(len(self.hash)) + size <= np.repeat(self.at[1:], self.counts)
 
 
-def rolling(hashes: np.ndarray, size: int, second: bool = False) -> np.ndarray:
-    """Hash of each run of size consecutive values (len - size + 1 of them)."""
+def rolling(hashes: np.ndarray, size: int, salt: int = 3) -> np.ndarray:
+    """Hash of each run of size consecutive values (len - size + 1 of them), scrambled at each doubling of its length."""
     if len(hashes) < size:
         return np.zeros(0, U)
-    base = _WORD_BASE_2 if second else _WORD_BASE
-    values = mix(hashes, 3) if second else hashes
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(inverse(base), len(values) - size + 1))
+    out, width = mix(hashes, salt), 1
+    while width < size:
+        step = min(width, size - width)
+        out = mix(out[:-step] * _ODD + out[step:], salt + width)
+        width += step
+    return out
