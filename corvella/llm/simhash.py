@@ -11,6 +11,8 @@ whole group as soon as they exceed k.
 A bucket returns a forest of links, not pairs: neighbours in Gray order are
 linked first, and a group that already hangs together with the query is
 skipped. Components over all buckets come from rounds of star contraction.
+A fingerprint's node there is (smallest id, fingerprint), so the least node of a
+component is its label and no component is ever grouped in one task.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .cluster import partitions, row_key, runs_of, shared
+from .cluster import partitions, row_keys, runs_of, shared
 from .components import components
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
@@ -50,15 +53,16 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and key (the row's content key) of every row."""
+    """doc_id, fp (the fingerprint as a signed long), key and key2 (the row's content keys) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(t.as_py(), size) for t in b.column("text")), U, b.num_rows)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64)), "key": b.column("key")})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64)), "key": b.column("key"), "key2": b.column("key2")})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", row_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
-    return rows.mapInArrow(run, "doc_id long, fp long, key long")
+    doc_id = F.col("doc_id").cast("long")
+    key, key2 = row_keys(doc_id, F.col("text"))
+    return docs.select(doc_id.alias("doc_id"), "text", key.alias("key"), key2.alias("key2")).mapInArrow(run, "doc_id long, fp long, key long, key2 long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -72,7 +76,8 @@ class GrayIndex:
     """Levels of (bits, mask) patterns over fingerprints sorted by Gray rank; the last level is the root's."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps))]
+        self.order = np.argsort(gray_rank(fps))
+        self.fps = fps[self.order]
         n = len(self.fps)
         self.bounds = [np.arange(0, n, LEAF)]
         self.levels = [self._pattern(np.bitwise_and.reduceat(self.fps, self.bounds[0]), np.bitwise_or.reduceat(self.fps, self.bounds[0]))]
@@ -174,7 +179,7 @@ def blocks_of(distance: int, n: int, most: int = 4096) -> list[list[tuple[int, i
 
 
 def bucket_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of distinct fingerprints fp, a forest for each bucket: fewer than the fingerprints times the blocks."""
+    """Links (a, b) of the nodes of distinct fingerprints (fp, node), a forest for each bucket: fewer than the fingerprints times the blocks."""
     spark = fps.sparkSession
     keys = []
     for i, parts in enumerate(blocks_of(distance, fps.count())):
@@ -184,27 +189,26 @@ def bucket_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         keys.append(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
         for _, t in runs_of(batches, "bucket"):
             if t.num_rows < 2:
                 continue
             index = GrayIndex(t.column("fp").to_numpy().view(U))
             label = index.links(distance)
-            inner = label != np.arange(len(label))
-            if inner.any():
-                held.append(np.stack([index.fps[inner], index.fps[label[inner]]]).view(np.int64))
-                size += int(inner.sum())
-            if size > 100_000:
-                out, held, size = np.concatenate(held, axis=1), [], 0
-                yield pa.record_batch({"a": out[0], "b": out[1]})
-        if held:
-            out = np.concatenate(held, axis=1)
-            yield pa.record_batch({"a": out[0], "b": out[1]})
-
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+            inner = np.flatnonzero(label != np.arange(len(label)))
+            if len(inner):
+                node = t.column("node").combine_chunks()
+                yield pa.record_batch({"a": node.take(pa.array(index.order[inner])), "b": node.take(pa.array(index.order[label[inner]]))})
+
+    dealt = fps.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
     dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "fp")
-    return dealt.select("bucket", "fp").mapInArrow(run, "a long, b long")
+    kind = fps.schema["node"].dataType
+    return dealt.select("bucket", "fp", "node").mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def labelled(nodes: DataFrame, distance: int) -> DataFrame:
+    """fp, node and component (the least node linked, itself included) of distinct fingerprints (fp, node)."""
+    member = components(bucket_links(nodes, distance)).select(F.col("node.fp").alias("of"), "component")
+    return nodes.join(member, nodes.fp == member.of, "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
@@ -217,27 +221,24 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     gives no rows; other columns of docs are ignored.
     """
     prints = shared(fingerprints(docs, size).select("doc_id", "fp"))
-    owners = shared(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
-    links = bucket_links(owners.select("fp"), distance)
-    member = components(links).withColumnRenamed("node", "fp")
-    owned = owners.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = owned.groupBy("component").agg(F.min("owner").alias("component_id"))
-    smallest = owned.join(least, "component").select(F.col("fp").alias("of"), "component_id")
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    nodes = shared(prints.groupBy("fp").agg(owner.alias("o")).select("fp", F.struct("o.no_id", "o.doc_id", "fp").alias("node")))
+    smallest = labelled(nodes, distance).select(F.col("fp").alias("of"), F.col("component.doc_id").alias("component_id"))
     return prints.join(smallest, prints.fp == smallest.of, "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row of each group of near-duplicates; columns unchanged.
+    """One row of each group of near-duplicates; columns, of any names, unchanged.
 
     It is the one with the smallest id, where null ids come last and rows of
-    one id are ordered by their content key. Of rows alike in id and text one
-    is left.
+    one id are ordered by their content keys. Of rows alike in id and text one
+    is left. Texts without words, null ones too, are one group. An empty table
+    gives no rows.
     """
-    prints = fingerprints(docs).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
-    prints = shared(prints)
-    member = components(bucket_links(prints.select("fp"), distance)).withColumnRenamed("node", "fp")
-    owned = prints.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    kept = owned.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "key2"))
+    nodes = shared(fingerprints(docs).groupBy("fp").agg(first.alias("o")).select("fp", F.struct("o.*", "fp").alias("node")))
+    kept = labelled(nodes, distance).where("node = component").select(F.col("node.key").alias("of"), F.col("node.key2").alias("of2"))
+    key, key2 = row_keys(F.col("doc_id").cast("long"), F.col("text"))
     # Repeated rows become one in each task first, so that any number of them meets as a row a task.
-    rows = docs.withColumn("_key", row_key(F.col("doc_id").cast("long"), F.col("text"))).dropDuplicates(["_key"])
-    return rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").drop("_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), key2.alias("key2")).dropDuplicates(["key", "key2"])
+    return rows.join(kept, (F.col("key") == F.col("of")) & (F.col("key2") == F.col("of2")), "left_semi").select("row.*")
