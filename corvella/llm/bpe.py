@@ -47,6 +47,30 @@ def byte_symbols() -> dict[int, str]:
     return table
 
 
+# Ranges of code points that the library, whose tables are of Unicode 16, takes for signs, while newer tables have them as letters and numbers.
+SIGNS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+).split()
+# Ranges of capitals that only the library lower-cases, and the small letter of the first.
+CAPITALS = (
+    "1C89 1C8A", "A7CB 0264", "A7CC A7CD", "A7CE A7CF", "A7D2 A7D3", "A7D4 A7D5", "A7DA A7DB", "A7DC 019B", "10D50-10D65 10D70", "16EA0-16EB8 16EBB",
+)
+
+
+def _range(written: str) -> range:
+    first, _, last = written.partition("-")
+    return range(int(first, 16), int(last or first, 16) + 1)
+
+
+_AS_SIGN = {c: "!" for r in SIGNS for c in _range(r)}
+_NEW_SIGN = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in SIGNS) + "]")
+_SMALL = {c: int(b, 16) + i for a, b in (p.split() for p in CAPITALS) for i, c in enumerate(_range(a))}
+_NEW_CAPITAL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
 class HashTable:
     """Values of 64-bit keys (not negative), looked up many at a time; -1 for unknown keys."""
 
@@ -295,12 +319,21 @@ class Bpe:
     def _stretches(text: str) -> list[str]:
         # Lower case goes by single characters, without the rule for a final sigma.
         text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        if _NEW_CAPITAL.search(text):
+            text = text.translate(_SMALL)
         # str.split would also cut at four control characters that are no white space.
         return _NO_SPACE.findall(text) if _CONTROL.search(text) else text.split()
 
+    def _pieces(self, chunk: str) -> list[str] | tuple[str]:
+        if self.whole_letters and chunk.isalpha():
+            return (chunk,)
+        if _NEW_SIGN.search(chunk):
+            return [chunk[slice(*m.span())] for m in self.pattern.finditer(chunk.translate(_AS_SIGN))]
+        return self.pattern.findall(chunk)
+
     def _learn(self, chunks: list[str]) -> None:
         """Adds the ids of new chunks. A chunk is one or more pieces of the split pattern."""
-        pieces = [(c,) if self.whole_letters and c.isalpha() else self.pattern.findall(c) for c in chunks]
+        pieces = [self._pieces(c) for c in chunks]
         words = list({p for found in pieces for p in found})
         if not words:
             self.young.update((c, b"") for c in chunks)
@@ -372,7 +405,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded of every row: encode, then decode of its ids, in one pass over the texts."""
+    """doc_id, ids and decoded of every row: encode, then decode of its ids, in one pass over the texts.
+
+    Null and empty texts have no ids and decode to the empty text; repeated rows
+    come back repeated; an empty table gives no rows; other columns are ignored.
+    """
     sent = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
