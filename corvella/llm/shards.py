@@ -11,7 +11,8 @@ each outside cell once at most, so a*b - N further steps always suffice; a is
 chosen so that this is a handful.
 
 Only DataFrame functions run. Texts are never shuffled: identical keys are
-counted first, so that repeated rows form one group of any size.
+counted first, and a group of any size is dealt over blocks in parts of
+ROWS_PER_BLOCK copies.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from pyspark.sql import functions as F
 
 from .cluster import byte_length, shared
 
-ROWS_PER_BLOCK = 50_000
-MOST_BLOCKS = 65_536
+ROWS_PER_BLOCK = 50_000  # or the root of the rows where that is more, so that blocks and rows a block grow alike
 ROUNDS = 6
 
 
@@ -62,17 +62,19 @@ def number_rows(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
     """Adds row_number, 0 .. N-1, in the order of (hash block, key), and gives N.
 
     The numbering depends on the rows alone, not on files or partitions. Rows
-    alike in every key column are interchangeable and take consecutive numbers.
+    alike in every key column are interchangeable.
     """
     groups = shared(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")))
     n = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    blocks = min(MOST_BLOCKS, max(1, -(-n // ROWS_PER_BLOCK)))
-    groups = groups.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
-    sizes = groups.groupBy("block").agg(F.sum("copies").alias("held"))
+    blocks = max(1, -(-n // max(ROWS_PER_BLOCK, math.isqrt(n))))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / ROWS_PER_BLOCK)))
+    parts = groups.select(*key, "copies", part.alias("part")).withColumn("copies", F.least(F.lit(ROWS_PER_BLOCK), F.col("copies") - F.col("part") * ROWS_PER_BLOCK))
+    parts = parts.withColumn("block", F.pmod(F.xxhash64(*key, "part"), F.lit(blocks)))
+    sizes = parts.groupBy("block").agg(F.sum("copies").alias("held"))
     offsets = sizes.select("block", (F.sum("held").over(Window.orderBy("block")) - F.col("held")).alias("offset"))
-    before = F.sum("copies").over(Window.partitionBy("block").orderBy(*[F.asc_nulls_first(k) for k in key])) - F.col("copies")
-    # offsets has a row a block: MOST_BLOCKS at most.
-    placed = groups.withColumn("before", before).join(F.broadcast(offsets), "block")
+    before = F.sum("copies").over(Window.partitionBy("block").orderBy(*[F.asc_nulls_first(k) for k in key], "part")) - F.col("copies")
+    # offsets has a row a block: the root of the rows at most.
+    placed = parts.withColumn("before", before).join(F.broadcast(offsets), "block")
     first = F.col("offset") + F.col("before")
     return placed.select(*key, F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("row_number")), n
 
@@ -97,7 +99,12 @@ def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20, slots_per_file: int = 100_000) -> None:
-    """Writes docs to path/shard=k in slot order, in files of slots_per_file rows."""
+    """Writes docs to path/shard=k in slot order, in files of slots_per_file rows.
+
+    Null ids and texts are written as they are, repeated rows each once for
+    each time they occur; an empty table writes no shard; only doc_id and text
+    of docs are written.
+    """
     places = assign_shards(docs, shards, seed).dropDuplicates(["doc_id", "size", "text_crc32", "slot", "shard"]).select(
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "text_crc32")], "shard", "slot"
     )
