@@ -20,7 +20,7 @@ def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.cut_repeats(table(spark, sf_dir, "documents"), substring.digests, "n_words long, n_removed long, kept_sha256 string")
+    return substring.repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,8 +132,8 @@ def test_substring_dedup_against_brute_force(docs_of, messy):
             body += ["in"] * rng.randint(30, 90)
         rows.append((100 + i, "  ".join(body)))
     want = brute_cut(rows)
-    for options in ({}, {"flush": 50}, {"most_bits": 10}):
-        got = substring.cut_repeats(docs_of(rows), substring.digests, "n_words long, n_removed long, kept_sha256 string", **options)
+    for options in ({}, {"flush": 50}, {"bits": 4}):
+        got = substring.repeat_digests(docs_of(rows), **options)
         assert Counter(tuple(r) for r in got.collect()) == want, options
 
 
@@ -146,14 +146,55 @@ def test_remove_repeats_keeps_untouched_texts(docs_of):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_windows_of_a_hot_anchor_are_dealt_out(spark, docs_of):
+def test_windows_of_a_hot_anchor_are_dealt_out(spark, docs_of, monkeypatch):
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(16)]
     rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(40)] + passage + [f"w{rng.randrange(10**6)}" for _ in range(40)])) for i in range(1500)]
     rows += [(5000, rows[0][1]), (5001, rows[7][1] + " more")]
+    docs = docs_of(rows).select("text", F.xxhash64("doc_id", "text").alias("ref"), F.xxhash64("text", "doc_id").alias("ref2"))
     sizes = Counter()
-    for r in substring.packed_windows(docs_of(rows)).select("segment", F.octet_length("hash").alias("n")).collect():
+    for r in substring.packed_windows(docs).select("segment", F.octet_length("hash").alias("n")).collect():
         sizes[r.segment] += r.n // 8
     assert sum(sizes.values()) > 5_000 and max(sizes.values()) < 0.4 * sum(sizes.values())
-    got = substring.cut_repeats(docs_of(rows), substring.digests, "n_words long, n_removed long, kept_sha256 string")
-    assert Counter(tuple(r) for r in got.collect()) == brute_cut(rows)
+    assert Counter(tuple(r) for r in substring.repeat_digests(docs_of(rows)).collect()) == brute_cut(rows)
+
+
+def test_segment_never_underestimates():
+    rng = np.random.default_rng(2)
+    anchors = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    counts = rng.integers(1, 5, 3000).astype(np.uint32)
+    for bits in (4, 10, 16):
+        segment = substring.Segment(bits, hot_from=5)
+        for part in np.array_split(np.arange(3000), 7):
+            segment.add(anchors[part], counts[part])
+        assert (segment.estimate(anchors) >= counts).all()
+    assert (segment.estimate(anchors) == counts).mean() > 0.95
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_sums_of_powers_confuse(docs_of):
+    for size in (1024, 2048):
+        same = " ".join(f"s{i}" for i in range(34))
+        rows = [(1, f"{same} {thue_morse(size, 'a', 'b')}"), (2, f"{same} {thue_morse(size, 'b', 'a')}"), (3, " ".join(thue_morse(1024, "a", "b"))), (4, " ".join(thue_morse(1024, "b", "a")))]
+        assert Counter(tuple(r) for r in substring.repeat_digests(docs_of(rows)).collect()) == brute_cut(rows)
+
+
+def test_clashing_column_names(spark):
+    names = ["emptied", "kept", "_text", "_ref", "_of", "_spans", "row", "made", "ref", "ref2", "of", "of2", "spans", "key", "key2", "node", "fp", "o", "block", "a.b"]
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{x} {passage}", *[f"{n}{i}" for n in names]) for i, x in enumerate(["one", "two"])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    cut = substring.remove_repeats(docs)
+    assert cut.columns == docs.columns
+    assert sorted(tuple(r) for r in cut.collect()) == [(i, x, *r[2:]) for i, (x, r) in enumerate(zip(["one", "two"], rows))]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted(rows)
+
+
+def test_keep_one_does_not_mix_rows_of_an_id(docs_of):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(100)) for c in "tuv")
+    docs = docs_of([(5, t), (8, t), (8, u), (9, v), (9, v), (None, t)]).repartition(3)
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(5, t), (8, u), (9, v)]

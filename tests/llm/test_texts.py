@@ -89,7 +89,7 @@ def test_bpe_matches_library(library, spark, sf_dir, docs_of, messy):
     assert bpe.encode(docs.limit(0), path).count() == 0
 
 
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs", "Cn"]), st.sampled_from("aestinr'<|>\x1c\x85 \u3000ΣİΑ\u0301")), max_size=60))
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aestinr'<|>\x1c\x85 \u3000ΣİΑ\u0301")), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_bpe_matches_library_on_any_text(text):
     from tokenizers import Tokenizer
@@ -104,6 +104,13 @@ def test_bpe_matches_library_on_any_text(text):
         assert mine.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point(library):
+    path, tokenizer = library
+    mine = bpe.load(open(path).read())
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert mine.encode(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_long_words(library):
     path, tokenizer = library
     mine = bpe.load(open(path).read())
@@ -132,6 +139,42 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert got == {(1, 1): ("user", "hey"), (1, 2): ("assistant", "good day"), (2, 1): ("user", "no opening"), (None, 1): ("", "")}
 
 
+def fold(events):
+    """events of one conversation in order -> {message: [role, text]}"""
+    said = {}
+    for kind, message, role, text in events:
+        if kind == "regenerate":
+            said = {m: v for m, v in said.items() if m < message}
+        if kind in ("regenerate", "message", "edit"):
+            said.setdefault(message, [None, ""])[1] = text or ""
+        else:
+            said.setdefault(message, [None, ""])[1] += text or ""
+        said[message][0] = said[message][0] or role
+    return {m: (role or "", text) for m, (role, text) in said.items()}
+
+
+def test_fold_against_loop(spark):
+    rng = random.Random(9)
+    rows = []
+    for conv in [*range(40), None]:
+        for seq in range(rng.randint(1, 60)):
+            rows.append((conv, seq, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.randint(1, 6), rng.choice([None, "user", "assistant"]), rng.choice([None, f"t{seq} "])))
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.reconstruct(df).collect()}
+    want = {(c, m): v for c in {r[0] for r in rows} for m, v in fold([r[2:] for r in rows if r[0] == c]).items()}
+    assert got == want
+
+
+def test_log_needs_the_fold(spark, sf_dir):
+    log = chat.conversation_log(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 20
+    events = [r for r in log.collect()]
+    for conv in sorted({r.conv_id for r in events})[:20]:
+        mine = sorted((r for r in events if r.conv_id == conv), key=lambda r: tuple(r.seq))
+        assert {tuple(m): v for m, v in fold([(r.kind, tuple(r.message), r.role, r.text) for r in mine]).items()} == {tuple(r.message): (r.role, r.text) for r in chat.reconstruct(log.where(F.col("conv_id") == conv)).collect()}
+
+
 def test_format_reads_back(spark):
     texts = ["\\### Assistant: </turn> ok", "", None, "#", "##\n### x:\n</turn>\n", "\\", "</turn\\>", "\U0001f600" * 3, "a" * 50_000]
     rows = [(c, t, role, text, "x") for c in (1, 2) for t, text in enumerate(texts) for role in ("user", "assistant")] + [(3, None, "odd: #\n</turn> \\", "t", "x"), (3, 5, None, "u", "x"), (None, 1, "assistant", "n", "x"), (4, 1, "user", "twice", "x"), (4, 1, "user", "twice", "x")]
@@ -262,22 +305,55 @@ def test_label_sample_is_bounded(spark, docs_of):
     assert 0.25 < share < 0.27
 
 
-def test_counterfactual_penalty_shrinks_identity_weight():
-    rng = np.random.default_rng(0)
-    n = 600
-    identity = rng.random(n) < 0.5
-    insult = rng.random(n) < np.where(identity, 0.5, 0.1)
-    x = np.stack([insult, identity, np.zeros(n)], axis=1).astype(np.float32)
-    y = (insult | (identity & (rng.random(n) < 0.3))).astype(float)
-    swapped = x.copy()
-    swapped[:, [1, 2]] = x[:, [2, 1]]
-    pairs = x[identity], swapped[identity]
-    none = np.zeros((0, 3), np.float32)
-    plain_w, _ = toxicity.train(x, y, (none, none), float(y.mean()))
-    fair_w, _ = toxicity.train(x, y, pairs, float(y.mean()), fairness=50.0)
-    assert abs(fair_w[1] - fair_w[2]) < 0.5 * abs(plain_w[1] - plain_w[2])
-    assert fair_w[0] > 1
+def test_counterfactual_penalty_shrinks_score_changes(spark):
+    """Held-out rows of made labels in which some groups are named more often in toxic texts."""
+    rng = random.Random(3)
+    neutral = {"en": "the and of to is", "de": "der die und ist nicht", "fr": "le les et des est", "es": "el los y que es"}
+
+    def text(lang, toxic):
+        group = rng.choice(toxicity.IDENTITY_GROUPS[lang])
+        term = group[0] if rng.random() < (0.8 if toxic else 0.3) else rng.choice(group)
+        words = rng.choices(neutral[lang].split(), k=8) + [term] + ["idiot"] * (toxic and rng.random() < 0.6) + [f"w{rng.randrange(40)}" for _ in range(5)]
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(text(lang, toxic), toxic) for lang in neutral for toxic in (0, 1) for _ in range(200)]
+    held = [text(lang, 0) for lang in neutral for _ in range(100)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+
+    def changes(model):
+        return [float(np.abs(model.scores(pa.array(t)) - model.scores(pa.array([toxicity.swapped(x) for x in t]))).mean()) for t in np.array_split(held, 4)]
+
+    plain, fair = (changes(toxicity.fit(labelled, fairness=f)) for f in (0.0, toxicity.FAIRNESS))
+    assert all(f < 0.5 * p for p, f in zip(plain, fair)), (plain, fair)
+    model = toxicity.fit(labelled)
+    assert model.scores(pa.array(["the idiot is w1"]))[0] > 0.5 > model.scores(pa.array(["the christians and the woman of w1"]))[0]
+
+
+def test_every_text_has_a_counterfactual(spark, sf_dir):
     assert toxicity.swapped("A Muslim man, not Christianity") == "a jewish woman, not christianity"
+    assert toxicity.counterfactuals("A Muslim man", 0) == ("a muslim man", "a jewish woman")
+    for text in ("", "der hund und die katze", "el gato y los que"):
+        for draw in (0, 1, 17, 123456):
+            a, b = toxicity.counterfactuals(text, draw)
+            assert a != b and a.split(" ", 1)[1:] == b.split(" ", 1)[1:]
+    assert toxicity.counterfactuals("der hund und die katze", 0)[0] == "christen der hund und die katze"
+
+
+def test_gradient_of_the_penalty():
+    rng = np.random.default_rng(1)
+    x = (rng.random((6, 5)) < 0.5).astype(np.float64)
+    rows = np.arange(6)
+    versions = [[np.flatnonzero(rng.random(5) < 0.5) for _ in rows] for _ in range(2)]
+    pairs = toxicity.Pairs(rows, [[toxicity.version(np.flatnonzero(o), v) for o, v in zip(x, side)] for side in versions])
+    w = rng.random(6)
+    for side in (0, 1):
+        dense = np.zeros((6, 6))
+        dense[:, 5] = 1
+        for i, v in enumerate(versions[side]):
+            dense[i, v] = 1
+        assert np.allclose(pairs.logits(x, w, side), dense @ w)
+        assert np.allclose(pairs.pull(x, w[:6], side), dense.T @ w[:6])
 
 
 def test_toxicity_edges(spark, docs_of, messy):
