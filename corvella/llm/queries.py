@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, langid, shards, simhash, substring, toxicity, urls
-from .cluster import table
+from . import bpe, chat, cluster, decontaminate, fingerprints, langid, shards, simhash, substring, toxicity, urls
 
 URL_RULES = [("allow", "org", ""), ("block", "example.org", "es/"), ("block", "example.org", "en/1"), ("allow", "com", "fr/"), ("block", "com", "de/")]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    cluster.small_batches(spark)
+    return cluster.table(spark, sf_dir, name)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
