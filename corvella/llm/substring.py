@@ -41,6 +41,17 @@ FLUSH_WINDOWS = 500_000  # that a task holds at once
 FLUSH_ANCHORS = 500_000
 SPAN = 1 << 20
 KEY = np.dtype([("ref", "<i8"), ("ref2", "<i8")])
+SHORT = (1 << 48) - 1  # anchors and refs travel to sketch segments as 48 bits: what happens to share them gives further estimates only
+
+
+def _short(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 class Anchored:
@@ -89,18 +100,18 @@ def _ask(anchor: np.ndarray, ref: np.ndarray, pos: np.ndarray, segments: int) ->
     kinds, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
     where = (mix(kinds, 21) % U(segments)).astype(np.int64)
     for s, i in _by_segment(where):
-        yield s, 0, kinds[i].tobytes(), counts[i].astype(np.uint32).tobytes(), None, None
+        yield s, 0, _short(kinds[i]), counts[i].astype(np.uint32).tobytes(), None, None
     once = counts[inverse] == 1
     a, r, p = anchor[once], ref[once], pos[once].astype(np.uint32)
     for s, i in _by_segment(where[inverse[once]]):
-        yield s, 1, a[i].tobytes(), None, r[i].tobytes(), p[i].tobytes()
+        yield s, 1, _short(a[i]), None, _short(r[i]), p[i].tobytes()
     r, p = ref[~once], pos[~once].astype(np.uint32)
     if len(r):
         order = np.lexsort((p, r))
         r, p = r[order], p[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-        yield int(mix(r[:1].view(U), 22)[0] % U(segments)), 2, None, None, r[new].tobytes(), p[new].tobytes()
+        yield int(mix(r[:1], 22)[0] % U(segments)), 2, None, None, _short(r[new]), p[new].tobytes()
 
 
 class Segment:
@@ -126,10 +137,9 @@ def segments_of(spark: SparkSession, total: int, size: int) -> int:
 
 
 def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_ANCHORS) -> DataFrame:
-    """ref and places (first windows of runs) of anchors estimated to occur twice; rows without ref name a hot anchor in places.
+    """ref (48 bits) and places (first windows of runs) of anchors estimated to occur twice; rows without ref name hot anchors in places.
 
-    docs: ref, text. An estimate may be too high, never too low. A ref is 64
-    bits here, as rows that happen to share one only give further estimates.
+    docs: ref, text. An estimate may be too high, never too low.
     """
     spark = docs.sparkSession
     segments = segments_of(spark, total, SEGMENT_BYTES)
@@ -148,7 +158,7 @@ def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANC
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 found = Anchored(chunk.column("text"), size, anchor)
-                held.append((found.anchor, chunk.column("ref").to_numpy()[found.doc], found.pos))
+                held.append((found.anchor & U(SHORT), chunk.column("ref").to_numpy().view(U)[found.doc] & U(SHORT), found.pos))
                 n += len(found.anchor)
                 if n > flush:
                     yield out()
@@ -159,14 +169,14 @@ def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANC
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(ref: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((pos, ref))
-            ref, pos = ref[order], pos[order]
-            starts = np.flatnonzero(np.append(True, ref[1:] != ref[:-1])) if len(ref) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ref)), pa.int32()), pa.array(pos.astype(np.int64)))
-            return pa.record_batch({"ref": pa.array(ref[starts]), "places": lists})
+            ref, pos = ref[order].astype(np.int64), pos[order].astype(np.uint32)
+            starts = np.flatnonzero(np.append(True, ref[1:] != ref[:-1]))
+            ends = pa.array(4 * np.append(starts, len(ref)), pa.int32())
+            return pa.record_batch({"ref": pa.array(ref[starts]), "places": pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(pos.tobytes())])})
 
         def hot_ones() -> Iterator[pa.RecordBatch]:
             if segment is not None and len(segment.hot):
-                yield pa.record_batch({"ref": pa.array([None], pa.int64()), "places": pa.array([segment.hot.view(np.int64).tolist()], pa.list_(pa.int64()))})
+                yield pa.record_batch({"ref": pa.array([None], pa.int64()), "places": pa.array([segment.hot.tobytes()], pa.binary())})
 
         at, segment = None, None
         for batch in batches:
@@ -174,7 +184,8 @@ def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANC
                 if s != at:
                     yield from hot_ones()
                     at, segment = s, Segment(bits, hot_from)
-                anchors, counts, refs, places = (None if x is None else np.frombuffer(x, t) for x, t in zip(parts, (U, np.uint32, np.int64, np.uint32)))
+                anchors, refs = (None if x is None else _long(x) for x in parts[::2])
+                counts, places = (None if x is None else np.frombuffer(x, np.uint32) for x in parts[1::2])
                 if kind == 0:
                     segment.add(anchors, counts)
                 else:
@@ -185,7 +196,7 @@ def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANC
 
     asked = docs.select("ref", "text").mapInArrow(ask, ASKED)
     asked = asked.repartition(partitions(spark), "segment").sortWithinPartitions("segment", "kind")
-    return shared(asked.mapInArrow(answer, "ref long, places array<long>"))
+    return shared(asked.mapInArrow(answer, "ref long, places binary"))
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +235,7 @@ def _pack(anchor: np.ndarray, hashes: np.ndarray, more: np.ndarray, doc: np.ndar
     anchor, hashes, more, doc, pos, twice = (x[first] for x in (anchor, hashes, more, doc, pos, twice))
     breaks = _breaks(doc, pos)
     breaks[1:] |= anchor[1:] != anchor[:-1]
-    alone = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor if len(hot) else np.zeros(len(anchor), bool)
+    alone = np.isin(anchor & U(SHORT), hot) if len(hot) else np.zeros(len(anchor), bool)
     starts, lengths = _runs(breaks | alone)
     dealt = np.where(alone[starts], mix(hashes[starts], 24), anchor[starts])
     segment = (mix(dealt, 21) % U(segments)).astype(np.int64)
@@ -276,10 +287,10 @@ def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
     told = estimated(docs, total, size, anchor, bits)
     segments = segments_of(spark, total, GROUP_BYTES)
     # Anchors that fill a quarter of a group segment or more: about four times as many as such segments at most.
-    hot = [np.array(r.places, np.int64).view(U) for r in told.where("ref IS NULL").select("places").toLocalIterator()]
+    hot = [np.frombuffer(r.places, U) for r in told.where("ref IS NULL").select("places").toLocalIterator()]
     sent = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, U), *hot])).tobytes())
     marks = told.where("ref IS NOT NULL").groupBy(F.col("ref").alias("of")).agg(F.collect_set("places").alias("marks"))
-    marked = docs.join(marks, docs.ref == marks.of).select("ref", "ref2", "text", F.flatten("marks").alias("marks"))
+    marked = docs.join(marks, docs.ref.bitwiseAND(F.lit(SHORT)) == marks.of).select("ref", "ref2", "text", "marks")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(sent.value, U)
@@ -295,8 +306,8 @@ def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 found = Anchored(chunk.column("text"), size, anchor)
-                lists = pa.concat_arrays([chunk.column("marks")])
-                asked = (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) << 32) | lists.values.to_numpy()
+                marks = [np.frombuffer(b"".join(m), np.uint32) for m in chunk.column("marks").to_pylist()]
+                asked = (np.repeat(np.arange(len(marks)), [len(m) for m in marks]) << 32) | np.concatenate(marks)
                 maybe = np.isin((found.doc << 32) | found.pos, asked)
                 which = np.repeat(maybe, found.lengths)
                 window = found.window[which]
