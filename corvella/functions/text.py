@@ -34,8 +34,7 @@ HEBREW = Rules("הובלמכש", ("םןץףך", "מנצפכ"), ("ה", "ת"), ("
 
 def words(text: Column, unicode: bool = False) -> Column:
     """Words between white space; an empty array for null or blank texts."""
-    parts = F.split(F.coalesce(text, F.lit("")), UNICODE_SPACE if unicode else SPACE)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), UNICODE_SPACE if unicode else SPACE), "")
 
 
 def normal_space(text: Column) -> Column:

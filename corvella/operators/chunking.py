@@ -13,13 +13,13 @@ SIZE, STEP = 180, 140
 def chunk_windows(docs: DataFrame, size: int = SIZE, step: int = STEP, title: str = "source") -> DataFrame:
     """doc_id, chunk_ord, chunk_id, body, text: overlapping word windows; one starts every `step` words.
 
-    Documents without words have none. A projection: no shuffle.
+    Documents without words have none. A projection: no shuffle. A text is
+    split once and sliced into bodies, so a row carries its own body only.
     """
-    rows = docs.select("doc_id", F.col(title).alias("title"), T.words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    rows = rows.select("doc_id", "title", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step))).alias("at"))
-    ordinal = F.floor(F.col("at") / step).cast("long")
-    body = F.array_join(F.slice("words", F.col("at") + 1, size), " ")
-    return rows.select("doc_id", ordinal.alias("chunk_ord"), F.concat(F.col("doc_id").cast("string"), F.lit("__chunk"), ordinal.cast("string")).alias("chunk_id"), body.alias("body"), F.concat("title", F.lit("\n"), body).alias("text"))
+    bodies = F.transform(F.array(T.words(F.col("text"))), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda at: F.array_join(F.slice(w, at + 1, size), " "))))
+    rows = docs.select("doc_id", F.col(title).alias("title"), F.posexplode(F.element_at(bodies, 1)).alias("at", "body"))
+    ordinal = F.col("at").cast("long")
+    return rows.select("doc_id", ordinal.alias("chunk_ord"), F.concat(F.col("doc_id").cast("string"), F.lit("__chunk"), ordinal.cast("string")).alias("chunk_id"), "body", F.concat("title", F.lit("\n"), "body").alias("text"))
 
 
 def clause_rows(docs: DataFrame) -> DataFrame:

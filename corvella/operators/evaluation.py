@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corvella.functions import amounts
 
+from .stored import values_at
+
 
 def band(score: Column, hit: Column, green: float, red: float) -> Column:
     """green: score reaches it and the target wasn't missed; red: below; else yellow."""
@@ -45,13 +47,8 @@ def flips(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def positional_quantile(values: DataFrame, column: str, tenth: int) -> DataFrame:
-    """The value at index n * tenth div 10 of the sorted values, by counts of distinct values."""
-    from pyspark.sql import Window
-
-    counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("times"))
-    total = counts.agg(F.sum("times").alias("total"))
-    upto = counts.withColumn("upto", F.sum("times").over(Window.orderBy(column)))
-    return upto.join(F.broadcast(total)).where(F.col("upto") > F.expr(f"total * {tenth} div 10")).agg(F.min(column).alias("value"))
+    """The value at index n * tenth div 10 of the sorted values."""
+    return values_at(values, column, lambda n: [n * tenth // 10]).select("value")
 
 
 def best_in_group(pairs: DataFrame, group: list[str], item: str, score: str) -> DataFrame:

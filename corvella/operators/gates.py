@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.functions import text as T
 
 
-def stems(text) -> "F.Column":
+def stems(text: Column) -> Column:
     """Distinct folded words of three letters or more without marks."""
     return F.array_distinct(F.filter(F.transform(T.words(text), lambda w: F.lower(T.bare(w))), lambda w: F.length(w) >= 3))
 
@@ -17,17 +17,19 @@ def mirrors(texts: DataFrame, held: DataFrame, least: float) -> DataFrame:
     """id, other, jaccard of texts whose stem set is as close as `least` to a held one.
 
     A pair that close shares one of the (1 - least) * n + 1 rarest stems of
-    either set, so sets meet by an equi-join of those prefixes.
+    either set, so sets meet by an equi-join of those prefixes. Stems are rare
+    by their count among the held texts.
     """
     a = texts.select("id", stems(F.col("text")).alias("s")).where(F.size("s") > 0)
     b = held.select(F.col("id").alias("other"), stems(F.col("text")).alias("t")).where(F.size("t") > 0)
-    counts = a.select(F.explode("s").alias("w")).unionAll(b.select(F.explode("t").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = b.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(df: DataFrame, key: str, column: str) -> DataFrame:
+        # Stems that no held text has come first in the order and match nothing: only the others are ranked.
         size = F.size(column).alias("size")
         ranked = df.select(key, size, F.explode(column).alias("w")).join(counts, "w").groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
-        keep = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
-        return ranked.select(key, F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("p")).select(key, F.col("p.w").alias("w"))
+        keep = F.size("r") - F.ceil(F.col("size") * least - 1e-9) + 1
+        return ranked.where(keep > 0).select(key, F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("p")).select(key, F.col("p.w").alias("w"))
 
     pairs = prefix(a, "id", "s").join(prefix(b, "other", "t"), "w").select("id", "other").distinct()
     joined = pairs.join(a, "id").join(b, "other")

@@ -3,18 +3,21 @@
 A term matches a chunk where one of its forms stands anywhere in the chunk's
 folded text. Forms have no white space, so that is the case just where a word
 of the chunk contains a form. Distinct words are cut into substrings and met
-with the forms by an equi-join; no term is tried against every chunk.
+with the forms by an equi-join; no term is tried against every chunk, and chunk
+words meet only the words that hold a form. What terms hold is stored once and
+serves document frequencies and scores alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import amounts
 from corvella.functions import text as T
 
-LONGEST_FORM = 64
+from .stored import stored
+
 LEXICAL_SHARE = 0.25
 
 
@@ -23,10 +26,14 @@ def chunk_words(chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(T.words(T.fold(F.col("text"), rules)))).alias("word"))
 
 
-def vocabulary(chunks: DataFrame, rules: T.Rules = T.NO_RULES, least: int = 2) -> DataFrame:
-    """Distinct folded words without marks at their ends, of `least` letters or more."""
-    bare = F.transform(T.words(F.col("text")), lambda w: T.fold(T.bare(w), rules))
-    return chunks.select(F.explode(F.array_distinct(bare)).alias("word")).where(F.length("word") >= least).distinct()
+def raw_words(texts: DataFrame, column: str = "text") -> DataFrame:
+    """word: the distinct words of a text column, as they stand."""
+    return texts.select(F.explode(F.array_distinct(T.words(F.col(column)))).alias("word")).distinct()
+
+
+def vocabulary(texts: DataFrame, rules: T.Rules = T.NO_RULES, least: int = 2) -> DataFrame:
+    """Distinct folded words without marks at their ends, of `least` letters or more. texts: documents will do, as chunks hold no other words."""
+    return raw_words(texts).select(T.fold(T.bare(F.col("word")), rules).alias("word")).where(F.length("word") >= least).distinct()
 
 
 def query_terms(queries: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
@@ -36,58 +43,68 @@ def query_terms(queries: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
     return rows.select("query_id", "pos", F.array_join(F.array_sort("forms"), "|").alias("term"), "forms")
 
 
-def term_chunks(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
-    """term, chunk_id: where a form of the term stands in the chunk's folded text."""
+def words_with_terms(terms: DataFrame, kinds: DataFrame) -> DataFrame:
+    """term, word: the words (word, distinct and folded) that contain a form of the term."""
     forms = terms.select("term", F.explode("forms").alias("form")).distinct()
     sizes = forms.agg(F.collect_set(F.length("form")).alias("s")).first().s or []  # lengths: few
-    words = chunk_words(chunks, rules)
-    kinds = words.select("word").distinct()
-    pieces = F.flatten(F.array(*[F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), _piece(n))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)])) if sizes else F.array().cast("array<string>")
-    held = kinds.select("word", F.explode(F.array_distinct(pieces)).alias("form")).join(forms, "form").select("term", "word").distinct()
-    return words.join(held, "word").select("term", "chunk_id").distinct()
+    if not sizes:
+        return kinds.select(F.col("word").alias("term"), "word").limit(0)
+    # Pieces of each length of form, one explode a length and no array of arrays.
+    size = F.explode(F.array(*map(F.lit, sorted(sizes))))
+    cut = kinds.select("word", size.alias("n")).where(F.length("word") >= F.col("n"))
+    cut = cut.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("at"))
+    return cut.select("word", F.expr("substring(word, at, n)").alias("form")).join(forms, "form").select("term", "word").distinct()
 
 
-def _piece(n: int):
-    return lambda i: F.substring(F.col("word"), i, n)
+def term_chunks(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id: where a form of the term stands in the chunk's folded text.
 
+    texts: a table whose column text has all words of the chunks, such as the
+    documents that they were cut from; by default the chunks.
+    """
+    kinds = raw_words(chunks if texts is None else texts).select(T.fold(F.col("word"), rules).alias("word")).distinct()
+    return chunk_words(chunks, rules).join(words_with_terms(terms, kinds), "word").select("term", "chunk_id").distinct()
 
-def document_frequency(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
+
+def document_frequency(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:
     """term, df: the number of chunks that hold it, 0 included."""
-    found = term_chunks(terms, chunks, rules).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = term_chunks(terms, chunks, rules, texts).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return terms.select("term").distinct().join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
 
 
-def term_weights(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
+def term_weights(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    df = document_frequency(terms, chunks, rules)
+    df = document_frequency(terms, chunks, rules, texts)
     return df.join(F.broadcast(n)).select("term", "df", amounts.term_weight(F.col("df"), F.col("n")).alias("weight"))  # n: one row
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
+def lexical_scores(queries: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, overlap: the matched terms' weights over the number of terms; chunks without a match have no row."""
     terms = query_terms(queries, rules)
     per_query = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     counts = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = term_chunks(terms, chunks, rules)
+    hits = stored(term_chunks(terms, chunks, rules, texts))
     found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    weighted = counts.join(found, "term").join(F.broadcast(n)).select("query_id", "term", (F.col("times") * amounts.term_weight(F.col("df"), F.col("n"))).alias("w"))
+    weighted = counts.join(found, "term").join(F.broadcast(n)).select("query_id", "term", (F.col("times") * amounts.term_weight(F.col("df"), F.col("n"))).alias("w"))  # n: one row
     sums = hits.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("w"))  # weights are multiples of 0.25: sums are exact
     return sums.join(per_query, "query_id").select("query_id", "chunk_id", F.round(F.col("w") / F.col("n_terms"), 6).alias("overlap"))
 
 
-def unknown_terms(queries: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
+def unknown_terms(queries: DataFrame, texts: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
     """query_id, unknown: whether some term has no form in the vocabulary; false for an empty vocabulary."""
     terms = query_terms(queries, rules)
-    known = vocabulary(chunks, rules)
-    forms = terms.select("term", F.explode("forms").alias("form")).distinct().join(known, F.col("form") == F.col("word"), "left_semi").select("term").distinct().withColumn("known", F.lit(True))
+    known = vocabulary(texts, rules)
+    forms = terms.select("term", F.explode("forms").alias("form")).distinct()
+    held = stored(known.join(forms.select("form").distinct(), F.col("form") == F.col("word"), "left_semi"))
     some = known.limit(1).agg(F.count(F.lit(1)).alias("some"))
-    flags = terms.select("query_id", "term").join(forms, "term", "left").groupBy("query_id").agg(F.max(F.col("known").isNull()).alias("lacking"))
-    return queries.select("query_id").join(flags, "query_id", "left").join(F.broadcast(some)).select("query_id", (F.coalesce("lacking", F.lit(False)) & (F.col("some") > 0)).alias("unknown"))
+    ok = forms.join(held, F.col("form") == F.col("word"), "left_semi").select("term").distinct().withColumn("known", F.lit(True))
+    flags = terms.select("query_id", "term").join(ok, "term", "left").groupBy("query_id").agg(F.max(F.col("known").isNull()).alias("lacking"))
+    return queries.select("query_id").join(flags, "query_id", "left").join(F.broadcast(some)).select("query_id", (F.coalesce("lacking", F.lit(False)) & (F.col("some") > 0)).alias("unknown"))  # some: one row
 
 
-def per_query_top(rows: DataFrame, n: int, score: str, ties: list[str], cap: int | None = None, doc: str = "doc_id") -> DataFrame:
-    """The n best rows of each query_id, at most cap of a document; ties in ascending order. Adds rank."""
+def per_query_top(rows: DataFrame, n: int, score: str, ties: list[str | Column], cap: int | None = None, doc: str = "doc_id") -> DataFrame:
+    """The n best rows of each query_id, at most cap of a document; ties in ascending order. Adds rank. Tasks keep n (cap) rows each before the shuffle."""
     order = [F.desc(score), *ties]
     if cap is not None:
         rows = rows.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", doc).orderBy(*order))).where(F.col("_d") <= cap).drop("_d")

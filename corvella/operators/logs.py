@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from corvella.functions import text as T
 
 
 def device_days(log: DataFrame) -> DataFrame:
-    """device, day, n_questions, n_sessions, cost: first level of the device rollup. log: device, ts, session, role, cost."""
+    """device, day, n_questions: first level of the device rollup; blank devices are left out. log: device, ts."""
     return log.where("device IS NOT NULL AND device <> ''").groupBy("device", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n_questions"))
 
 
@@ -81,13 +81,18 @@ def two_quotas(log: DataFrame, user_cap: int, global_cap: int) -> DataFrame:
 
     Rejected requests use up nothing, so up to the moment at which global_cap
     requests of the day have passed the user's own cap alone decides, and from
-    then on all are rejected as global: two windows give the fold's result. The
-    window over a day only holds (ts, seq, pass); it spills and keeps one sum.
+    then on all are rejected as global. Passes are counted by minute, then
+    within each minute, so a day with a third of all rows is no single task's.
     """
-    day = F.to_date("ts")
-    passed = user_quota(log, user_cap).withColumn("day", day).withColumn("passes", (F.col("verdict") == "ok").cast("int"))
-    before = F.coalesce(F.sum("passes").over(Window.partitionBy("day").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return passed.withColumn("before", before).withColumn("verdict", F.when(F.col("before") >= global_cap, "global").otherwise(F.col("verdict"))).drop("day", "passes", "before")
+    minute = F.date_trunc("minute", "ts")
+    passed = user_quota(log, user_cap).withColumns({"day": F.to_date("ts"), "minute": minute, "passes": (F.col("verdict") == "ok").cast("int")})
+    minutes = passed.groupBy("day", "minute").agg(F.sum("passes").alias("n"))  # 1440 rows a day at most
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = minutes.select(F.col("minute").alias("_minute"), earlier.alias("earlier"))
+    inside = F.coalesce(F.sum("passes").over(Window.partitionBy("minute").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = passed.withColumn("before", inside).join(minutes, F.col("minute") == F.col("_minute"))
+    verdict = F.when(F.col("before") + F.col("earlier") >= global_cap, "global").otherwise(F.col("verdict"))
+    return joined.withColumn("verdict", verdict).drop("day", "minute", "_minute", "passes", "before", "earlier")
 
 
 def newest(log: DataFrame, n: int = 200) -> DataFrame:
@@ -115,24 +120,24 @@ def triage(questions: DataFrame, vocabulary: DataFrame, doc_words: DataFrame, n_
     return out.select("query_id", F.when(F.col("unknown"), "corpus").when(F.coalesce("got", F.lit(True)), "answer").otherwise("retrieval").alias("cause"))
 
 
-def spend_ceiling(entries: DataFrame, ceiling: float) -> DataFrame:
-    """day, id, accepted: whether a reservation still fits under the day's ceiling; only accepted ones count.
+def spend_ceiling(entries: DataFrame, ceiling: int) -> DataFrame:
+    """day, id, accepted: whether a reservation (whole cents) still fits under the day's ceiling; only accepted ones count.
 
     An order-dependent fold: rows stream through one task a day in order, and
-    only the running sum is held.
+    only the running sum is held. entries: day, ts, id, estimate.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        day, spent = None, 0.0
-        for f in frames:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, spent = None, 0
+        for b in batches:
             taken = []
-            for d, amount in zip(f["day"], f["estimate"]):
+            for d, amount in zip(b.column("day").to_pylist(), b.column("estimate").to_pylist()):
                 if d != day:
-                    day, spent = d, 0.0
-                ok = spent + amount <= ceiling
-                spent += amount if ok else 0.0
+                    day, spent = d, 0
+                ok = amount is not None and spent + amount <= ceiling
+                spent += amount if ok else 0
                 taken.append(ok)
-            yield pd.DataFrame({"day": f["day"], "id": f["id"], "accepted": taken})
+            yield pa.record_batch({"day": b.column("day"), "id": b.column("id"), "accepted": pa.array(taken, pa.bool_())})
 
-    rows = entries.select("day", "ts", "id", "estimate").repartition("day").sortWithinPartitions("day", "ts", "id")
-    return rows.mapInPandas(fold, "day date, id long, accepted boolean")
+    rows = entries.select("day", "ts", "id", F.col("estimate").cast("long").alias("estimate")).repartition("day").sortWithinPartitions("day", "ts", "id")
+    return rows.select("day", "id", "estimate").mapInArrow(fold, "day date, id long, accepted boolean")

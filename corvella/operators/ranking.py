@@ -23,13 +23,25 @@ def capped(hits: DataFrame, cap: int = 4) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(_best_first()))
 
 
+def _top(hits: DataFrame, n: int, cap: int) -> DataFrame:
+    """The best n of the capped rows; tasks keep cap a document and n a query before each shuffle."""
+    return capped(hits, cap).where(F.col("rank") <= n)
+
+
 def winner_depth(hits: DataFrame, n: int = 8, cap: int = 4, depth: int = 4) -> DataFrame:
     """The best n rows, with up to `depth` rows of the leading document.
 
     Rows of other documents at the end of the list give way to further rows of
     the leader, as many as it lacks and has. rank is that of the final order.
     """
-    rows = capped(hits, cap)
+    top = _top(hits, n, cap)
+    leader = top.where("rank = 1").select(F.col("query_id").alias("_q"), F.col("doc_id").alias("_lead"))
+    # Beyond the best n only the leader's own rows matter: cap of them at most.
+    own = hits.join(leader, (F.col("query_id") == F.col("_q")) & F.col("doc_id").eqNullSafe(F.col("_lead")), "left_semi")
+    own = own.withColumn("_d", F.row_number().over(_best_first("doc_id"))).where(F.col("_d") <= cap).drop("_d")
+    beyond = own.join(top.select(F.col("query_id").alias("_q"), F.col("row_id").alias("_r")), (F.col("query_id") == F.col("_q")) & (F.col("row_id") == F.col("_r")), "left_anti")
+    beyond = beyond.withColumn("rank", F.row_number().over(_best_first()) + n)
+    rows = top.unionByName(beyond)
     q = Window.partitionBy("query_id")
     rows = rows.withColumn("leads", F.first("doc_id").over(q.orderBy("rank")).eqNullSafe(F.col("doc_id")))
     inside = F.col("rank") <= n

@@ -9,7 +9,7 @@ from corvella.functions import amounts, dates
 from corvella.functions import text as T
 from corvella.operators import diff, dims, gates
 
-from .inputs import table
+from .inputs import documents, table
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines that mirror a benchmark item."""
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text")).distinct()
+    lines = documents(spark, sf_dir, "text").select(F.explode(F.split("text", "\n")).alias("text")).distinct()
     items = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).distinct()
     found = gates.mirrors(lines.select(F.sha1("text").alias("id"), "text"), items.select(F.sha1("text").alias("id"), "text"), 0.55)
     return found

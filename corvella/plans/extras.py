@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corvella.functions import dates
 from corvella.functions import text as T
-from corvella.operators import chunking, extraction, sampling
+from corvella.operators import chunking, extraction, gates, sampling
+from corvella.operators.stored import quantiles
 
 from .inputs import WINDOWS_SQL, table
 
@@ -95,9 +96,7 @@ def boilerplate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvella.operators import gates
-
-    return gates.ocr_rate(table(spark, sf_dir, "documents")).agg(F.round(F.median("per_thousand"), 6).alias("median_rate"))
+    return quantiles(gates.ocr_rate(table(spark, sf_dir, "documents")), "per_thousand", [0.5]).select(F.round("value", 6).alias("median_rate"))
 
 
 def model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:

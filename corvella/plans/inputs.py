@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvella.operators import dense
+from corvella.operators.stored import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents, spread over the cores where the file has fewer splits."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All embeddings as rows, and those whose id is divisible by 100 as queries."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding", F.col("label").alias("doc_id"))

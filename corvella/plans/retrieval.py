@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvella.functions import text as T
 from corvella.operators import chunking, dense, index, ranking
 
-from .inputs import HITS_SQL, WINDOWS_SQL, hits, table, vectors
+from .inputs import HITS_SQL, WINDOWS_SQL, documents, hits, table, vectors
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,13 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_windows(table(spark, sf_dir, "documents"))
+    return chunking.chunk_windows(documents(spark, sf_dir, "source", "text"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all chunks: titles and texts of documents with words."""
+    docs = documents(spark, sf_dir, "source", "text").where(F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    return docs.select(F.concat("source", F.lit("\n"), "text").alias("text"))
 
 
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,24 +35,24 @@ def anchor_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.vocabulary(_chunks(spark, sf_dir))
+    return index.vocabulary(_texts(spark, sf_dir))
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.document_frequency(index.query_terms(_queries(spark, sf_dir)), _chunks(spark, sf_dir))
+    return index.document_frequency(index.query_terms(_queries(spark, sf_dir)), _chunks(spark, sf_dir), texts=_texts(spark, sf_dir))
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_weights(index.query_terms(_queries(spark, sf_dir)), _chunks(spark, sf_dir))
+    return index.term_weights(index.query_terms(_queries(spark, sf_dir)), _chunks(spark, sf_dir), texts=_texts(spark, sf_dir))
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = index.lexical_scores(_queries(spark, sf_dir), _chunks(spark, sf_dir)).withColumn("doc_id", F.element_at(F.split("chunk_id", "__"), 1))
+    scored = index.lexical_scores(_queries(spark, sf_dir), _chunks(spark, sf_dir), texts=_texts(spark, sf_dir)).withColumn("doc_id", F.element_at(F.split("chunk_id", "__"), 1))
     return index.per_query_top(scored, 8, "overlap", ["chunk_id"], cap=4).select("query_id", "rank", "doc_id", "chunk_id", "overlap")
 
 
 def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.unknown_terms(_queries(spark, sf_dir), _chunks(spark, sf_dir))
+    return index.unknown_terms(_queries(spark, sf_dir), _texts(spark, sf_dir))
 
 
 def scope_semi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvella.functions import amounts
 from corvella.functions import text as T
 from corvella.operators import conversations, dims, evaluation, index, logs
+from corvella.operators.stored import quantiles
 
 from .inputs import HITS_SQL, hits, table
 
@@ -67,8 +68,9 @@ def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spend_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _log(spark, sf_dir).select(F.to_date("ts").alias("day"), "ts", F.col("seq").alias("id"), F.col("cost").alias("estimate"))
-    return logs.spend_ceiling(e, 500.0)
+    cents = F.round(F.col("cost") * 100).cast("long")
+    e = _log(spark, sf_dir).select(F.to_date("ts").alias("day"), "ts", F.col("seq").alias("id"), cents.alias("estimate"))
+    return logs.spend_ceiling(e, 50_000).select(F.col("day").cast("string").alias("day"), "id", "accepted")
 
 
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +131,7 @@ def flip_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = hits(spark, sf_dir).agg(F.percentile("score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    return p.select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    return quantiles(hits(spark, sf_dir), "score", [0.1, 0.5, 0.9]).select("share", F.round("value", 6).alias("value"))
 
 
 def positional_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,12 @@ WITH {_GRADED}, c AS (SELECT lang, sum(quality)::BIGINT AS hits, count(*) AS n F
 m AS (SELECT *, hits::DOUBLE / n AS p, 1.96::DOUBLE AS z FROM c), h AS (SELECT *, p + z * z / 2 / n AS mid, z * sqrt(p * (1 - p) / n + z * z / 4 / (n::DOUBLE * n)) AS half, 1 + z * z / n AS scale FROM m)
 SELECT lang, hits, n, round(greatest(0.0::DOUBLE, (mid - half) / scale), 6) AS low, round(least(1.0::DOUBLE, (mid + half) / scale), 6) AS high FROM h""",
     "flip_matrix": f"WITH {_GRADED} SELECT quality AS before, toxic AS after, count(*) AS n FROM graded GROUP BY 1, 2",
-    "score_quantiles": f"WITH {HITS_SQL} SELECT round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90 FROM hits",
+    "score_quantiles": f"WITH {HITS_SQL} SELECT share, round(v, 6) AS value FROM (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS share, unnest(quantile_cont(score, [0.1, 0.5, 0.9])) AS v FROM hits)",
+    "spend_ceiling": f"""
+WITH RECURSIVE {_LOG}, e AS MATERIALIZED (SELECT d, seq AS id, round(cost * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY d ORDER BY ts, seq) AS n FROM log),
+f AS (SELECT d, id, n, cents <= 50000 AS accepted, CASE WHEN cents <= 50000 THEN cents ELSE 0 END AS spent FROM e WHERE n = 1
+  UNION ALL SELECT e.d, e.id, e.n, f.spent + e.cents <= 50000, f.spent + CASE WHEN f.spent + e.cents <= 50000 THEN e.cents ELSE 0 END FROM f JOIN e ON e.d = f.d AND e.n = f.n + 1)
+SELECT d::VARCHAR AS day, id, accepted FROM f""",
     "positional_quantile": "WITH s AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT n_chars AS value FROM s WHERE i = n * 5 // 10",
     "anchor_coverage": f"""
 WITH {HITS_SQL}, own AS (SELECT vec_id AS query_id, label FROM embeddings), p AS (SELECT h.* FROM hits h JOIN own ON own.query_id = h.query_id AND own.label = h.doc_id WHERE h.row_id <> h.query_id)
