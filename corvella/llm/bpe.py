@@ -68,6 +68,7 @@ def _range(written: str) -> range:
 _AS_SIGN = {c: "!" for r in SIGNS for c in _range(r)}
 _NEW_SIGN = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in SIGNS) + "]")
 _SMALL = {c: int(b, 16) + i for a, b in (p.split() for p in CAPITALS) for i, c in enumerate(_range(a))}
+_PERHAPS_NEW = re.compile("[\u0558-\U0010ffff]")  # one range is tested fast; most texts go no further
 _NEW_CAPITAL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
 
 
@@ -319,7 +320,7 @@ class Bpe:
     def _stretches(text: str) -> list[str]:
         # Lower case goes by single characters, without the rule for a final sigma.
         text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        if _NEW_CAPITAL.search(text):
+        if _PERHAPS_NEW.search(text) and _NEW_CAPITAL.search(text):
             text = text.translate(_SMALL)
         # str.split would also cut at four control characters that are no white space.
         return _NO_SPACE.findall(text) if _CONTROL.search(text) else text.split()
@@ -327,7 +328,7 @@ class Bpe:
     def _pieces(self, chunk: str) -> list[str] | tuple[str]:
         if self.whole_letters and chunk.isalpha():
             return (chunk,)
-        if _NEW_SIGN.search(chunk):
+        if _PERHAPS_NEW.search(chunk) and _NEW_SIGN.search(chunk):
             return [chunk[slice(*m.span())] for m in self.pattern.finditer(chunk.translate(_AS_SIGN))]
         return self.pattern.findall(chunk)
 
