@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from .cluster import shared
 
 
+SALTS = 16
+
+
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """Points each neighbour of a node (larger ones, or smaller ones and itself) at the least of them.
 
-    The least neighbour is an aggregate joined back, so a hub's neighbours may
-    be split over tasks.
+    The least neighbour is an aggregate joined back on (hub, salt of the
+    neighbour), so a hub's neighbours are spread over SALTS tasks.
     """
     if larger:
         edges = edges.union(edges.select("b", "a"))
     least = edges.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("low"))
     least = least.select("hub", F.least("hub", "low").alias("low"))
-    joined = edges.join(least, edges.a == least.hub)
+    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(least.select("hub", "low", salts.alias("of")), (F.col("a") == F.col("hub")) & (F.col("salt") == F.col("of")))
     if larger:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     other = joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
