@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvella.functions import amounts
 from corvella.functions import text as T
 
-from .stored import stored
+from .stored import sent_if_small, stored
 
 LEXICAL_SHARE = 0.25
 
@@ -26,14 +26,10 @@ def chunk_words(chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(T.words(T.fold(F.col("text"), rules)))).alias("word"))
 
 
-def raw_words(texts: DataFrame, column: str = "text") -> DataFrame:
-    """word: the distinct words of a text column, as they stand."""
-    return texts.select(F.explode(F.array_distinct(T.words(F.col(column)))).alias("word")).distinct()
-
-
 def vocabulary(texts: DataFrame, rules: T.Rules = T.NO_RULES, least: int = 2) -> DataFrame:
     """Distinct folded words without marks at their ends, of `least` letters or more. texts: documents will do, as chunks hold no other words."""
-    return raw_words(texts).select(T.fold(T.bare(F.col("word")), rules).alias("word")).where(F.length("word") >= least).distinct()
+    words = texts.select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    return words.select(T.fold(T.bare(F.col("word")), rules).alias("word")).where(F.length("word") >= least).distinct()
 
 
 def query_terms(queries: DataFrame, rules: T.Rules = T.NO_RULES) -> DataFrame:
@@ -53,7 +49,8 @@ def words_with_terms(terms: DataFrame, kinds: DataFrame) -> DataFrame:
     size = F.explode(F.array(*map(F.lit, sorted(sizes))))
     cut = kinds.select("word", size.alias("n")).where(F.length("word") >= F.col("n"))
     cut = cut.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("at"))
-    return cut.select("word", F.expr("substring(word, at, n)").alias("form")).join(forms, "form").select("term", "word").distinct()
+    pieces = cut.select("word", F.expr("substring(word, at, n)").alias("form"))
+    return pieces.join(sent_if_small(forms, "form", "term"), "form").select("term", "word").distinct()
 
 
 def term_chunks(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:
@@ -62,8 +59,10 @@ def term_chunks(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES
     texts: a table whose column text has all words of the chunks, such as the
     documents that they were cut from; by default the chunks.
     """
-    kinds = raw_words(chunks if texts is None else texts).select(T.fold(F.col("word"), rules).alias("word")).distinct()
-    return chunk_words(chunks, rules).join(words_with_terms(terms, kinds), "word").select("term", "chunk_id").distinct()
+    source = chunks if texts is None else texts
+    kinds = source.select(F.explode(F.array_distinct(T.words(T.fold(F.col("text"), rules)))).alias("word")).distinct()
+    held = stored(words_with_terms(terms, kinds))
+    return chunk_words(chunks, rules).join(sent_if_small(held, "word", "term"), "word").select("term", "chunk_id").distinct()
 
 
 def document_frequency(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:

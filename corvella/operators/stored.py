@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_SENT = 64 << 20  # bytes that a checked table may have to be broadcast
 MOST_IN_A_TASK = 1_000_000  # distinct values that one window may order
 
 
@@ -29,6 +30,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def sent_if_small(df: DataFrame, *texts: str, most_bytes: int = MOST_SENT) -> DataFrame:
+    """df to be broadcast if its rows and text columns take most_bytes at most; else left to a shuffle join."""
+    size = df.agg(F.sum(F.lit(32) + sum((F.octet_length(c) for c in texts), F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def values_at(values: DataFrame, column: str, places: Callable[[int], list[int]], most: int = MOST_IN_A_TASK) -> DataFrame:
     """place, value: the values at 0-based places of the sorted column, nulls left out; places: from their number.
 
