@@ -207,8 +207,8 @@ def bucket_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def labelled(nodes: DataFrame, distance: int) -> DataFrame:
     """fp, node and component (the least node linked, itself included) of distinct fingerprints (fp, node)."""
-    member = components(bucket_links(nodes, distance)).select(F.col("node.fp").alias("of"), "component")
-    return nodes.join(member, nodes.fp == member.of, "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
+    member = components(bucket_links(nodes.select("fp", "node"), distance)).select(F.col("node.fp").alias("of"), "component")
+    return nodes.select("fp", "node").join(member, nodes.fp == member.of, "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
@@ -222,9 +222,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     """
     prints = shared(fingerprints(docs, size).select("doc_id", "fp"))
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    nodes = shared(prints.groupBy("fp").agg(owner.alias("o")).select("fp", F.struct("o.no_id", "o.doc_id", "fp").alias("node")))
-    smallest = labelled(nodes, distance).select(F.col("fp").alias("of"), F.col("component.doc_id").alias("component_id"))
-    return prints.join(smallest, prints.fp == smallest.of, "left").select("doc_id", "fp", "component_id")
+    nodes = shared(prints.groupBy("fp").agg(owner.alias("o"), F.count(F.lit(1)).alias("rows")).select("fp", F.struct("o.no_id", "o.doc_id", "fp").alias("node"), "rows"))
+    smallest = shared(labelled(nodes, distance).select(F.col("fp").alias("of"), F.col("component.doc_id").alias("component_id")))
+    # Fingerprints of a thousandth of the rows or more, so a thousand of them at most, are sent to all tasks; the others are joined by shuffle.
+    often = nodes.where(F.col("rows") >= max(100, prints.count() / 1000)).select(F.col("fp").alias("often"))
+    hot = F.broadcast(smallest.join(F.broadcast(often), F.col("of") == F.col("often"), "left_semi"))
+    rare = prints.join(hot, prints.fp == hot.of, "left_anti").join(smallest, prints.fp == smallest.of, "left")
+    return prints.join(hot, prints.fp == hot.of).select("doc_id", "fp", "component_id").unionAll(rare.select("doc_id", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
