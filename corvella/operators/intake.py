@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def file_number(name: Column) -> Column:
-    """The number NN.NNNN that a file name carries, or null: the first run of five or six digits, else one or two digits and four more across a mark."""
-    whole = F.regexp_extract(name, r"(?<![0-9])([0-9]{5,6})(?![0-9])", 1)
-    head = F.regexp_extract(name, r"(?<![0-9])([0-9]{1,2})[-_. ]([0-9]{4})(?![0-9])", 1)
-    tail = F.regexp_extract(name, r"(?<![0-9])([0-9]{1,2})[-_. ]([0-9]{4})(?![0-9])", 2)
-    front = F.when(whole != "", F.left(whole, F.length(whole) - 4)).otherwise(head)
-    back = F.when(whole != "", F.right(whole, F.lit(4))).otherwise(tail)
-    return F.when(back != "", F.concat(F.lpad(front, 2, "0"), F.lit("."), back))
+def file_number(file_name: Column) -> Column:
+    """The order number that a file name carries, as N.NNNN without leading zeros, or null.
+
+    Of the runs of digits in the name (less .pdf) the first counts if it has
+    five or six digits; or the first two together, if they have two at most and
+    four.
+    """
+    runs = F.regexp_extract_all(F.regexp_replace(file_name, r"(?i)\.pdf$", ""), F.lit("[0-9]+"), F.lit(0))
+    one, two = F.get(runs, F.lit(0)), F.get(runs, F.lit(1))
+    digits = F.when(F.length(one).isin(5, 6), one).when((F.length(one) <= 2) & (F.length(two) == 4), F.concat(one, two))
+    head = F.ltrim(F.left(digits, F.length(digits) - 4), F.lit("0"))
+    return F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), F.right(digits, F.lit(4)))
 
 
-def suspicious_id(document_id: Column, file_name: Column) -> Column:
-    """Whether a document's id is not to be trusted: none, no number in it, or another number than its file's."""
-    own, of_file = file_number(document_id), file_number(file_name)
-    return document_id.isNull() | own.isNull() | (of_file.isNotNull() & (own != of_file))
+def suspicious_id(document_id: Column, file_name: Column, prefix: str = "PM-") -> Column:
+    """Whether a document's id is another number than its file's; files without a number can't tell."""
+    own, want = F.ltrim(F.replace(document_id, F.lit(prefix), F.lit("")), F.lit("0")), file_number(file_name)
+    return F.coalesce((own != want) & (own != F.replace(want, F.lit("."), F.lit(""))), F.lit(False))
 
 
 def new_ids(after: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -79,15 +83,16 @@ def clause_reference(label: Column) -> Column:
     return F.when(number != "", F.struct(number.cast("int").alias("number"), sub.alias("sub")))
 
 
-def snapshot_status(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """key, status of each page of two snapshots (key, digest, page_status, n_errors), the first that holds: error (any fetch error), page-error (status 400 and up), new, gone, changed, ok."""
-    b = before.select(F.col(key).alias("_b"), F.col("digest").alias("_old"))
-    a = after.select(F.col(key).alias("_a"), F.col("digest").alias("_new"), "page_status", "n_errors")
-    status = (
-        F.when(F.col("n_errors") > 0, "error").when(F.col("page_status") >= 400, "page-error").when(F.col("_b").isNull(), "new")
-        .when(F.col("_a").isNull(), "gone").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed").otherwise("ok")
-    )
-    return b.join(a, F.col("_b") == F.col("_a"), "full_outer").select(F.coalesce("_b", "_a").alias(key), status.alias("status"))
+def snapshot_status(baseline: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """key, status of each baseline page (digest), the first that holds in the current snapshot (digest, page_status, n_errors).
+
+    error: it had errors. page-error: it isn't there or its status isn't 200.
+    changed: another digest. ok: else.
+    """
+    b = baseline.select(F.col(key), F.col("digest").alias("_old"))
+    c = current.select(F.col(key).alias("_c"), F.col("digest").alias("_new"), "page_status", "n_errors")
+    status = F.when(F.col("n_errors") > 0, "error").when(~F.col("page_status").eqNullSafe(F.lit(200)), "page-error").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed").otherwise("ok")
+    return b.join(c, F.col(key) == F.col("_c"), "left").select(key, status.alias("status"))
 
 
 def owned(links: DataFrame, held: DataFrame, digits: str) -> DataFrame:
@@ -96,6 +101,6 @@ def owned(links: DataFrame, held: DataFrame, digits: str) -> DataFrame:
     return links.join(mine, F.col(digits) == F.col("_d"), "left").withColumn("owned", F.coalesce("_m", F.lit(False))).drop("_d", "_m")
 
 
-def storage_status(remote: Column, remote_ok: Column, local: Column) -> Column:
-    """remote, remote-failing, local or none: where a log is kept."""
-    return F.when(remote & remote_ok, "remote").when(remote, "remote-failing").when(local, "local").otherwise("none")
+def storage_status(configured: Column, last: Column) -> Column:
+    """not_configured, ok or error as the last write went, or configured where nothing was written yet."""
+    return F.when(~configured, "not_configured").when(last.isin("ok", "error"), last).otherwise("configured")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def registered() -> dict[str, tuple]:
     """name -> (query, SQL or None)."""
-    from . import checks, extras, retrieval, usage
+    from . import checks, corpus, extras, retrieval, usage
 
-    modules = (retrieval, usage, checks, extras)
+    modules = (retrieval, usage, checks, extras, corpus)
     return {name: (query, m.ORACLE_SQL.get(name)) for m in modules for name, query in m.QUERIES.items()}
