@@ -65,6 +65,73 @@ def test_every_text_with_words_has_a_signature():
     assert fingerprints.likeness(np.arange(10), np.arange(100), at_least=0.5) == 0.0
 
 
+def naive_signatures(text):
+    """Chains of two content words after each common word and at the start; word pairs where common words are rare."""
+    words = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower())
+    common = [w in fingerprints.ANCHORS for w in words]
+    bare = all(common)
+    content = [i for i, c in enumerate(common) if bare or not c]
+    spots = [(words[i], i + 1) for i, c in enumerate(common) if c] + ([("", 0)] if words else [])
+    chains = {(w, *[words[i] for i in content if i >= at][: fingerprints.CHAIN]) for w, at in spots}
+    found = {c for c in chains if len(c) > 1}
+    if sum(common) * fingerprints.SPARSE < len(words):
+        found |= {("pair", a, b) for a, b in zip(words, words[1:])}
+    return found
+
+
+def test_signatures_against_naive():
+    rng = random.Random(8)
+    texts = ["", "the of and", "x", "one two three", " ".join(f"w{i}" for i in range(50)), "the a the b the c d", "w " * 30]
+    texts += [" ".join(rng.choices(["the", "of", "und", "alpha", "beta", "gamma", "delta", "rho"], k=rng.randint(1, 60))) for _ in range(60)]
+    got = fingerprints.signature_sets(texts)
+    want = [naive_signatures(t) for t in texts]
+    assert [len(s) for s in got] == [len(w) for w in want]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(want[i] & want[j])
+            assert len(np.intersect1d(got[i], got[j])) == both
+
+
+def test_near_duplicates_against_brute_force(docs_of, messy, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(300)] + ["the", "of", "and"] * 40
+    rows = list(messy)
+    for g in range(25):
+        text = rng.choices(vocab, k=rng.randint(20, 200))
+        for k in range(rng.randint(1, 6)):
+            copy = list(text)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            rows.append((100 + 10 * g + k, " ".join(copy)))
+    sets = fingerprints.signature_sets([t or "" for _, t in rows])
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and fingerprints.likeness(sets[i], sets[j]) >= 0.8 - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    least = {}
+    for (i, _), l in zip(rows, label):
+        if i is not None:
+            least[l] = min(least.get(l, i), i)
+    want = Counter((i, least.get(l)) for (i, _), l in zip(rows, label))
+    assert len(set(label)) < len(rows) - 20
+    for tile in (2000, 2):
+        monkeypatch.setattr(fingerprints, "TILE", tile)
+        assert Counter(tuple(r) for r in fingerprints.near_duplicates(docs_of(rows)).collect()) == want
+    assert fingerprints.near_duplicates(docs_of(rows).limit(0)).count() == 0
+
+
+def test_length_partitions_adjoin():
+    bounds = np.array(fingerprints.length_bounds(1, 5000, 0.8))
+    for a in range(1, 4000):
+        b = int(a / 0.8)
+        assert np.searchsorted(bounds, b, "right") - np.searchsorted(bounds, a, "right") <= 1
+
+
 # BPE
 
 
