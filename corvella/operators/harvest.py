@@ -8,40 +8,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_YEAR = 1948
-D, Y4, Y2 = r"([0-9]{1,2})", r"([0-9]{4})", r"([0-9]{2})"
 
 
 @dataclass(frozen=True)
 class Wording:
-    """months: names in order. glue: a letter that may join month and year. clause: before a number that is no day.
-    markers: (text, name) in order of precedence. keyword: makes a line a marker line. classified: lines that say nothing about updates.
-    spill: makes a marker line's following short date lines part of its window."""
+    """months: (name, number). glue: the letter that joins day, month and year. letters: a class of letters that a month's name doesn't follow.
+    clause: before a number that is no day. markers: (text, name) in order of precedence. keyword: makes a line a marker line.
+    classified: in lines that say nothing about updates. spill: makes a marker line's following date lines part of its window. dated: words in such lines."""
 
-    months: tuple[str, ...]
+    months: tuple[tuple[str, int], ...]
     glue: str
+    letters: str
     clause: str
     markers: tuple[tuple[str, str], ...]
     keyword: str
     classified: str
     spill: str
+    dated: str
 
 
-# Hebrew month names, marker words and the names of their kinds.
+# Hebrew month names with short forms, marker words and the names of their kinds.
 HEBREW = Wording(
-    ("ינואר", "פברואר", "מרץ", "אפריל", "מאי", "יוני", "יולי", "אוגוסט", "ספטמבר", "אוקטובר", "נובמבר", "דצמבר"),
+    (
+        ("ינואר", 1), ("פברואר", 2), ("מרס", 3), ("מרץ", 3), ("מארס", 3), ("אפריל", 4), ("מאי", 5), ("יוני", 6), ("יולי", 7), ("אוגוסט", 8), ("ספטמבר", 9), ("אוקטובר", 10), ("נובמבר", 11), ("דצמבר", 12),
+        ("ינו", 1), ("פבר", 2), ("אפר", 4), ("יונ", 6), ("יול", 7), ("אוג", 8), ("ספט", 9), ("אוק", 10), ("נוב", 11), ("דצמ", 12),
+    ),
     "ב",
+    "א-ת",
     r"סעי[פף](?:ים)?(?:\s*(?:קטן|משנה))?\s*$",
     (
         ("תאריכי עדכון", "update-dates-list"), ("עדכון הפקודה", "update-dates-list"), ("עודכנ", "updated-line"), ("עודכן", "updated-line"),
         ("תוקן", "amended-clause"), ("תוקנ", "amended-clause"), ("בוטל", "cancelled-clause"), ("בחוזר תיקונים", "tikkunim-circular"),
         ("תוקף", "tokef-clause"), ("פורס", "published-line"), ("נוסח פקודה", "published-line"), ("מהדורה", "edition-line"),
     ),
-    "עודכ|תוק|עדכון|בוטל|פורס|נוסח|מהדורה",
+    r"תאריכי עדכון|עדכון הפקודה|נוסח פקודה|(?<![א-ת])פורס[מם]|עודכנ|עודכן|תוקף|תוקן|תוקנ|בוטל|מהדורה|בחוזר תיקונים",
     "סיווג",
-    "תאריכי עדכון|עדכון הפקודה",
+    r"פורסם ב\s*מאגר|תאריכי עדכון|עדכון הפקודה",
+    r"בתאר\s*יך\s*[0-9]{0,2}",
 )
 
 
+def _names(w: Wording) -> str:
+    return "|".join(sorted((n for n, _ in w.months), key=len, reverse=True))
+
+
 def two_digit_year(yy: Column, pivot: int = 27) -> Column:
     return F.when(yy <= pivot, yy + 2000).otherwise(yy + 1900)
 
@@ -59,58 +69,52 @@ def rescued_year(token: Column, today: Column) -> Column:
 def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFrame:
     """windows (text, marker, two_digit) with each real date in text, not after today: date, day_known, raw, marker.
 
-    Seven forms: d.m.y (also / and -), d month y, y month d, month y, month-y
-    glued, and, where two_digit says so, d month yy and month yy (over 27). A
-    number behind the word for a clause is no day; dates of turned years have
-    no day.
+    Seven forms: d.m.y; day, month and year; year, month and perhaps day; month
+    and year with the joining letter, or without it; and, where two_digit says
+    so, day, month and two digits, or month and two digits (over 27). A number
+    behind the word for a clause is no day; dates of turned years have no day.
     """
-    month = "(" + "|".join(w.months) + ")"
+    month, d = f"({_names(w)})", "([0-9]{1,2})"
+    # Each pattern's first group is what stands before; then day, month, year in the order given.
     forms = [
-        ("dotted", rf"(?<![0-9.])()({D}[./-]{D}[./-](?:{Y4}|{Y2}))(?![0-9])"),
-        ("day", rf"(.{{0,20}})(?<![0-9]){D}\s*{w.glue}?{month}\s*,?\s*{Y4}(?![0-9])"),
-        ("year", rf"()(?<![0-9]){Y4}\s*{w.glue}?{month}(?:\s*{D}(?![0-9]))?"),
-        ("month", rf"()(?<![0-9])(?<![0-9]\s)(?<!{w.glue}){w.glue}?{month}\s*,?\s*{Y4}(?![0-9])"),
-        ("glued", rf"()(?<![0-9])(?<![0-9]\s)(?<!{w.glue}){w.glue}?{month}[-–]{Y4}(?![0-9])"),
-        ("day2", rf"(.{{0,20}})(?<![0-9]){D}\s*{w.glue}?{month}\s+'?{Y2}(?![0-9])"),
-        ("month2", rf"()(?<![0-9])(?<![0-9]\s)(?<!{w.glue}){w.glue}?{month}\s+'?{Y2}(?![0-9])"),
+        ("dmy", "", rf"()(?<![0-9.]){d}[./]{d}[./]([0-9]{{2,4}})(?![0-9.])"),
+        ("dmy", "year", rf"(.{{0,25}})(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("ymd", "year", rf"()(?<![0-9])([0-9]{{4}})\s*{w.glue}?{month}\s*{d}?(?![0-9])"),
+        ("my", "year", rf"(){w.glue}{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("my", "year", rf"()(?<![{w.letters}]){month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("dmy", "two", rf"(.{{0,25}})(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{2}})(?![0-9.])"),
+        ("my", "two", rf"()(?<![{w.letters}]){w.glue}?{month}['׳]?\s*([0-9]{{2}})(?![0-9.])"),
     ]
     found = None
-    for name, pattern in forms:
-        raw = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        rows = windows.withColumn("raw", F.explode(raw))
-        if name in ("day2", "month2"):
+    for order, years, pattern in forms:
+        rows = windows.withColumn("raw", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
+        if years == "two":
             rows = rows.where("two_digit")
-        g = [F.regexp_extract("raw", pattern, i) for i in range(7)]
-        none = F.lit(None).cast("int")
-        said = F.lit("")
-        if name == "dotted":
-            d, m, y = g[3].cast("int"), g[4].cast("int"), F.when(g[5] != "", g[5].cast("int")).otherwise(two_digit_year(g[6].cast("int")))
-        elif name in ("month2", "day2"):
-            mi = 2 if name == "month2" else 3
-            m, yy = _month(g[mi], w), g[mi + 1].cast("int")
-            y = two_digit_year(yy) if name == "day2" else F.when(yy >= 28, yy + 1900)
-            d = none if name == "month2" else F.when(~g[1].rlike(w.clause), g[2].cast("int"))
-            said = F.lit(";2digit-year")
+        part = {c: F.regexp_extract("raw", pattern, i + 2) for i, c in enumerate(order)}
+        before = F.regexp_extract("raw", pattern, 1)
+        number, said = part["y"].cast("int"), F.lit("")
+        if years == "year":
+            year = rescued_year(part["y"], today)
+            number, said = year["year"], F.when(year["turned"], ";digits-reversed").otherwise("")
+        elif years == "two":
+            number, said = two_digit_year(number) if order == "dmy" else F.when(number >= 28, number + 1900), F.lit(";2digit-year")
         else:
-            yi, mi = {"day": (4, 3), "year": (2, 3), "month": (3, 2), "glued": (3, 2)}[name]
-            year = rescued_year(g[yi], today)
-            m, y = _month(g[mi], w), year["year"]
-            d = {"day": F.when(~g[1].rlike(w.clause), g[2].cast("int")), "year": F.nullif(g[4], F.lit("")).cast("int")}.get(name, none)
-            d = F.when(~year["turned"], d)
-            said = F.when(year["turned"], ";digits-reversed").otherwise("")
-        date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, F.coalesce(d, F.lit(1))), F.lit("yyyy-MM-dd")).cast("date")
-        raw = F.regexp_replace(F.substring("raw", F.length(g[1]) + 1, F.length("raw")), r"\s+", " ") if name in ("day", "day2") else F.regexp_replace("raw", r"\s+", " ")
-        marker = F.concat("marker", said, F.when(d.isNull(), ";month-precision").otherwise(""))
-        rows = rows.withColumns({"date": date, "day_known": d.isNotNull(), "year": y, "marker": marker, "raw": F.trim(raw)})
-        rows = rows.where((F.col("date") <= today) & plausible(F.col("year"), today)).drop("year")
+            number = F.when(number < 100, two_digit_year(number)).otherwise(number)
+        day = F.nullif(part["d"], F.lit("")).cast("int") if "d" in order else F.lit(None).cast("int")
+        if years:
+            day = F.when(~before.rlike(w.clause), day)
+        if years == "year":
+            day = F.when(~year["turned"], day)
+        m = part["m"].cast("int") if not years else F.create_map(*[F.lit(x) for pair in w.months for x in pair])[part["m"]]
+        date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", number, m, F.coalesce(day, F.lit(1))), F.lit("yyyy-MM-dd")).cast("date")
+        raw = F.trim(F.regexp_replace(F.substr("raw", F.length(before) + 1), r"\s+", " "))
+        marker = F.concat("marker", said, F.when(day.isNull(), ";month-precision").otherwise(""))
+        rows = rows.withColumns({"date": date, "day_known": day.isNotNull(), "marker": marker, "raw": raw})
+        rows = rows.where((F.col("date") <= today) & plausible(F.year("date"), today))
         found = rows if found is None else found.unionByName(rows)
     return found.drop("text", "two_digit")
 
 
-def _month(name: Column, w: Wording) -> Column:
-    return F.nullif(F.array_position(F.array(*map(F.lit, w.months)), name), F.lit(0)).cast("int")
-
-
 def garbled(text: Column, today: Column) -> Column:
     """Whether digits in a text can't be dates: four that are no year either way, or stray dots between one to three."""
     fours = F.regexp_extract_all(text, F.lit(r"(?<![0-9.])[0-9]{4}(?![0-9])"), F.lit(0))
@@ -134,7 +138,8 @@ def marker_windows(lines: DataFrame, w: Wording = HEBREW, ahead: int = 4, most:
     order = Window.partitionBy("doc_id").orderBy("pos")
     clear = F.when(~F.col("line").rlike(w.classified), F.col("line"))
     near = F.array_join(F.array_compact(F.collect_list(F.coalesce(clear, F.lit(""))).over(order.rowsBetween(0, ahead))), " ")
-    datey = F.col("line").rlike(r"^[\s0-9./,\-]*(?:" + "|".join(w.months) + r")?[\s0-9./,\-]*$")
+    signs = r"[\s.,:;()'\"-]*"
+    datey = F.col("line").rlike(rf"^{signs}({w.glue}?(?:{_names(w)})['\s]*[0-9]{{0,4}}|[0-9]{{1,4}}|{w.dated})?{signs}$")
     # A run of date lines ends at the first other line: islands between those.
     rows = lines.withColumns({"near": near, "datey": datey}).withColumn("island", F.sum((~F.col("datey")).cast("int")).over(order))
     nth = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("pos"))
@@ -144,3 +149,21 @@ def marker_windows(lines: DataFrame, w: Wording = HEBREW, ahead: int = 4, most:
     joined = rows.where(F.col("line").rlike(w.keyword) & ~F.col("line").rlike(w.classified)).join(block, ["doc_id", "island"])
     text = F.trim(F.regexp_replace(F.when(F.col("line").rlike(w.spill) & ~F.col("datey"), F.concat("block", F.lit(" "), "near")).otherwise(F.col("near")), r" +", " "))
     return joined.select("doc_id", "pos", text.alias("text"), marker_of(text, w).alias("marker"), F.lit(True).alias("two_digit"))
+
+
+def stamp_windows(lines: DataFrame, w: Wording = HEBREW, shortest: int = 20) -> DataFrame:
+    """doc_id, pos, text, marker, two_digit of lines (doc_id, pos, line) without a keyword that look like stamps.
+
+    standalone-stamp: a month and a year, or a year, a month and perhaps a day,
+    alone. corner-stamp: a month and two digits alone. header-window: a short
+    line with a month's name, together with the lines beside it.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    names, signs = _names(w), r"[\s.,']*"
+    alone = F.col("line").rlike(rf"^{signs}{w.glue}?(?:{names})\s*[0-9]{{4}}(?![0-9]){signs}$") | F.col("line").rlike(rf"^{signs}[0-9]{{4}}\s*{w.glue}?(?:{names})\s*[0-9]{{0,2}}{signs}$")
+    corner = F.col("line").rlike(rf"^{signs}{w.glue}?(?:{names})['׳]?\s*[0-9]{{2}}{signs}$")
+    short = (F.length("line") <= shortest) & F.col("line").rlike(names)
+    near = F.concat_ws(" ", F.lag("line").over(order), "line", F.lead("line").over(order))
+    rows = lines.withColumn("near", near).where(~F.col("line").rlike(w.classified) & ~F.col("line").rlike(w.keyword))
+    marker = F.when(alone, "standalone-stamp").when(corner, "corner-stamp").when(short, "header-window")
+    return rows.withColumn("marker", marker).where("marker IS NOT NULL").select("doc_id", "pos", F.when(F.col("marker") == "header-window", F.col("near")).otherwise(F.col("line")).alias("text"), "marker", (F.col("marker") == "corner-stamp").alias("two_digit"))

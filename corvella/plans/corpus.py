@@ -247,9 +247,10 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Windows and the dates (ISO, whether the day is known, marker) in them; today is 2026-08-01.
 DATES = [
-    ("עודכן ב 3.4.2019", [("2019-04-03", 1, "m")]), ("at 31.02.2019", []), ("22 במרץ 2019", [("2019-03-22", 1, "m")]), ("סעיף 22 במרץ 2019", [("2019-03-01", 0, "m;month-precision")]),
-    ("מאי 6002", [("2006-05-01", 0, "m;digits-reversed;month-precision")]), ("1/2/27", []), ("5.6.98", [("1998-06-05", 1, "m")]), ("2015 יוני 7", [("2015-06-07", 1, "m")]),
-    ("יולי-2018", [("2018-07-01", 0, "m;month-precision")]), ("9 באוגוסט 14", [("2014-08-09", 1, "m;2digit-year")]), ("ינואר 85", [("1985-01-01", 0, "m;2digit-year;month-precision")]), ("no date 4711", []),
+    ("עודכן ב 3.4.2019", [("2019-04-03", 1, "m")]), ("at 31.02.2019", []), ("22 במרץ 2019", [("2019-03-22", 1, "m"), ("2019-03-01", 0, "m;month-precision")]),
+    ("סעיף 22 במרץ 2019", [("2019-03-01", 0, "m;month-precision"), ("2019-03-01", 0, "m;month-precision")]), ("מאי 6002", [("2006-05-01", 0, "m;digits-reversed;month-precision")]), ("1/2/27", []), ("5.6.98", [("1998-06-05", 1, "m")]),
+    ("2015 יוני 7", [("2015-06-07", 1, "m")]), ("ביולי, 2018", [("2018-07-01", 0, "m;month-precision")]), ("9 באוגוסט 14", [("2014-08-09", 1, "m;2digit-year")]),
+    ("ינואר 85", [("1985-01-01", 0, "m;2digit-year;month-precision")]), ("no date 4711", []), ("ספט' 49", [("1949-09-01", 0, "m;2digit-year;month-precision")]), ("12.2.2015050", []),
 ]
 
 
@@ -259,6 +260,18 @@ def date_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("date").cast("string").alias("iso"), F.col("day_known").cast("int").alias("day_known"), "marker")
 
 
+#: Lines of a document and the windows (position, text, marker) of its marker lines; then of its stamps.
+LINES = ["עודכן 1.2.2019", "סיווג 3.3.2020", "text", "תאריכי עדכון", "מאי 2018", "12", "more", "מרץ 2011", "ינו 85", "ביוני"]
+WINDOWS = [(0, "עודכן 1.2.2019 text תאריכי עדכון מאי 2018", "update-dates-list"), (3, "תאריכי עדכון מאי 2018 12 תאריכי עדכון מאי 2018 12 more מרץ 2011", "update-dates-list")]
+STAMPS = [(4, "מאי 2018", "standalone-stamp"), (7, "מרץ 2011", "standalone-stamp"), (8, "ינו 85", "corner-stamp"), (9, "ינו 85 ביוני", "header-window")]
+
+
+def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of every nation's document of those lines."""
+    lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.posexplode(F.array(*map(F.lit, LINES))).alias("pos", "line"))
+    return harvest.marker_windows(lines).unionByName(harvest.stamp_windows(lines)).select("doc_id", "pos", "text", "marker")
+
+
 #: File names, ids, the number of the name and whether the id is suspicious.
 FILES = [
     ("310214x.pdf", "4120.13", "31.0214", 1), ("500405x.pdf", "50.0405", "50.0405", 0), ("פמ-33-0113-בחירות.pdf", "PM-33.0113", "33.0113", 0), ("guide to leave.pdf", "leave", None, 0),
@@ -428,7 +441,7 @@ def degraded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clause_rows, annex_rows, structure_audit, document_info, section_bodies, targets, clause_keys, latest_rows, last_accepted, carried_fields, carried_forward, new_keys, embedded_lines, cache_misses, pooled_vectors,
-    refused, risk_topics, hebrew_terms, curation_stems, grounding_gate, unsupported_numbers, headings, heading_pages, built_dates, rulings, ruling_clauses, answer_blocks, answer_sources, date_harvest, intake_numbers,
+    refused, risk_topics, hebrew_terms, curation_stems, grounding_gate, unsupported_numbers, headings, heading_pages, built_dates, rulings, ruling_clauses, answer_blocks, answer_sources, date_harvest, date_windows, intake_numbers,
     json_debris, page_status, owned_links, doc_order, turn_texts, question_gates, answer_gates, query_contexts, rewritten_lines, gap_topics, uncovered_docs, ordered_sections, boilerplate_top, stripped_ranks, layer_audit,
     self_retrieval, budget_ablation, probe_sample, call_costs, ledger_state, wordings, degraded_questions,
 )}
@@ -510,6 +523,7 @@ SELECT o_orderkey, made::VARCHAR AS iso, CASE WHEN year(made) >= 2010 THEN CASE
     "answer_blocks": _CASE.format(columns="pos, kind, label, value", names="pos, kind, label, value", size=len(ANSWERS), values=_values([(i, *b) for i, (_, found) in enumerate(ANSWERS) for b in found])),
     "answer_sources": _CASE.format(columns="pos, title, clause", names="pos, title, clause", size=len(SOURCES), values=_values([(i, p, *s) for i, (_, found) in enumerate(SOURCES) for p, s in enumerate(found)])),
     "date_harvest": _CASE.format(columns="iso, day_known, marker", names="iso, day_known, marker", size=len(DATES), values=_values([(i, *d) for i, (_, found) in enumerate(DATES) for d in found])),
+    "date_windows": f"SELECT n_nationkey AS doc_id, pos, text, marker FROM nation, {_values([*WINDOWS, *STAMPS])} v(pos, text, marker)",
     "intake_numbers": _CASE.format(columns="number, suspicious", names="number, suspicious", size=len(FILES), values=_values([(i, n, s) for i, (_, _, n, s) in enumerate(FILES)])),
     "json_debris": _CASE.format(columns="debris", names="debris", size=len(DEBRIS), values=_values([(i, d) for i, (_, d) in enumerate(DEBRIS)])),
     "page_status": """
