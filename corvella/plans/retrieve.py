@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import text as T
@@ -18,6 +18,7 @@ def retrieve(
     doc_ids: DataFrame | None = None,
     boost: DataFrame | None = None,
     rules: T.Rules = T.NO_RULES,
+    budget: int | None = None,
 ) -> DataFrame:
     """query_id, rank, doc_id, row_id, section, score: the best chunks of each query.
 
@@ -25,8 +26,11 @@ def retrieve(
     text, embedding. doc_ids (doc_id): None means all documents, an empty table
     none. boost (query_id, doc_id): documents whose real rows gain 0.05.
 
-    Dense score, lexical bonus, boost, anchor fold, cap, depth, neighbours: one
-    lazy plan. Document frequencies come from the whole index, whatever the scope.
+    budget: words up to which curated rows of a lifted winner merge into its
+    lead; merged rows give up their places (None: no merge).
+
+    Dense score, lexical bonus, boost, anchor fold, merge, cap, depth,
+    neighbours. Document frequencies come from the whole index, whatever the scope.
     """
     scoped = chunks if doc_ids is None else chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     scored = dense.pair_scores(scoped.select("row_id", "embedding"), queries.select("query_id", "embedding"))
@@ -38,11 +42,45 @@ def retrieve(
         lifted = boost.select("query_id", "doc_id").distinct().withColumn("_b", F.lit(0.05))
         hits = hits.join(lifted, ["query_id", "doc_id"], "left")
         hits = hits.withColumn("score", F.when(F.col("_b").isNotNull() & (F.col("section") != ranking.ANCHOR), F.round(F.col("score") + F.col("_b"), 3)).otherwise(F.col("score"))).drop("_b")
-    best = ranking.winner_depth(ranking.fold_anchors(hits), n_results, max_per_doc, top_doc_depth)
+    folded = ranking.fold_anchors(hits)
+    if budget is not None:
+        merged = merged_rows(folded, chunks, budget)
+        folded = folded.join(merged.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
+    best = ranking.winner_depth(folded, n_results, max_per_doc, top_doc_depth)
     raw = scoped.where(F.startswith("section", F.lit(ranking.RAW)))
     beside = ranking.neighbours(best, raw).join(raw.select("doc_id", "pos", "row_id", "section"), ["doc_id", "pos"])
     both = best.select("query_id", "doc_id", "row_id", "section", "pos", "score").unionByName(beside.select("query_id", "doc_id", "row_id", "section", "pos", "score"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return both.select("query_id", F.row_number().over(order).alias("rank"), "doc_id", "row_id", "section", "pos", "score")
+
+
+def body_of(text: Column) -> Column:
+    """A chunk's text without its title line."""
+    at = F.instr(text, "\n")
+    return F.when(at > 0, F.substr(text, at + 1)).otherwise(text)
+
+
+def merged_rows(folded: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
+    """query_id, doc_id, lead_id, row_id, total_words: the curated rows that merge into a lifted winner. Of a lead all words count, of the others those of their bodies."""
+    n = chunks.select(F.col("row_id").alias("_r"), F.size(T.words(F.col("text"))).alias("_all"), F.size(T.words(body_of(F.col("text")))).alias("_body"))
+    sized = folded.join(n, folded.row_id == F.col("_r")).withColumn("n_words", F.when(F.col("lifted"), F.col("_all")).otherwise(F.col("_body"))).drop("_r", "_all", "_body")
+    return ranking.budget_merge(sized, budget)
+
+
+def passages(found: DataFrame, chunks: DataFrame, merged: DataFrame | None = None, overlap: int = 40) -> DataFrame:
+    """query_id, doc_id, section, first_pos, last_pos, score, text of retrieved rows (as from retrieve).
+
+    Raw windows that follow one another become one passage without the words
+    they share; a lead is followed by the bodies that merged into it, in order.
+    """
+    texts = chunks.select("row_id", "text")
+    rows = found.select("query_id", "doc_id", "row_id", "section", "pos", "score").join(texts, "row_id")
+    raw = rows.where(F.startswith("section", F.lit(ranking.RAW))).select("query_id", "doc_id", "pos", body_of(F.col("text")).alias("body"), "score")
+    stitched = ranking.stitch(raw, overlap).select("query_id", "doc_id", F.lit(ranking.RAW).alias("section"), "first_pos", "last_pos", "score", F.col("passage").alias("text"))
+    kept = rows.where(~F.startswith("section", F.lit(ranking.RAW)))
+    text = F.col("text")
+    if merged is not None:
+        bodies = merged.join(texts, "row_id").groupBy("query_id", F.col("lead_id").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("total_words", body_of(F.col("text")).alias("b")))).alias("m"))
+        kept = kept.join(bodies, ["query_id", "row_id"], "left")
+        text = F.concat_ws("\n", "text", F.array_join(F.transform("m", lambda x: x["b"]), "\n"))
+    return kept.select("query_id", "doc_id", "section", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), "score", text.alias("text")).unionByName(stitched)

@@ -150,3 +150,17 @@ def test_upsert_keeps_the_newest(spark):
 def test_context_of_nothing(spark):
     df = spark.createDataFrame([(1, None, None, None, None, None)], "query_id long, rank int, doc_id long, title string, clause string, text string")
     assert answers.context_of(df, "nothing").first().context == "nothing"
+
+
+def test_passages_stitch_and_merge(spark):
+    from corvella.plans.retrieve import merged_rows, passages
+
+    words = [f"w{i}" for i in range(400)]
+    chunks = [(1, 1, "chunk", 0, "T\n" + " ".join(words[:180])), (2, 1, "chunk", 1, "T\n" + " ".join(words[140:320])), (3, 2, "key-facts", 0, "T\nlead body"), (4, 2, "key-facts", 1, "T\nmore of it"), (5, 2, "key-facts", 2, "T\n" + "long " * 50)]
+    table = spark.createDataFrame(chunks, "row_id long, doc_id long, section string, pos long, text string")
+    folded = spark.createDataFrame([(9, 3, 2, "key-facts", 0, 0.9, True), (9, 4, 2, "key-facts", 1, 0.5, False), (9, 5, 2, "key-facts", 2, 0.4, False)], "query_id long, row_id long, doc_id long, section string, pos long, score double, lifted boolean")
+    merged = merged_rows(folded, table, 10)
+    assert [(r.lead_id, r.row_id, r.total_words) for r in merged.collect()] == [(3, 4, 6)]
+    found = spark.createDataFrame([(9, 1, 1, "chunk", 0, 0.7), (9, 2, 1, "chunk", 1, 0.6), (9, 3, 2, "key-facts", 0, 0.9)], "query_id long, row_id long, doc_id long, section string, pos long, score double")
+    got = {r.section: (r.first_pos, r.last_pos, r.text) for r in passages(found, table, merged).collect()}
+    assert got == {"chunk": (0, 1, " ".join(words[:320])), "key-facts": (0, 0, "T\nlead body\nmore of it")}
