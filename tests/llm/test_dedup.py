@@ -198,3 +198,17 @@ def test_keep_one_does_not_mix_rows_of_an_id(docs_of):
     t, u, v = (" ".join(f"{c}{i}" for i in range(100)) for c in "tuv")
     docs = docs_of([(5, t), (8, t), (8, u), (9, v), (9, v), (None, t)]).repartition(3)
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(5, t), (8, u), (9, v)]
+
+
+def test_near_duplicates_with_a_very_frequent_fingerprint(docs_of):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(500)]
+    hot = " ".join(rng.choices(words, k=200))
+    rows = [(1000 + i, hot) for i in range(300)] + [(i, " ".join(rng.choices(words, k=200))) for i in range(200)] + [(7, hot)]
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs_of(rows).repartition(5)).collect())
+    fps = [simhash.simhash(t) for _, t in rows]
+    label = brute_components(fps)
+    least = {}
+    for (i, _), l in zip(rows, label):
+        least[l] = min(least.get(l, i), i)
+    assert got == Counter((i, least[l]) for (i, _), l in zip(rows, label))
