@@ -16,7 +16,8 @@ its anchor, so an anchor's count is never below its windows' counts.
    a passage in a third of all documents gives each task's group one row. The
    windows of anchors that would fill a quarter of a segment, which the sketch
    tells, are dealt by window hash.
-3. The repeated spans go back to their documents, which are cut.
+3. The repeated spans go back to their documents, which are cut. Marks of anchors
+   and spans meet the texts by one key, so one shuffle of the texts serves both.
 """
 
 from __future__ import annotations
@@ -280,7 +281,10 @@ def _group(t: pa.Table) -> pa.RecordBatch:
 
 
 def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_WINDOWS) -> DataFrame:
-    """The windows that may repeat, packed and dealt to segments. docs: ref, ref2, text."""
+    """The windows that may repeat, packed and dealt to segments.
+
+    docs: ref, ref2, text. Further columns travel along unread, so that a join of the same docs by the same key finds this shuffle done.
+    """
     spark = docs.sparkSession
     anchor = min(anchor, size)
     total = docs.agg(F.sum(byte_length(F.col("text")))).first()[0] or 0
@@ -290,7 +294,7 @@ def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
     hot = [np.frombuffer(r.places, U) for r in told.where("ref IS NULL").select("places").toLocalIterator()]
     sent = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, U), *hot])).tobytes())
     marks = told.where("ref IS NOT NULL").groupBy(F.col("ref").alias("of")).agg(F.collect_set("places").alias("marks"))
-    marked = docs.join(marks, docs.ref.bitwiseAND(F.lit(SHORT)) == marks.of).select("ref", "ref2", "text", "marks")
+    marked = docs.join(marks, docs.ref.bitwiseAND(F.lit(SHORT)) == marks.of).select(*docs.columns, "marks")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(sent.value, U)
@@ -330,7 +334,7 @@ def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_WINDOWS) -> DataFrame:
-    """ref, ref2 (the row's content keys) and spans (array of first window * SPAN + windows) of rows with repeated windows."""
+    """of (48 bits of the rows' first content key) and spans (ref, ref2, code: first window * SPAN + windows) of rows with repeated windows."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches, "segment"):
@@ -338,7 +342,8 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
 
     packed = packed_windows(docs, size, anchor, bits, flush)
     packed = packed.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment")
-    return packed.mapInArrow(group, "ref long, ref2 long, code long").groupBy("ref", "ref2").agg(F.collect_set("code").alias("spans"))
+    found = packed.mapInArrow(group, "ref long, ref2 long, code long")
+    return found.groupBy(F.col("ref").bitwiseAND(F.lit(SHORT)).alias("of")).agg(F.collect_set(F.struct("ref", "ref2", "code")).alias("spans"))
 
 
 def removed_words(n: int, spans: np.ndarray, size: int) -> np.ndarray:
@@ -359,8 +364,10 @@ def cut_repeats(docs: DataFrame, finish: Callable[[list[bytes], np.ndarray | Non
     """
     ref, ref2 = row_keys(F.col("doc_id"), F.col("text"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text", ref.alias("ref"), ref2.alias("ref2"))
-    spans = repeated_spans(keyed.select("ref", "ref2", "text"), size, **options).withColumnsRenamed({"ref": "of", "ref2": "of2"})
-    joined = keyed.join(spans, (F.col("ref") == F.col("of")) & (F.col("ref2") == F.col("of2")), "left").select("row", "text", "spans")
+    spans = repeated_spans(keyed, size, **options)
+    joined = keyed.join(spans, keyed.ref.bitwiseAND(F.lit(SHORT)) == spans.of, "left")
+    own = F.expr("transform(filter(spans, s -> s.ref = ref AND s.ref2 = ref2), s -> s.code)")
+    joined = joined.select("row", "text", F.when(F.size(own) > 0, own).alias("spans"))
     made = docs.sparkSession.createDataFrame([], schema).schema
     names, types = made.fieldNames(), to_arrow_schema(made).types
 
