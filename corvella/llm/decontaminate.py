@@ -120,6 +120,7 @@ class Items:
             for j, h in enumerate(w.tolist()):
                 mask[h] = mask.get(h, 0) | 1 << j
             self.masks.append(mask)
+        self.least = [len(m) - e for m, e in zip(self.masks, self.edits.tolist())]  # an edit takes one of an item's different words at most
 
     @staticmethod
     def _padded(parts: list[np.ndarray]) -> np.ndarray:
@@ -223,6 +224,8 @@ class Items:
             # A window is off by its item's edits at most, and by as many again where its text ends.
             a, b = max(first, start - 2 * edits), min(last, until + n + 2 * edits)
             text = words.hash[a:b].tolist()
+            if len(self.masks[item].keys() & text) < self.least[item]:
+                continue
             distance, end = self.best_end(item, text)
             if distance <= edits:
                 begin = self.stretch_start(item, text[max(0, end - n - edits) : end], distance) + max(0, end - n - edits)
