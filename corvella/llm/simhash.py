@@ -31,6 +31,8 @@ from .components import components
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 LEAF, FAN = 32, 8
+MOST_IN_BUCKET = 1 << 16  # fingerprints that one task indexes at once
+MOST_SENT = 1 << 20  # names of large buckets, 16 bytes each, that are sent to all tasks
 U = np.uint64
 
 
@@ -178,15 +180,53 @@ def blocks_of(distance: int, n: int, most: int = 4096) -> list[list[tuple[int, i
     return [list(c) for c in combinations([(a, b - a) for a, b in zip(edges, edges[1:])], t)]
 
 
-def bucket_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) of the nodes of distinct fingerprints (fp, node), a forest for each bucket: fewer than the fingerprints times the blocks."""
+def further_blocks(mask: int, distance: int) -> list[int]:
+    """The mask with each of distance + 1 blocks of its free bits added; any two fingerprints that agree under it, within distance, agree under one of these."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    edges = [len(free) * i // (distance + 1) for i in range(distance + 2)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> BITS - 1 else mask
+
+
+def buckets(fps: DataFrame, distance: int = DISTANCE, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """fp, node and bucket: distinct fingerprints (fp, node) dealt so that any two within distance meet in some bucket.
+
+    A bucket is a mask of bits and their values. Sizes are counted before any
+    bucket is brought together: one with more than `most` fingerprints is dealt
+    again by blocks of its free bits, until none is left. With f free bits a bucket
+    holds 2 ** f fingerprints at most, so this ends whatever the fingerprints are.
+    """
     spark = fps.sparkSession
-    keys = []
-    for i, parts in enumerate(blocks_of(distance, fps.count())):
-        value = F.lit(i).cast("long")
-        for shift, width in parts:
-            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(value)
+    n = fps.count()
+    masks = [sum(((1 << width) - 1) << shift for shift, width in parts) for parts in blocks_of(distance, n)]
+    dealt = fps.select("fp", "node", F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask"))
+    bucket = F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket")  # two in one by chance do no harm
+    done = None
+    while n > most:
+        dealt = dealt.select("fp", "node", "mask", bucket)
+        sizes = dealt.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most)
+        big = shared(sizes.where(F.bit_count(F.bitwise_not("mask")) >= most.bit_length()).select(F.col("mask").alias("of_mask"), F.col("bucket").alias("of_bucket")))
+        counted = {r.of_mask: r.many for r in big.groupBy("of_mask").agg(F.count(F.lit(1)).alias("many")).collect()}  # masks: few
+        if not counted:
+            break
+        if sum(counted.values()) <= MOST_SENT:
+            big = F.broadcast(big)
+        same = (F.col("mask") == F.col("of_mask")) & (F.col("bucket") == F.col("of_bucket"))
+        small = dealt.join(big, same, "left_anti").select("fp", "node", "bucket")
+        done = small if done is None else done.unionAll(small)
+        finer = [(m, [_signed(x) for x in further_blocks(m % (1 << BITS), distance)]) for m in counted]
+        finer = F.broadcast(spark.createDataFrame(finer, "from_mask long, finer array<long>"))
+        again = dealt.join(big, same, "left_semi").join(finer, F.col("mask") == F.col("from_mask"))
+        dealt = shared(again.select("fp", "node", F.explode("finer").alias("mask")))
+    rest = dealt.select("fp", "node", bucket)
+    return rest if done is None else done.unionAll(rest)
+
+
+def bucket_links(fps: DataFrame, distance: int = DISTANCE, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """Links (a, b) of the nodes of distinct fingerprints (fp, node), a forest for each bucket: fewer than the fingerprints times the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs_of(batches, "bucket"):
@@ -199,8 +239,7 @@ def bucket_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 node = t.column("node").combine_chunks()
                 yield pa.record_batch({"a": node.take(pa.array(index.order[inner])), "b": node.take(pa.array(index.order[label[inner]]))})
 
-    dealt = fps.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
-    dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "fp")
+    dealt = buckets(fps, distance, most).repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket", "fp")
     kind = fps.schema["node"].dataType
     return dealt.select("bucket", "fp", "node").mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
 

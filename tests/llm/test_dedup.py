@@ -66,6 +66,37 @@ def test_blocks_meet_every_pair():
             assert any(all((flips >> s) & ((1 << w) - 1) == 0 for s, w in parts) for parts in sets)
 
 
+def test_large_buckets_are_dealt_again_and_lose_no_link(spark):
+    rng = random.Random(9)
+    alike = {rng.getrandbits(64) & ~0x1FFF | 0x0ABC for _ in range(300)}  # agree on one block, else unlike
+    base = rng.getrandbits(64)
+    near = {base ^ sum({1 << rng.randrange(64) for _ in range(3)}) for _ in range(200)}
+    near |= {x ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 5))}) for x in list(alike)[:60]}
+    fps = sorted(alike | near)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    table = spark.createDataFrame([(x, i) for i, x in enumerate(signed)], "fp long, node long")
+    want = brute_components(fps)
+    for most in (64, 1 << 16):
+        dealt = simhash.buckets(table, 4, most)
+        sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+        assert max(sizes) <= most
+        if most == 64:
+            assert dealt.count() > 5 * len(fps)
+        got = {r.node: r.component for r in components.components(simhash.bucket_links(table, 4, most)).collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == want
+    assert simhash.buckets(table.limit(0), 4, 64).count() == 0
+
+
+def test_further_blocks_meet_every_pair():
+    rng = random.Random(3)
+    for mask in (0, (1 << 13) - 1, rng.getrandbits(64), rng.getrandbits(64) | rng.getrandbits(64)):
+        finer = simhash.further_blocks(mask, 4)
+        assert len(finer) == 5 and all(f & mask == mask for f in finer)
+        for _ in range(200):
+            flips = sum({1 << rng.choice([i for i in range(64) if not mask >> i & 1]) for _ in range(4)})
+            assert any(f & flips == 0 for f in finer)
+
+
 def test_near_duplicates_against_brute_force(docs_of, messy):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
