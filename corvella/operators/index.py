@@ -77,6 +77,13 @@ def term_weights(terms: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULE
     return df.join(F.broadcast(n)).select("term", "df", amounts.term_weight(F.col("df"), F.col("n")).alias("weight"))  # n: one row
 
 
+def weights_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """term, weight of the terms of hits (term, chunk_id)."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return found.join(F.broadcast(n)).select("term", amounts.term_weight(F.col("df"), F.col("n")).alias("weight"))  # n: one row
+
+
 def lexical_scores(queries: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES, texts: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, overlap: the matched terms' weights over the number of terms; chunks without a match have no row."""
     terms = query_terms(queries, rules)

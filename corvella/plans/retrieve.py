@@ -6,7 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import text as T
-from corvella.operators import dense, index, ranking
+from corvella.operators import index, ranking, scorer
+from corvella.operators.stored import stored
+
+
+def asked(queries: DataFrame, chunks: DataFrame, rules: T.Rules = T.NO_RULES) -> tuple[DataFrame, DataFrame]:
+    """queries with terms (term, quarters: 4 x weight x occurrences) and n_terms, and chunks with held: the terms that their texts hold.
+
+    Document frequencies are those of all chunks.
+    """
+    terms = stored(index.query_terms(queries.select("query_id", "text"), rules))
+    texts = chunks.select(F.col("row_id").alias("chunk_id"), "text")
+    hits = stored(index.term_chunks(terms, texts, rules))
+    weights = index.weights_of(hits, chunks)
+    of = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(weights, "term", "left")
+    cell = F.when(F.col("weight") > 0, F.struct("term", (4 * F.col("weight") * F.col("times")).cast("int").alias("quarters")))
+    per = of.groupBy("query_id").agg(F.collect_list(cell).alias("terms"), F.sum("times").alias("n_terms"))
+    full = queries.select("query_id", "embedding").join(per, "query_id", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)).cast("long"))
+    held = hits.groupBy(F.col("chunk_id").alias("row_id")).agg(F.collect_list("term").alias("held"))
+    return full, chunks.join(held, "row_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
 
 
 def retrieve(
@@ -20,7 +38,7 @@ def retrieve(
     rules: T.Rules = T.NO_RULES,
     budget: int | None = None,
 ) -> DataFrame:
-    """query_id, rank, doc_id, row_id, section, score: the best chunks of each query.
+    """query_id, rank, doc_id, row_id, section, pos, score: the best chunks of each query.
 
     queries: query_id, text, embedding. chunks: row_id, doc_id, section, pos,
     text, embedding. doc_ids (doc_id): None means all documents, an empty table
@@ -30,28 +48,40 @@ def retrieve(
     lead; merged rows give up their places (None: no merge).
 
     Dense score, lexical bonus, boost, anchor fold, merge, cap, depth,
-    neighbours. Document frequencies come from the whole index, whatever the scope.
+    neighbours. Scores are whole thousandths. Document frequencies come from the
+    whole index, whatever the scope. Only documents that can reach the result
+    leave the scorer (see operators.scorer).
     """
-    scoped = chunks if doc_ids is None else chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    scored = dense.pair_scores(scoped.select("row_id", "embedding"), queries.select("query_id", "embedding"))
-    texts = chunks.select(F.col("row_id").alias("chunk_id"), "text")
-    overlap = index.lexical_scores(queries.select("query_id", "text"), texts, rules).withColumnRenamed("chunk_id", "row_id")
-    hits = scored.join(scoped.select("row_id", "doc_id", "section", "pos"), "row_id").join(overlap, ["query_id", "row_id"], "left")
-    hits = hits.withColumn("score", F.round(F.col("score") + index.LEXICAL_SHARE * F.coalesce("overlap", F.lit(0.0)), 3)).drop("overlap")
-    if boost is not None:
-        lifted = boost.select("query_id", "doc_id").distinct().withColumn("_b", F.lit(0.05))
-        hits = hits.join(lifted, ["query_id", "doc_id"], "left")
-        hits = hits.withColumn("score", F.when(F.col("_b").isNotNull() & (F.col("section") != ranking.ANCHOR), F.round(F.col("score") + F.col("_b"), 3)).otherwise(F.col("score"))).drop("_b")
-    folded = ranking.fold_anchors(hits)
+    return retrieve_and_merge(queries, chunks, n_results, max_per_doc, top_doc_depth, doc_ids, boost, rules, budget)[0]
+
+
+def retrieve_and_merge(
+    queries: DataFrame,
+    chunks: DataFrame,
+    n_results: int = 10,
+    max_per_doc: int = 4,
+    top_doc_depth: int = 4,
+    doc_ids: DataFrame | None = None,
+    boost: DataFrame | None = None,
+    rules: T.Rules = T.NO_RULES,
+    budget: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """What retrieve gives, and the rows that merged into leads, as passages takes them."""
+    full, told = asked(queries, chunks, rules)
+    scoped = told if doc_ids is None else told.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = scorer.candidate_hits(scoped, full, n_results, boost)
+    hits = found.join(scoped.select("row_id", "section", "pos"), "row_id").withColumn("score", F.col("score") / 1000)
+    folded = stored(ranking.fold_anchors(hits))
+    merged = None
     if budget is not None:
-        merged = merged_rows(folded, chunks, budget)
+        merged = stored(merged_rows(folded, chunks, budget))
         folded = folded.join(merged.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
-    best = ranking.winner_depth(folded, n_results, max_per_doc, top_doc_depth)
+    best = stored(ranking.winner_depth(folded, n_results, max_per_doc, top_doc_depth))
     raw = scoped.where(F.startswith("section", F.lit(ranking.RAW)))
     beside = ranking.neighbours(best, raw).join(raw.select("doc_id", "pos", "row_id", "section"), ["doc_id", "pos"])
     both = best.select("query_id", "doc_id", "row_id", "section", "pos", "score").unionByName(beside.select("query_id", "doc_id", "row_id", "section", "pos", "score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return both.select("query_id", F.row_number().over(order).alias("rank"), "doc_id", "row_id", "section", "pos", "score")
+    return both.select("query_id", F.row_number().over(order).alias("rank"), "doc_id", "row_id", "section", "pos", "score"), merged
 
 
 def body_of(text: Column) -> Column:
