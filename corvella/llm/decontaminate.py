@@ -114,14 +114,18 @@ class Items:
         if self.ids:
             keys = sampled_keys(self._padded(pieces), self.piece_n)
             self.keys = [(k[o], o) for k in keys.T for o in [np.argsort(k, kind="stable")]]
-        self.masks = []
-        for w in self.words:
-            mask: dict[int, int] = {}
-            for j, h in enumerate(w.tolist()):
-                mask[h] = mask.get(h, 0) | 1 << j
-            self.masks.append(mask)
+        self.masks = [self._mask(w.tolist()) for w in self.words]
+        self.spelt = [words.spelt(int(words.at[i]), int(words.at[i + 1])) for i in some]
         self.least = [len(m) - e for m, e in zip(self.masks, self.edits.tolist())]  # an edit takes one of an item's different words at most
 
+    @staticmethod
+    def _mask(words: list) -> dict:
+        """The places of each word, as bits."""
+        mask: dict = {}
+        for j, w in enumerate(words):
+            mask[w] = mask.get(w, 0) | 1 << j
+        return mask
+
     @staticmethod
     def _padded(parts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(parts), max(map(len, parts))), U)
@@ -175,9 +179,9 @@ class Items:
                     out.update((row, i, first - a) for i, a in zip(self.piece_item[found].tolist(), self.piece_at[found].tolist()))
         return out
 
-    def best_end(self, item: int, text: list[int]) -> tuple[int, int]:
-        """The least edit distance of the item to a stretch of text, and where the first such stretch ends."""
-        mask, n = self.masks[item], int(self.n[item])
+    def best_end(self, item: int, text: list, mask: dict) -> tuple[int, int]:
+        """The least edit distance of the item to a stretch of text, and where the first such stretch ends. mask: of the item's words, as text has them."""
+        n = int(self.n[item])
         full, top = (1 << n) - 1, 1 << (n - 1)
         pv, mv, score, best, end = full, 0, n, n, 0
         for j, h in enumerate(text):
@@ -192,9 +196,9 @@ class Items:
                 best, end = score, j + 1
         return best, end
 
-    def stretch_start(self, item: int, text: list[int], distance: int) -> int:
+    def stretch_start(self, item: int, text: list[bytes], distance: int) -> int:
         """Where the longest stretch begins that ends with text and is at that distance."""
-        pattern = self.words[item].tolist()
+        pattern = self.spelt[item]
         row = list(range(len(pattern) + 1))
         found = len(text)
         for k, h in enumerate(reversed(text), 1):
@@ -226,7 +230,11 @@ class Items:
             text = words.hash[a:b].tolist()
             if len(self.masks[item].keys() & text) < self.least[item]:
                 continue
-            distance, end = self.best_end(item, text)
+            # Hashes that meet can only bring item and text closer, so the words themselves decide.
+            distance, end = self.best_end(item, text, self.masks[item])
+            if distance <= edits:
+                text = words.spelt(a, b)
+                distance, end = self.best_end(item, text, self._mask(self.spelt[item]))
             if distance <= edits:
                 begin = self.stretch_start(item, text[max(0, end - n - edits) : end], distance) + max(0, end - n - edits)
                 leak = Leak(row, self.ids[item], distance, a - first + begin, end - begin)

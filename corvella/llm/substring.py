@@ -12,7 +12,9 @@ its anchor, so an anchor's count is never below its windows' counts.
    gathered; segments grow in number with the text, a segment's memory does not.
    Anchors seen twice in a task need no answer.
 2. Windows with such anchors are shuffled by anchor as runs of window hashes and
-   grouped exactly (96 bits). Windows that repeat within a task are sent once, so
+   grouped by them: 96 bits from two hashes of the words' bytes, each under a key
+   of its own that is drawn for the run. No text can be made to meet another under
+   keys that are not known, and by chance some 10^28 pairs of windows meet once. Windows that repeat within a task are sent once, so
    a passage in a third of all documents gives each task's group one row. The
    windows of anchors that would fill a quarter of a segment, which the sketch
    tells, are dealt by window hash.
@@ -23,6 +25,7 @@ its anchor, so an anchor's count is never below its windows' counts.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,8 +61,9 @@ def _long(data: bytes) -> np.ndarray:
 class Anchored:
     """Windows of the texts, and the runs of consecutive windows that share an anchor's place."""
 
-    def __init__(self, texts: pa.Array, size: int, anchor: int):
-        self.words = words = Words(texts)
+    def __init__(self, texts: pa.Array, size: int, anchor: int, key: bytes):
+        self.words = words = Words(texts, key=key)
+        self.key = key
         self.window = np.flatnonzero(words.fits(size)) if len(words.hash) >= size else np.zeros(0, np.int64)
         grams = rolling(words.hash, anchor)
         place = np.arange(len(grams))
@@ -84,7 +88,7 @@ class Anchored:
         """96 bits of each window: 64 and 32."""
         if not len(windows):
             return np.zeros(0, U), np.zeros(0, np.uint32)
-        return rolling(self.words.hash, size)[windows], (rolling(self.words.hash, size, 77)[windows] >> U(32)).astype(np.uint32)
+        return rolling(self.words.hash, size)[windows], (rolling(self.words.hashes(self.key + b"2"), size, 77)[windows] >> U(32)).astype(np.uint32)
 
 
 def _by_segment(segment: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,7 +141,7 @@ def segments_of(spark: SparkSession, total: int, size: int) -> int:
     return max(partitions(spark), int(total // size))
 
 
-def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_ANCHORS) -> DataFrame:
+def estimated(docs: DataFrame, total: int, key: bytes, size: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, flush: int = FLUSH_ANCHORS) -> DataFrame:
     """ref (48 bits) and places (first windows of runs) of anchors estimated to occur twice; rows without ref name hot anchors in places.
 
     docs: ref, text. An estimate may be too high, never too low.
@@ -158,7 +162,7 @@ def estimated(docs: DataFrame, total: int, size: int = WINDOW, anchor: int = ANC
         held, n = [], 0
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
-                found = Anchored(chunk.column("text"), size, anchor)
+                found = Anchored(chunk.column("text"), size, anchor, key)
                 held.append((found.anchor & U(SHORT), chunk.column("ref").to_numpy().view(U)[found.doc] & U(SHORT), found.pos))
                 n += len(found.anchor)
                 if n > flush:
@@ -288,7 +292,8 @@ def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
     spark = docs.sparkSession
     anchor = min(anchor, size)
     total = docs.agg(F.sum(byte_length(F.col("text")))).first()[0] or 0
-    told = estimated(docs, total, size, anchor, bits)
+    drawn = secrets.token_bytes(16)
+    told = estimated(docs, total, drawn, size, anchor, bits)
     segments = segments_of(spark, total, GROUP_BYTES)
     # Anchors that fill a quarter of a group segment or more: about four times as many as such segments at most.
     hot = [np.frombuffer(r.places, U) for r in told.where("ref IS NULL").select("places").toLocalIterator()]
@@ -309,7 +314,7 @@ def packed_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, bi
 
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
-                found = Anchored(chunk.column("text"), size, anchor)
+                found = Anchored(chunk.column("text"), size, anchor, drawn)
                 marks = [np.frombuffer(b"".join(m), np.uint32) for m in chunk.column("marks").to_pylist()]
                 asked = (np.repeat(np.arange(len(marks)), [len(m) for m in marks]) << 32) | np.concatenate(marks)
                 maybe = np.isin((found.doc << 32) | found.pos, asked)

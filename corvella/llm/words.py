@@ -3,6 +3,11 @@
 Texts arrive as an Arrow column. Words are cut at separator bytes and hashed to
 64 bits, so no Python code runs per word. All hashes scramble after each step:
 sums of powers would meet on crafted texts.
+
+Without a key the hash is a fixed function, which anyone can invert: good for
+features, not for telling words apart. Where equal hashes are to mean equal
+words, a key drawn for the run goes into every step, so that nobody can make
+words whose hashes meet, and 128 bits under two keys leave chance out.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+scrambled = mix
+
+
 def separators(characters: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(characters)] = True
@@ -45,7 +53,7 @@ class Words:
     Null texts have no words.
     """
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, sep: np.ndarray = SPACE):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, sep: np.ndarray = SPACE, key: bytes = b""):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -68,13 +76,18 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.at = np.searchsorted(self.start, offs)
         self.counts = np.diff(self.at)
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        """Scrambled over and over, 8 bytes at a time, from the word's length on."""
-        size = self.end - self.start
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        self._lanes = lanes = np.ndarray(len(self.data) + 1, "<u8", buffer=padded, strides=(1,))
+        self._lanes = np.ndarray(len(self.data) + 1, "<u8", buffer=padded, strides=(1,))
+        self.hash = self.hashes(key)
+
+    def hashes(self, key: bytes) -> np.ndarray:
+        """Scrambled over and over, 8 bytes at a time, from the word's length on. A key adds two secret numbers to each step."""
+        size, lanes = self.end - self.start, self._lanes
+        plus, times = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), U) if key else (U(0), U(1))
+
+        def mix(x: np.ndarray, salt: int) -> np.ndarray:
+            return scrambled((x + plus) * (times | U(1)) if key else x, salt)
+
         out = mix(mix(size.astype(U), 7) ^ (lanes[self.start] & _LANES[np.minimum(size, 8)]), 1)
         live, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
         while len(live):
@@ -82,7 +95,7 @@ class Words:
             at += 8
             live = live[size[live] > at]
         for i in np.flatnonzero(size > LONG_WORD).tolist():
-            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
         return out
 
     def prefix_hash(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +103,11 @@ class Words:
         at = np.flatnonzero(self.end - self.start > size)
         return at, mix(self._lanes[self.start[at]] & _LANES[size], 100 + size)
 
+    def spelt(self, first: int, last: int) -> list[bytes]:
+        """The words first : last themselves."""
+        data = self.data
+        return [data[a:b].tobytes() for a, b in zip(self.start[first:last].tolist(), self.end[first:last].tolist())]
+
     def doc(self) -> np.ndarray:
         """The document's index, for each word."""
         return np.repeat(np.arange(self.n), self.counts)

@@ -243,3 +243,51 @@ def test_near_duplicates_with_a_very_frequent_fingerprint(docs_of):
     for (i, _), l in zip(rows, label):
         least[l] = min(least.get(l, i), i)
     assert got == Counter((i, least[l]) for (i, _), l in zip(rows, label))
+
+
+def words_that_met(word, tries, fine):
+    """Another 16-byte word with the hash that `word` has without a key: its last 8 bytes are solved for."""
+    from corvella.llm.words import U, mix
+
+    size = mix(np.array([16], U), 7)
+    lane = lambda b: np.frombuffer(b, "<u8")
+    goal = mix(size ^ lane(word[:8]), 1) ^ lane(word[8:])
+    rng = np.random.default_rng(5)
+    first = rng.choice(np.frombuffer(fine, np.uint8), (tries, 8)).astype(np.uint8)
+    last = goal ^ mix(size ^ np.ascontiguousarray(first).view("<u8").ravel(), 1)
+    good = np.isin(last.view(np.uint8).reshape(-1, 8), np.frombuffer(fine, np.uint8)).all(1)
+    return [first[i].tobytes() + last[i].tobytes() for i in np.flatnonzero(good).tolist()]
+
+
+def test_words_made_to_meet_are_told_apart(docs_of):
+    import pyarrow as pa
+
+    from corvella.llm.words import Words
+
+    printable = bytes(range(33, 127))
+    pairs = [(b"averyplainword16", b"Df9ulftbzK!V^+]w")] + [(b"averyplainword16", w) for w in words_that_met(b"averyplainword16", 40_000, printable)[:6]]
+    assert len(pairs) > 3
+    both = Words(pa.array([" ".join(w.decode() for w in p) for p in pairs])).hash.reshape(-1, 2)
+    assert (both[:, 0] == both[:, 1]).all()  # they do meet without a key
+    for k, pair in enumerate(pairs):
+        head = " ".join(f"same{k}x{i}" for i in range(34))
+        rows = [(i, f"{head} {w.decode()}") for i, w in enumerate(pair)] + [(9, f"{head} and others"), (10, f"{head} and others")]
+        assert Counter(tuple(r) for r in substring.repeat_digests(docs_of(rows)).collect()) == brute_cut(rows)
+        if k == 0:
+            left = {r.doc_id: r.text for r in substring.remove_repeats(docs_of(rows[:2])).collect()}
+            assert left == {i: t for i, t in rows[:2]}
+
+
+def test_leaks_are_decided_by_words(docs_of, spark):
+    from corvella.llm import decontaminate
+
+    fine = b"abcdefghijklmnopqrstuvwxyz0123456789"
+    twins = words_that_met(b"averyplainword16", 30_000_000, fine)
+    assert twins
+    head = [f"w{i}" for i in range(8)]
+    item = " ".join([*head, "averyplainword16", "averyplainword16"])
+    other = " ".join([*head[:6], "x1", "x2", twins[0].decode(), twins[0].decode()])  # four edits by words, two by hashes that anyone can make
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, other), (2, item), (3, item.replace("w2", "y"))]
+    assert [(r.doc_id, r.distance) for r in decontaminate.find_leaks(docs_of(rows), benchmark).orderBy("doc_id").collect()] == [(2, 0), (3, 1)]
+    assert {r.doc_id for r in decontaminate.keep_clean(docs_of(rows), benchmark).collect()} == {1}
