@@ -82,7 +82,7 @@ class Shard:
     def add(self, doc_id: int | None, text: bytes | None) -> None:
         found = terms(text)
         counts = Counter(found)
-        self.term.append(np.fromiter((self.names[t] for t in counts), np.int64, len(counts)))
+        self.term.append(np.fromiter(map(self.names.__getitem__, counts), np.int64, len(counts)))
         self.times.append(np.fromiter(counts.values(), np.int64, len(counts)))
         self.ids.append(doc_id)
         self.sizes.append(len(found))
@@ -97,8 +97,20 @@ class Shard:
         at = np.repeat(number, [len(t) for t in self.term])
         by = np.lexsort((at, term))
         at, times = at[by], np.concatenate(self.times)[by]
-        ends = np.cumsum(np.bincount(term, minlength=len(self.names))).tolist()
-        lists = ((t, b - a, packed(at[a:b], times[a:b])) for t, a, b in zip(self.names, [0, *ends], ends))
+        ends = np.cumsum(np.bincount(term, minlength=len(self.names)))
+        starts = np.append(0, ends[:-1])
+        # Most terms are rare: their bytes are cut from those of all lists of one width.
+        steps = np.diff(at, prepend=0)
+        steps[starts[starts < len(at)]] = at[starts[starts < len(at)]]
+        one, two, less = steps.astype("u1").tobytes(), steps.astype("<u2").tobytes(), (times - 1).astype("u1").tobytes()
+        wide = np.where(np.maximum.reduceat(times, starts) > 256, 4, 1 + (np.maximum.reduceat(steps, starts) > 255)) if len(at) else starts
+
+        def narrow(w: int, a: int, b: int) -> bytes:
+            if w == 1:
+                return b"\x01" + one[a:b] + b"\x01" + less[a:b]
+            return b"\x02" + two[2 * a : 2 * b] + b"\x01" + less[a:b] if w == 2 and b - a < 1 << 16 and at[b - 1] < 1 << 16 else packed(at[a:b], times[a:b])
+
+        lists = ((t, b - a, narrow(w, a, b)) for t, w, a, b in zip(self.names, wide.tolist(), starts.tolist(), ends.tolist()))
         return [self.ids[i] for i in order], [self.sizes[i] for i in order], lists
 
 
