@@ -80,6 +80,27 @@ def _without(size: int):
     return lambda form: F.left(form, F.length(form) - size)
 
 
+def matches(text: Column, pattern: str, **groups: int) -> Column:
+    """array of struct(start, before, text, and each named group): all matches of a pattern, left to right, without overlap.
+
+    start: characters before the match. before: what lies between the last
+    match and this one. A group that took no part is empty. The pattern must
+    not match the empty string. Null texts give null. Positions are a running
+    length over a text's matches, so long texts are best cut into lines first.
+    """
+    parts = F.arrays_zip(F.split(text, pattern, -1), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, *groups.values())])
+    found = F.slice(parts, 1, F.size(parts) - 1)  # the last part is what follows the last match
+    kind = "array<struct<start:int,before:string,text:string" + "".join(f",{g}:string" for g in groups) + ">>"
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["0"])
+        one = F.struct(start.alias("start"), x["0"].alias("before"), x["1"].alias("text"), *[x[str(i)].alias(g) for i, g in enumerate(groups, 2)])
+        return F.struct((start + F.length(x["1"])).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    return F.aggregate(found, zero, step, lambda s: s["out"])
+
+
 def contains_any(text: Column, variants: Column) -> Column:
     return F.exists(variants, lambda v: F.contains(text, v))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvella.functions import text as T
+
 LEAST_YEAR = 1948
 
 
@@ -66,8 +68,13 @@ def rescued_year(token: Column, today: Column) -> Column:
     return F.when(plausible(y, today), F.struct(y.alias("year"), F.lit(False).alias("turned"))).when(plausible(back, today), F.struct(back.alias("year"), F.lit(True).alias("turned")))
 
 
+def _of_form(form: int, order: str):
+    """A match of a form as a struct that all forms share."""
+    return lambda m: F.struct(F.lit(form).alias("form"), m["start"].alias("start"), m["text"].alias("raw"), *[(m[c] if c in order else F.lit("")).alias(c) for c in "dmy"])
+
+
 def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFrame:
-    """windows (text, marker, two_digit) with each real date in text, not after today: date, day_known, raw, marker.
+    """windows (text, marker, two_digit) with each real date in text, not after today: date, day_known, raw, form, start, marker.
 
     Seven forms: d.m.y; day, month and year; year, month and perhaps day; month
     and year with the joining letter, or without it; and, where two_digit says
@@ -75,44 +82,41 @@ def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFr
     behind the word for a clause is no day; dates of turned years have no day.
     """
     month, d = f"({_names(w)})", "([0-9]{1,2})"
-    # Each pattern's first group is what stands before; then day, month, year in the order given.
+    # Name and place of each form's groups, how its year is written, and its pattern.
     forms = [
-        ("dmy", "", rf"()(?<![0-9.]){d}[./]{d}[./]([0-9]{{2,4}})(?![0-9.])"),
-        ("dmy", "year", rf"(.{{0,25}})(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
-        ("ymd", "year", rf"()(?<![0-9])([0-9]{{4}})\s*{w.glue}?{month}\s*{d}?(?![0-9])"),
-        ("my", "year", rf"(){w.glue}{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
-        ("my", "year", rf"()(?<![{w.letters}]){month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
-        ("dmy", "two", rf"(.{{0,25}})(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{2}})(?![0-9.])"),
-        ("my", "two", rf"()(?<![{w.letters}]){w.glue}?{month}['׳]?\s*([0-9]{{2}})(?![0-9.])"),
+        ("dmy", "", rf"(?<![0-9.]){d}[./]{d}[./]([0-9]{{2,4}})(?![0-9.])"),
+        ("dmy", "year", rf"(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("ymd", "year", rf"(?<![0-9])([0-9]{{4}})\s*{w.glue}?{month}\s*{d}?(?![0-9])"),
+        ("my", "year", rf"{w.glue}{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("my", "year", rf"(?<![{w.letters}]){month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("dmy", "two", rf"(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{2}})(?![0-9.])"),
+        ("my", "two", rf"(?<![{w.letters}]){w.glue}?{month}['׳]?\s*([0-9]{{2}})(?![0-9.])"),
     ]
-    found = None
-    for order, years, pattern in forms:
-        rows = windows.withColumn("raw", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-        if years == "two":
-            rows = rows.where("two_digit")
-        part = {c: F.regexp_extract("raw", pattern, i + 2) for i, c in enumerate(order)}
-        before = F.regexp_extract("raw", pattern, 1)
-        number, said = part["y"].cast("int"), F.lit("")
-        if years == "year":
-            year = rescued_year(part["y"], today)
-            number, said = year["year"], F.when(year["turned"], ";digits-reversed").otherwise("")
-        elif years == "two":
-            number, said = two_digit_year(number) if order == "dmy" else F.when(number >= 28, number + 1900), F.lit(";2digit-year")
-        else:
-            number = F.when(number < 100, two_digit_year(number)).otherwise(number)
-        day = F.nullif(part["d"], F.lit("")).cast("int") if "d" in order else F.lit(None).cast("int")
-        if years:
-            day = F.when(~before.rlike(w.clause), day)
-        if years == "year":
-            day = F.when(~year["turned"], day)
-        m = part["m"].cast("int") if not years else F.create_map(*[F.lit(x) for pair in w.months for x in pair])[part["m"]]
-        date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", number, m, F.coalesce(day, F.lit(1))), F.lit("yyyy-MM-dd")).cast("date")
-        raw = F.trim(F.regexp_replace(F.substr("raw", F.length(before) + 1), r"\s+", " "))
-        marker = F.concat("marker", said, F.when(day.isNull(), ";month-precision").otherwise(""))
-        rows = rows.withColumns({"date": date, "day_known": day.isNotNull(), "marker": marker, "raw": raw})
-        rows = rows.where((F.col("date") <= today) & plausible(F.year("date"), today))
-        found = rows if found is None else found.unionByName(rows)
-    return found.drop("text", "two_digit")
+    month_of = F.create_map(*[F.lit(x) for pair in w.months for x in pair])
+    every = []
+    for k, (order, years, pattern) in enumerate(forms):
+        found = F.transform(T.matches(F.col("text"), pattern, **{c: i + 1 for i, c in enumerate(order)}), _of_form(k, order))
+        every.append(F.when(F.col("two_digit"), found).otherwise(F.filter(found, lambda m: F.lit(False))) if years == "two" else found)
+    rows = windows.withColumn("m", F.explode(F.concat(*every)))
+    form, number = F.col("m.form"), F.col("m.y").cast("int")
+    kinds = {y: form.isin([k for k, f in enumerate(forms) if f[1] == y]) for y in ("", "year", "two")}
+    four = F.when(kinds["year"], rescued_year(F.col("m.y"), today))
+    year = (
+        F.when(kinds["year"], four["year"]).when(kinds[""], F.when(number < 100, two_digit_year(number)).otherwise(number))
+        .when(F.col("m.d") != "", two_digit_year(number)).otherwise(F.when(number >= 28, number + 1900))
+    )
+    # A number behind the word for a clause is no day; the form that starts with a dotted day needs no look back.
+    behind = F.expr("substring(text, 1, m.start)").rlike(w.clause) & form.isin([k for k, f in enumerate(forms) if f[0] == "dmy" and f[1]])
+    day = F.when(~behind & ~F.coalesce(four["turned"], F.lit(False)), F.nullif(F.col("m.d"), F.lit("")).cast("int"))
+    month_number = F.when(kinds[""], F.col("m.m").try_cast("int")).otherwise(month_of[F.col("m.m")])
+    said = F.when(F.coalesce(four["turned"], F.lit(False)), ";digits-reversed").when(kinds["two"], ";2digit-year").otherwise("")
+    rows = rows.withColumns({"_y": year, "_m": month_number, "_d": day, "_s": said})
+    date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", "_y", "_m", F.coalesce("_d", F.lit(1))), F.lit("yyyy-MM-dd")).cast("date")
+    rows = rows.withColumns({
+        "date": date, "day_known": F.col("_d").isNotNull(), "raw": F.trim(F.regexp_replace("m.raw", r"\s+", " ")), "form": form, "start": F.col("m.start"),
+        "marker": F.concat("marker", "_s", F.when(F.col("_d").isNull(), ";month-precision").otherwise("")),
+    })
+    return rows.where((F.col("date") <= today) & plausible(F.year("date"), today)).drop("text", "two_digit", "m", "_y", "_m", "_d", "_s")
 
 
 def garbled(text: Column, today: Column) -> Column:
@@ -167,3 +171,26 @@ def stamp_windows(lines: DataFrame, w: Wording = HEBREW, shortest: int = 20) ->
     rows = lines.withColumn("near", near).where(~F.col("line").rlike(w.classified) & ~F.col("line").rlike(w.keyword))
     marker = F.when(alone, "standalone-stamp").when(corner, "corner-stamp").when(short, "header-window")
     return rows.withColumn("marker", marker).where("marker IS NOT NULL").select("doc_id", "pos", F.when(F.col("marker") == "header-window", F.col("near")).otherwise(F.col("line")).alias("text"), "marker", (F.col("marker") == "corner-stamp").alias("two_digit"))
+
+
+def document_dates(lines: DataFrame, today: Column, w: Wording = HEBREW) -> DataFrame:
+    """doc_id, date, precision, raw, marker, n_candidates, garbage: each document's latest defensible date.
+
+    lines: doc_id, pos, line. Marker windows and stamps are harvested together.
+    A garbled marker window anywhere leaves only the dates of marker windows
+    with four-digit years. At one date a known day goes first, then marker
+    windows before stamps, then the place. Documents without a candidate and
+    without a garbled window have no row.
+    """
+    marked = marker_windows(lines, w).withColumns({"tier": F.lit(1), "garbled": garbled(F.col("text"), today)})
+    stamped = stamp_windows(lines, w).withColumns({"tier": F.lit(2), "garbled": F.lit(False)})
+    windows = marked.unionByName(stamped)
+    found = candidates(windows, today, w).withColumn("two", F.contains("marker", F.lit("2digit-year")))
+    best = F.struct("date", "day_known", (-F.col("tier")).alias("t"), (-F.col("pos")).alias("p"), (-F.col("form")).alias("f"), (-F.col("start")).alias("s"), "raw", "marker")
+    per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("free"), F.max(F.when((F.col("tier") == 1) & ~F.col("two"), best)).alias("strict"))
+    flags = windows.groupBy("doc_id").agg(F.max("garbled").alias("garbage"))
+    joined = flags.join(per, "doc_id", "left").where(F.col("garbage") | F.col("n").isNotNull())
+    chosen = F.when(F.col("garbage"), F.col("strict")).otherwise(F.col("free"))
+    told = joined.withColumn("c", chosen)
+    precision = F.when(F.col("c").isNotNull(), F.when(F.col("c.day_known"), "day").otherwise("month"))
+    return told.select("doc_id", "c.date", precision.alias("precision"), "c.raw", "c.marker", F.coalesce("n", F.lit(0)).alias("n_candidates"), "garbage")

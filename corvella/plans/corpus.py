@@ -272,6 +272,33 @@ def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.marker_windows(lines).unionByName(harvest.stamp_windows(lines)).select("doc_id", "pos", "text", "marker")
 
 
+MONTH_NAMES = ("ינואר", "פברואר", "מרץ", "אפריל", "מאי", "יוני", "יולי", "אוגוסט", "ספטמבר", "אוקטובר", "נובמבר", "דצמבר")
+
+
+def _dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the lines of a document: lists of dates in several forms, stamps, classified and garbled lines."""
+    o = table(spark, sf_dir, "orders")
+    names = F.array(*map(F.lit, MONTH_NAMES))
+    day = F.to_date("o_orderdate")
+    days = [F.date_add(day, n) for n in (0, 40, 75)]
+    dotted = [F.date_format(d, "d.M.yyyy") for d in days]
+    named = [F.element_at(names, F.month(d)) for d in days]
+    long = [F.concat(F.dayofmonth(d).cast("string"), F.lit(" ב"), m, F.lit(" "), F.date_format(d, "yyyy")) for d, m in zip(days, named)]
+    k = F.col("o_orderkey") % 17
+    line = (
+        F.when(k < 4, F.concat(F.lit("עודכן "), dotted[0], F.lit(", "), F.date_format(days[1], "d.M.yy"), F.lit(", "), dotted[2]))
+        .when(k < 8, F.concat(F.lit("תוקן סעיף "), long[0], F.lit(", "), long[1], F.lit(", "), F.dayofmonth(days[2]).cast("string"), F.lit(" ב"), named[2], F.date_format(days[2], " yy")))
+        .when(k < 9, F.concat(F.lit("סיווג "), dotted[0])).when(k < 11, F.concat(named[0], F.date_format(days[0], " yyyy"))).when(k < 13, F.lit("תאריכי עדכון"))
+        .when(k < 15, F.concat(named[0], F.date_format(days[0], " yy"))).when(k < 16, F.concat(F.lit("כללי "), dotted[0])).otherwise(F.when(F.col("o_orderkey") % 5 == 0, "עודכן 3751").otherwise("רגיל"))
+    )
+    return o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), line.alias("line"))
+
+
+def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = harvest.document_dates(_dated_lines(spark, sf_dir), F.to_date(F.lit("2026-08-01")))
+    return found.select("doc_id", F.col("date").cast("string").alias("iso"), "precision", "n_candidates", "garbage")
+
+
 #: File names, ids, the number of the name and whether the id is suspicious.
 FILES = [
     ("310214x.pdf", "4120.13", "31.0214", 1), ("500405x.pdf", "50.0405", "50.0405", 0), ("פמ-33-0113-בחירות.pdf", "PM-33.0113", "33.0113", 0), ("guide to leave.pdf", "leave", None, 0),
@@ -441,7 +468,7 @@ def degraded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clause_rows, annex_rows, structure_audit, document_info, section_bodies, targets, clause_keys, latest_rows, last_accepted, carried_fields, carried_forward, new_keys, embedded_lines, cache_misses, pooled_vectors,
-    refused, risk_topics, hebrew_terms, curation_stems, grounding_gate, unsupported_numbers, headings, heading_pages, built_dates, rulings, ruling_clauses, answer_blocks, answer_sources, date_harvest, date_windows, intake_numbers,
+    refused, risk_topics, hebrew_terms, curation_stems, grounding_gate, unsupported_numbers, headings, heading_pages, built_dates, rulings, ruling_clauses, answer_blocks, answer_sources, date_harvest, date_windows, document_dates, intake_numbers,
     json_debris, page_status, owned_links, doc_order, turn_texts, question_gates, answer_gates, query_contexts, rewritten_lines, gap_topics, uncovered_docs, ordered_sections, boilerplate_top, stripped_ranks, layer_audit,
     self_retrieval, budget_ablation, probe_sample, call_costs, ledger_state, wordings, degraded_questions,
 )}
@@ -524,6 +551,32 @@ SELECT o_orderkey, made::VARCHAR AS iso, CASE WHEN year(made) >= 2010 THEN CASE
     "answer_sources": _CASE.format(columns="pos, title, clause", names="pos, title, clause", size=len(SOURCES), values=_values([(i, p, *s) for i, (_, found) in enumerate(SOURCES) for p, s in enumerate(found)])),
     "date_harvest": _CASE.format(columns="iso, day_known, marker", names="iso, day_known, marker", size=len(DATES), values=_values([(i, *d) for i, (_, found) in enumerate(DATES) for d in found])),
     "date_windows": f"SELECT n_nationkey AS doc_id, pos, text, marker FROM nation, {_values([*WINDOWS, *STAMPS])} v(pos, text, marker)",
+    "document_dates": rf"""
+WITH b AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, o_orderkey % 17 AS k, o_orderdate::DATE AS d0, o_orderdate::DATE + 40 AS d1, o_orderdate::DATE + 75 AS d2, {[*MONTH_NAMES]} AS m FROM orders),
+s AS (SELECT *, day(d0) || ' ב' || m[month(d0)] || ' ' || year(d0) AS l0, day(d1) || ' ב' || m[month(d1)] || ' ' || year(d1) AS l1, day(d2) || ' ב' || m[month(d2)] || strftime(d2, ' %y') AS l2 FROM b),
+l AS (SELECT doc_id, pos, CASE WHEN k < 4 THEN 'עודכן ' || strftime(d0, '%-d.%-m.%Y') || ', ' || strftime(d1, '%-d.%-m.%y') || ', ' || strftime(d2, '%-d.%-m.%Y') WHEN k < 8 THEN 'תוקן סעיף ' || l0 || ', ' || l1 || ', ' || l2
+  WHEN k < 9 THEN 'סיווג ' || strftime(d0, '%-d.%-m.%Y') WHEN k < 11 THEN m[month(d0)] || ' ' || year(d0) WHEN k < 13 THEN 'תאריכי עדכון' WHEN k < 15 THEN m[month(d0)] || strftime(d0, ' %y')
+  WHEN k < 16 THEN 'כללי ' || strftime(d0, '%-d.%-m.%Y') ELSE CASE WHEN pos % 5 = 0 THEN 'עודכן 3751' ELSE 'רגיל' END END AS line FROM s),
+f AS (SELECT *, contains(line, 'סיווג') AS cl, regexp_matches(line, 'עודכן|תוקן|תאריכי עדכון') AS kw, regexp_matches(line, '^({"|".join(MONTH_NAMES)}) [0-9]+$') AS st, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
+near AS (SELECT a.doc_id, a.n, string_agg(z.line, ' ' ORDER BY z.n) FILTER (NOT z.cl) AS t FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.n BETWEEN a.n AND a.n + 4 WHERE a.kw AND NOT a.cl GROUP BY 1, 2),
+stop AS (SELECT a.doc_id, a.n, min(z.n) AS z FROM f a LEFT JOIN f z ON z.doc_id = a.doc_id AND z.n > a.n AND NOT z.st WHERE a.line = 'תאריכי עדכון' GROUP BY 1, 2),
+block AS (SELECT s.doc_id, s.n, string_agg(z.line, ' ' ORDER BY z.n) AS t FROM stop s JOIN f z ON z.doc_id = s.doc_id AND z.n >= s.n AND (s.z IS NULL OR z.n < s.z) AND z.n < s.n + 80 GROUP BY 1, 2),
+w AS (SELECT doc_id, n, coalesce(block.t || ' ', '') || near.t AS t, 1 AS tier, true AS two FROM near LEFT JOIN block USING (doc_id, n)
+  UNION ALL SELECT doc_id, n, line, 2, NOT regexp_matches(line, '[0-9]{{4}}') FROM f WHERE st),
+g AS (SELECT doc_id, max(tier = 1 AND contains(t, '3751')) AS garbage FROM w GROUP BY 1),
+p AS (SELECT *, '({"|".join(MONTH_NAMES)})' AS mm FROM w),
+c AS (
+  SELECT doc_id, tier, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 1)) AS d, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 2)) AS mo, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 3)) AS y, false AS yy FROM p
+  UNION ALL SELECT doc_id, tier, CASE WHEN starts_with(x, 'סעיף') THEN NULL ELSE regexp_extract(x, '([0-9]+) ב', 1) END, list_position({[*MONTH_NAMES]}, regexp_extract(x, ' ב([^ ]+) ', 1))::VARCHAR, right(x, 4), false
+    FROM (SELECT *, unnest(regexp_extract_all(t, '(?:סעיף )?[0-9]+ ב' || mm || ' [0-9]{{4}}')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, nullif(regexp_extract(x, ' ([0-9]+)$', 1), ''), list_position({[*MONTH_NAMES]}, regexp_extract(x, '[0-9]{{4}} ב?' || mm, 1))::VARCHAR, left(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(t, '[0-9]{{4}} ב?' || mm || '(?: [0-9]{{1,2}}\b)?')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, split_part(substr(x, 2), ' ', 1))::VARCHAR, right(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(t, 'ב' || mm || ' [0-9]{{4}}')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, split_part(substr(x, 2), ' ', 1))::VARCHAR, right(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(' ' || t, ' ' || mm || ' [0-9]{{4}}')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, regexp_extract(x, '^([0-9]+)', 1), list_position({[*MONTH_NAMES]}, regexp_extract(x, ' ב([^ ]+) ', 1))::VARCHAR, regexp_extract(x, ' ([0-9]{{2}}) $', 1), true FROM (SELECT *, unnest(regexp_extract_all(t || ' ', '[0-9]+ ב' || mm || ' [0-9]{{2}} ')) AS x FROM p WHERE two)
+  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, regexp_extract(x, '^ ב?' || mm, 1))::VARCHAR, regexp_extract(x, ' ([0-9]{{2}}) $', 1), true FROM (SELECT *, unnest(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', ' ב?' || mm || '  [0-9]{{2}} ')) AS x FROM p WHERE two) WHERE regexp_extract(x, ' ([0-9]{{2}}) $', 1)::INT >= 28),
+r AS (SELECT doc_id, tier, yy, d IS NOT NULL AS k, try(make_date(y::INT + CASE WHEN length(y) > 2 THEN 0 WHEN y::INT <= 27 THEN 2000 ELSE 1900 END, mo::INT, coalesce(d, '1')::INT)) AS date FROM c),
+best AS (SELECT g.doc_id, garbage, count(date) FILTER (date BETWEEN DATE '1948-01-01' AND DATE '2026-08-01') AS n_candidates, max((date, k)) FILTER (date BETWEEN DATE '1948-01-01' AND DATE '2026-08-01' AND (NOT garbage OR tier = 1 AND NOT yy)) AS b FROM g LEFT JOIN r ON r.doc_id = g.doc_id GROUP BY 1, 2)
+SELECT doc_id, b[1]::VARCHAR AS iso, CASE b[2] WHEN true THEN 'day' WHEN false THEN 'month' END AS precision, n_candidates, garbage FROM best WHERE garbage OR n_candidates > 0""",
     "intake_numbers": _CASE.format(columns="number, suspicious", names="number, suspicious", size=len(FILES), values=_values([(i, n, s) for i, (_, _, n, s) in enumerate(FILES)])),
     "json_debris": _CASE.format(columns="debris", names="debris", size=len(DEBRIS), values=_values([(i, d) for i, (_, d) in enumerate(DEBRIS)])),
     "page_status": """
