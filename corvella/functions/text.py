@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x09-\x0D\x20]+"
 UNICODE_SPACE = r"(?U)\s+"
+# Direction marks, and with them other characters that are not seen.
+DIRECTIONS = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+INVISIBLE = DIRECTIONS + "\u200b\ufeff"
 # Marks stripped from both ends of a word.
 EDGE_MARKS = "?.,:;!\"'()[]"
 
@@ -37,6 +40,16 @@ def words(text: Column, unicode: bool = False) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), UNICODE_SPACE if unicode else SPACE), "")
 
 
+def stripped(text: Column) -> Column:
+    """text without white space, of any alphabet's, at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def clean(text: Column) -> Column:
+    """text without white space and direction marks at its ends."""
+    return stripped(F.btrim(stripped(text), F.lit(DIRECTIONS)))
+
+
 def normal_space(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
@@ -196,7 +209,7 @@ HEBREW_VERDICTS = Verdicts(
     forbidding="אסור",
     permitting="מותר|רשאי|זכאי|מוסמך|פטור|מגיע",
     partial=("בתנאים", "חלקית"),
-    conditions=r"אך ורק|ובלבד|בכפוף|בתנאי|למעט|בחריגים|באישור|אלא אם|(?:^|\s)רק\s",
+    conditions=r"אך ורק|ובלבד|בכפוף|בתנאי|למעט|בחריגים|באישור|אלא אם|(?:^|\s)רק(?=\s)",
 )
 
 

@@ -23,9 +23,12 @@ class Labels:
     clause: tuple[str, str]
 
 
-# The labels of Hebrew answers, and the words for a clause and for clauses.
+# The labels of Hebrew answers, the words for a clause and for clauses, and how a sentence opens that says what the orders leave open.
 HEBREW_LABELS = Labels(("מקור", "מקורות"), ("פסיקה", "תשובה"), "התנהלות", "הערה", 'לא נקבע בפקודות מטכ"ל', "טרם במאגר", ("סעיף", "סעיפים"))
-LABEL = r"^\s*(?:[-*•]\s+)?\*\*([^*:]{1,60}):?\*\*:?\s*(.*)$"
+OPEN_NOTE = r"הפקודות\s+(?:שסופקו\s+)?(?:אינן|לא)\s+(?:קובעות|נוקבות|מפרטות|מגדירות|מתייחסות|מסדירות)"
+NOTE_WITHIN = 45
+# Fixed value: a label in bold with its colon inside or after, of 28 characters at most.
+LABEL = r"(?U)^\s*\*\*\s*([^*\n]{1,28}?)\s*(?::\s*\*\*|\*\*\s*:)\s*(.*)$"
 
 
 def kind_of(label: Column, names: Labels) -> Column:
@@ -36,45 +39,70 @@ def kind_of(label: Column, names: Labels) -> Column:
     )
 
 
-def blocks(answers: DataFrame, names: Labels = HEBREW_LABELS) -> DataFrame:
-    """id, pos, kind, label, value: the labelled lines and runs of prose of each answer (id, body), in order.
+def blocks(answers: DataFrame, names: Labels = HEBREW_LABELS, open_note: str = OPEN_NOTE) -> DataFrame:
+    """id, pos, kind, label, value: the labelled lines, notes and runs of prose of each answer (id, body), in order.
 
-    A labelled line is a block of its own; prose between them is one block of
-    kind md, its blank lines inside kept, blank runs dropped.
+    A labelled line is a block of its own, and so is a line that begins a
+    paragraph and opens with what the orders leave open: a note, which has no
+    label. A source line without a source is a field. What lies between is one
+    block of kind md, blank lines inside kept, blank runs dropped.
     """
     lines = answers.select("id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    label = F.trim(F.regexp_extract("line", LABEL, 1))
-    lines = lines.withColumns({"label": label, "value": F.trim(F.regexp_extract("line", LABEL, 2))}).withColumn("labelled", F.col("label") != "")
+    bare = T.stripped(F.col("line"))
+    labelled = F.col("line").rlike(LABEL)
+    open_ = F.left(bare, F.lit(NOTE_WITHIN)).rlike("(?U)" + open_note)
+    sort = F.when(bare == "", "blank").when(labelled, "label").when(open_, "open").otherwise("prose")
+    lines = lines.withColumns({"sort": sort, "bare": bare, "label": T.clean(F.regexp_extract("line", LABEL, 1)), "value": T.clean(F.regexp_extract("line", LABEL, 2))})
     order = Window.partitionBy("id").orderBy("line_no")
-    lines = lines.withColumn("run", F.sum((F.col("labelled") | F.coalesce(F.lag("labelled").over(order), F.lit(False))).cast("int")).over(order))
+    # Such a line is a note unless prose stands right before it or before others like it.
+    last = F.last(F.when(F.col("sort") != "open", F.col("sort")), ignorenulls=True).over(order)
+    lines = lines.withColumn("sort", F.when(F.col("sort") == "open", F.when(last == "prose", "prose").otherwise("note")).otherwise(F.col("sort")))
+    alone = F.col("sort").isin("label", "note")
+    lines = lines.withColumn("run", F.sum((alone | F.coalesce(F.lag(alone).over(order), F.lit(False))).cast("int")).over(order))
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    runs = lines.groupBy("id", "run").agg(F.min("line_no").alias("first"), F.max("labelled").alias("labelled"), F.max("label").alias("label"), F.max("value").alias("value"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("prose"))
+    runs = lines.groupBy("id", "run").agg(
+        F.min("line_no").alias("first"), F.max("sort").alias("sort"), F.max("label").alias("label"), F.max("value").alias("value"), F.max("bare").alias("bare"),
+        F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("prose"),
+    )
     prose = F.regexp_replace("prose", r"^\n+|\n+$", "")
-    found = runs.where(F.col("labelled") | (F.trim("prose") != "") & (F.regexp_replace("prose", r"\s", "") != ""))
-    kind = F.when(F.col("labelled"), kind_of(F.col("label"), names)).otherwise("md")
+    runs = runs.withColumn("prose", prose).where(F.col("sort").isin("label", "note") | (T.stripped(F.col("prose")) != ""))
+    named = kind_of(F.col("label"), names)
+    named = F.when((named == "src") & (F.size(sources(F.col("value"), names)) == 0), "field").otherwise(named)
+    kind = F.when(F.col("sort") == "label", named).when(F.col("sort") == "note", "note").otherwise("md")
     pos = F.row_number().over(Window.partitionBy("id").orderBy("first"))
-    return found.select("id", pos.alias("pos"), kind.alias("kind"), F.when(F.col("labelled"), F.col("label")).alias("label"), F.when(F.col("labelled"), F.col("value")).otherwise(prose).alias("value"))
+    value = F.when(F.col("sort") == "label", F.col("value")).when(F.col("sort") == "note", F.col("bare")).otherwise(F.col("prose"))
+    return runs.select("id", pos.alias("pos"), kind.alias("kind"), F.when((F.col("sort") == "label") & (kind != "note"), F.col("label")).alias("label"), value.alias("value"))
 
 
 def sources(value: Column, names: Labels = HEBREW_LABELS) -> Column:
     """array of struct(title, clause) of a source line. Only ; parts sources, as titles hold commas; the first dash of a title becomes a middle dot."""
     one, many = names.clause
-    pattern = rf"[\s,—–\-·]*(?<!\S)((?:{one}|{many})\s+\S.*)$"
-    parts = F.filter(F.transform(F.split(value, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    pattern = rf"(?U)[\s,—–\-·]*(?<!\S)((?:{one}|{many})\s+\S.*)$"
+    parts = F.filter(F.transform(F.split(value, ";"), T.clean), lambda p: p != "")
 
     def source(part: Column) -> Column:
-        title = F.trim(F.regexp_replace(part, pattern, ""))
+        title = T.clean(F.regexp_replace(part, pattern, ""))
         dash = F.regexp_extract(title, r"^(.*?)\s*[—–-]\s*(.*)$", 1), F.regexp_extract(title, r"^(.*?)\s*[—–-]\s*(.*)$", 2)
         joined = F.when(title.rlike(r"[—–-]"), F.concat(dash[0], F.lit(" · "), dash[1])).otherwise(title)
-        return F.struct(joined.alias("title"), F.trim(F.regexp_extract(part, pattern, 1)).alias("clause"))
+        return F.struct(joined.alias("title"), T.clean(F.regexp_extract(part, pattern, 1)).alias("clause"))
+
+    return F.filter(F.transform(parts, source), lambda s: (s["title"] != "") | (s["clause"] != ""))
+
+
+# Fixed value: the label of a ruling.
+RULING = "פסיקה"
+
 
-    return F.transform(parts, source)
+def ruling_line(answer: Column, label: str = RULING) -> Column:
+    """What follows the label on an answer's first ruling line, without bold marks and without direction marks at its ends; null if there is none."""
+    found = F.regexp_extract(answer, rf"(?mdU)^\s*[{T.INVISIBLE}]*(?:\*\*)?\s*{label}:\s*\*{{0,2}}\s*(.+?)[^\S\n]*$", 1)
+    return F.when(found != "", F.btrim(F.replace(found, F.lit("**"), F.lit("")), F.lit("* " + T.INVISIBLE)))
 
 
 def ruling_clauses(line: Column, v: T.Verdicts = T.HEBREW_VERDICTS) -> Column:
-    """array of struct(text, cls): a ruling line split at ;, each clause with its class; bold marks are dropped."""
-    parts = F.filter(F.transform(F.split(F.replace(line, F.lit("**"), F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(p.alias("text"), T.verdict_class(p, v).alias("cls")))
+    """array of struct(text, cls): a ruling line (see ruling_line) split at ;, each clause with its class."""
+    parts = F.filter(F.transform(F.split(line, ";"), T.stripped), lambda p: p != "")
+    return F.coalesce(F.transform(parts, lambda p: F.struct(p.alias("text"), T.verdict_class(p, v).alias("cls"))), F.array().cast("array<struct<text:string,cls:string>>"))
 
 
 @dataclass(frozen=True)
@@ -95,7 +123,7 @@ HEBREW_CHIPS = Chips(r"מותר|אסור|אוסר|מתיר|מוסמך|רשאי|
 
 def chip(clause: Column, v: T.Verdicts = T.HEBREW_VERDICTS, c: Chips = HEBREW_CHIPS) -> Column:
     """cls of a clause short and plain enough to be shown as a badge: yes, no, cond, none; else null."""
-    s = F.btrim(clause, F.lit("* ."))
+    s = F.btrim(clause, F.lit("* ." + T.INVISIBLE))
     pattern = rf"^((?:{v.negations})\s+)?({v.terms})(\s+[^;*]{{1,{c.longest}}})?$"
     negated, term, qualifier = F.regexp_extract(s, pattern, 1) != "", F.regexp_extract(s, pattern, 2), F.trim(F.regexp_extract(s, pattern, 3))
     partly = F.lit(False)

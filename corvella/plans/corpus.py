@@ -200,49 +200,63 @@ def _values(cases: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(said(x) for x in row) + ")" for row in cases) + ")"
 
 
-#: Clauses of rulings, with their class and that of the chip.
-RULINGS = [
-    ("מותר", "yes", "yes"), ("אסור בתנועה רגלית", "no", "no"), ("לא מותר", "no", "no"), ("לא אסור", "accent", None), ("מותר בתנאים", "cond", "cond"), ("זכאי אך ורק באישור", "cond", "cond"),
-    ("לא נמצא", "none", "none"), ("בנוגע למסדר", "accent", None), ("מוסמך", "yes", None), ("ניתן צו", "yes", None), ("ניתן לקבל", "yes", "yes"), ("אסור, אך מותר בלילה", "cond", None),
-    ("אינך זכאי", "no", "no"), ("חייב חלקית", "cond", "cond"), ("פטור עד 7 ימים", "yes", "yes"), ("רשאי למעט בשבת", "cond", "cond"),
-]
+#: Parts of which rulings are put together: what negates, the term, what follows it, and what may stand around a clause.
+NEGATIONS = ("", "לא ", "אינך ", "", "אין ", "אינו  ")
+TERMS = ("מותר", "אסור", "מוסמך", "רשאי", "זכאי", "פטור", "חייב", "ניתן", "אפשר", "מגיע לך", "נמצאה", "בנוגע למסדר")
+TAILS = ("", " בתנאים", " חלקית — רק בלילה", " אך ורק באישור", ", אך אסור בלילה", " עד 7 ימים", " לקבל החזר", " צו", " רק ביום", " ולא בשבת", " אלא אם סוכם", " בתנועה רגלית", " ומגיע לו", " " + "ארוך " * 12)
+AROUND = ("", T.DIRECTIONS[1], "** ", T.DIRECTIONS[0] + "*", "")
+
+
+def _pick(options: tuple[str, ...], at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, options)), (at % len(options) + 1).cast("int"))
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with two clauses of rulings put together by their keys, and answers whose ruling line holds them."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    one = F.concat(_pick(NEGATIONS, k), _pick(TERMS, c), _pick(TAILS, k + c))
+    two = F.concat(_pick(NEGATIONS, c), _pick(TERMS, k), _pick(TAILS, k * 3 + c))
+    line = F.concat(_pick(AROUND, k), F.when(k % 4 > 0, "**פסיקה:** ").otherwise("פסיקה: "), one, F.lit(" ;"), two, _pick(("", "**", "; ", "** " + T.DIRECTIONS[2]), c))
+    return o.select(k.alias("id"), F.concat(_pick(AROUND, c), one, _pick(("", ".", T.DIRECTIONS[3]), k)).alias("clause"), F.concat(F.lit("כותרת\n"), F.when(k % 9 > 0, line).otherwise("אין כאן"), F.lit(" \nפסיקה: מותר")).alias("answer"))
 
 
 def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, sf_dir, [r[0] for r in RULINGS])
-    return rows.select("id", T.verdict_class(F.col("text"), T.HEBREW_VERDICTS).alias("cls"), answers.chip(F.col("text")).alias("chip"))
+    return _ruled(spark, sf_dir).select("id", T.verdict_class(F.col("clause"), T.HEBREW_VERDICTS).alias("cls"), answers.chip(F.col("clause")).alias("chip"))
 
 
 def ruling_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of two rulings."""
-    rows = _cases(spark, sf_dir, [f"**{a[0]}; {b[0]}**;" for a, b in zip(RULINGS, RULINGS[3:])])
-    return rows.select("id", F.posexplode(answers.ruling_clauses(F.col("text"))).alias("pos", "c")).select("id", "pos", "c.text", "c.cls")
+    found = answers.ruling_clauses(answers.ruling_line(F.col("answer")))
+    return _ruled(spark, sf_dir).select("id", F.posexplode(found).alias("pos", "c")).select("id", "pos", "c.text", "c.cls")
 
 
-#: Answers and the blocks (position, kind, label, value) that they have.
-ANSWERS = [
-    ("**פסיקה:** מותר\n\nprose one\nprose two\n\n**מקור:** 33.0101 - leave, סעיף 4; other", [(1, "lead", "פסיקה", "מותר"), (2, "md", None, "prose one\nprose two"), (3, "src", "מקור", "33.0101 - leave, סעיף 4; other")]),
-    ("only prose", [(1, "md", None, "only prose")]),
-    ("\n\n**הערה:** note this\n**מי מאשר:** a major\n  \nrest", [(1, "note", "הערה", "note this"), (2, "field", "מי מאשר", "a major"), (3, "md", None, "  \nrest")]),
-    ("- **התנהלות נכונה**: be calm\n**טרם במאגר:** 12", [(1, "side", "התנהלות נכונה", "be calm"), (2, "route_miss", "טרם במאגר", "12")]),
-    ("", []),
-]
+#: Lines of which answers are put together. Some look like labels or notes and are not.
+ANSWER_LINES = (
+    "**פסיקה:** {}", "prose about {}", "", "הפקודות אינן קובעות את {}", "**מקור:** 33.{} — leave and rest, סעיף 4; other", "**חשוב מאוד** לדעת {}", "- **התנהלות נכונה**: {}", "**התנהלות החייל**:  {} ", "**מקור:** ; ",
+    "**תווית ארוכה מאוד שאין לה סוף ואין לה גבול:** {}", "הפקודות שסופקו לא מגדירות {}", "  ", "** " + T.DIRECTIONS[1] + "הערה" + T.DIRECTIONS[1] + " :** note {}", "**טרם במאגר**: " + T.DIRECTIONS[0] + "{}", "a long line of prose that comes before הפקודות אינן קובעות {}", "**מי מאשר:**",
+)
 
 
 def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.blocks(_cases(spark, sf_dir, [a for a, _ in ANSWERS]).withColumnRenamed("text", "body"))
+    """An order's items as the lines of an answer."""
+    l = table(spark, sf_dir, "lineitem")
+    at = F.col("l_partkey") + F.col("l_suppkey") * 5 + F.col("l_linenumber")
+    line = F.replace(_pick(ANSWER_LINES, at), F.lit("{}"), F.col("l_partkey").cast("string"))
+    rows = l.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("x"))
+    return answers.blocks(rows.select("id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("body")))
 
 
-#: Source lines and the titles and clauses in them.
-SOURCES = [
-    ("33.0101 - leave and rest, סעיף 4; other order", [("33.0101 · leave and rest", "סעיף 4"), ("other order", "")]),
-    ("work, pay, סעיפים 3-5", [("work, pay", "סעיפים 3-5")]), (" ; ", []), ("plain — title", [("plain · title", "")]),
-]
+SOURCE_TITLES = ("33.{} - leave and rest", "work, pay", "plain — title {}", "", "{}–{}-{}", " " + T.DIRECTIONS[1] + "order {} ", "סעיפון {}")
+SOURCE_CLAUSES = ("", ", סעיף {}", " · סעיפים {}-9", "סעיף 1", " — סעיף 4(ב), סעיף {}", ", סעיף")
 
 
 def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, sf_dir, [a for a, _ in SOURCES])
-    return rows.select("id", F.posexplode(answers.sources(F.col("text"))).alias("pos", "s")).select("id", "pos", "s.title", "s.clause")
+    """Two sources a line, put together by the keys of items."""
+    l = table(spark, sf_dir, "lineitem")
+    k, c, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    value = F.concat(_pick(SOURCE_TITLES, k), _pick(SOURCE_CLAUSES, c), F.lit(" ; "), _pick(SOURCE_TITLES, c), _pick(SOURCE_CLAUSES, k + n))
+    rows = l.select(k.alias("id"), n.alias("line"), F.replace(value, F.lit("{}"), c.cast("string")).alias("value"))
+    return rows.select("id", "line", F.posexplode(answers.sources(F.col("value"))).alias("pos", "s")).select("id", "line", "pos", "s.title", "s.clause")
 
 
 #: Windows and the dates (ISO, whether the day is known, marker) in them; today is 2026-08-01.
@@ -487,6 +501,27 @@ stripped AS (SELECT query_id, place AS target_rank, CASE r % 3 WHEN 1 THEN 'key-
 _ORDERS = """d AS (SELECT r_regionkey AS k, 'PM-' || r_regionkey AS doc_id, CASE WHEN r_regionkey = 1 THEN '-' ELSE r_name END AS title, r_name, CASE WHEN r_regionkey % 2 = 0 THEN 'key-facts' ELSE 's1' END AS sid FROM region),
 c AS (SELECT *, CASE WHEN n_nationkey % 4 = 0 THEN ' ' ELSE 'all about ' || n_name END AS said FROM nation JOIN d ON n_regionkey = k)"""
 
+_NEG, _TERM = T.HEBREW_VERDICTS.negations, T.HEBREW_VERDICTS.terms
+_COND = r"אך ורק|ובלבד|בכפוף|בתנאי|למעט|בחריגים|באישור|אלא אם|(?:^|\s)רק\s"
+
+
+def _marks(characters: str) -> str:
+    """Characters as SQL."""
+    return "(" + " || ".join(f"chr({ord(c)})" for c in characters) + ")"
+
+
+def _option(options: tuple[str, ...], at: str) -> str:
+    return "[" + ", ".join("'" + o + "'" for o in options) + f"][({at}) % {len(options)} + 1]"
+
+
+_RULED = f"""parts_of AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+both_of AS (SELECT k, c, {_option(NEGATIONS, 'k')} || {_option(TERMS, 'c')} || {_option(TAILS, 'k + c')} AS one, {_option(NEGATIONS, 'c')} || {_option(TERMS, 'k')} || {_option(TAILS, 'k * 3 + c')} AS two FROM parts_of),
+ruled AS (SELECT k AS id, {_option(AROUND, 'c')} || one || {_option(("", ".", T.DIRECTIONS[3]), 'k')} AS clause,
+  'כותרת' || chr(10) || CASE WHEN k % 9 > 0 THEN {_option(AROUND, 'k')} || CASE WHEN k % 4 > 0 THEN '**פסיקה:** ' ELSE 'פסיקה: ' END || one || ' ;' || two || {_option(("", "**", "; ", "** " + T.DIRECTIONS[2]), 'c')} ELSE 'אין כאן' END || ' ' || chr(10) || 'פסיקה: מותר' AS answer FROM both_of)"""
+_CLASSED = rf"""opened AS (SELECT *, regexp_extract(trim({{clause}}), '^((?:{_NEG})\s+)?({_TERM})(.*)$', ['neg', 'term', 'tail']) AS m FROM {{src}}),
+classed AS (SELECT *, CASE WHEN starts_with(trim({{clause}}), 'לא נמצא') THEN 'none' WHEN m.term = '' OR m.neg <> '' AND m.term = 'אסור' THEN 'accent' WHEN starts_with(trim(m.tail), 'בתנאים') OR starts_with(trim(m.tail), 'חלקית') THEN 'cond'
+  WHEN (m.neg <> '' OR m.term = 'אסור') AND regexp_matches(m.tail, 'מותר|רשאי|זכאי|מוסמך|פטור|מגיע') THEN 'cond' WHEN m.neg <> '' OR m.term = 'אסור' THEN 'no' WHEN contains(m.tail, 'אסור') OR regexp_matches(trim(m.tail), '{_COND}') THEN 'cond' ELSE 'yes' END AS cls FROM opened)"""
+
 ORACLE_SQL = {
     "clause_rows": f"WITH {_ORDERS} SELECT doc_id || '__s' || sid || '__c' || n_nationkey AS id, doc_id, sid AS section, n_nationkey::VARCHAR AS clause, title || ' — ' || lower(r_name) || chr(10) || 'clause ' || n_nationkey || ': ' || said AS text FROM c WHERE trim(said) <> '' AND k <> 3",
     "annex_rows": f"""
@@ -545,10 +580,37 @@ SELECT doc_id, clause, page FROM f""",
     "built_dates": """
 WITH d AS (SELECT o_orderkey, o_orderkey % 3 > 0 AS k, try_cast(printf('%04d-%02d-%02d', year(o_orderdate) + 15, o_orderkey % 13, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 31 + 1 ELSE 1 END) AS DATE) AS d FROM orders), m AS (SELECT *, CASE WHEN d <= DATE '2012-06-30' THEN d END AS made FROM d)
 SELECT o_orderkey, made::VARCHAR AS iso, CASE WHEN year(made) >= 2010 THEN CASE WHEN k THEN strftime(made, '%d/%m/%Y') ELSE strftime(made, '%m/%Y') END END AS badge FROM m""",
-    "rulings": _CASE.format(columns="cls, chip", names="cls, chip", size=len(RULINGS), values=_values([(i, c, h) for i, (_, c, h) in enumerate(RULINGS)])),
-    "ruling_clauses": _CASE.format(columns="pos, text, cls", names="pos, text, cls", size=len(RULINGS) - 3, values=_values([(i, p, x[0], x[1]) for i, pair in enumerate(zip(RULINGS, RULINGS[3:])) for p, x in enumerate(pair)])),
-    "answer_blocks": _CASE.format(columns="pos, kind, label, value", names="pos, kind, label, value", size=len(ANSWERS), values=_values([(i, *b) for i, (_, found) in enumerate(ANSWERS) for b in found])),
-    "answer_sources": _CASE.format(columns="pos, title, clause", names="pos, title, clause", size=len(SOURCES), values=_values([(i, p, *s) for i, (_, found) in enumerate(SOURCES) for p, s in enumerate(found)])),
+    "rulings": f"""WITH {_RULED}, {_CLASSED.format(src="ruled", clause="clause")},
+h AS (SELECT id, s, regexp_extract(t, '^((?:{_NEG})\s+)?({_TERM})(\s+[^;*]{{1,50}})?$', ['neg', 'term', 'qual']) AS x, t FROM (SELECT *, trim(clause, '* .' || {_marks(T.INVISIBLE)}) AS t FROM (SELECT *, clause AS s FROM ruled))),
+q AS (SELECT id, t, x.neg AS neg, x.term AS term, trim(x.qual) AS qual FROM h)
+SELECT id, cls, CASE WHEN starts_with(t, 'לא נמצא') THEN CASE WHEN length(t) <= 60 THEN 'none' END
+  WHEN term = '' OR regexp_matches(qual, 'מותר|אסור|אוסר|מתיר|מוסמך|רשאי|זכאי|פטור|חייב|ניתן|אפשר|מגיע|(?:^|\s)[ושכב]?(?:לא|אין)(?:\s|$)') OR neg <> '' AND term = 'אסור'
+    OR qual <> '' AND term IN ('ניתן', 'אפשר') AND NOT starts_with(qual, 'ל') OR qual = '' AND term IN ('מוסמך', 'רשאי', 'ניתן', 'אפשר') THEN NULL
+  WHEN starts_with(qual, 'בתנאים') OR starts_with(qual, 'חלקית') THEN 'cond' WHEN neg <> '' OR term = 'אסור' THEN 'no' WHEN regexp_matches(qual, '{_COND}') THEN 'cond' ELSE 'yes' END AS chip
+FROM classed JOIN q USING (id)""",
+    "ruling_clauses": f"""WITH {_RULED}, lines AS (SELECT id, unnest(string_split(answer, chr(10))) AS line, unnest(range(len(string_split(answer, chr(10))))) AS nth FROM ruled),
+hit AS (SELECT id, nth, regexp_extract(line, '^\s*[' || {_marks(T.INVISIBLE)} || ']*(?:\*\*)?\s*פסיקה:\s*\*{{0,2}}\s*(.+?)\s*$', 1) AS v FROM lines),
+first AS (SELECT id, trim(replace(arg_min(v, nth), '**', ''), '* ' || {_marks(T.INVISIBLE)}) AS v FROM hit WHERE v <> '' GROUP BY 1),
+parts AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS pos, trim(p) AS text FROM (SELECT id, unnest(string_split(v, ';')) AS p, unnest(range(len(string_split(v, ';')))) AS k FROM first) WHERE trim(p) <> ''),
+{_CLASSED.format(src="parts", clause="text")} SELECT id, pos, text, cls FROM classed""",
+    "answer_blocks": rf"""
+WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, replace({_option(ANSWER_LINES, 'l_partkey + l_suppkey * 5 + l_linenumber')}, '{{}}', l_partkey::VARCHAR) AS line FROM lineitem),
+m AS (SELECT *, trim(line) AS bare, regexp_extract(line, '^\s*\*\*\s*([^*\n]{{1,28}}?)\s*(?::\s*\*\*|\*\*\s*:)\s*(.*)$', ['label', 'value']) AS x FROM l),
+k AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN x.label <> '' THEN 'label' WHEN regexp_matches(left(bare, 45), 'הפקודות\s+(?:שסופקו\s+)?(?:אינן|לא)\s+(?:קובעות|נוקבות|מפרטות|מגדירות|מתייחסות|מסדירות)') THEN 'open' ELSE 'prose' END AS sort FROM m),
+o AS (SELECT * REPLACE (CASE WHEN sort = 'open' THEN CASE WHEN (SELECT arg_max(z.sort, z.n) FROM k z WHERE z.id = k.id AND z.n < k.n AND z.sort <> 'open') = 'prose' THEN 'prose' ELSE 'note' END ELSE sort END AS sort) FROM k),
+r AS (SELECT *, sum((sort IN ('label', 'note') OR coalesce(before IN ('label', 'note'), false))::INT) OVER (PARTITION BY id ORDER BY n) AS run FROM (SELECT *, lag(sort) OVER (PARTITION BY id ORDER BY n) AS before FROM o)),
+g AS (SELECT id, run, min(n) AS n, bool_or(sort = 'label') AS lab, bool_or(sort = 'note') AS note, trim(trim(any_value(x.label)), {_marks(T.DIRECTIONS)}) AS label, trim(trim(any_value(x.value), ' ' || {_marks(T.DIRECTIONS)})) AS value, any_value(bare) AS bare,
+  trim(string_agg(line, chr(10) ORDER BY n), chr(10)) AS prose FROM r GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN NOT lab THEN CASE WHEN note THEN 'note' ELSE 'md' END WHEN starts_with(label, 'התנהלות') THEN 'side' WHEN label = 'מקור' THEN CASE WHEN regexp_matches(value, '[^ ;]') THEN 'src' ELSE 'field' END
+  WHEN label = 'פסיקה' THEN 'lead' WHEN label = 'טרם במאגר' THEN 'route_miss' WHEN label = 'הערה' THEN 'note' ELSE 'field' END AS kind FROM g WHERE lab OR note OR regexp_matches(prose, '\S'))
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) AS pos, kind, CASE WHEN lab AND kind <> 'note' THEN label END AS label, CASE WHEN lab THEN value WHEN note THEN bare ELSE prose END AS value FROM f""",
+    "answer_sources": rf"""
+WITH v AS (SELECT row_number() OVER () AS n, l_orderkey AS id, l_linenumber AS line, replace({_option(SOURCE_TITLES, 'l_orderkey')} || {_option(SOURCE_CLAUSES, 'l_partkey')} || ' ; ' || {_option(SOURCE_TITLES, 'l_partkey')}
+  || {_option(SOURCE_CLAUSES, 'l_orderkey + l_linenumber')}, '{{}}', l_partkey::VARCHAR) AS value FROM lineitem),
+p AS (SELECT n, id, line, k, trim(part, ' ' || {_marks(T.DIRECTIONS)}) AS part FROM (SELECT n, id, line, unnest(string_split(value, ';')) AS part, unnest([0, 1]) AS k FROM v)),
+s AS (SELECT n, id, line, k, regexp_extract(part, '(?:^|[\s,—–·-]*\s)((?:סעיף|סעיפים)\s+\S.*)$', 1) AS clause, regexp_replace(part, '(?:^|[\s,—–·-]*\s)((?:סעיף|סעיפים)\s+\S.*)$', '') AS title FROM p WHERE part <> ''),
+t AS (SELECT n, id, line, k, clause, regexp_replace(trim(title), '\s*[—–-]\s*', ' · ') AS title FROM s)
+SELECT id, line, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS pos, title, clause FROM t WHERE title <> '' OR clause <> ''""",
     "date_harvest": _CASE.format(columns="iso, day_known, marker", names="iso, day_known, marker", size=len(DATES), values=_values([(i, *d) for i, (_, found) in enumerate(DATES) for d in found])),
     "date_windows": f"SELECT n_nationkey AS doc_id, pos, text, marker FROM nation, {_values([*WINDOWS, *STAMPS])} v(pos, text, marker)",
     "document_dates": rf"""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import text as T
-from corvella.operators import chunking, dense, index, ranking
+from corvella.operators import chunking, dense, index, lexical, ranking
+from corvella.operators.stored import stored
 
 from .inputs import HITS_SQL, WINDOWS_SQL, documents, hits, table, vectors
 
@@ -38,8 +39,14 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.vocabulary(_texts(spark, sf_dir))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    terms = stored(index.query_terms(_queries(spark, sf_dir)))
+    return terms, lexical.build(_chunks(spark, sf_dir), terms)
+
+
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.document_frequency(index.query_terms(_queries(spark, sf_dir)), _chunks(spark, sf_dir), texts=_texts(spark, sf_dir))
+    terms, built = _index(spark, sf_dir)
+    return lexical.frequencies(built, terms)
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +54,8 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = index.lexical_scores(_queries(spark, sf_dir), _chunks(spark, sf_dir), texts=_texts(spark, sf_dir)).withColumn("doc_id", F.element_at(F.split("chunk_id", "__"), 1))
-    return index.per_query_top(scored, 8, "overlap", ["chunk_id"], cap=4).select("query_id", "rank", "doc_id", "chunk_id", "overlap")
+    found = lexical.lexical_topk(_queries(spark, sf_dir), _chunks(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")))
+    return found.select("query_id", "rank", "doc_id", "chunk_id", "overlap")
 
 
 def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
