@@ -145,18 +145,6 @@ def call_cost(rows: DataFrame, prices: DataFrame, default: tuple[float, float],
     return joined.withColumn("cost", F.round(total * F.when(F.col("batch"), F.lit(batch)).otherwise(F.lit(1.0)), digits)).drop("_m", "price_in", "price_out")
 
 
-def ledger_state(events: DataFrame, ceiling: int) -> DataFrame:
-    """day, spent, reserved, room of reservations (id, estimate), settlements (id, actual) and releases: events of kind reserve, settle, release in whole cents.
-
-    Of one id a settlement beats a release and both beat the reservation;
-    released ones count nothing.
-    """
-    order = F.when(F.col("kind") == "settle", 2).when(F.col("kind") == "release", 1).otherwise(0)
-    last = events.groupBy("day", "id").agg(F.max(F.struct(order.alias("o"), "amount")).alias("e"))
-    sums = last.groupBy("day").agg(F.coalesce(F.sum(F.when(F.col("e.o") == 2, F.col("e.amount"))), F.lit(0)).alias("spent"), F.coalesce(F.sum(F.when(F.col("e.o") == 0, F.col("e.amount"))), F.lit(0)).alias("reserved"))
-    return sums.withColumn("room", F.greatest(F.lit(ceiling) - F.col("spent") - F.col("reserved"), F.lit(0)))
-
-
 def percentage_band(value: Column, bands: list[tuple[int, float]], default: float) -> Column:
     """The percentage of the highest band whose least value is reached."""
     out = F.lit(default)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import text as T
 
+from . import ledger
+
 
 def device_days(log: DataFrame) -> DataFrame:
     """device, day, n_questions: first level of the device rollup; blank devices are left out. log: device, ts."""
@@ -120,24 +119,7 @@ def triage(questions: DataFrame, vocabulary: DataFrame, doc_words: DataFrame, n_
     return out.select("query_id", F.when(F.col("unknown"), "corpus").when(F.coalesce("got", F.lit(True)), "answer").otherwise("retrieval").alias("cause"))
 
 
-def spend_ceiling(entries: DataFrame, ceiling: int) -> DataFrame:
-    """day, id, accepted: whether a reservation (whole cents) still fits under the day's ceiling; only accepted ones count.
-
-    An order-dependent fold: rows stream through one task a day in order, and
-    only the running sum is held. entries: day, ts, id, estimate.
-    """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        day, spent = None, 0
-        for b in batches:
-            taken = []
-            for d, amount in zip(b.column("day").to_pylist(), b.column("estimate").to_pylist()):
-                if d != day:
-                    day, spent = d, 0
-                ok = amount is not None and spent + amount <= ceiling
-                spent += amount if ok else 0
-                taken.append(ok)
-            yield pa.record_batch({"day": b.column("day"), "id": b.column("id"), "accepted": pa.array(taken, pa.bool_())})
-
-    rows = entries.select("day", "ts", "id", F.col("estimate").cast("long").alias("estimate")).repartition("day").sortWithinPartitions("day", "ts", "id")
-    return rows.select("day", "id", "estimate").mapInArrow(fold, "day date, id long, accepted boolean")
+def spend_ceiling(entries: DataFrame, ceiling: int, block_rows: int = ledger.BLOCK_ROWS) -> DataFrame:
+    """day, id, accepted: whether a reservation (whole cents) still fits under the day's ceiling; only accepted ones count. entries: day, ts, id, estimate."""
+    rows = entries.select("day", "ts", F.col("id").alias("seq"), "id", F.lit("reserve").alias("kind"), F.col("estimate").cast("long").alias("amount"))
+    return ledger.enforced(rows, ceiling, block_rows).select("day", "id", "accepted")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvella.functions import dates
 from corvella.functions import text as T
-from corvella.operators import answers, chunking, curation, dense, embedding, experiments, extraction, gates, harvest, index, intake, ranking
+from corvella.operators import answers, chunking, curation, dense, embedding, experiments, extraction, gates, harvest, index, intake, ledger, ranking
 
 from .inputs import HITS_SQL, hits, table
 
@@ -463,11 +463,12 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    """Events of a user and day reserve, settle and release one entry; the day's ceiling turns some reservations down."""
     k = F.col("event_id")
-    kind = F.when(k % 4 == 1, "settle").when(k % 4 == 3, "release").otherwise("reserve")
-    rows = e.select(F.to_date("ts").cast("string").alias("day"), F.expr("event_id div 4 * 2 + event_id % 4 div 2").alias("id"), kind.alias("kind"), F.round(F.col("value") * 100).cast("long").alias("amount"))
-    return experiments.ledger_state(rows, 150_000)
+    kind = F.when(k % 5 == 1, "settle").when(k % 7 == 3, "release").otherwise("reserve")
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "ts", k.alias("seq"), F.col("user_id").alias("id"), kind.alias("kind"), F.round(F.col("value") * 100).cast("long").alias("amount"))
+    totals = ledger.day_totals(ledger.enforced(rows, 60_000), 60_000)
+    return totals.withColumn("day", F.col("day").cast("string"))
 
 
 def wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,7 +581,7 @@ SELECT doc_id, clause, page FROM f""",
     "built_dates": """
 WITH d AS (SELECT o_orderkey, o_orderkey % 3 > 0 AS k, try_cast(printf('%04d-%02d-%02d', year(o_orderdate) + 15, o_orderkey % 13, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 31 + 1 ELSE 1 END) AS DATE) AS d FROM orders), m AS (SELECT *, CASE WHEN d <= DATE '2012-06-30' THEN d END AS made FROM d)
 SELECT o_orderkey, made::VARCHAR AS iso, CASE WHEN year(made) >= 2010 THEN CASE WHEN k THEN strftime(made, '%d/%m/%Y') ELSE strftime(made, '%m/%Y') END END AS badge FROM m""",
-    "rulings": f"""WITH {_RULED}, {_CLASSED.format(src="ruled", clause="clause")},
+    "rulings": rf"""WITH {_RULED}, {_CLASSED.format(src="ruled", clause="clause")},
 h AS (SELECT id, s, regexp_extract(t, '^((?:{_NEG})\s+)?({_TERM})(\s+[^;*]{{1,50}})?$', ['neg', 'term', 'qual']) AS x, t FROM (SELECT *, trim(clause, '* .' || {_marks(T.INVISIBLE)}) AS t FROM (SELECT *, clause AS s FROM ruled))),
 q AS (SELECT id, t, x.neg AS neg, x.term AS term, trim(x.qual) AS qual FROM h)
 SELECT id, cls, CASE WHEN starts_with(t, 'לא נמצא') THEN CASE WHEN length(t) <= 60 THEN 'none' END
@@ -588,7 +589,7 @@ SELECT id, cls, CASE WHEN starts_with(t, 'לא נמצא') THEN CASE WHEN length(
     OR qual <> '' AND term IN ('ניתן', 'אפשר') AND NOT starts_with(qual, 'ל') OR qual = '' AND term IN ('מוסמך', 'רשאי', 'ניתן', 'אפשר') THEN NULL
   WHEN starts_with(qual, 'בתנאים') OR starts_with(qual, 'חלקית') THEN 'cond' WHEN neg <> '' OR term = 'אסור' THEN 'no' WHEN regexp_matches(qual, '{_COND}') THEN 'cond' ELSE 'yes' END AS chip
 FROM classed JOIN q USING (id)""",
-    "ruling_clauses": f"""WITH {_RULED}, lines AS (SELECT id, unnest(string_split(answer, chr(10))) AS line, unnest(range(len(string_split(answer, chr(10))))) AS nth FROM ruled),
+    "ruling_clauses": rf"""WITH {_RULED}, lines AS (SELECT id, unnest(string_split(answer, chr(10))) AS line, unnest(range(len(string_split(answer, chr(10))))) AS nth FROM ruled),
 hit AS (SELECT id, nth, regexp_extract(line, '^\s*[' || {_marks(T.INVISIBLE)} || ']*(?:\*\*)?\s*פסיקה:\s*\*{{0,2}}\s*(.+?)\s*$', 1) AS v FROM lines),
 first AS (SELECT id, trim(replace(arg_min(v, nth), '**', ''), '* ' || {_marks(T.INVISIBLE)}) AS v FROM hit WHERE v <> '' GROUP BY 1),
 parts AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS pos, trim(p) AS text FROM (SELECT id, unnest(string_split(v, ';')) AS p, unnest(range(len(string_split(v, ';')))) AS k FROM first) WHERE trim(p) <> ''),
@@ -686,8 +687,14 @@ SELECT id, source FROM r, k WHERE CASE WHEN source = 'blind' THEN r <= least(b,
 SELECT l_orderkey, l_linenumber, round((l_partkey * i + l_suppkey * o + l_orderkey * i * 1.25::DOUBLE + l_orderkey * 2 * i * 0.1::DOUBLE) / 1e6::DOUBLE * CASE WHEN l_linenumber % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 12) AS cost
 FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 5.0::DOUBLE END AS i, CASE WHEN l_returnflag = 'R' THEN 5.0::DOUBLE ELSE 25.0::DOUBLE END AS o FROM lineitem)""",
     "ledger_state": """
-WITH e AS (SELECT ts::DATE::VARCHAR AS day, event_id // 4 * 2 + event_id % 4 // 2 AS id, CASE event_id % 4 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS o, round(value * 100)::BIGINT AS amount FROM events),
-l AS (SELECT day, id, max(o) AS o, arg_max(amount, (o, amount)) AS amount FROM e GROUP BY 1, 2), s AS (SELECT day, coalesce(sum(amount) FILTER (o = 2), 0)::BIGINT AS spent, coalesce(sum(amount) FILTER (o = 0), 0)::BIGINT AS reserved FROM l GROUP BY 1)
-SELECT *, greatest(150000 - spent - reserved, 0) AS room FROM s""",
+WITH RECURSIVE e AS (SELECT ts::DATE AS d, ts, event_id AS seq, user_id AS id, CASE WHEN event_id % 5 = 1 THEN 'settle' WHEN event_id % 7 = 3 THEN 'release' ELSE 'reserve' END AS kind, round(value * 100)::BIGINT AS amount FROM events),
+r AS (SELECT d, id, min((ts, seq)) AS place, arg_min(amount, (ts, seq)) AS est FROM e WHERE kind = 'reserve' GROUP BY 1, 2),
+c AS (SELECT e.d, e.id, min((ts, seq)) AS place, arg_min(kind, (ts, seq)) AS kind, arg_min(amount, (ts, seq)) AS amount, any_value(est) AS est FROM e JOIN r ON r.d = e.d AND r.id = e.id WHERE kind <> 'reserve' AND (ts, seq) > r.place GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY d ORDER BY place) AS n FROM (SELECT d, id, place, 'reserve' AS kind, est AS amount, est FROM r UNION ALL SELECT d, id, place, kind, amount, est FROM c)),
+f AS (SELECT d, n, kind, id, amount, est, est <= 60000 AS ok, CASE WHEN est <= 60000 THEN est ELSE 0 END AS committed, CASE WHEN est <= 60000 THEN [id] ELSE [] END AS taken FROM l WHERE n = 1
+  UNION ALL SELECT d, n, kind, id, amount, est, ok, committed + CASE WHEN NOT ok THEN 0 WHEN kind = 'reserve' THEN est WHEN kind = 'settle' THEN amount - est ELSE -est END, CASE WHEN ok AND kind = 'reserve' THEN list_append(taken, id) ELSE taken END
+  FROM (SELECT l.*, f.committed, f.taken, CASE WHEN l.kind = 'reserve' THEN f.committed + l.est <= 60000 ELSE list_contains(f.taken, l.id) END AS ok FROM f JOIN l ON l.d = f.d AND l.n = f.n + 1) x),
+t AS (SELECT d, coalesce(sum(amount) FILTER (ok AND kind = 'settle'), 0)::BIGINT AS spent, (coalesce(sum(est) FILTER (ok AND kind = 'reserve'), 0) - coalesce(sum(est) FILTER (ok AND kind <> 'reserve'), 0))::BIGINT AS reserved, count(*) FILTER (ok AND kind = 'reserve') AS took FROM f GROUP BY 1)
+SELECT d::VARCHAR AS day, spent, reserved, greatest(60000 - spent - reserved, 0) AS room, (SELECT count(*) FROM e WHERE e.d = t.d AND kind = 'reserve') - took AS refused FROM t""",
     "wordings": "SELECT r_name AS role, lower(r_name) AS persona, n_name AS situation FROM region, nation ORDER BY md5(r_name || '|' || lower(r_name) || '|' || n_name || '|7') LIMIT 13",
 }

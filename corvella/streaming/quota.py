@@ -2,47 +2,80 @@
 
 from __future__ import annotations
 
-import json
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 VERDICTS = "day date, seq long, user string, verdict string"
+#: State with several variables, timers and expiry needs this store; the session names it in spark.sql.streaming.stateStore.providerClass.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def quota_stream(events: DataFrame, user_cap: int = 5, global_cap: int = 80) -> DataFrame:
-    """Verdicts of a stream of events (ts, seq, user, refund): ok, user, global or refund.
+class DayQuota(StatefulProcessor):
+    """A day's passes: their number, and that of each user with a pass. A timer ends the day once the watermark has passed it."""
 
-    State is kept by day: the number passed and that of each user with a pass,
-    global_cap users at most. Rows of a micro-batch count in the order of
-    (ts, seq). A refund gives one pass back, not below zero.
-    """
+    def __init__(self, user_cap: int, global_cap: int):
+        self.user_cap, self.global_cap = user_cap, global_cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", "n long")
+        self.users = handle.getMapState("users", "user string", "n long")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, users = state.get if state.exists else (0, "{}")
-        held: dict[str, int] = json.loads(users)
-        batch = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        if not self.total.exists():
+            midnight = datetime.datetime.combine(key[0] + datetime.timedelta(days=1), datetime.time(), datetime.timezone.utc)
+            self.handle.registerTimer(int(midnight.timestamp() * 1000))
+        total = self.total.get()[0] if self.total.exists() else 0
+        held: dict[str, int] = {}
         verdicts = []
         for user, refund in zip(batch["user"], batch["refund"]):
-            mine = held.get(user, 0)
+            if user not in held:
+                held[user] = self.users.getValue((user,))[0] if self.users.containsKey((user,)) else 0
             if refund:
-                verdict, total, mine = "refund", max(0, total - 1), max(0, mine - 1)
-            elif total >= global_cap:
+                verdict, total, held[user] = "refund", max(0, total - 1), max(0, held[user] - 1)
+            elif total >= self.global_cap:
                 verdict = "global"
-            elif mine >= user_cap:
+            elif held[user] >= self.user_cap:
                 verdict = "user"
             else:
-                verdict, total, mine = "ok", total + 1, mine + 1
-            held[user] = mine
+                verdict, total, held[user] = "ok", total + 1, held[user] + 1
             verdicts.append(verdict)
-        state.update((total, json.dumps({u: n for u, n in held.items() if n})))
+        self.total.update((total,))
+        for user, n in held.items():
+            if n:
+                self.users.updateValue((user,), (n,))
+            elif self.users.containsKey((user,)):
+                self.users.removeKey((user,))
         yield pd.DataFrame({"day": key[0], "seq": batch["seq"], "user": batch["user"], "verdict": verdicts})
 
-    keyed = events.withColumn("day", F.to_date("ts"))
-    return keyed.groupBy("day").applyInPandasWithState(step, VERDICTS, "total int, users string", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.total.clear()
+        self.users.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(events: DataFrame, user_cap: int = 5, global_cap: int = 80, late: str = "1 hour") -> DataFrame:
+    """Verdicts of a stream of events (ts, seq, user, refund): ok, user, global or refund.
+
+    A day's state holds one number, and one for each user with a pass, so a row
+    reads and writes its own user's only. Rows of a micro-batch count in the
+    order of (ts, seq). A refund gives one pass back, not below zero. Rows may
+    come `late`; after that the day's state is dropped, and rows that are later
+    still are left out. Days are those of the session's time zone, which is to
+    be UTC. A null user is the user "". State is as ROCKSDB keeps it.
+    """
+    keyed = events.select(F.col("ts").cast("timestamp").alias("ts"), "seq", F.coalesce("user", F.lit("")).alias("user"), "refund").withWatermark("ts", late)
+    keyed = keyed.withColumn("day", F.to_date("ts"))
+    return keyed.groupBy("day").transformWithStateInPandas(DayQuota(user_cap, global_cap), VERDICTS, "append", "eventTime")
 
 
 def daily_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:

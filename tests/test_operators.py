@@ -148,6 +148,7 @@ def test_quotas_against_fold(spark):
 
 
 def test_quota_stream_matches_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", quota.ROCKSDB)
     rng = random.Random(4)
     rows = [("2024-01-01 10:00:00", i, f"u{rng.randint(0, 3)}", False) for i in range(40)]
     for part, some in enumerate((rows[:25], rows[25:])):
@@ -155,6 +156,7 @@ def test_quota_stream_matches_batch(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, seq long, user string, refund boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = quota.quota_stream(stream, 5, 12).writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = spark.table("verdicts").collect()
     assert len(got) == 40
     assert sum(r.verdict == "ok" for r in got) == 12
