@@ -21,7 +21,7 @@ FEEDBACK_LOG = "tab string, ts string, session string, role string, verdict stri
 ROLES = ("soldier", "commander", "reserve")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -56,7 +56,7 @@ def with_overrides(docs: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file or folder; none if it isn't there."""
-    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -66,7 +66,7 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """doc_id, key, value of a JSON file {doc_id: {key: value}}; none if it isn't there or broken."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], f"doc_id string, key string, value {value}")
     text = spark.read.option("wholetext", True).text(path)
     docs = text.select(F.explode(F.from_json("value", f"map<string,map<string,{value}>>")).alias("doc_id", "inner"))
