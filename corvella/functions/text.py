@@ -118,6 +118,17 @@ def contains_any(text: Column, variants: Column) -> Column:
     return F.exists(variants, lambda v: F.contains(text, v))
 
 
+def comma_list(text: Column) -> Column:
+    """The parts of a comma-separated list, without white space around them; empty ones go. Null gives an empty list."""
+    return F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), ","), stripped), "")
+
+
+def of_length(values: Column, n: Column, fill: Column) -> Column:
+    """An array cut or filled up to n elements; null counts as empty."""
+    held = F.slice(F.coalesce(values, F.array().cast("array<boolean>")), F.lit(1), F.greatest(n, F.lit(0)))
+    return F.concat(held, F.array_repeat(fill, F.greatest(n - F.size(held), F.lit(0))))
+
+
 def all_groups(text: Column, groups: Column) -> Column:
     """Whether each group (array of alternatives) has one that text contains."""
     return F.forall(groups, lambda g: F.exists(g, lambda v: F.contains(text, v)))

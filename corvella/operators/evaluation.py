@@ -35,6 +35,14 @@ def stratified_rate(sample: DataFrame, population: DataFrame) -> DataFrame:
     return parts.groupBy("outcome").agg(F.round(F.sum(F.col("k") / F.col("n") * F.col("size") / F.col("total")), 6).alias("rate"))
 
 
+def unmeasured(sample: DataFrame, population: DataFrame) -> DataFrame:
+    """stratum, size, share of the strata that stratified_rate counts with 0, as the sample holds none of them."""
+    shares = population.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    total = population.agg(F.count(F.lit(1)).alias("total"))
+    missing = shares.join(sample.select("stratum").distinct(), "stratum", "left_anti")
+    return missing.join(F.broadcast(total)).select("stratum", "size", F.round(F.col("size") / F.col("total"), 6).alias("share"))  # total: one row
+
+
 def with_wilson(counts: DataFrame, hits: str, n: str) -> DataFrame:
     low, high = amounts.wilson(F.col(hits), F.col(n))
     return counts.withColumns({"low": F.round(low, 6), "high": F.round(high, 6)})

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from corvella.functions import text as T
 
+from . import sampling
+from .stored import sent_if_small
+
 KINDS = ("typo", "fragment", "slang", "ocr", "no-marks")
 TYPOS = ("swap", "double", "drop", "near")
 # Fixed value: the letters among which a neighbouring key is drawn.
@@ -74,7 +77,7 @@ def some_of(rows: DataFrame, key: str, percent: int = 25, seed: int = 7) -> Data
 
 def combinations(roles: DataFrame, situations: DataFrame, n: int, a_call: int = 8, seed: int = 7) -> DataFrame:
     """role, persona, situation: as many of all combinations, in a seeded order, as n questions need at `a_call` each. Both tables are lists of a prompt's wordings."""
-    every = roles.crossJoin(F.broadcast(situations))  # two short lists of wordings
+    every = roles.crossJoin(sent_if_small(situations, "situation"))
     return every.orderBy(F.md5(F.concat_ws("|", "role", "persona", "situation", F.lit(str(seed))))).limit(-(-n // a_call))
 
 
@@ -128,12 +131,10 @@ def probe_sample(rows: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """Up to n rows (id, source, band): of the yellow band, or, if there is none, of all but the green; two thirds blind ones, else inside_out."""
     some = rows.where("band = 'yellow'").limit(1).count()
     pool = rows.where("band = 'yellow'" if some else "band <> 'green'")
-    sizes = {r.source: r.n for r in pool.where("source IN ('blind', 'inside_out')").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = min(n, sum(r for r in sizes.values()))
+    sizes = {r.source: r.n for r in pool.groupBy(F.when(F.col("source").isin("blind", "inside_out"), F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = min(n, sum(sizes.values()))
     blind = min(sizes.get("blind", 0), n * 2 // 3)
-    draw = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"/{seed}")))
-    nth = F.row_number().over(Window.partitionBy("source").orderBy(draw, "id"))
-    return pool.withColumn("_n", nth).where(((F.col("source") == "blind") & (F.col("_n") <= blind)) | ((F.col("source") == "inside_out") & (F.col("_n") <= n - blind))).drop("_n")
+    return sampling.stratified(pool, "id", "source", {"blind": blind, "inside_out": n - blind}, seed)
 
 
 def call_cost(rows: DataFrame, prices: DataFrame, default: tuple[float, float], write: float = 1.25, read: float = 0.10, batch: float = 0.5, digits: int = 8) -> DataFrame:

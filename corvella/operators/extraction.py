@@ -44,6 +44,39 @@ def pages_of_windows(windows: DataFrame, pages: DataFrame) -> DataFrame:
     return marks.unionByName(asked).withColumn("page", F.last("page", ignorenulls=True).over(sweep)).where("kind = 1").select("doc_id", "pos", "page")
 
 
+def _sequence(rows: DataFrame, words: Column, start: Column) -> DataFrame:
+    """doc_id, n, x, s: the number of words, and xor and sum of hashes of each word with its place. start: the place of a row's first word."""
+    hashes = F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(w, start + i), 16))
+    told = rows.select("doc_id", F.size(words).cast("long").alias("n"), F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)).alias("x"), F.aggregate(hashes, F.lit(0).cast("decimal(38,0)"), lambda a, h: (a + h).cast("decimal(38,0)")).alias("s"))
+    return told.groupBy("doc_id").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+
+
+def matching_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id of the documents whose pages (doc_id, page, text) hold the words of the stored text (doc_id, text), all of them in order.
+
+    Words are compared by hashes of word and place, so no document's text is
+    gathered: a page is hashed where it lies. Two different texts pass for
+    equal with a chance of about 2^-96.
+    """
+    words = T.words(F.col("text"))
+    sized = pages.select("doc_id", "page", words.alias("words")).withColumn("n", F.size("words").cast("long"))
+    # Places need the number of words before each page; only numbers are ordered, not texts.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sized.select("doc_id", "page", "n").withColumn("start", before).select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "start")
+    placed = sized.join(starts, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")))
+    a = _sequence(placed, F.col("words"), F.col("start"))
+    b = _sequence(docs.select("doc_id", "text"), words, F.lit(0).cast("long"))
+    return a.join(b, ["doc_id", "n", "x", "s"], "left_semi").select("doc_id")
+
+
+def guarded_pages(windows: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """pages_of_windows, with null pages for documents whose pages hold other words than the stored text. pages: doc_id, page, text."""
+    sized = pages.select("doc_id", "page", F.size(T.words(F.col("text"))).alias("n_words"))
+    fine = matching_pages(pages, docs).withColumn("_ok", F.lit(True))
+    found = pages_of_windows(windows, sized).join(fine, "doc_id", "left")
+    return found.select("doc_id", "pos", F.when(F.col("_ok"), F.col("page")).alias("page"))
+
+
 def heading_pages(headings: DataFrame) -> DataFrame:
     """doc_id, clause, page: clauses in ascending order take their first candidate page not before the running floor.
 

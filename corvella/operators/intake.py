@@ -95,6 +95,30 @@ def snapshot_status(baseline: DataFrame, current: DataFrame, key: str) -> DataFr
     return b.join(c, F.col(key) == F.col("_c"), "left").select(key, status.alias("status"))
 
 
+def file_status(baseline: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """key, status, gone, added, failed, changed of each baseline order: its files compared path by path.
+
+    baseline: key, path, digest. current: key, path, digest, error. The four
+    are sorted lists of paths. An order with a file that is gone, new or of
+    another digest is changed; else one with a file that failed is an error;
+    else it is ok. A failed file is not compared further.
+    """
+    b = baseline.select(F.col(key), "path", F.col("digest").alias("_old"), F.lit(True).alias("_b"))
+    orders = baseline.select(key).distinct()
+    c = current.join(orders, key, "left_semi").select(F.col(key), "path", F.col("digest").alias("_new"), "error", F.lit(True).alias("_c"))
+    both = b.where("path IS NOT NULL").join(c.where("path IS NOT NULL"), [key, "path"], "full_outer")
+    kind = (
+        F.when(F.col("_c").isNull(), "gone").when(F.col("_b").isNull(), "added").when(F.coalesce("error", F.lit("")) != "", "failed")
+        .when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
+    )
+    lists = [F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("path")))).alias(k) for k in ("gone", "added", "failed", "changed")]
+    per = both.withColumn("_kind", kind).groupBy(key).agg(*lists)
+    none = F.array().cast("array<string>")
+    told = orders.join(per, key, "left").select(key, *[F.coalesce(k, none).alias(k) for k in ("gone", "added", "failed", "changed")])
+    other = F.size("gone") + F.size("added") + F.size("changed")
+    return told.withColumn("status", F.when(other > 0, "changed").when(F.size("failed") > 0, "error").otherwise("ok"))
+
+
 def owned(links: DataFrame, held: DataFrame, digits: str) -> DataFrame:
     """links with owned: whether their order digits are among the held ones."""
     mine = held.select(F.col(digits).alias("_d")).where("_d IS NOT NULL").distinct().withColumn("_m", F.lit(True))

@@ -99,19 +99,24 @@ def newest(log: DataFrame, n: int = 200) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
 
 
-def triage(questions: DataFrame, vocabulary: DataFrame, doc_words: DataFrame, n_docs: int, retrieved: DataFrame, common: float = 0.1) -> DataFrame:
+def triage(questions: DataFrame, vocabulary: DataFrame, doc_words: DataFrame, n_docs: int, retrieved: DataFrame, common: float = 0.1, titles: DataFrame | None = None) -> DataFrame:
     """query_id, cause: corpus, retrieval or answer.
 
     questions: query_id, term. A term outside the vocabulary: corpus. Topic
     terms are those that `common` of the documents at most carry; candidates
-    are the documents that carry most of them. One among the retrieved
+    are the documents that carry most of them, those in their titles (doc_id,
+    word) counted twice. One among the retrieved
     (query_id, doc_id), or no candidate: answer; else retrieval.
     """
     terms = questions.distinct()
     unknown = terms.join(vocabulary.select(F.col("word").alias("term")), "term", "left_anti").select("query_id").distinct().withColumn("unknown", F.lit(True))
     df = doc_words.join(terms.select("term").distinct(), F.col("word") == F.col("term")).select("doc_id", "term").distinct()
     topic = df.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= common * n_docs)
-    carried = terms.join(topic, "term").join(df, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    points = df.withColumn("points", F.lit(1))
+    if titles is not None:
+        named = titles.select("doc_id", F.col("word").alias("term")).distinct().withColumn("more", F.lit(1))
+        points = df.join(named, ["doc_id", "term"], "left").withColumn("points", 1 + F.coalesce("more", F.lit(0)))
+    carried = terms.join(topic, "term").join(points, "term").groupBy("query_id", "doc_id").agg(F.sum("points").alias("n"))
     best = carried.groupBy("query_id").agg(F.max("n").alias("most"))
     candidates = carried.join(best, "query_id").where("n = most").select("query_id", "doc_id")
     flags = candidates.join(retrieved.select("query_id", "doc_id").distinct().withColumn("got", F.lit(True)), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.max(F.coalesce("got", F.lit(False))).alias("got"))

@@ -17,12 +17,17 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, sizes: dict[str, int], seed: int = 7) -> DataFrame:
-    """The named number of rows of each stratum; strata that aren't named have none."""
+    """The named number of rows of each stratum; strata that aren't named have none.
+
+    The largest number bounds every stratum's rows before they are shuffled:
+    tasks keep so many each, however large a stratum is.
+    """
     quota = F.lit(0)
     for name, n in sizes.items():
         quota = F.when(F.col(stratum) == name, n).otherwise(quota)
     nth = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(key, seed), key))
-    return rows.where(F.col(stratum).isin(list(sizes))).withColumn("_n", nth).where(F.col("_n") <= quota).drop("_n")
+    few = rows.where(F.col(stratum).isin(list(sizes))).withColumn("_n", nth).where(F.col("_n") <= max(sizes.values(), default=0))
+    return few.where(F.col("_n") <= quota).drop("_n")
 
 
 def changed_with_controls(before: DataFrame, after: DataFrame, key: str, digest: str, controls: int = 12) -> DataFrame:

@@ -80,7 +80,8 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_words = docs.select("doc_id", F.explode(bare).alias("word"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(bare).alias("term"))
     retrieved = hits(spark, sf_dir).where("score >= 0.2").select("query_id", F.col("row_id").alias("doc_id"))
-    return logs.triage(asked, doc_words.select("word").distinct(), doc_words, docs.count(), retrieved)
+    first_line = docs.select("doc_id", F.split("text", "\n")[0].alias("text"))
+    return logs.triage(asked, doc_words.select("word").distinct(), doc_words, docs.count(), retrieved, titles=first_line.select("doc_id", F.explode(bare).alias("word")))
 
 
 def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,12 @@ def stratified_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stratified_rate(sample, table(spark, sf_dir, "documents").select(F.col("lang").alias("stratum")))
 
 
+def unmeasured_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of which no document is labelled toxic, as strata without a sample."""
+    sample = _graded(spark, sf_dir).where("toxic = 1").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.concat_ws("/", "lang", "source").alias("stratum"))
+    return evaluation.unmeasured(sample, table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("stratum")))
+
+
 def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _graded(spark, sf_dir).groupBy("lang").agg(F.sum("quality").cast("long").alias("hits"), F.count(F.lit(1)).alias("n"))
     return evaluation.with_wilson(counts, "hits", "n")
@@ -154,7 +161,7 @@ def tier_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     device_rollup, population_stats, daily_devices, popular_questions, usage_cost, ledger_totals, quota_one_cap, quota_two_cap, ring_latest, verdict_tally, spend_ceiling, triage,
-    history_trim, preceding_question, archive_latest, transcripts, gate_by_set, band_pivot, stratified_rate, wilson_ci, flip_matrix, score_quantiles, positional_quantile, anchor_coverage, tier_asof,
+    history_trim, preceding_question, archive_latest, transcripts, gate_by_set, band_pivot, stratified_rate, unmeasured_strata, wilson_ci, flip_matrix, score_quantiles, positional_quantile, anchor_coverage, tier_asof,
 )}
 
 _LOG = """log AS (SELECT event_id AS seq, ts, user_id::VARCHAR AS device, user_id AS user_no, event_type AS role, value AS cost, ts::DATE AS d, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
@@ -195,7 +202,8 @@ SELECT seq, user_no AS user, CASE WHEN before >= 80 THEN 'global' WHEN pass THEN
 WITH {HITS_SQL}, w AS (SELECT doc_id, unnest({_STEMS}) AS word FROM documents), t AS (SELECT item_id AS query_id, unnest({_STEMS}) AS term FROM benchmark),
 v AS (SELECT DISTINCT word FROM w), un AS (SELECT DISTINCT query_id FROM t WHERE term NOT IN (SELECT word FROM v)),
 topic AS (SELECT word FROM w GROUP BY 1 HAVING count(*) <= 0.1 * (SELECT count(*) FROM documents)),
-c AS (SELECT query_id, doc_id, count(*) AS n FROM t JOIN w ON term = word WHERE term IN (SELECT word FROM topic) GROUP BY 1, 2),
+ti AS (SELECT doc_id, unnest({_STEMS}) AS word FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)),
+c AS (SELECT query_id, w.doc_id, count(*) + count(ti.word) AS n FROM t JOIN w ON term = w.word LEFT JOIN ti ON ti.doc_id = w.doc_id AND ti.word = w.word WHERE term IN (SELECT word FROM topic) GROUP BY 1, 2),
 b AS (SELECT query_id, doc_id FROM c QUALIFY n = max(n) OVER (PARTITION BY query_id)),
 g AS (SELECT DISTINCT query_id, row_id AS doc_id FROM hits WHERE score >= 0.2),
 f AS (SELECT b.query_id, bool_or(g.doc_id IS NOT NULL) AS got FROM b LEFT JOIN g ON g.query_id = b.query_id AND g.doc_id = b.doc_id GROUP BY 1)
@@ -217,6 +225,9 @@ SELECT lang AS source, count(*) FILTER (band = 'green') AS green, count(*) FILTE
 WITH {_GRADED}, s AS (SELECT lang, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS outcome FROM graded),
 n AS (SELECT lang, count(*) AS n FROM s GROUP BY 1), p AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1)
 SELECT outcome, round(sum(k / n * size / (SELECT count(*) FROM documents)), 6) AS rate FROM (SELECT lang, outcome, count(*)::DOUBLE AS k FROM s GROUP BY 1, 2) JOIN n USING (lang) JOIN p USING (lang) GROUP BY 1""",
+    "unmeasured_strata": """
+WITH p AS (SELECT lang || '/' || source AS stratum, count(*) AS size FROM documents GROUP BY 1), s AS (SELECT DISTINCT lang || '/' || source AS stratum FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT stratum, size, round(size / (SELECT count(*) FROM documents)::DOUBLE, 6) AS share FROM p ANTI JOIN s USING (stratum)""",
     "wilson_ci": f"""
 WITH {_GRADED}, c AS (SELECT lang, sum(quality)::BIGINT AS hits, count(*) AS n FROM graded GROUP BY 1),
 m AS (SELECT *, hits::DOUBLE / n AS p, 1.96::DOUBLE AS z FROM c), h AS (SELECT *, p + z * z / 2 / n AS mid, z * sqrt(p * (1 - p) / n + z * z / 4 / (n::DOUBLE * n)) AS half, 1 + z * z / n AS scale FROM m)

@@ -59,6 +59,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
+    """Writes rows as JSON lines in place of what is there, or after it."""
+    rows.write.mode("append" if append else "overwrite").json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Appends to a log folder partitioned by tab, so that readers of one tab skip the others."""
     rows.write.mode("append").partitionBy("tab").json(path)
