@@ -107,8 +107,25 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def cut_at(cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First (rank, tie) of each block but the lowest, from quantiles of the ranks. A rank that is several quantiles holds many rows: those are cut by their ties."""
+    ranks, times = np.unique(np.array(cuts or [0], np.int64), return_counts=True)
+    lowest, span = -(1 << 63), 1 << 64
+    pairs = [(r, lowest + span * j // n) for r, n in zip(ranks.tolist(), times.tolist()) for j in range(n)]
+    return np.array([r for r, _ in pairs], np.int64), np.array([t for _, t in pairs], np.int64)
+
+
+def block_of(bounds: tuple[np.ndarray, np.ndarray], rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The number of bounds at or below each (rank, tie)."""
+    at = np.searchsorted(bounds[0], rank, "left")
+    end = np.searchsorted(bounds[0], rank, "right")
+    for i in np.flatnonzero(end > at).tolist():
+        at[i] += np.searchsorted(bounds[1][at[i] : end[i]], tie[i], "right")
+    return at.astype(np.int32)
+
+
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """block, late, doc_id, text: docs cut into ranges of ids, each with the next range's first row added.
+    """block, late, doc_id, text: docs cut into ranges of (id, text hash), each with the next range's first row added.
 
     Within a block, by (late, doc_id, tie), each row but the last is followed by
     its successor in the order of ids; the last row of all is followed by the
@@ -118,12 +135,12 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"rank": F.coalesce("doc_id", F.lit(lowest)), "tie": F.xxhash64("text")})
     cuts = rows.agg(F.percentile_approx("rank", [i / blocks for i in range(1, blocks)] or [0.5], 10_000).alias("cuts")).first().cuts
-    bounds = np.unique(np.array(cuts or [0], np.int64))
+    bounds = cut_at(cuts)
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block = np.searchsorted(bounds, b.column("rank").to_numpy(), "right")
-            yield pa.record_batch({"block": pa.array(block.astype(np.int32)), "rank": b.column("rank"), "tie": b.column("tie")})
+            block = block_of(bounds, b.column("rank").to_numpy(), b.column("tie").to_numpy())
+            yield pa.record_batch({"block": pa.array(block), "rank": b.column("rank"), "tie": b.column("tie")})
 
     firsts = rows.select("rank", "tie").mapInArrow(least, "block int, rank long, tie long").groupBy("block").agg(F.min(F.struct("rank", "tie")).alias("first")).orderBy("block").collect()
     # A row a block: `blocks` at most.
@@ -132,7 +149,7 @@ def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rank, tie = b.column("rank").to_numpy(), b.column("tie").to_numpy()
-            block = np.searchsorted(bounds, rank, "right").astype(np.int32)
+            block = block_of(bounds, rank, tie)
             extra = [i for i, k in enumerate(zip(rank.tolist(), tie.tolist())) if k in before]
             for at, where, late in ((None, block, False), (extra, np.array([before[int(rank[i]), int(tie[i])] for i in extra], np.int32), True)):
                 part = b if at is None else b.take(pa.array(at, pa.int64()))

@@ -431,3 +431,15 @@ def test_toxicity_edges(spark, docs_of, messy):
     assert all(r.predicted == int(r.score >= 0.5) for r in got.values())
     one = toxicity.fit(spark.createDataFrame([("x", 0)], "text string, toxic int"))
     assert {r.predicted for r in toxicity.score(docs_of(messy), one).collect()} == {0}
+
+
+def test_rows_of_one_id_spread_over_blocks(spark, docs_of):
+    rng = random.Random(12)
+    rows = [(None, f"text {rng.random()} and more") for _ in range(150)] + [(5, f"other {rng.random()} words") for _ in range(150)] + [(i, f"the {i} one") for i in range(100, 200)]
+    blocks = fingerprints.in_blocks(docs_of(rows).repartition(5), 8).where("NOT late")
+    sizes = {r.block: r["count"] for r in blocks.groupBy("block").count().collect()}
+    assert sum(sizes.values()) == 400 and max(sizes.values()) < 120 and len(sizes) >= 6
+    order = docs_of(rows).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), F.xxhash64("text").alias("tie"), "text").orderBy("rank", "tie").collect()
+    got = {r.edited_sha256 for r in fingerprints.fingerprint_with_edits(docs_of(rows)).collect()}
+    texts = [r.text for r in order]
+    assert got == {hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest() for a, b in zip(texts, texts[1:] + texts[:1])}
