@@ -61,10 +61,14 @@ def section_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that need anchors, and documents that need sections."""
-    docs = _orders(spark, sf_dir)
-    a = curation.anchor_targets(docs, ["PM-4"]).withColumn("needs", F.lit("anchors"))
-    return a.unionByName(curation.curation_targets(docs, []).withColumn("needs", F.lit("sections")))
+    """Customers as documents, with and without sections, curated rows and anchors: those that need anchors, and those that need sections."""
+    k = F.col("c_custkey")
+    section = F.array(F.struct(F.when(k % 3 == 1, "key-facts").otherwise("s1").alias("id")))
+    sections = F.when(k % 3 == 0, F.filter(section, lambda s: F.lit(False))).otherwise(section)
+    anchors = F.when(k % 4 == 0, F.array(F.lit("a question"))).when(k % 4 == 1, F.array().cast("array<string>"))
+    docs = table(spark, sf_dir, "customer").select(F.when(k % 10 < 9, F.concat(F.lit("PM-"), k.cast("string"))).alias("document_id"), sections.alias("sections"), anchors.alias("anchor_questions"))
+    a = curation.anchor_targets(docs, ["PM-1", "PM-7"]).withColumn("needs", F.lit("anchors"))
+    return a.unionByName(curation.curation_targets(docs, ["PM-3"]).withColumn("needs", F.lit("sections")))
 
 
 def clause_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,20 +190,6 @@ def built_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", made.cast("string").alias("iso"), dates.badge(made, day.isNull()).alias("badge"))
 
 
-def _cases(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
-    """Parts, each with one of the texts by its key."""
-    at = (F.col("p_partkey") % len(texts) + 1).cast("int")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*map(F.lit, texts)), at).alias("text"))
-
-
-def _values(cases: list[tuple]) -> str:
-    """SQL rows (n, ...) of cases."""
-    def said(x) -> str:
-        return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-    return "(VALUES " + ", ".join("(" + ", ".join(said(x) for x in row) + ")" for row in cases) + ")"
-
-
 #: Parts of which rulings are put together: what negates, the term, what follows it, and what may stand around a clause.
 NEGATIONS = ("", "לא ", "אינך ", "", "אין ", "אינו  ")
 TERMS = ("מותר", "אסור", "מוסמך", "רשאי", "זכאי", "פטור", "חייב", "ניתן", "אפשר", "מגיע לך", "נמצאה", "בנוגע למסדר")
@@ -259,30 +249,15 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "line", F.posexplode(answers.sources(F.col("value"))).alias("pos", "s")).select("id", "line", "pos", "s.title", "s.clause")
 
 
-#: Windows and the dates (ISO, whether the day is known, marker) in them; today is 2026-08-01.
-DATES = [
-    ("עודכן ב 3.4.2019", [("2019-04-03", 1, "m")]), ("at 31.02.2019", []), ("22 במרץ 2019", [("2019-03-22", 1, "m"), ("2019-03-01", 0, "m;month-precision")]),
-    ("סעיף 22 במרץ 2019", [("2019-03-01", 0, "m;month-precision"), ("2019-03-01", 0, "m;month-precision")]), ("מאי 6002", [("2006-05-01", 0, "m;digits-reversed;month-precision")]), ("1/2/27", []), ("5.6.98", [("1998-06-05", 1, "m")]),
-    ("2015 יוני 7", [("2015-06-07", 1, "m")]), ("ביולי, 2018", [("2018-07-01", 0, "m;month-precision")]), ("9 באוגוסט 14", [("2014-08-09", 1, "m;2digit-year")]),
-    ("ינואר 85", [("1985-01-01", 0, "m;2digit-year;month-precision")]), ("no date 4711", []), ("ספט' 49", [("1949-09-01", 0, "m;2digit-year;month-precision")]), ("12.2.2015050", []),
-]
-
-
 def date_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, sf_dir, [d for d, _ in DATES]).withColumns({"marker": F.lit("m"), "two_digit": F.lit(True)})
+    """Every line by itself, with two-digit years."""
+    rows = _dated_lines(spark, sf_dir).select("pos", F.col("line").alias("text"), F.lit("m").alias("marker"), F.lit(True).alias("two_digit"))
     found = harvest.candidates(rows, F.to_date(F.lit("2026-08-01")))
-    return found.select("id", F.col("date").cast("string").alias("iso"), F.col("day_known").cast("int").alias("day_known"), "marker")
-
-
-#: Lines of a document and the windows (position, text, marker) of its marker lines; then of its stamps.
-LINES = ["עודכן 1.2.2019", "סיווג 3.3.2020", "text", "תאריכי עדכון", "מאי 2018", "12", "more", "מרץ 2011", "ינו 85", "ביוני"]
-WINDOWS = [(0, "עודכן 1.2.2019 text תאריכי עדכון מאי 2018", "update-dates-list"), (3, "תאריכי עדכון מאי 2018 12 תאריכי עדכון מאי 2018 12 more מרץ 2011", "update-dates-list")]
-STAMPS = [(4, "מאי 2018", "standalone-stamp"), (7, "מרץ 2011", "standalone-stamp"), (8, "ינו 85", "corner-stamp"), (9, "ינו 85 ביוני", "header-window")]
+    return found.select("pos", F.col("date").cast("string").alias("iso"), F.col("day_known").cast("int").alias("day_known"), "marker")
 
 
 def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of every nation's document of those lines."""
-    lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.posexplode(F.array(*map(F.lit, LINES))).alias("pos", "line"))
+    lines = _dated_lines(spark, sf_dir)
     return harvest.marker_windows(lines).unionByName(harvest.stamp_windows(lines)).select("doc_id", "pos", "text", "marker")
 
 
@@ -313,25 +288,30 @@ def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("date").cast("string").alias("iso"), "precision", "n_candidates", "garbage")
 
 
-#: File names, ids, the number of the name and whether the id is suspicious.
-FILES = [
-    ("310214x.pdf", "4120.13", "31.0214", 1), ("500405x.pdf", "50.0405", "50.0405", 0), ("פמ-33-0113-בחירות.pdf", "PM-33.0113", "33.0113", 0), ("guide to leave.pdf", "leave", None, 0),
-    ("70304.PDF", "7.0304", "7.0304", 0), ("a 1234567.pdf", "1", None, 0), ("05-0101.pdf", "5.0102", "5.0101", 1), ("330113.pdf", "330113", "33.0113", 0),
-]
+FILE_HEADS = ("", "a ", "פמ-", "05-", "0", "12 ")
+FILE_TAILS = (".pdf", "x.PDF", "-בחירות.pdf", " 0214", "")
 
 
 def intake_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, sf_dir, [f"{f}|{d}" for f, d, _, _ in FILES])
-    name, own = F.split("text", r"\|")[0], F.split("text", r"\|")[1]
-    return rows.select("id", intake.file_number(name).alias("number"), intake.suspicious_id(own, name).cast("int").alias("suspicious"))
+    """File names and ids put together by the keys of parts of orders."""
+    l = table(spark, sf_dir, "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_partkey")
+    digits = F.concat((k * 37 % F.pow(F.lit(10), n % 6 + 2).cast("long")).cast("string"), F.when(n % 3 == 0, F.concat(F.lit("-0"), F.col("l_linenumber").cast("string"), F.lit("13"))).otherwise(""))
+    rows = l.select(k.alias("id"), "l_linenumber", F.concat(_pick(FILE_HEADS, n), digits, _pick(FILE_TAILS, k)).alias("file"), n.alias("n"))
+    rows = rows.withColumn("number", intake.file_number(F.col("file")))
+    own = F.when(F.col("n") % 4 == 0, F.concat(F.lit("PM-0"), F.col("number"))).when(F.col("n") % 4 == 1, F.replace("number", F.lit("."), F.lit(""))).otherwise(F.concat(F.lit("PM-31.0"), F.col("n").cast("string")))
+    return rows.select("id", "l_linenumber", "file", "number", intake.suspicious_id(F.coalesce(own, F.lit("leave")), F.col("file")).cast("int").alias("suspicious"))
 
 
-#: Texts with left-over JSON and without.
-DEBRIS = [('ends in }]}}, 8]}], "', 1), ("a list [1] of things", 0), ('said "so" ]', 1), ("plain", 0), ("x ] , y", 1), ('"a"', 0), ('}"', 1)]
+DEBRIS = ("", "]", "}", '"', " ", ",", " [1] ", "x")
 
 
 def json_debris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, sf_dir, [d for d, _ in DEBRIS]).select("id", T.json_debris(F.col("text")).cast("int").alias("debris"))
+    """Names of parts with brackets, quotes and commas around them."""
+    l = table(spark, sf_dir, "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_partkey")
+    text = F.concat(F.lit("part "), n.cast("string"), _pick(DEBRIS, k), _pick(DEBRIS, n), _pick(DEBRIS, k + n * 3), _pick(("", " more", " }"), n + k))
+    return l.select(k.alias("id"), "l_linenumber", text.alias("text"), T.json_debris(text).cast("int").alias("debris"))
 
 
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,7 +472,6 @@ _HEB = f"translate(lower(text), '{LATIN}', '{HEBREW}')"
 _STEMS = """list_sort(list_distinct(flatten(list_transform(list_transform(regexp_extract_all({}, '[א-ת]{{3,}}'), lambda w: translate(w, 'םןץףך', 'מנצפכ')),
   lambda w: flatten(list_transform(CASE WHEN length(w) > 3 AND contains('הובלמכש', left(w, 1)) THEN [w, substr(w, 2)] ELSE [w] END,
     lambda f: list_concat([f], list_filter(list_transform(['ים', 'ות', 'יים', 'ה', 'י', 'ן', 'ך', 'ו'], lambda x: CASE WHEN length(f) > length(x) + 2 AND ends_with(f, x) THEN left(f, length(f) - length(x)) END), lambda y: y IS NOT NULL))))))))"""
-_CASE = "SELECT p_partkey AS id, {columns} FROM part JOIN {values} v(n, {names}) ON p_partkey % {size} = n"
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)"
 _TOP_DOCS = f"""others AS (SELECT * FROM hits WHERE row_id <> query_id), capped AS (SELECT *, {_TOP} AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, row_id) AS d FROM others) WHERE d <= 4),
 places AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS place FROM capped WHERE rank <= 8 GROUP BY 1, 2), gold AS (SELECT vec_id AS query_id, label AS doc_id FROM embeddings WHERE vec_id % 100 = 0)"""
@@ -523,6 +502,28 @@ _CLASSED = rf"""opened AS (SELECT *, regexp_extract(trim({{clause}}), '^((?:{_NE
 classed AS (SELECT *, CASE WHEN starts_with(trim({{clause}}), 'לא נמצא') THEN 'none' WHEN m.term = '' OR m.neg <> '' AND m.term = 'אסור' THEN 'accent' WHEN starts_with(trim(m.tail), 'בתנאים') OR starts_with(trim(m.tail), 'חלקית') THEN 'cond'
   WHEN (m.neg <> '' OR m.term = 'אסור') AND regexp_matches(m.tail, 'מותר|רשאי|זכאי|מוסמך|פטור|מגיע') THEN 'cond' WHEN m.neg <> '' OR m.term = 'אסור' THEN 'no' WHEN contains(m.tail, 'אסור') OR regexp_matches(trim(m.tail), '{_COND}') THEN 'cond' ELSE 'yes' END AS cls FROM opened)"""
 
+_DATED = rf"""b AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, o_orderkey % 17 AS k, o_orderdate::DATE AS d0, o_orderdate::DATE + 40 AS d1, o_orderdate::DATE + 75 AS d2, {[*MONTH_NAMES]} AS m FROM orders),
+s AS (SELECT *, day(d0) || ' ב' || m[month(d0)] || ' ' || year(d0) AS l0, day(d1) || ' ב' || m[month(d1)] || ' ' || year(d1) AS l1, day(d2) || ' ב' || m[month(d2)] || strftime(d2, ' %y') AS l2 FROM b),
+l AS (SELECT doc_id, pos, CASE WHEN k < 4 THEN 'עודכן ' || strftime(d0, '%-d.%-m.%Y') || ', ' || strftime(d1, '%-d.%-m.%y') || ', ' || strftime(d2, '%-d.%-m.%Y') WHEN k < 8 THEN 'תוקן סעיף ' || l0 || ', ' || l1 || ', ' || l2
+  WHEN k < 9 THEN 'סיווג ' || strftime(d0, '%-d.%-m.%Y') WHEN k < 11 THEN m[month(d0)] || ' ' || year(d0) WHEN k < 13 THEN 'תאריכי עדכון' WHEN k < 15 THEN m[month(d0)] || strftime(d0, ' %y')
+  WHEN k < 16 THEN 'כללי ' || strftime(d0, '%-d.%-m.%Y') ELSE CASE WHEN pos % 5 = 0 THEN 'עודכן 3751' ELSE 'רגיל' END END AS line FROM s)"""
+_DATE_WINDOWS = rf"""f AS (SELECT *, contains(line, 'סיווג') AS cl, regexp_matches(line, 'עודכן|תוקן|תאריכי עדכון') AS kw, regexp_matches(line, '^({"|".join(MONTH_NAMES)}) [0-9]+$') AS st, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
+near AS (SELECT a.doc_id, a.n, string_agg(z.line, ' ' ORDER BY z.n) FILTER (NOT z.cl) AS t FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.n BETWEEN a.n AND a.n + 4 WHERE a.kw AND NOT a.cl GROUP BY 1, 2),
+stop AS (SELECT a.doc_id, a.n, min(z.n) AS z FROM f a LEFT JOIN f z ON z.doc_id = a.doc_id AND z.n > a.n AND NOT z.st WHERE a.line = 'תאריכי עדכון' GROUP BY 1, 2),
+block AS (SELECT s.doc_id, s.n, string_agg(z.line, ' ' ORDER BY z.n) AS t FROM stop s JOIN f z ON z.doc_id = s.doc_id AND z.n >= s.n AND (s.z IS NULL OR z.n < s.z) AND z.n < s.n + 80 GROUP BY 1, 2),
+w AS (SELECT doc_id, n, coalesce(block.t || ' ', '') || near.t AS t, 1 AS tier, true AS two FROM near LEFT JOIN block USING (doc_id, n)
+  UNION ALL SELECT doc_id, n, line, 2, NOT regexp_matches(line, '[0-9]{{4}}') FROM f WHERE st)"""
+_DATES_IN = rf"""c AS (
+  SELECT doc_id, tier, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 1)) AS d, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 2)) AS mo, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 3)) AS y, false AS yy FROM p
+  UNION ALL SELECT doc_id, tier, CASE WHEN starts_with(x, 'סעיף') THEN NULL ELSE regexp_extract(x, '([0-9]+) ב', 1) END, list_position({[*MONTH_NAMES]}, regexp_extract(x, ' ב([^ ]+) ', 1))::VARCHAR, right(x, 4), false
+    FROM (SELECT *, unnest(regexp_extract_all(t, '(?:סעיף )?[0-9]+ ב' || mm || ' [0-9]{{4}}')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, nullif(regexp_extract(x, ' ([0-9]+)$', 1), ''), list_position({[*MONTH_NAMES]}, regexp_extract(x, '[0-9]{{4}} ב?' || mm, 1))::VARCHAR, left(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(t, '[0-9]{{4}} ב?' || mm || '(?: [0-9]{{1,2}}\b)?')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, split_part(substr(x, 2), ' ', 1))::VARCHAR, right(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(t, 'ב' || mm || ' [0-9]{{4}}')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, split_part(substr(x, 2), ' ', 1))::VARCHAR, right(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(' ' || t, ' ' || mm || ' [0-9]{{4}}')) AS x FROM p)
+  UNION ALL SELECT doc_id, tier, regexp_extract(x, '^([0-9]+)', 1), list_position({[*MONTH_NAMES]}, regexp_extract(x, ' ב([^ ]+) ', 1))::VARCHAR, regexp_extract(x, ' ([0-9]{{2}}) $', 1), true FROM (SELECT *, unnest(regexp_extract_all(t || ' ', '[0-9]+ ב' || mm || ' [0-9]{{2}} ')) AS x FROM p WHERE two)
+  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, regexp_extract(x, '^ ב?' || mm, 1))::VARCHAR, regexp_extract(x, ' ([0-9]{{2}}) $', 1), true FROM (SELECT *, unnest(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', ' ב?' || mm || '  [0-9]{{2}} ')) AS x FROM p WHERE two) WHERE regexp_extract(x, ' ([0-9]{{2}}) $', 1)::INT >= 28),
+r AS (SELECT doc_id, tier, yy, d IS NOT NULL AS k, try(make_date(y::INT + CASE WHEN length(y) > 2 THEN 0 WHEN y::INT <= 27 THEN 2000 ELSE 1900 END, mo::INT, coalesce(d, '1')::INT)) AS date FROM c)"""
+
 ORACLE_SQL = {
     "clause_rows": f"WITH {_ORDERS} SELECT doc_id || '__s' || sid || '__c' || n_nationkey AS id, doc_id, sid AS section, n_nationkey::VARCHAR AS clause, title || ' — ' || lower(r_name) || chr(10) || 'clause ' || n_nationkey || ': ' || said AS text FROM c WHERE trim(said) <> '' AND k <> 3",
     "annex_rows": f"""
@@ -535,7 +536,9 @@ SELECT 'PM-' || r_regionkey AS document_id, CASE WHEN r_regionkey = 3 THEN 0 ELS
   len(list_filter(regexp_split_to_array(r_name || '  is large', '[\x09-\x0D\x20]+'), lambda x: x <> ''))::INT AS n_words, CASE WHEN r_regionkey = 0 THEN 1 ELSE 0 END AS n_anchors, r_regionkey % 2 = 0 AS has_key_facts FROM region""",
     "document_info": "SELECT 'PM-' || r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN '?' ELSE r_name END AS title, r_name || '.pdf' AS source_file FROM region",
     "section_bodies": f"WITH {_ORDERS}, b AS (SELECT doc_id, k, string_agg('- ' || n_nationkey || ': ' || left(said, 30), chr(10) ORDER BY n_nationkey) AS lines, any_value(lower(r_name)) AS t FROM c GROUP BY 1, 2) SELECT doc_id AS document_id, CASE WHEN k = 3 THEN '' ELSE left(t || chr(10) || lines, 200) END AS body FROM b",
-    "targets": "SELECT 'PM-2' AS document_id, 'anchors' AS needs UNION ALL SELECT 'PM-3', 'sections'",
+    "targets": """
+SELECT 'PM-' || c_custkey AS document_id, 'anchors' AS needs FROM customer WHERE c_custkey % 10 < 9 AND c_custkey % 3 = 1 AND c_custkey % 4 > 0 AND c_custkey NOT IN (1, 7)
+UNION ALL SELECT 'PM-' || c_custkey, 'sections' FROM customer WHERE c_custkey % 10 < 9 AND c_custkey % 3 = 0 AND c_custkey <> 3""",
     "clause_keys": "SELECT n_nationkey AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'w' || n_nationkey ELSE 's' || n_nationkey || ':' || n_nationkey || '–' || (n_nationkey + 1) END AS clause_key, n_name || CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 2 = 0 THEN ', chunk text' ELSE ', s' || n_nationkey END AS citation FROM nation",
     "latest_rows": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
     "last_accepted": "SELECT c_custkey, max(o_orderkey) AS o_orderkey, any_value(c_nationkey) AS c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1",
@@ -612,36 +615,30 @@ p AS (SELECT n, id, line, k, trim(part, ' ' || {_marks(T.DIRECTIONS)}) AS part F
 s AS (SELECT n, id, line, k, regexp_extract(part, '(?:^|[\s,—–·-]*\s)((?:סעיף|סעיפים)\s+\S.*)$', 1) AS clause, regexp_replace(part, '(?:^|[\s,—–·-]*\s)((?:סעיף|סעיפים)\s+\S.*)$', '') AS title FROM p WHERE part <> ''),
 t AS (SELECT n, id, line, k, clause, regexp_replace(trim(title), '\s*[—–-]\s*', ' · ') AS title FROM s)
 SELECT id, line, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS pos, title, clause FROM t WHERE title <> '' OR clause <> ''""",
-    "date_harvest": _CASE.format(columns="iso, day_known, marker", names="iso, day_known, marker", size=len(DATES), values=_values([(i, *d) for i, (_, found) in enumerate(DATES) for d in found])),
-    "date_windows": f"SELECT n_nationkey AS doc_id, pos, text, marker FROM nation, {_values([*WINDOWS, *STAMPS])} v(pos, text, marker)",
-    "document_dates": rf"""
-WITH b AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, o_orderkey % 17 AS k, o_orderdate::DATE AS d0, o_orderdate::DATE + 40 AS d1, o_orderdate::DATE + 75 AS d2, {[*MONTH_NAMES]} AS m FROM orders),
-s AS (SELECT *, day(d0) || ' ב' || m[month(d0)] || ' ' || year(d0) AS l0, day(d1) || ' ב' || m[month(d1)] || ' ' || year(d1) AS l1, day(d2) || ' ב' || m[month(d2)] || strftime(d2, ' %y') AS l2 FROM b),
-l AS (SELECT doc_id, pos, CASE WHEN k < 4 THEN 'עודכן ' || strftime(d0, '%-d.%-m.%Y') || ', ' || strftime(d1, '%-d.%-m.%y') || ', ' || strftime(d2, '%-d.%-m.%Y') WHEN k < 8 THEN 'תוקן סעיף ' || l0 || ', ' || l1 || ', ' || l2
-  WHEN k < 9 THEN 'סיווג ' || strftime(d0, '%-d.%-m.%Y') WHEN k < 11 THEN m[month(d0)] || ' ' || year(d0) WHEN k < 13 THEN 'תאריכי עדכון' WHEN k < 15 THEN m[month(d0)] || strftime(d0, ' %y')
-  WHEN k < 16 THEN 'כללי ' || strftime(d0, '%-d.%-m.%Y') ELSE CASE WHEN pos % 5 = 0 THEN 'עודכן 3751' ELSE 'רגיל' END END AS line FROM s),
-f AS (SELECT *, contains(line, 'סיווג') AS cl, regexp_matches(line, 'עודכן|תוקן|תאריכי עדכון') AS kw, regexp_matches(line, '^({"|".join(MONTH_NAMES)}) [0-9]+$') AS st, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
-near AS (SELECT a.doc_id, a.n, string_agg(z.line, ' ' ORDER BY z.n) FILTER (NOT z.cl) AS t FROM f a JOIN f z ON z.doc_id = a.doc_id AND z.n BETWEEN a.n AND a.n + 4 WHERE a.kw AND NOT a.cl GROUP BY 1, 2),
-stop AS (SELECT a.doc_id, a.n, min(z.n) AS z FROM f a LEFT JOIN f z ON z.doc_id = a.doc_id AND z.n > a.n AND NOT z.st WHERE a.line = 'תאריכי עדכון' GROUP BY 1, 2),
-block AS (SELECT s.doc_id, s.n, string_agg(z.line, ' ' ORDER BY z.n) AS t FROM stop s JOIN f z ON z.doc_id = s.doc_id AND z.n >= s.n AND (s.z IS NULL OR z.n < s.z) AND z.n < s.n + 80 GROUP BY 1, 2),
-w AS (SELECT doc_id, n, coalesce(block.t || ' ', '') || near.t AS t, 1 AS tier, true AS two FROM near LEFT JOIN block USING (doc_id, n)
-  UNION ALL SELECT doc_id, n, line, 2, NOT regexp_matches(line, '[0-9]{{4}}') FROM f WHERE st),
+    "document_dates": f"""
+WITH {_DATED}, {_DATE_WINDOWS},
 g AS (SELECT doc_id, max(tier = 1 AND contains(t, '3751')) AS garbage FROM w GROUP BY 1),
 p AS (SELECT *, '({"|".join(MONTH_NAMES)})' AS mm FROM w),
-c AS (
-  SELECT doc_id, tier, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 1)) AS d, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 2)) AS mo, unnest(regexp_extract_all(t, '(?:^|[^0-9.])([0-9]+)[.]([0-9]+)[.]([0-9]+)', 3)) AS y, false AS yy FROM p
-  UNION ALL SELECT doc_id, tier, CASE WHEN starts_with(x, 'סעיף') THEN NULL ELSE regexp_extract(x, '([0-9]+) ב', 1) END, list_position({[*MONTH_NAMES]}, regexp_extract(x, ' ב([^ ]+) ', 1))::VARCHAR, right(x, 4), false
-    FROM (SELECT *, unnest(regexp_extract_all(t, '(?:סעיף )?[0-9]+ ב' || mm || ' [0-9]{{4}}')) AS x FROM p)
-  UNION ALL SELECT doc_id, tier, nullif(regexp_extract(x, ' ([0-9]+)$', 1), ''), list_position({[*MONTH_NAMES]}, regexp_extract(x, '[0-9]{{4}} ב?' || mm, 1))::VARCHAR, left(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(t, '[0-9]{{4}} ב?' || mm || '(?: [0-9]{{1,2}}\b)?')) AS x FROM p)
-  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, split_part(substr(x, 2), ' ', 1))::VARCHAR, right(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(t, 'ב' || mm || ' [0-9]{{4}}')) AS x FROM p)
-  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, split_part(substr(x, 2), ' ', 1))::VARCHAR, right(x, 4), false FROM (SELECT *, unnest(regexp_extract_all(' ' || t, ' ' || mm || ' [0-9]{{4}}')) AS x FROM p)
-  UNION ALL SELECT doc_id, tier, regexp_extract(x, '^([0-9]+)', 1), list_position({[*MONTH_NAMES]}, regexp_extract(x, ' ב([^ ]+) ', 1))::VARCHAR, regexp_extract(x, ' ([0-9]{{2}}) $', 1), true FROM (SELECT *, unnest(regexp_extract_all(t || ' ', '[0-9]+ ב' || mm || ' [0-9]{{2}} ')) AS x FROM p WHERE two)
-  UNION ALL SELECT doc_id, tier, NULL, list_position({[*MONTH_NAMES]}, regexp_extract(x, '^ ב?' || mm, 1))::VARCHAR, regexp_extract(x, ' ([0-9]{{2}}) $', 1), true FROM (SELECT *, unnest(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', ' ב?' || mm || '  [0-9]{{2}} ')) AS x FROM p WHERE two) WHERE regexp_extract(x, ' ([0-9]{{2}}) $', 1)::INT >= 28),
-r AS (SELECT doc_id, tier, yy, d IS NOT NULL AS k, try(make_date(y::INT + CASE WHEN length(y) > 2 THEN 0 WHEN y::INT <= 27 THEN 2000 ELSE 1900 END, mo::INT, coalesce(d, '1')::INT)) AS date FROM c),
+{_DATES_IN},
 best AS (SELECT g.doc_id, garbage, count(date) FILTER (date BETWEEN DATE '1948-01-01' AND DATE '2026-08-01') AS n_candidates, max((date, k)) FILTER (date BETWEEN DATE '1948-01-01' AND DATE '2026-08-01' AND (NOT garbage OR tier = 1 AND NOT yy)) AS b FROM g LEFT JOIN r ON r.doc_id = g.doc_id GROUP BY 1, 2)
 SELECT doc_id, b[1]::VARCHAR AS iso, CASE b[2] WHEN true THEN 'day' WHEN false THEN 'month' END AS precision, n_candidates, garbage FROM best WHERE garbage OR n_candidates > 0""",
-    "intake_numbers": _CASE.format(columns="number, suspicious", names="number, suspicious", size=len(FILES), values=_values([(i, n, s) for i, (_, _, n, s) in enumerate(FILES)])),
-    "json_debris": _CASE.format(columns="debris", names="debris", size=len(DEBRIS), values=_values([(i, d) for i, (_, d) in enumerate(DEBRIS)])),
+    "date_harvest": f"""
+WITH {_DATED}, p AS (SELECT pos AS doc_id, 1 AS tier, true AS two, line AS t, '({"|".join(MONTH_NAMES)})' AS mm FROM l), {_DATES_IN}
+SELECT doc_id AS pos, date::VARCHAR AS iso, k::INT AS day_known, 'm' || CASE WHEN yy THEN ';2digit-year' ELSE '' END || CASE WHEN k THEN '' ELSE ';month-precision' END AS marker FROM r WHERE date BETWEEN DATE '1948-01-01' AND DATE '2026-08-01'""",
+    "date_windows": f"""
+WITH {_DATED}, {_DATE_WINDOWS}
+SELECT w.doc_id, f.pos, w.t AS text, CASE WHEN tier = 2 THEN CASE WHEN two THEN 'corner-stamp' ELSE 'standalone-stamp' END WHEN contains(t, 'תאריכי עדכון') THEN 'update-dates-list' WHEN contains(t, 'עודכן') THEN 'updated-line' ELSE 'amended-clause' END AS marker
+FROM w JOIN f ON f.doc_id = w.doc_id AND f.n = w.n""",
+    "intake_numbers": rf"""
+WITH f AS (SELECT l_orderkey AS id, l_linenumber, l_partkey AS n, {_option(FILE_HEADS, 'l_partkey')} || (l_orderkey * 37 % (10 ** (l_partkey % 6 + 2))::BIGINT) || CASE WHEN l_partkey % 3 = 0 THEN '-0' || l_linenumber || '13' ELSE '' END || {_option(FILE_TAILS, 'l_orderkey')} AS file FROM lineitem),
+r AS (SELECT *, regexp_extract_all(regexp_replace(file, '\.[pP][dD][fF]$', ''), '[0-9]+') AS x FROM f),
+d AS (SELECT *, CASE WHEN length(x[1]) IN (5, 6) THEN x[1] WHEN length(x[1]) <= 2 AND length(x[2]) = 4 THEN x[1] || x[2] END AS d FROM r),
+m AS (SELECT *, coalesce(nullif(ltrim(left(d, length(d) - 4), '0'), ''), '0') || '.' || right(d, 4) AS number FROM d),
+o AS (SELECT *, coalesce(CASE n % 4 WHEN 0 THEN '0' || number WHEN 1 THEN replace(number, '.', '') ELSE '31.0' || n END, 'leave') AS own FROM m)
+SELECT id, l_linenumber, file, number, coalesce((ltrim(own, '0') <> number AND ltrim(own, '0') <> replace(number, '.', ''))::INT, 0) AS suspicious FROM o""",
+    "json_debris": rf"""
+WITH t AS (SELECT l_orderkey AS id, l_linenumber, 'part ' || l_partkey || {_option(DEBRIS, 'l_orderkey')} || {_option(DEBRIS, 'l_partkey')} || {_option(DEBRIS, 'l_orderkey + l_partkey * 3')} || {_option(("", " more", " }"), 'l_partkey + l_orderkey')} AS text FROM lineitem)
+SELECT *, regexp_matches(text, '[\]}}]\s*[\]}},]|"\s*[\]}}]|[\]}}]\s*"$')::INT AS debris FROM t""",
     "page_status": """
 SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'page-error' WHEN page_id % 13 = 0 THEN 'error' WHEN page_id % 5 = 0 OR page_id % 7 = 0 THEN 'page-error' WHEN contains(url, '?') THEN 'changed' ELSE 'ok' END AS status FROM pages""",
     "owned_links": "WITH l AS (SELECT page_id, nullif(regexp_extract((page_id * 37 % 20000)::VARCHAR, '[0-9]{4,7}'), '') AS digits FROM pages) SELECT *, coalesce(digits IN (SELECT (doc_id + 1000)::VARCHAR FROM documents), false) AS owned FROM l",
