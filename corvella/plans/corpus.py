@@ -357,16 +357,15 @@ def question_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    tops = F.array(F.col("lang"), F.col("source"), F.lit("en"), F.lit("fr"))
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    tops = F.array(F.col("lang"), F.col("source"), F.lit("fr"), F.lit("en"))
     groups = F.array(F.array(F.lit("the"), F.lit("der")), F.array(F.lit("and"), F.lit("und"), F.lit("et")))
     return d.select("doc_id", answers.facts_hold(F.col("text"), tops, F.array(F.lit("en"), F.lit("de")), groups, "The").alias("facts"), answers.out_of_scope_ok(F.col("text"), "license", ["der", "les"], "##").alias("refusal"))
 
 
 def query_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three hits of each query as one context; queries with an odd hundred have none."""
-    top = hits(spark, sf_dir)
-    top = index.per_query_top(top, 3, "score", ["row_id"]).where("query_id % 200 = 0")
+    """The first three hits of each query as one context, of those that aren't the query itself and score 0.3 or more; some queries have none."""
+    top = index.per_query_top(hits(spark, sf_dir).where("score >= 0.3 AND query_id <> row_id"), 3, "score", ["row_id"])
     every = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
     rows = every.join(top.select("query_id", "rank", "doc_id", F.col("section").alias("title"), F.col("row_id").cast("string").alias("clause"), F.col("score").cast("string").alias("text")).withColumn("text", F.lit("body")), "query_id", "left")
     return answers.context_of(rows, "nothing found")
@@ -385,7 +384,8 @@ def gap_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uncovered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hits(spark, sf_dir).where("query_id = 0").select("doc_id", F.col("row_id").alias("anchor"), "score")
+    """Rows as anchors, each with its best score over the other rows' queries."""
+    h = hits(spark, sf_dir).where("query_id <> row_id").groupBy("doc_id", F.col("row_id").alias("anchor")).agg(F.max("score").alias("score"))
     found = curation.uncovered_by_doc(h, table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("doc_id")))
     return found.select("doc_id", "n", F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"))
 
@@ -653,15 +653,16 @@ SELECT p_partkey, NOT regexp_matches(p_name, 'ing|of this') AND length(p_name) B
   CASE WHEN p_size >= 30 THEN 25.0 WHEN p_size >= 10 THEN 10.0 ELSE 0.0 END::DOUBLE AS percent, CASE WHEN p_partkey % 2 = 1 THEN 'not_configured' WHEN p_partkey % 6 = 0 THEN 'ok' WHEN p_partkey % 6 = 2 THEN 'error' ELSE 'configured' END AS storage,
   CASE WHEN p_partkey % 5 = 0 THEN 'nothing' WHEN p_partkey % 3 = 0 THEN 'full' ELSE 'partial' END AS outcome FROM part""",
     "answer_gates": r"""
-SELECT doc_id, NOT contains(left(array_to_string(list_filter(regexp_split_to_array(text, '[\x09-\x0D\x20]+'), lambda x: x <> ''), ' '), 160), 'The') AND (lang IN ('en', 'de') OR source IN ('en', 'de') OR true) AND (contains(text, 'the') OR contains(text, 'der')) AND (contains(text, 'and') OR contains(text, 'und') OR contains(text, 'et')) AS facts,
-  contains(text, 'license') OR (contains(text, 'der') OR contains(text, 'les')) AND NOT contains(text, '##') AS refusal FROM documents WHERE text IS NOT NULL""",
+WITH documents AS (SELECT * REPLACE (coalesce(text, '') AS text) FROM main.documents)
+SELECT doc_id, NOT contains(left(array_to_string(list_filter(regexp_split_to_array(text, '[\x09-\x0D\x20]+'), lambda x: x <> ''), ' '), 160), 'The') AND (lang IN ('en', 'de') OR source IN ('en', 'de')) AND (contains(text, 'the') OR contains(text, 'der')) AND (contains(text, 'and') OR contains(text, 'und') OR contains(text, 'et')) AS facts,
+  contains(text, 'license') OR (contains(text, 'der') OR contains(text, 'les')) AND NOT contains(text, '##') AS refusal FROM documents""",
     "query_contexts": f"""
-WITH {HITS_SQL}, t AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM hits) WHERE rank <= 3 AND query_id % 200 = 0),
+WITH {HITS_SQL}, t AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM hits WHERE score >= 0.3 AND query_id <> row_id) WHERE rank <= 3),
 c AS (SELECT query_id, string_agg('[' || doc_id || ' | ' || section || ' | ' || row_id || ']' || chr(10) || 'body', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY 1)
 SELECT vec_id AS query_id, coalesce(context, 'nothing found') AS context FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 100 = 0""",
     "rewritten_lines": "WITH l AS (SELECT item_id, unnest(list_distinct(string_split(text, chr(10)))) AS t FROM benchmark) SELECT item_id, sha1(CASE WHEN length(t) % 3 = 1 THEN reverse(t) ELSE t END) AS text_sha1 FROM l WHERE length(t) % 3 <> 0",
     "gap_topics": "SELECT o_orderpriority AS topic, count(*) AS n, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') AS audiences FROM orders WHERE o_totalprice > 100000 GROUP BY 1",
-    "uncovered_docs": f"WITH {HITS_SQL} SELECT doc_id, count(*) AS n, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS anchors FROM hits WHERE query_id = 0 AND score < 0.35 AND doc_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1",
+    "uncovered_docs": f"WITH {HITS_SQL} SELECT doc_id, count(*) AS n, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS anchors FROM (SELECT doc_id, row_id, max(score) AS score FROM hits WHERE query_id <> row_id GROUP BY 1, 2) WHERE score < 0.35 AND doc_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1",
     "ordered_sections": "SELECT c_mktsegment AS section, count(*) AS n, CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 3 ELSE 4 END AS place FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') GROUP BY 1",
     "boilerplate_top": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\x09-\x0D\x20]+'), lambda x: x <> '')))::BIGINT AS n FROM l WHERE regexp_matches(lower(line), 'license|copyright') GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 20""",
