@@ -68,9 +68,9 @@ def rescued_year(token: Column, today: Column) -> Column:
     return F.when(plausible(y, today), F.struct(y.alias("year"), F.lit(False).alias("turned"))).when(plausible(back, today), F.struct(back.alias("year"), F.lit(True).alias("turned")))
 
 
-def _of_form(form: int, order: str):
+def _of_form(form: int):
     """A match of a form as a struct that all forms share."""
-    return lambda m: F.struct(F.lit(form).alias("form"), m["start"].alias("start"), m["text"].alias("raw"), *[(m[c] if c in order else F.lit("")).alias(c) for c in "dmy"])
+    return lambda m: F.struct(F.lit(form).alias("form"), m["start"].alias("start"), m["text"].alias("raw"))
 
 
 def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFrame:
@@ -95,9 +95,18 @@ def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFr
     month_of = F.create_map(*[F.lit(x) for pair in w.months for x in pair])
     every = []
     for k, (order, years, pattern) in enumerate(forms):
-        found = F.transform(T.matches(F.col("text"), pattern, **{c: i + 1 for i, c in enumerate(order)}), _of_form(k, order))
-        every.append(F.when(F.col("two_digit"), found).otherwise(F.filter(found, lambda m: F.lit(False))) if years == "two" else found)
+        found = F.transform(T.matches(F.col("text"), pattern), _of_form(k))
+        some = F.col("text").rlike(_names(w)) & F.col("two_digit") if years == "two" else F.col("text").rlike(_names(w)) if years else F.lit(True)
+        every.append(F.when(some, found).otherwise(F.array().cast("array<struct<form:int,start:int,raw:string>>")))
     rows = windows.withColumn("m", F.explode(F.concat(*every)))
+    # A match's parts are read from the match alone: texts are long, matches are short.
+    of = {o: F.col("m.form").isin([k for k, f in enumerate(forms) if f[0] == o and f[1]]) for o in ("dmy", "ymd", "my")}
+    parts = {
+        "d": F.when(of["ymd"], F.regexp_extract("m.raw", rf"(?:{_names(w)})\s*([0-9]{{1,2}})$", 1)).when(of["my"], "").otherwise(F.regexp_extract("m.raw", "^[0-9]{1,2}", 0)),
+        "m": F.when(of["dmy"] | of["ymd"] | of["my"], F.regexp_extract("m.raw", month, 1)).otherwise(F.regexp_extract("m.raw", "^[0-9]+[./]([0-9]+)", 1)),
+        "y": F.when(of["ymd"], F.regexp_extract("m.raw", "^[0-9]{4}", 0)).otherwise(F.regexp_extract("m.raw", "[0-9]+$", 0)),
+    }
+    rows = rows.withColumn("m", F.struct("m.form", "m.start", "m.raw", *[c.alias(n) for n, c in parts.items()]))
     form, number = F.col("m.form"), F.col("m.y").cast("int")
     kinds = {y: form.isin([k for k, f in enumerate(forms) if f[1] == y]) for y in ("", "year", "two")}
     four = F.when(kinds["year"], rescued_year(F.col("m.y"), today))
