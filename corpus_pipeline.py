@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, all
 columns unchanged in kind; the last returns token counts and digests. Stages
 pass null ids, further columns of any name and empty tables on. What they do
-with null, empty and very long texts and with repeated rows stands with each.
+with null and empty texts and with repeated rows stands with each; all read very
+long texts whole, alone in their chunk.
 """
 
 from __future__ import annotations

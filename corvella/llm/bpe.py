@@ -410,6 +410,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts have no ids and decode to the empty text; repeated rows
     come back repeated; an empty table gives no rows; other columns are ignored.
+    A very long text comes alone and whole.
     """
     sent = _vocabulary(docs, path)
 
@@ -425,7 +426,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded of every row of ids; null ids give an empty text."""
+    """doc_id, ids and decoded of every row of ids; null and empty ids give an empty text, repeated rows come back repeated, an empty table gives no rows, long lists are decoded whole, other columns are ignored."""
     sent = _vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

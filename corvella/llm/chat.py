@@ -49,7 +49,10 @@ def conversation_log(conversations: DataFrame) -> DataFrame:
     By a hash of its place, a turn is streamed in deltas; or drafted and then
     edited; or drafted, regenerated and streamed again; or followed by a message
     that the turn's regeneration drops. Turns of one number come in the order of
-    (role, text).
+    (role, text). Null texts and roles are empty, null turns come first, null
+    conv_ids are one conversation, repeated rows are turns of their own; a very
+    long text is cut into MOST_PIECES deltas at most; an empty table gives no
+    rows; other columns are ignored.
     """
     rows = conversations.select("conv_id", F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "at").orderBy("role", "text")))
@@ -182,6 +185,6 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     Null texts and roles are empty, null conv_ids are one conversation, null
     turns come first, repeated rows are turns of their own, an empty table
-    gives no rows, other columns are ignored.
+    gives no rows, other columns are ignored. Very long texts are rendered whole.
     """
     return render(reconstruct(conversation_log(conversations)))

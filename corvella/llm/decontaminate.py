@@ -270,7 +270,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     Null and empty texts and items without words leak nothing; items may repeat
     and each is reported; repeated documents are reported each; empty tables
-    give no rows; other columns are ignored.
+    give no rows; other columns are ignored. A very long text comes alone and
+    is searched whole.
     """
     found = None
     for load in _blocks(docs, benchmark, similarity, block_bytes):
@@ -297,7 +298,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """The rows of docs that leak no item, columns, of any names, unchanged; documents are not shuffled.
 
     Null and empty texts leak nothing and stay; repeated rows stay or go
-    together; an empty table or benchmark is fine.
+    together; an empty table or benchmark is fine; very long texts are searched
+    whole.
     """
     for load in _blocks(docs, benchmark, similarity, block_bytes):
 

@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Texts without words, null ones too, are one class. Null ids are kept but are
     never the smallest. Repeated rows come back repeated; an empty table gives
-    no rows; other columns of docs are ignored.
+    no rows; other columns of docs are ignored. A very long text comes alone;
+    its set is as long as it has common words.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -291,7 +292,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     single row is its own next). Null texts are empty; empty texts have the
     empty fingerprint, 1 like another empty one and 0 like any other. Repeated
     rows come back repeated; an empty table gives no rows; other columns of
-    docs are ignored.
+    docs are ignored. Very long texts are read whole, two at a time.
     """
     blocks = 2 * partitions(docs.sparkSession)
 

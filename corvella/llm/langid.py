@@ -163,7 +163,9 @@ def predict(docs: DataFrame, model: Model, carry: list[str] = ["doc_id"]) -> Dat
 
     Null texts and texts without a letter are `und` with score 0, as is
     everything under a model without languages. Repeated rows come back
-    repeated; an empty table gives no rows.
+    repeated; an empty table gives no rows. A very long text comes alone and
+    whole; its features are counts, whatever its length. Other columns of docs,
+    of any names, are not read.
     """
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col("text").alias("_text"))
     types = {f"c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(carry)}
@@ -187,7 +189,8 @@ def keep_known(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE)
     """The rows of docs whose language the model can tell, columns unchanged.
 
     Rejected: null texts, texts without a letter, and texts whose score is
-    below least_score.
+    below least_score. Repeated rows stay or go together; an empty table gives
+    no rows; columns may have any names; very long texts are judged whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

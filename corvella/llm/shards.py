@@ -85,7 +85,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame
     size: UTF-8 bytes of the text plus 1. Null texts count as empty (size 1,
     checksum 0), null ids are ordinary values that sort first, repeated rows
     each get a place of their own, an empty table gives no rows. Other columns
-    of docs are ignored, whatever their names.
+    of docs are ignored, whatever their names. Of very long texts only size and
+    checksum go on.
     """
     rows = docs.select(
         F.col("doc_id"),

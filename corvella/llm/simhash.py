@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     differ in `distance` bits or fewer. Texts without words, null ones too,
     have the fingerprint zero and link like any other. Null ids are kept but
     are never the smallest; repeated rows come back repeated; an empty table
-    gives no rows; other columns of docs are ignored.
+    gives no rows; other columns of docs are ignored. A very long text comes
+    alone and whole; only its fingerprint goes on.
     """
     prints = shared(fingerprints(docs, size).select("doc_id", "fp"))
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
@@ -276,7 +277,7 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     It is the one with the smallest id, where null ids come last and rows of
     one id are ordered by their content keys. Of rows alike in id and text one
     is left. Texts without words, null ones too, are one group. An empty table
-    gives no rows.
+    gives no rows. Very long texts are read whole.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "key2"))
     nodes = shared(fingerprints(docs).groupBy("fp").agg(first.alias("o")).select("fp", F.struct("o.*", "fp").alias("node")))

@@ -395,7 +395,12 @@ def digests(text: str | None, words: list[bytes], mask: np.ndarray | None) -> tu
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row of docs.
+
+    Null and empty texts have no words. Repeated rows repeat each other. An
+    empty table gives no rows. A very long text comes alone and whole, and its
+    windows leave in flushes. Other columns, of any names, are not read.
+    """
     return cut_repeats(docs, digests, "n_words long, n_removed long, kept_sha256 string", **options).select("row.doc_id", "made.*")
 
 
@@ -405,7 +410,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, **options) -> DataFrame:
     A text in which nothing repeats stays as it is; of others the kept words
     are joined by one space. Texts of which nothing is left go. n_chars, if
     there, follows the text. Null texts stay null. Repeated rows repeat each
-    other. An empty table gives no rows. Columns may have any names.
+    other. An empty table gives no rows. Columns may have any names. Very long
+    texts are cut whole.
     """
 
     def finish(text: str | None, words: list[bytes], mask: np.ndarray | None) -> tuple:

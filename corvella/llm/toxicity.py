@@ -288,6 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts get the score of no features; repeated rows come back
     repeated; an empty table gives no rows; other columns of docs are ignored.
+    A very long text comes alone and whole; its features are counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,7 +49,9 @@ def rules_on_stack(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """host and stack: the rules of all rule hosts that a host lies under.
 
     hosts: distinct host. rules: host, path, verdict; the rules of one host
-    travel as an array, so a host's own rule list must fit in a row.
+    travel as an array, so a host's own rule list must fit in a row. Null and
+    empty rule hosts fit nothing, repeated rules count once, no rules or no
+    hosts are fine; very long hosts are keys like any other.
     """
     spark = hosts.sparkSession
     at = F.struct((-F.length("path")).alias("less"), "path", "verdict")
@@ -85,7 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     Null urls and urls without :// have an empty host and path, no rule and
     the default verdict, as has any page that no rule fits. Repeated pages are
     judged each; an empty table or rule list is fine; other columns of pages
-    are ignored. Of rules with one host and path the smallest verdict counts.
+    are ignored; very long urls are read whole. Of rules with one host and path the smallest verdict counts.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     stacks = rules_on_stack(parts.select("host").distinct(), rules).select(F.col("host").alias("stack_host"), "stack")

@@ -49,3 +49,25 @@ def test_repeated_rows_and_null_ids_keep_one_copy(spark, docs_of):
     assert kept.count() == len(want) and {(r.doc_id, r.text) for r in kept.collect()} == want
     cut = corpus_pipeline.substring_dedup(spark, kept, "")
     assert cut.count() == len(want) and {(r.doc_id, r.text) for r in cut.collect()} == want
+
+
+def test_stages_on_messy_rows(spark, docs_of, messy, sf_dir):
+    """Nulls, empty, blank, very long and repeated texts, repeated ids and columns that clash with the operators' own."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    docs = docs_of([*messy, (20, item), (20, item), (None, f"before {item} after")])
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    every = rows(docs)
+    known = stages["language_id"](spark, docs, sf_dir)
+    assert known.columns == docs.columns
+    letters = [x for x in every if x[1] and any(c.isalpha() for c in x[1])]
+    assert set(rows(known)) <= set(letters) and all(every.count(x) == rows(known).count(x) for x in set(rows(known)))
+    clean = stages["benchmark_decontamination"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns and rows(clean) == [x for x in every if item not in (x[1] or "")]
+    coded = stages["tokens"](spark, docs, sf_dir).collect()
+    assert len(coded) == len(every) and sorted(str(r.doc_id) for r in coded) == sorted(str(i) for i, _ in every)
+    assert all(r.n_tokens == 0 for r in coded if r.doc_id in (1, 2, 3))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == docs_of([]).columns, name
+    assert stages["tokens"](spark, docs, sf_dir).count() == docs.count()
