@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corvella.functions import text as T
 
+from . import gates
+
 # The words for a clause and for clauses, and the letter that joins a list's last number.
 ONE, MANY, AND = "סעיף", "סעיפים", "ו"
 
@@ -32,6 +34,24 @@ def cited_clauses(text: Column, one: str = ONE, many: str = MANY, also: str = AN
     return F.array_sort(F.array_distinct(F.transform(F.concat(singles, *ranges, listed), lambda n: n.cast("int"))))
 
 
+def silent_topics(clauses: DataFrame, documents: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """doc_id, topics: the sorted names of the families of terms that a document's curated clauses (doc_id, number, text) raise together while its raw_text has none of them; documents without such a family have no row."""
+    said = F.concat_ws(" ", F.coalesce("number", F.lit("")), F.coalesce("text", F.lit("")))
+    raised = [F.max(T.contains_any(said, F.array(*map(F.lit, terms)))).alias(f"f{i}") for i, terms in enumerate(families.values())]
+    per = clauses.groupBy("doc_id").agg(*raised).join(documents.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw")), "doc_id")
+    found = F.array_compact(F.array(*[F.when(F.col(f"f{i}") & ~T.contains_any(F.col("raw"), F.array(*map(F.lit, terms))), name) for i, (name, terms) in enumerate(families.items())]))
+    return per.select("doc_id", F.array_sort(found).alias("topics")).where(F.size("topics") > 0)
+
+
+def grounding_verdict(clauses: DataFrame, documents: DataFrame, families: dict[str, list[str]], most: float = 0.5, cites=cited_clauses, stems=T.curation_stems) -> DataFrame:
+    """doc_id, problems, topics, n_warnings, ok of each document with curated clauses: grounding() of all its clauses and silent_topics() together. problems: sorted number:problem."""
+    judged = grounding(clauses, documents, most, cites, stems)
+    each = F.transform("problems", lambda p: F.concat_ws(":", F.col("number").cast("string"), p))
+    per = judged.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("problems"), F.sum(F.size("warnings")).alias("n_warnings"))
+    told = per.join(silent_topics(clauses, documents, families), "doc_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+    return told.select("doc_id", "problems", "topics", "n_warnings", ((F.size("problems") == 0) & (F.size("topics") == 0)).alias("ok"))
+
+
 def grounding(clauses: DataFrame, documents: DataFrame, most: float = 0.5, cites=cited_clauses, stems=T.curation_stems) -> DataFrame:
     """doc_id, number, n_words, share, bad_citations, problems, warnings of curated clauses (doc_id, number, text).
 
@@ -67,6 +87,45 @@ def anchor_verdict(accepted: DataFrame, asked: DataFrame, least: int = 6) -> Dat
     return asked.select("doc_id").distinct().join(kept, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_kept"), (F.coalesce("n", F.lit(0)) >= least).alias("ok"))
 
 
+def anchor_check(
+    questions: DataFrame, documents: DataFrame, existing: DataFrame, evaluations: DataFrame, families: list[list[str]], shortest: int = 12, mirror: float = 0.55, close: float = 0.8, most: int = 14, stems=T.curation_stems
+) -> DataFrame:
+    """doc_id, pos, question, verdict of every proposed anchor (doc_id, pos, question): the first that holds of
+
+    short: fewer than `shortest` characters. mirror: as close as `mirror` in stems
+    to an evaluation question (id, text). duplicate: as close as `close` to one
+    that the document has (existing: doc_id, question) or to one kept before it.
+    topic: it raises a family of terms on which document (doc_id, raw_text,
+    block) is silent. beyond: it would be kept, after `most` others. kept: else.
+
+    Mirrors are found by a join over rare stems; what is kept before depends on
+    order, so a document's own proposals are folded one after another.
+    """
+    plain = F.trim(F.regexp_replace("question", r"(?U)\s+", " "))
+    rows = questions.select("doc_id", "pos", plain.alias("question"), F.coalesce(F.length(T.stripped(F.col("question"))) < shortest, F.lit(True)).alias("short"))
+    rows = rows.withColumns({"question": F.coalesce("question", F.lit("")), "id": F.struct("doc_id", "pos")}).withColumn("stems", stems(F.col("question")))
+    seen = gates.mirrors(rows.select("id", F.col("question").alias("text")), evaluations, mirror, stems).select("id").distinct().withColumn("mirror", F.lit(True))
+    source = documents.select("doc_id", F.concat_ws("\n", "raw_text", "block").alias("source"))
+    judged = rows.join(seen, "id", "left").join(source, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
+    judged = judged.select("doc_id", F.struct("pos", "question", "stems", "short", F.coalesce("mirror", F.lit(False)).alias("mirror"), T.new_topic(F.col("question"), F.col("source"), families).alias("topic")).alias("r"))
+    have = existing.groupBy("doc_id").agg(F.collect_list(stems(F.col("question"))).alias("have"))
+    lists = judged.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows")).join(have, "doc_id", "left")
+    none = F.array().cast("array<array<string>>")
+    zero = F.struct(F.coalesce("have", none).alias("seen"), F.lit(0).alias("kept"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        both = lambda s: F.size(F.array_intersect(s, r["stems"]))
+        alike = F.exists(state["seen"], lambda s: (both(s) > 0) & (both(s) >= close * F.size(F.array_union(s, r["stems"])) - 1e-9))
+        verdict = F.when(r["short"], "short").when(r["mirror"], "mirror").when(alike, "duplicate").when(r["topic"], "topic").when(state["kept"] >= most, "beyond").otherwise("kept")
+        passed = verdict.isin("kept", "beyond")
+        return F.struct(
+            F.when(passed, F.concat(state["seen"], F.array(r["stems"]))).otherwise(state["seen"]).alias("seen"), (state["kept"] + passed.cast("int")).alias("kept"), F.concat(state["out"], F.array(verdict)).alias("out")
+        )
+
+    told = lists.select("doc_id", F.explode(F.arrays_zip(F.col("rows"), F.aggregate("rows", zero, step, lambda s: s["out"]).alias("verdict"))).alias("x"))
+    return told.select("doc_id", "x.rows.pos", "x.rows.question", "x.verdict")
+
+
 def anchor_targets(docs: DataFrame, never: list[str], block: str = "key-facts") -> DataFrame:
     """document_id of documents that need anchors and have the block that an anchor would lift, sorted."""
     has = F.coalesce(F.exists("sections", lambda s: s["id"] == block), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def stems(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(T.words(text), lambda w: F.lower(T.bare(w))), lambda w: F.length(w) >= 3))
 
 
-def mirrors(texts: DataFrame, held: DataFrame, least: float) -> DataFrame:
+def mirrors(texts: DataFrame, held: DataFrame, least: float, stems: Callable[[Column], Column] = stems) -> DataFrame:
     """id, other, jaccard of texts whose stem set is as close as `least` to a held one.
 
     A pair that close shares one of the (1 - least) * n + 1 rarest stems of

@@ -99,3 +99,50 @@ def test_a_title_counts_twice(spark):
     known = words.select("word").distinct()
     assert logs.triage(asked, known, words, 40, got).first().cause == "answer"
     assert logs.triage(asked, known, words, 40, got, titles=titles).first().cause == "retrieval"
+
+
+def test_anchors_against_loop(spark):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
+    plain = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2))
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))
+    questions = [(d, p, rng.choice([text(), text(), "  " + text() + "\n x", None, "weapon " + text()])) for d in range(12) for p in range(rng.randint(1, 25))]
+    existing = [(d, text()) for d in range(0, 12, 2) for _ in range(2)]
+    evals = [(i, text()) for i in range(4)]
+    documents = [(d, "a weapon here" if d % 3 == 0 else "nothing", "gun" if d % 3 == 1 else None) for d in range(12)]
+    families = [["weapon", "gun"], ["money"]]
+    got = curation.anchor_check(
+        spark.createDataFrame(questions, "doc_id int, pos int, question string"), spark.createDataFrame(documents, "doc_id int, raw_text string, block string"), spark.createDataFrame(existing, "doc_id int, question string"),
+        spark.createDataFrame(evals, "id int, text string"), families, most=5, stems=plain,
+    )
+    stems = lambda q: {w for w in " ".join((q or "").split()).split(" ") if len(w) > 2}
+    close = lambda a, b: len(a & b) / len(a | b) if a and b else 0
+    want = {}
+    for d, raw, block in documents:
+        seen, kept = [stems(q) for e, q in existing if e == d], 0
+        source = f"{raw}\n{block or ''}"
+        for _, p, q in sorted((x for x in questions if x[0] == d), key=lambda x: x[1]):
+            s, plain_q = stems(q), " ".join((q or "").split())
+            if len((q or "").strip()) < 12:
+                v = "short"
+            elif any(close(s, stems(e)) >= 0.55 for _, e in evals):
+                v = "mirror"
+            elif any(close(s, e) >= 0.8 for e in seen):
+                v = "duplicate"
+            elif any(any(t in plain_q for t in f) and not any(t in source for t in f) for f in families):
+                v = "topic"
+            else:
+                seen.append(s)
+                kept += 1
+                v = "kept" if kept <= 5 else "beyond"
+            want[d, p] = (plain_q, v)
+    assert {(r.doc_id, r.pos): (r.question, r.verdict) for r in got.collect()} == want
+    assert {v for _, v in want.values()} >= {"short", "mirror", "duplicate", "topic", "kept", "beyond"}
+
+
+def test_grounding_with_topics(spark):
+    documents = spark.createDataFrame([("a", "the word of the order"), ("b", "the word of the gun")], "doc_id string, raw_text string")
+    clauses = spark.createDataFrame([("a", 1, "the word"), ("a", 2, "a gun ] }"), ("b", 1, "the gun"), ("c", 1, "x")], "doc_id string, number int, text string")
+    plain = lambda c: F.array_distinct(F.split(c, " "))
+    got = curation.grounding_verdict(clauses, documents, {"weapons": ["gun", "rifle"], "money": ["pay"]}, stems=plain)
+    assert {r.doc_id: (r.problems, r.topics, r.ok) for r in got.collect()} == {"a": (["2:debris", "2:ungrounded"], ["weapons"], False), "b": ([], [], True)}
