@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corvella.functions import dates
 from corvella.functions import text as T
 from corvella.operators import answers, chunking, curation, dense, embedding, experiments, extraction, gates, harvest, index, intake, ledger, ranking
+from corvella.operators.stored import stored
 
-from .inputs import HITS_SQL, hits, table
+from .inputs import HITS_SQL, best_hits, hits, table
 
 NO_ANNEX = "array<struct<id:string,category:string,case:string,conditions:array<string>,approver:string,sub_cases:array<struct<sub_id:string,reason:string,approver_min_rank:string,approver:string,compensation:string,min_sleep_hours:string,max_wake_hours:string,tags:array<string>>>>>"
 LATIN, HEBREW = "abcdefghijklmnopqrstuv", "אבגדהוזחטיכלמנסעפצקרשת"

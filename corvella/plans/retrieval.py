@@ -9,7 +9,7 @@ from corvella.functions import text as T
 from corvella.operators import chunking, dense, index, lexical, ranking
 from corvella.operators.stored import stored
 
-from .inputs import HITS_SQL, WINDOWS_SQL, documents, hits, table, vectors
+from .inputs import HITS_SQL, WINDOWS_SQL, best_hits, documents, section, table, vectors
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def anchor_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.winner_depth(ranking.fold_anchors(hits(spark, sf_dir))).select("query_id", "rank", "doc_id", "row_id", "score", "lifted")
+    return ranking.winner_depth(stored(ranking.fold_anchors(stored(best_hits(spark, sf_dir, 4, sections=True))))).select("query_id", "rank", "doc_id", "row_id", "score", "lifted")
 
 
 def budget_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
