@@ -104,7 +104,7 @@ def folded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def budget_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors outbid the other rows here, so that most winners are lifted; a row has as many words as its id has units."""
-    scored = hits(spark, sf_dir).withColumn("score", F.when(F.col("section") == "sq", F.col("score") + 1).otherwise(F.col("score")))
+    scored = stored(best_hits(spark, sf_dir, 1, sections=True, budget=40)).withColumn("score", F.when(F.col("section") == "sq", F.col("score") + 1).otherwise(F.col("score")))
     folded = ranking.fold_anchors(scored).withColumn("n_words", F.col("row_id") % 10)
     return ranking.budget_merge(folded, 40)
 
