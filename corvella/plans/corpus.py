@@ -412,7 +412,7 @@ def stripped_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    others = hits(spark, sf_dir).where("row_id <> query_id")
+    others = stored(best_hits(spark, sf_dir, 5, sections=True).where("row_id <> query_id"))
     deployed = ranking.hit_at(ranking.distinct_sources(index.per_query_top(others, 8, "score", ["row_id"], cap=4)), _gold(spark, sf_dir))
     return experiments.layer_audit(deployed, experiments.rank_without_anchors(others, _gold(spark, sf_dir)))
 
