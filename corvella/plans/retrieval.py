@@ -91,11 +91,11 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def winner_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.winner_depth(hits(spark, sf_dir)).select("query_id", "rank", "doc_id", "row_id", "score")
+    return ranking.winner_depth(stored(best_hits(spark, sf_dir, 4))).select("query_id", "rank", "doc_id", "row_id", "score")
 
 
 def anchor_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.fold_targets(hits(spark, sf_dir))
+    return ranking.fold_targets(best_hits(spark, sf_dir, 1, sections=True))
 
 
 def folded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
