@@ -83,8 +83,11 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, queries = vectors(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(queries.select("query_id"), "query_id", "left_semi")
-    overlap = index.lexical_scores(asked, texts).select("query_id", F.col("chunk_id").cast("long").alias("row_id"), "overlap")
-    scored = hits(spark, sf_dir).join(overlap, ["query_id", "row_id"], "left")
+    overlap = stored(index.lexical_scores(asked, texts).select("query_id", F.col("chunk_id").cast("long").alias("row_id"), "overlap"))
+    # A row without overlap is among its section's best by the dense score alone; rows with overlap are scored one by one.
+    plain = best_hits(spark, sf_dir, 4, sections=True).join(overlap, ["query_id", "row_id"], "left_anti").withColumn("overlap", F.lit(None).cast("double"))
+    met = dense.pair_scores(rows, queries.join(asked.select("query_id").distinct(), "query_id", "left_semi"), also=("doc_id",)).join(overlap, ["query_id", "row_id"])
+    scored = plain.unionByName(met.withColumn("section", section()))
     one = F.round(F.col("score") + 0.25 * F.coalesce("overlap", F.lit(0.0)), 3)
     scored = scored.withColumn("score", F.when((F.col("doc_id") == 3) & (F.col("section") != "sq"), F.round(one + 0.05, 3)).otherwise(one))
     return index.per_query_top(scored, 8, "score", ["row_id"], cap=4).select("query_id", "rank", "doc_id", "row_id", "score")
