@@ -427,7 +427,8 @@ def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def budget_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows gained where twice and four times the results are asked for."""
-    return experiments.ablation(lambda n: index.per_query_top(hits(spark, sf_dir), n, "score", ["row_id"], cap=4), 4)
+    best = stored(best_hits(spark, sf_dir, 4))
+    return experiments.ablation(lambda n: index.per_query_top(best, n, "score", ["row_id"], cap=4), 4)
 
 
 def probe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
