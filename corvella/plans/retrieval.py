@@ -133,7 +133,7 @@ def stitch_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reserved_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = hits(spark, sf_dir)
+    scored = stored(best_hits(spark, sf_dir, 8, sections=True))
     main = index.per_query_top(scored.where("section = 'chunk'"), 8, "score", ["row_id"], cap=4)
     extra = index.per_query_top(scored, 8, "score", ["row_id"])
     return ranking.reserved_merge(main, extra)
@@ -156,7 +156,7 @@ def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def starvation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose leading document leaves others a row at most."""
-    top = index.per_query_top(hits(spark, sf_dir), 8, "score", ["row_id"])
+    top = index.per_query_top(best_hits(spark, sf_dir, 8), 8, "score", ["row_id"])
     per = top.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id"))
     two = per.withColumn("at", at).groupBy("query_id").agg(F.max(F.when(F.col("at") == 1, F.col("n"))).alias("leader"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("n"))), F.lit(0)).alias("runner_up"), F.count(F.lit(1)).alias("n_docs"))
