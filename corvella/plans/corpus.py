@@ -366,7 +366,7 @@ def answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three hits of each query as one context, of those that aren't the query itself and score 0.3 or more; some queries have none."""
-    top = index.per_query_top(hits(spark, sf_dir).where("score >= 0.3 AND query_id <> row_id"), 3, "score", ["row_id"])
+    top = index.per_query_top(best_hits(spark, sf_dir, 4).where("score >= 0.3 AND query_id <> row_id"), 3, "score", ["row_id"])
     every = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
     rows = every.join(top.select("query_id", "rank", "doc_id", F.col("section").alias("title"), F.col("row_id").cast("string").alias("clause"), F.col("score").cast("string").alias("text")).withColumn("text", F.lit("body")), "query_id", "left")
     return answers.context_of(rows, "nothing found")
@@ -419,7 +419,7 @@ def layer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a label's own query vectors find it."""
-    others = hits(spark, sf_dir).where("row_id <> query_id")
+    others = best_hits(spark, sf_dir, 5).where("row_id <> query_id")
     ranked = ranking.distinct_sources(index.per_query_top(others, 8, "score", ["row_id"], cap=4))
     anchors = _gold(spark, sf_dir).select("doc_id", F.col("query_id").alias("pos"), F.col("query_id").alias("anchor_id"))
     return experiments.self_retrieval(anchors, ranked)

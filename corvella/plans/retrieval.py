@@ -140,7 +140,7 @@ def reserved_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = index.per_query_top(hits(spark, sf_dir), 8, "score", ["row_id"], cap=4)
+    top = index.per_query_top(best_hits(spark, sf_dir, 4), 8, "score", ["row_id"], cap=4)
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.length("url").alias("page"))
     return ranking.distinct_sources(top, pages)
 
@@ -148,7 +148,7 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a query vector's own label is among the first three documents found without the vector itself."""
     rows, queries = vectors(spark, sf_dir)
-    others = hits(spark, sf_dir).where("row_id <> query_id")
+    others = best_hits(spark, sf_dir, 5).where("row_id <> query_id")
     ranked = ranking.distinct_sources(index.per_query_top(others, 8, "score", ["row_id"], cap=4))
     gold = queries.select("query_id").join(rows.select(F.col("row_id").alias("query_id"), "doc_id"), "query_id")
     return ranking.hit_at(ranked, gold)
