@@ -408,7 +408,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stripped_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.rank_without_anchors(hits(spark, sf_dir).where("row_id <> query_id"), _gold(spark, sf_dir))
+    return experiments.rank_without_anchors(best_hits(spark, sf_dir, 2, sections=True).where("row_id <> query_id"), _gold(spark, sf_dir))
 
 
 def layer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
