@@ -68,6 +68,11 @@ def rescued_year(token: Column, today: Column) -> Column:
     return F.when(plausible(y, today), F.struct(y.alias("year"), F.lit(False).alias("turned"))).when(plausible(back, today), F.struct(back.alias("year"), F.lit(True).alias("turned")))
 
 
+def _once(**columns: Column) -> Column:
+    """Columns to select by generation, so that they are worked out once a row; Spark would repeat a projection's expressions wherever they are used."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def _of_form(form: int):
     """A match of a form as a struct that all forms share."""
     return lambda m: F.struct(F.lit(form).alias("form"), m["start"].alias("start"), m["text"].alias("raw"))
@@ -82,23 +87,26 @@ def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFr
     behind the word for a clause is no day; dates of turned years have no day.
     """
     month, d = f"({_names(w)})", "([0-9]{1,2})"
+    # What a form can start with is looked at first, as that is fast and mostly fails.
+    digit, first = "(?=[0-9])", "".join(sorted({n[0] for n, _ in w.months}))
     # Name and place of each form's groups, how its year is written, and its pattern.
     forms = [
-        ("dmy", "", rf"(?<![0-9.]){d}[./]{d}[./]([0-9]{{2,4}})(?![0-9.])"),
-        ("dmy", "year", rf"(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
-        ("ymd", "year", rf"(?<![0-9])([0-9]{{4}})\s*{w.glue}?{month}\s*{d}?(?![0-9])"),
+        ("dmy", "", rf"{digit}(?<![0-9.]){d}[./]{d}[./]([0-9]{{2,4}})(?![0-9.])"),
+        ("dmy", "year", rf"{digit}(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("ymd", "year", rf"{digit}(?<![0-9])([0-9]{{4}})\s*{w.glue}?{month}\s*{d}?(?![0-9])"),
         ("my", "year", rf"{w.glue}{month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
-        ("my", "year", rf"(?<![{w.letters}]){month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
-        ("dmy", "two", rf"(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{2}})(?![0-9.])"),
-        ("my", "two", rf"(?<![{w.letters}]){w.glue}?{month}['׳]?\s*([0-9]{{2}})(?![0-9.])"),
+        ("my", "year", rf"(?=[{first}])(?<![{w.letters}]){month}\s*,?\s*([0-9]{{4}})(?![0-9])"),
+        ("dmy", "two", rf"{digit}(?<![0-9]){d}\s*{w.glue}\s*{month}\s*,?\s*([0-9]{{2}})(?![0-9.])"),
+        ("my", "two", rf"(?=[{first}{w.glue}])(?<![{w.letters}]){w.glue}?{month}['׳]?\s*([0-9]{{2}})(?![0-9.])"),
     ]
     month_of = F.create_map(*[F.lit(x) for pair in w.months for x in pair])
     every = []
     for k, (order, years, pattern) in enumerate(forms):
         found = F.transform(T.matches(F.col("text"), pattern), _of_form(k))
-        some = F.col("text").rlike(_names(w)) & F.col("two_digit") if years == "two" else F.col("text").rlike(_names(w)) if years else F.lit(True)
+        some = F.col("_named") & F.col("two_digit") if years == "two" else F.col("_named") if years else F.lit(True)
         every.append(F.when(some, found).otherwise(F.array().cast("array<struct<form:int,start:int,raw:string>>")))
-    rows = windows.withColumn("m", F.explode(F.concat(*every)))
+    kept = [c for c in windows.columns if c not in ("marker", "two_digit")]
+    rows = windows.withColumn("_named", F.col("text").rlike(_names(w))).select(*kept, "marker", F.explode(F.concat(*every)).alias("m"))
     # A match's parts are read from the match alone: texts are long, matches are short.
     of = {o: F.col("m.form").isin([k for k, f in enumerate(forms) if f[0] == o and f[1]]) for o in ("dmy", "ymd", "my")}
     parts = {
@@ -106,7 +114,9 @@ def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFr
         "m": F.when(of["dmy"] | of["ymd"] | of["my"], F.regexp_extract("m.raw", month, 1)).otherwise(F.regexp_extract("m.raw", "^[0-9]+[./]([0-9]+)", 1)),
         "y": F.when(of["ymd"], F.regexp_extract("m.raw", "^[0-9]{4}", 0)).otherwise(F.regexp_extract("m.raw", "[0-9]+$", 0)),
     }
-    rows = rows.withColumn("m", F.struct("m.form", "m.start", "m.raw", *[c.alias(n) for n, c in parts.items()]))
+    # A number behind the word for a clause is no day; the form that starts with a dotted day needs no look back.
+    behind = F.col("m.form").isin([k for k, f in enumerate(forms) if f[0] == "dmy" and f[1]]) & F.expr("substring(text, 1, m.start)").rlike(w.clause)
+    rows = rows.select(*[c for c in kept if c != "text"], "marker", _once(m=F.struct("m.form", "m.start", "m.raw", behind.alias("behind"), *[c.alias(n) for n, c in parts.items()])))
     form, number = F.col("m.form"), F.col("m.y").cast("int")
     kinds = {y: form.isin([k for k, f in enumerate(forms) if f[1] == y]) for y in ("", "year", "two")}
     four = F.when(kinds["year"], rescued_year(F.col("m.y"), today))
@@ -114,18 +124,17 @@ def candidates(windows: DataFrame, today: Column, w: Wording = HEBREW) -> DataFr
         F.when(kinds["year"], four["year"]).when(kinds[""], F.when(number < 100, two_digit_year(number)).otherwise(number))
         .when(F.col("m.d") != "", two_digit_year(number)).otherwise(F.when(number >= 28, number + 1900))
     )
-    # A number behind the word for a clause is no day; the form that starts with a dotted day needs no look back.
-    behind = F.expr("substring(text, 1, m.start)").rlike(w.clause) & form.isin([k for k, f in enumerate(forms) if f[0] == "dmy" and f[1]])
-    day = F.when(~behind & ~F.coalesce(four["turned"], F.lit(False)), F.nullif(F.col("m.d"), F.lit("")).cast("int"))
+    day = F.when(~F.col("m.behind") & ~F.coalesce(four["turned"], F.lit(False)), F.nullif(F.col("m.d"), F.lit("")).cast("int"))
     month_number = F.when(kinds[""], F.col("m.m").try_cast("int")).otherwise(month_of[F.col("m.m")])
     said = F.when(F.coalesce(four["turned"], F.lit(False)), ";digits-reversed").when(kinds["two"], ";2digit-year").otherwise("")
-    rows = rows.withColumns({"_y": year, "_m": month_number, "_d": day, "_s": said})
-    date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", "_y", "_m", F.coalesce("_d", F.lit(1))), F.lit("yyyy-MM-dd")).cast("date")
-    rows = rows.withColumns({
-        "date": date, "day_known": F.col("_d").isNotNull(), "raw": F.trim(F.regexp_replace("m.raw", r"\s+", " ")), "form": form, "start": F.col("m.start"),
+    rows = rows.select("*", _once(_y=year, _m=month_number, _d=day, _s=said))
+    # Years of fewer than four digits give no date, and are not plausible ones either.
+    date = F.concat_ws("-", "_y", "_m", F.coalesce("_d", F.lit(1))).try_cast("date")
+    rows = rows.select("*", _once(date=F.when(F.col("_y").isNotNull() & F.col("_m").isNotNull(), date))).withColumns({
+        "day_known": F.col("_d").isNotNull(), "raw": F.trim(F.regexp_replace("m.raw", r"\s+", " ")), "form": form, "start": F.col("m.start"),
         "marker": F.concat("marker", "_s", F.when(F.col("_d").isNull(), ";month-precision").otherwise("")),
     })
-    return rows.where((F.col("date") <= today) & plausible(F.year("date"), today)).drop("text", "two_digit", "m", "_y", "_m", "_d", "_s")
+    return rows.where((F.col("date") <= today) & plausible(F.year("date"), today)).drop("m", "_y", "_m", "_d", "_s")
 
 
 def garbled(text: Column, today: Column) -> Column:
@@ -161,7 +170,7 @@ def marker_windows(lines: DataFrame, w: Wording = HEBREW, ahead: int = 4, most:
     block = rows.groupBy("doc_id", "island").agg(F.array_join(F.transform(parts, lambda p: p["line"]), " ").alias("block"))
     joined = rows.where(F.col("line").rlike(w.keyword) & ~F.col("line").rlike(w.classified)).join(block, ["doc_id", "island"])
     text = F.trim(F.regexp_replace(F.when(F.col("line").rlike(w.spill) & ~F.col("datey"), F.concat("block", F.lit(" "), "near")).otherwise(F.col("near")), r" +", " "))
-    return joined.select("doc_id", "pos", text.alias("text"), marker_of(text, w).alias("marker"), F.lit(True).alias("two_digit"))
+    return joined.select("doc_id", "pos", _once(text=text)).select("doc_id", "pos", "text", marker_of(F.col("text"), w).alias("marker"), F.lit(True).alias("two_digit"))
 
 
 def stamp_windows(lines: DataFrame, w: Wording = HEBREW, shortest: int = 20) -> DataFrame:
@@ -191,6 +200,8 @@ def document_dates(lines: DataFrame, today: Column, w: Wording = HEBREW) -> Data
     windows before stamps, then the place. Documents without a candidate and
     without a garbled window have no row.
     """
+    # Lines are few bytes and much work: by their size Spark would deal them to few tasks.
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     marked = marker_windows(lines, w).withColumns({"tier": F.lit(1), "garbled": garbled(F.col("text"), today)})
     stamped = stamp_windows(lines, w).withColumns({"tier": F.lit(2), "garbled": F.lit(False)})
     windows = marked.unionByName(stamped)
