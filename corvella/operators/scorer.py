@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,18 +35,22 @@ from .stored import stored
 BLOCK_QUERIES = 4096
 COLUMNS_AT_ONCE = 256  # queries of a score matrix
 ROWS_AT_ONCE = 2048
+CELLS_AT_ONCE = 1 << 20  # (row, query) cells that rows' terms are spread over at once
 NEVER = -(1 << 40)  # below any score
 SLACK = 2  # thousandths by which two products of the same vectors may round apart, twice
 
 
 @dataclass
 class Block:
-    """Some queries: ids, vectors, and for each term the queries that hold it with 4 x weight; boosted (query, document) pairs; the bound to reach."""
+    """Some queries: ids, vectors, and the queries that hold terms, for each term which of these hold it (from starts[t] on, places in asking) with 4 x weight; boosted (query, document) pairs; the bound to reach."""
 
     ids: np.ndarray
     vectors: np.ndarray
-    terms: dict[str, int]
-    weights: np.ndarray  # terms x queries
+    terms: list[str]
+    starts: np.ndarray
+    who: np.ndarray
+    weights: np.ndarray
+    asking: np.ndarray
     n_terms: np.ndarray
     boosted: dict
     bound: np.ndarray | None = None
@@ -82,16 +87,42 @@ def _blocks(queries: DataFrame, boost: DataFrame | None, size: int, bound: DataF
         held = got.column("terms").to_pylist()
         terms: dict[str, int] = {}
         cells = [(terms.setdefault(t["term"], len(terms)), q, t["quarters"]) for q, of in enumerate(held) for t in of or ()]
-        weights = np.zeros((len(terms), len(held)), np.int32)
-        for t, q, w in cells:
-            weights[t, q] = w
+        cells.sort()
+        of_term, of_query, weights = (np.array([c[i] for c in cells], np.int64) for i in range(3))
+        asking, who = np.unique(of_query, return_inverse=True)
+        starts = np.searchsorted(of_term, np.arange(len(terms) + 1))
         pairs: dict = {}
         for q, docs in enumerate(got.column("boosted").to_pylist() if boost is not None else ()):
             for d in docs or ():
                 pairs.setdefault(d, []).append(q)
         least = np.array([NEVER if b is None else b for b in got.column("bound").to_pylist()], np.int64) if bound is not None else None
         ids = got.column("query_id").to_numpy()
-        yield spark.sparkContext.broadcast(Block(ids, _vectors(got.column("embedding").combine_chunks()), terms, weights, got.column("n_terms").to_numpy().astype(np.int64), pairs, least))
+        yield spark.sparkContext.broadcast(Block(ids, _vectors(got.column("embedding").combine_chunks()), list(terms), starts, who, weights, asking, got.column("n_terms").to_numpy().astype(np.int64), pairs, least))
+
+
+def _quarters(held: pa.Array, block: Block) -> np.ndarray:
+    """4 x weight of the terms that rows hold (held: lists), for the queries that hold terms: rows x asking. Works on a bounded number of cells at a time."""
+    out = np.zeros((len(held), len(block.asking)), np.int32)
+    sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = held.flatten()
+    if not len(flat) or not block.terms:
+        return out
+    codes = pc.fill_null(pc.index_in(flat, value_set=pa.array(block.terms, flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(held)), sizes)[codes >= 0]
+    codes = codes[codes >= 0]
+    many = block.starts[codes + 1] - block.starts[codes]
+    upto = np.cumsum(many)
+    at = 0
+    while at < len(codes):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] - many[at] + CELLS_AT_ONCE, side="right")))
+        n = many[at:end]
+        cell = np.arange(n.sum()) + np.repeat(block.starts[codes[at:end]] - (np.cumsum(n) - n), n)
+        first = row[at]
+        place = (np.repeat(row[at:end], n) - first) * len(block.asking) + block.who[cell]
+        last = row[end - 1] + 1
+        out[first:last] += np.bincount(place, block.weights[cell], (last - first) * len(block.asking)).astype(np.int32).reshape(last - first, -1)
+        at = end
+    return out
 
 
 def _scored(batch: pa.RecordBatch, block: Block, lift: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,17 +140,13 @@ def _scored(batch: pa.RecordBatch, block: Block, lift: int) -> Iterator[tuple[in
     at_doc, at_anchor = group[starts] // 2, group[starts] % 2 == 1
     one = np.empty(len(names), np.int64)
     one[place] = np.arange(len(place))
-    held = [[block.terms[t] for t in ts if t in block.terms] for ts in (x or () for x in batch.column("held").to_pylist())]
-    sizes = np.array([len(h) for h in held])
-    flat = np.array([t for h in held for t in h], np.int64)
-    with_terms = np.flatnonzero(sizes)
-    cuts = (np.cumsum(sizes) - sizes)[with_terms]
+    asked = _quarters(batch.column("held"), block)
     boosted = [(i, block.boosted[d]) for i, d in enumerate(batch.column("doc_id").to_pylist()) if d in block.boosted and not anchor[i]]
     for q in range(0, len(block.ids), COLUMNS_AT_ONCE):
         width = min(COLUMNS_AT_ONCE, len(block.ids) - q)
         quarters = np.zeros((len(rows), width), np.int64)
-        if len(flat):
-            quarters[with_terms] = np.add.reduceat(block.weights[flat, q : q + width], cuts, axis=0)
+        low, high = np.searchsorted(block.asking, (q, q + width))
+        quarters[:, block.asking[low:high] - q] = asked[:, low:high]
         scores = thousandths(rows @ block.vectors[q : q + width].T, quarters, block.n_terms[q : q + width])
         for i, who in boosted:
             cols = [c - q for c in who if q <= c < q + width]

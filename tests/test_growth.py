@@ -15,3 +15,22 @@ def test_the_patterns_of_a_date_stand_once_in_the_plan(spark):
     windows = spark.createDataFrame([("עודכן 1.2.2012", "m", True)], "text string, marker string, two_digit boolean")
     plan = harvest.candidates(windows, F.lit(datetime.date(2026, 8, 1)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 6
+
+
+def test_terms_of_rows_are_spread_in_bounded_memory():
+    dice = np.random.default_rng(3)
+    names = [f"t{i}" for i in range(500)]
+    weights = dice.integers(0, 3, (500, 400))
+    term, who = np.nonzero(weights)
+    of = weights[term, who]
+    starts = np.searchsorted(term, np.arange(501))
+    block = scorer.Block(np.arange(400), np.zeros((400, 1)), names, starts, who, of, np.arange(400), np.ones(400, np.int64), {})
+    held = [[names[i] for i in np.flatnonzero(x)] + ["unknown"] if x.any() else None for x in dice.random((2048, 500)) < 0.6]
+    given = pa.array(held, pa.list_(pa.string()))
+    want = np.array([sum((weights[int(t[1:])] for t in h or () if t != "unknown"), np.zeros(400, np.int64)) for h in held])
+    tracemalloc.start()
+    got = scorer._quarters(given, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all()
+    assert peak < 200 << 20  # 600,000 terms x 256 queries x 4 bytes are 600 MB
