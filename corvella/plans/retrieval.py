@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvella.functions import amounts
 from corvella.functions import text as T
 from corvella.operators import chunking, dense, index, lexical, ranking
 from corvella.operators.stored import stored
@@ -50,7 +51,8 @@ def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_weights(index.query_terms(_queries(spark, sf_dir)), _chunks(spark, sf_dir), texts=_texts(spark, sf_dir))
+    n = _chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return term_df(spark, sf_dir).join(F.broadcast(n)).select("term", "df", amounts.term_weight(F.col("df"), F.col("n")).alias("weight"))  # n: one row
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

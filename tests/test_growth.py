@@ -34,3 +34,11 @@ def test_terms_of_rows_are_spread_in_bounded_memory():
     tracemalloc.stop()
     assert (got == want).all()
     assert peak < 200 << 20  # 600,000 terms x 256 queries x 4 bytes are 600 MB
+
+
+def test_term_weights_do_not_join_words_with_chunks(spark, sf_dir, monkeypatch):
+    def joined(*args, **kw):
+        raise AssertionError("every word of every chunk is joined")
+
+    monkeypatch.setattr(index, "term_chunks", joined)
+    agree(spark, sf_dir, *registered()["term_weights"])
