@@ -59,7 +59,9 @@ def grounding(clauses: DataFrame, documents: DataFrame, most: float = 0.5, cites
     citations that the document lacks; over `most` of the stems not in it. A
     numbered document's clause without any citation is a warning.
     """
-    raw = documents.select("doc_id", clause_markers(F.col("raw_text")).alias("real"), stems(F.col("raw_text")).alias("known"))
+    # Stems are cut from documents with clauses only.
+    mine = documents.join(clauses.select("doc_id").distinct(), "doc_id", "left_semi")
+    raw = mine.select("doc_id", clause_markers(F.col("raw_text")).alias("real"), stems(F.col("raw_text")).alias("known"))
     rows = clauses.select("doc_id", "number", "text", cites(F.col("text")).alias("cited"), stems(F.col("text")).alias("words")).join(raw, "doc_id")
     bad = F.array_except("cited", "real")
     share = F.size(F.array_except("words", "known")) / F.greatest(F.size("words"), F.lit(1))

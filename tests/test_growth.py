@@ -42,3 +42,9 @@ def test_term_weights_do_not_join_words_with_chunks(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(index, "term_chunks", joined)
     agree(spark, sf_dir, *registered()["term_weights"])
+
+
+def test_stems_are_cut_from_documents_with_clauses_only(spark):
+    clauses = spark.createDataFrame([(1, "1", "words")], "doc_id long, number string, text string")
+    plan = curation.grounding(clauses, spark.range(9).selectExpr("id AS doc_id", "'some text' AS raw_text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
