@@ -140,7 +140,7 @@ def probe_sample(rows: DataFrame, n: int, seed: int = 7) -> DataFrame:
 def call_cost(rows: DataFrame, prices: DataFrame, default: tuple[float, float], write: float = 1.25, read: float = 0.10, batch: float = 0.5, digits: int = 8) -> DataFrame:
     """rows (model, tokens_in, tokens_out, cache_write, cache_read, batch) with cost: prices (model, price_in, price_out) are by a million tokens; unknown models take the default."""
     p = prices.select(F.col("model").alias("_m"), "price_in", "price_out")
-    joined = rows.join(p, F.col("model") == F.col("_m"), "left")
+    joined = rows.join(sent_if_small(p, "_m"), F.col("model") == F.col("_m"), "left")  # a shuffle would send all rows of a model to one task
     a, b = F.coalesce("price_in", F.lit(default[0])), F.coalesce("price_out", F.lit(default[1]))
     total = (F.col("tokens_in") * a + F.col("tokens_out") * b + F.col("cache_write") * a * F.lit(write) + F.col("cache_read") * a * F.lit(read)) / F.lit(1e6)
     return joined.withColumn("cost", F.round(total * F.when(F.col("batch"), F.lit(batch)).otherwise(F.lit(1.0)), digits)).drop("_m", "price_in", "price_out")

@@ -48,3 +48,10 @@ def test_stems_are_cut_from_documents_with_clauses_only(spark):
     clauses = spark.createDataFrame([(1, "1", "words")], "doc_id long, number string, text string")
     plan = curation.grounding(clauses, spark.range(9).selectExpr("id AS doc_id", "'some text' AS raw_text"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_prices_do_not_shuffle_the_calls(spark):
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, 'A', 'B') AS model", "id AS tokens_in", "id AS tokens_out", "id AS cache_write", "id AS cache_read", "true AS batch")
+    prices = spark.createDataFrame([("A", 5.0, 25.0)], "model string, price_in double, price_out double")
+    plan = experiments.call_cost(rows, prices, (5.0, 25.0))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
