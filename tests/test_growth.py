@@ -55,3 +55,11 @@ def test_prices_do_not_shuffle_the_calls(spark):
     prices = spark.createDataFrame([("A", 5.0, 25.0)], "model string, price_in double, price_out double")
     plan = experiments.call_cost(rows, prices, (5.0, 25.0))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_triage_scores_asked_queries_only(spark, sf_dir, monkeypatch):
+    asked, scores = [], dense.pair_scores
+    monkeypatch.setattr(dense, "pair_scores", lambda rows, queries, **kw: asked.append({r.query_id for r in queries.collect()}) or scores(rows, queries, **kw))
+    agree(spark, sf_dir, *registered()["triage"])
+    items = {r.item_id for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    assert len(asked) == 1 and asked[0] <= items
