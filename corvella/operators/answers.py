@@ -80,13 +80,18 @@ def sources(value: Column, names: Labels = HEBREW_LABELS) -> Column:
     pattern = rf"(?U)[\s,—–\-·]*(?<!\S)((?:{one}|{many})\s+\S.*)$"
     parts = F.filter(F.transform(F.split(value, ";"), T.clean), lambda p: p != "")
 
-    def source(part: Column) -> Column:
-        title = T.clean(F.regexp_replace(part, pattern, ""))
-        dash = F.regexp_extract(title, r"^(.*?)\s*[—–-]\s*(.*)$", 1), F.regexp_extract(title, r"^(.*?)\s*[—–-]\s*(.*)$", 2)
-        joined = F.when(title.rlike(r"[—–-]"), F.concat(dash[0], F.lit(" · "), dash[1])).otherwise(title)
-        return F.struct(joined.alias("title"), T.clean(F.regexp_extract(part, pattern, 1)).alias("clause"))
-
-    return F.filter(F.transform(parts, source), lambda s: (s["title"] != "") | (s["clause"] != ""))
+    # Each step is an array of its own, as what a lambda names twice is worked out twice. Patterns are tried only where their words stand.
+    def cut(part: Column) -> Column:
+        named = F.contains(part, F.lit(one)) | F.contains(part, F.lit(many))
+        title, clause = F.when(named, F.regexp_replace(part, pattern, "")).otherwise(part), F.when(named, T.clean(F.regexp_extract(part, pattern, 1))).otherwise("")
+        return F.struct(T.clean(title).alias("title"), clause.alias("clause"))
+
+    def dotted(s: Column) -> Column:
+        dashed = F.contains(s["title"], F.lit("—")) | F.contains(s["title"], F.lit("–")) | F.contains(s["title"], F.lit("-"))
+        title = F.when(dashed, F.regexp_replace(s["title"], r"(?s)^(.*?)\s*[—–-]\s*", "$1 · ")).otherwise(s["title"])
+        return F.struct(title.alias("title"), s["clause"].alias("clause"))
+
+    return F.filter(F.transform(F.transform(parts, cut), dotted), lambda s: (s["title"] != "") | (s["clause"] != ""))
 
 
 # Fixed value: the label of a ruling.

@@ -53,6 +53,9 @@ def test_sources(spark, blocks):
     got = one(spark, answers.sources, 'פ"מ 33.0213 — עבודה, מנוחה, סעיף 4; פ"מ 33.0351 סעיפים 12-14 ;')
     assert [tuple(s) for s in got] == [('פ"מ 33.0213 · עבודה, מנוחה', "סעיף 4"), ('פ"מ 33.0351', "סעיפים 12-14")]
 
+    got = one(spark, answers.sources, "סעיף 7;  סעיפים;a — b - c · סעיפים  5-6 ;x,—סעיף 3; —;" + RLM + " plain" + RLM + ";first - line\nof two")
+    assert [tuple(s) for s in got] == [("", "סעיף 7"), ("סעיפים", ""), ("a · b - c", "סעיפים  5-6"), ("x,·סעיף 3".replace("·", " · "), ""), (" · ", ""), ("plain", ""), ("first · line\nof two", "")]
+
 
 def test_ruling_line_and_its_marks(spark):
     found = lambda c: answers.ruling_clauses(answers.ruling_line(c))

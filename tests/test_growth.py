@@ -5,7 +5,8 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
-from corvella.operators import curation, dense, experiments, harvest, index, scorer
+from corvella.functions import text as T
+from corvella.operators import answers, curation, dense, experiments, harvest, index, scorer
 from corvella.plans import registered
 from oracle import agree
 from pyspark.sql import functions as F
@@ -63,3 +64,17 @@ def test_triage_scores_asked_queries_only(spark, sf_dir, monkeypatch):
     agree(spark, sf_dir, *registered()["triage"])
     items = {r.item_id for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     assert len(asked) == 1 and asked[0] <= items
+
+
+def test_white_space_is_stripped_as_patterns_do_without_a_pattern(spark):
+    texts = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    sides = texts.select("c", F.concat("c", F.lit("a"), "c", F.lit("b"), "c").alias("t"))
+    assert sides.where(~T.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert sides.where(T.stripped(F.col("t")) != F.col("t")).count() == 25
+    assert "regexp" not in texts.select(T.clean(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_patterns_of_a_source_stand_once_in_the_plan(spark):
+    values = spark.createDataFrame([("a - b, סעיף 4; c",)], "v string")
+    plan = values.select(answers.sources(F.col("v")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 and plan.count("regexp_extract(") <= 1
