@@ -47,19 +47,21 @@ def blocks(answers: DataFrame, names: Labels = HEBREW_LABELS, open_note: str = O
     label. A source line without a source is a field. What lies between is one
     block of kind md, blank lines inside kept, blank runs dropped.
     """
-    lines = answers.select("id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    bare = T.stripped(F.col("line"))
-    labelled = F.col("line").rlike(LABEL)
-    open_ = F.left(bare, F.lit(NOTE_WITHIN)).rlike("(?U)" + open_note)
-    sort = F.when(bare == "", "blank").when(labelled, "label").when(open_, "open").otherwise("prose")
-    lines = lines.withColumns({"sort": sort, "bare": bare, "label": T.clean(F.regexp_extract("line", LABEL, 1)), "value": T.clean(F.regexp_extract("line", LABEL, 2))})
+    lines = answers.select("id", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).withColumn("bare", T.stripped(F.col("line")))
+    # A label begins with its stars and is never empty, so other lines need not be matched, nor any line twice for it.
+    lines = lines.withColumn("label", F.when(F.startswith("bare", F.lit("**")), F.regexp_extract("line", LABEL, 1)).otherwise(""))
+    labelled = F.col("label") != ""
+    open_ = F.left("bare", F.lit(NOTE_WITHIN)).rlike("(?U)" + open_note)
+    sort = F.when(F.col("bare") == "", "blank").when(labelled, "label").when(open_, "open").otherwise("prose")
+    value = F.when(labelled, T.clean(F.regexp_extract("line", LABEL, 2))).otherwise("")
+    lines = lines.withColumns({"sort": sort, "value": value, "label": F.when(labelled, T.clean(F.col("label"))).otherwise("")})
     order = Window.partitionBy("id").orderBy("line_no")
     # Such a line is a note unless prose stands right before it or before others like it.
     last = F.last(F.when(F.col("sort") != "open", F.col("sort")), ignorenulls=True).over(order)
     lines = lines.withColumn("sort", F.when(F.col("sort") == "open", F.when(last == "prose", "prose").otherwise("note")).otherwise(F.col("sort")))
     alone = F.col("sort").isin("label", "note")
     lines = lines.withColumn("run", F.sum((alone | F.coalesce(F.lag(alone).over(order), F.lit(False))).cast("int")).over(order))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    parts = F.array_sort(F.collect_list(F.when(~F.col("sort").isin("label", "note"), F.struct("line_no", "line"))))
     runs = lines.groupBy("id", "run").agg(
         F.min("line_no").alias("first"), F.max("sort").alias("sort"), F.max("label").alias("label"), F.max("value").alias("value"), F.max("bare").alias("bare"),
         F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("prose"),

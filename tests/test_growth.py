@@ -78,3 +78,9 @@ def test_the_patterns_of_a_source_stand_once_in_the_plan(spark):
     values = spark.createDataFrame([("a - b, סעיף 4; c",)], "v string")
     plan = values.select(answers.sources(F.col("v")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 2 and plan.count("regexp_extract(") <= 1
+
+
+def test_a_line_is_matched_once_for_each_part_of_its_label(spark):
+    rows = spark.createDataFrame([(1, "**פסיקה:** a")], "id int, body string")
+    plan = answers.blocks(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{1,28}") <= 2
