@@ -103,20 +103,22 @@ def file_status(baseline: DataFrame, current: DataFrame, key: str) -> DataFrame:
     another digest is changed; else one with a file that failed is an error;
     else it is ok. A failed file is not compared further.
     """
-    b = baseline.select(F.col(key), "path", F.col("digest").alias("_old"), F.lit(True).alias("_b"))
-    orders = baseline.select(key).distinct()
-    c = current.join(orders, key, "left_semi").select(F.col(key), "path", F.col("digest").alias("_new"), "error", F.lit(True).alias("_c"))
-    both = b.where("path IS NOT NULL").join(c.where("path IS NOT NULL"), [key, "path"], "full_outer")
-    kind = (
-        F.when(F.col("_c").isNull(), "gone").when(F.col("_b").isNull(), "added").when(F.coalesce("error", F.lit("")) != "", "failed")
-        .when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
-    )
+    # Both sides meet in one grouping, without joins: sides that are partitioned by the key already are not shuffled again.
+    b = baseline.select(F.col(key), "path", F.lit(True).alias("_base"), F.col("digest").alias("_digest"), F.lit(None).cast("string").alias("_error"))
+    c = current.where("path IS NOT NULL").select(F.col(key), "path", F.lit(False).alias("_base"), F.col("digest").alias("_digest"), F.col("error").cast("string").alias("_error"))
+    held = {"_old": F.when(F.col("_base"), F.struct("_digest")), "_new": F.when(~F.col("_base"), F.struct("_digest", "_error"))}
+    files = b.unionByName(c).groupBy(key, "path").agg(*[F.collect_list(v).alias(k) for k, v in held.items()])
+
+    def compared(old: Column, new: Column) -> Column:
+        return F.when(F.coalesce(new["_error"], F.lit("")) != "", "failed").when(~old["_digest"].eqNullSafe(new["_digest"]), "changed")
+
+    pairs = F.flatten(F.transform("_old", lambda o: F.transform("_new", lambda n: compared(o, n))))
+    kinds = F.when(F.size("_new") == 0, F.transform("_old", lambda o: F.lit("gone"))).when(F.size("_old") == 0, F.transform("_new", lambda n: F.lit("added"))).otherwise(pairs)
+    told = files.select(key, "path", (F.size("_old") > 0).alias("_base"), F.explode_outer(F.when(F.col(key).isNotNull() & F.col("path").isNotNull(), kinds)).alias("_kind"))
     lists = [F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("path")))).alias(k) for k in ("gone", "added", "failed", "changed")]
-    per = both.withColumn("_kind", kind).groupBy(key).agg(*lists)
-    none = F.array().cast("array<string>")
-    told = orders.join(per, key, "left").select(key, *[F.coalesce(k, none).alias(k) for k in ("gone", "added", "failed", "changed")])
+    per = told.groupBy(key).agg(F.bool_or("_base").alias("_base"), *lists).where("_base").drop("_base")
     other = F.size("gone") + F.size("added") + F.size("changed")
-    return told.withColumn("status", F.when(other > 0, "changed").when(F.size("failed") > 0, "error").otherwise("ok"))
+    return per.withColumn("status", F.when(other > 0, "changed").when(F.size("failed") > 0, "error").otherwise("ok"))
 
 
 def owned(links: DataFrame, held: DataFrame, digits: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 from corvella.functions import text as T
-from corvella.operators import answers, curation, dense, experiments, harvest, index, scorer
+from corvella.operators import answers, curation, dense, experiments, harvest, index, intake, scorer
 from corvella.plans import registered
 from oracle import agree
 from pyspark.sql import functions as F
@@ -84,3 +84,15 @@ def test_a_line_is_matched_once_for_each_part_of_its_label(spark):
     rows = spark.createDataFrame([(1, "**פסיקה:** a")], "id int, body string")
     plan = answers.blocks(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("{1,28}") <= 2
+
+
+def test_files_are_dealt_out_by_order_once(spark, sf_dir):
+    plan = registered()["file_changes"][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Join" not in plan
+
+
+def test_files_without_key_or_path_and_repeated_ones(spark):
+    base = spark.createDataFrame([(None, "a", "1"), ("o1", None, "1"), ("o2", "a", "1"), ("o2", "a", "2"), ("o2", "b", None), ("o3", "a", "1")], "k string, path string, digest string")
+    now = spark.createDataFrame([(None, "b", "1", None), ("o2", "a", "2", None), ("o2", "b", None, ""), ("o3", "a", "2", "late"), ("o3", "a", "2", None), ("o4", "a", "1", None)], "k string, path string, digest string, error string")
+    got = {r.k: (r.status, r.gone, r.added, r.failed, r.changed) for r in intake.file_status(base, now, "k").collect()}
+    assert got == {None: ("ok", [], [], [], []), "o1": ("ok", [], [], [], []), "o2": ("changed", [], [], [], ["a"]), "o3": ("changed", [], [], ["a"], ["a"])}
