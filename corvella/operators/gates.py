@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corvella.functions import text as T
 
+from .stored import sent_if_small
+
 
 def stems(text: Column) -> Column:
     """Distinct folded words of three letters or more without marks."""
@@ -20,11 +22,12 @@ def mirrors(texts: DataFrame, held: DataFrame, least: float, stems: Callable[[Co
 
     A pair that close shares one of the (1 - least) * n + 1 rarest stems of
     either set, so sets meet by an equi-join of those prefixes. Stems are rare
-    by their count among the held texts.
+    by their count among the held texts. Texts that are partitioned by id are
+    not shuffled for it while the held stems are few enough to be sent.
     """
     a = texts.select("id", stems(F.col("text")).alias("s")).where(F.size("s") > 0)
     b = held.select(F.col("id").alias("other"), stems(F.col("text")).alias("t")).where(F.size("t") > 0)
-    counts = b.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = sent_if_small(b.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w")
 
     def prefix(df: DataFrame, key: str, column: str) -> DataFrame:
         # Stems that no held text has come first in the order and match nothing: only the others are ranked.
@@ -34,7 +37,8 @@ def mirrors(texts: DataFrame, held: DataFrame, least: float, stems: Callable[[Co
         return ranked.where(keep > 0).select(key, F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("p")).select(key, F.col("p.w").alias("w"))
 
     pairs = prefix(a, "id", "s").join(prefix(b, "other", "t"), "w").select("id", "other").distinct()
-    joined = pairs.join(a, "id").join(b, "other")
+    # Stems again only of texts that met one.
+    joined = pairs.join(texts.select("id", "text"), "id").select("id", "other", stems(F.col("text")).alias("s")).join(b, "other")
     jaccard = F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))
     return joined.select("id", "other", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= least)
 

@@ -45,9 +45,10 @@ def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines that mirror a benchmark item."""
-    lines = documents(spark, sf_dir, "text").select(F.explode(F.split("text", "\n")).alias("text")).distinct()
+    lines = documents(spark, sf_dir, "text").select(F.explode(F.split("text", "\n")).alias("text"))
+    lines = lines.select(F.sha1("text").alias("id"), "text").repartition("id").distinct()  # the one shuffle of the lines
     items = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).distinct()
-    found = gates.mirrors(lines.select(F.sha1("text").alias("id"), "text"), items.select(F.sha1("text").alias("id"), "text"), 0.55)
+    found = gates.mirrors(lines, items.select(F.sha1("text").alias("id"), "text"), 0.55)
     return found
 
 

@@ -1,12 +1,13 @@
 """Work that must not grow faster than the tables: no repeated expressions, no shuffle by few keys, no rows that cannot count."""
 
 import datetime
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from corvella.functions import text as T
-from corvella.operators import answers, curation, dense, experiments, harvest, index, intake, scorer
+from corvella.operators import answers, curation, dense, experiments, gates, harvest, index, intake, scorer
 from corvella.plans import registered
 from oracle import agree
 from pyspark.sql import functions as F
@@ -96,3 +97,9 @@ def test_files_without_key_or_path_and_repeated_ones(spark):
     now = spark.createDataFrame([(None, "b", "1", None), ("o2", "a", "2", None), ("o2", "b", None, ""), ("o3", "a", "2", "late"), ("o3", "a", "2", None), ("o4", "a", "1", None)], "k string, path string, digest string, error string")
     got = {r.k: (r.status, r.gone, r.added, r.failed, r.changed) for r in intake.file_status(base, now, "k").collect()}
     assert got == {None: ("ok", [], [], [], []), "o1": ("ok", [], [], [], []), "o2": ("changed", [], [], [], ["a"]), "o3": ("changed", [], [], ["a"], ["a"])}
+
+
+def test_words_of_mirrors_are_not_shuffled(spark):
+    texts = spark.createDataFrame([("a", "one two three")], "id string, text string").repartition("id")
+    plan = gates.mirrors(texts, spark.createDataFrame([("h", "one two four")], "id string, text string"), 0.55)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(id#\w+, size#", plan)
