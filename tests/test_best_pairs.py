@@ -1,12 +1,13 @@
 """The best rows of groups, found in the tasks that score them."""
 
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from corvella.operators import dense
-from corvella.plans import registered
+from corvella.plans import inputs, registered
 from oracle import agree
 
 
@@ -62,6 +63,32 @@ def test_rows_within_a_budget(spark):
     assert sum(map(len, some.values())) < sum(map(len, every.values())) / 4
 
 
+@pytest.mark.parametrize("most_held", [dense.MOST_HELD, 3])
+def test_rows_that_others_outdo_do_not_slip_into_a_budget(spark, most_held):
+    # The second task knows nothing of the 36 words before its rows; if only 18 of them are passed on, its 1 + 1 seem to be in the budget of 20.
+    tasks = [[(1, [9.0], 0, 0), (2, [8.0], 0, 9), (3, [7.0], 0, 9), (4, [6.0], 0, 9), (5, [5.0], 0, 9)], [(6, [2.0], 0, 1), (7, [1.0], 0, 1)]]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(tasks, 2).flatMap(lambda x: x), "row_id long, embedding array<double>, doc_id int, n long")
+    queries = spark.createDataFrame([(9, [1.0])], "query_id long, embedding array<double>")
+    left = _groups(dense.best_pairs(rows, queries, 1, ("doc_id",), "n", 20, most_held=most_held), rows)[9, 0]
+    total, within = 0, []
+    for _, row, n in left:
+        total += n
+        within += [row] if total <= 20 else []
+    assert within == [1, 2, 3]
+
+
+@pytest.mark.parametrize("cut", [1700, 1900])
+def test_budget_merge_over_uneven_tasks(spark, sf_dir, monkeypatch, cut):
+    read = inputs.vectors  # of 2000 rows at sf0.1
+
+    def uneven(*args):
+        rows, queries = read(*args)
+        return rows.where(rows.row_id < cut).coalesce(1).unionAll(rows.where(rows.row_id >= cut).repartition(2, "row_id")), queries
+
+    monkeypatch.setattr(inputs, "vectors", uneven)
+    agree(spark, os.path.join(os.path.dirname(sf_dir), "sf0.1"), *registered()["budget_merge"])
+
+
 def test_scores_that_are_no_numbers_are_kept(spark):
     rows = spark.createDataFrame([(1, [float("nan")], 0), (2, [1e15], 0), (3, [2.0], 0), (4, [1.0], 0)], "row_id long, embedding array<double>, doc_id int")
     queries = spark.createDataFrame([(9, [1.0])], "query_id long, embedding array<double>")
